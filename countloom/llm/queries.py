@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from countloom.llm import tokens
+from countloom.llm import mixing, pii, tokens
 
 
 def queries():
     found = {
+        "op5_pii": pii.op5_pii,
         "op6_bpe": tokens.op6_bpe,
         "op8_token_orc": tokens.op8_token_orc,
+        "op10_mix": mixing.op10_mix,
     }
     return found
 

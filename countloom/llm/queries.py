@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from countloom.llm import mixing, pii, tokens
+from countloom.llm import mixing, neighbours, pii, tokens
 
 
 def queries():
     found = {
+        "op1_nearest": neighbours.op1_nearest,
         "op5_pii": pii.op5_pii,
         "op6_bpe": tokens.op6_bpe,
         "op8_token_orc": tokens.op8_token_orc,
@@ -16,4 +17,6 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_nearest": neighbours.OP1_SQL,
+    }

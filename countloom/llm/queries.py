@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from countloom.llm import mixing, neighbours, pii, tokens
+from countloom.llm import jaccard, mixing, neighbours, pii, tokens
 
 
 def queries():
     found = {
         "op1_nearest": neighbours.op1_nearest,
+        "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op5_pii": pii.op5_pii,
         "op6_bpe": tokens.op6_bpe,
         "op8_token_orc": tokens.op8_token_orc,

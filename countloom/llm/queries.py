@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from countloom.llm import jaccard, mixing, neighbours, pii, tokens
+from countloom.llm import jaccard, mixing, neighbours, pii, quality, tokens, toxicity
 
 
 def queries():
     found = {
         "op1_nearest": neighbours.op1_nearest,
         "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
+        "op3_quality": quality.op3_quality,
         "op5_pii": pii.op5_pii,
         "op6_bpe": tokens.op6_bpe,
+        "op7_toxicity": toxicity.op7_toxicity,
         "op8_token_orc": tokens.op8_token_orc,
         "op10_mix": mixing.op10_mix,
     }

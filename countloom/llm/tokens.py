@@ -161,29 +161,60 @@ def digests(encoded: DataFrame) -> DataFrame:
 class JsonTokenizer:
     """ids of a text by a tokenizers file.  What a unit between spaces gives is kept; only new units reach the library."""
 
+    JOINED = 512
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        tokens = self.tokenizer.get_vocab()
+        # a byte-level token has one character a byte
+        self.lengths = np.zeros(max(tokens.values()) + 1, np.int64)
+        for token, i in tokens.items():
+            self.lengths[i] = len(token)
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _units(self, words: list[str]) -> list[bytes]:
+        """ids of every word with a space before it, many in one call: the tokens' bytes tell where each ends."""
+        out = []
+        groups = [words[at : at + self.JOINED] for at in range(0, len(words), self.JOINED)]
+        for group, ids in zip(groups, self._library([" " + " ".join(g) for g in groups])):
+            ends = np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])
+            wanted = np.cumsum([len(w.encode()) + 1 for w in group])
+            cuts = np.searchsorted(ends, wanted) + 1
+            if len(ends) == 0 or ends[-1] != wanted[-1] or (ends[cuts - 1] != wanted).any():
+                out += self._library([" " + w for w in group])
+                continue
+            at = [0, *(cuts * 4).tolist()]
+            out += [ids[a:b] for a, b in zip(at, at[1:])]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         units = [split_units(t) for t in texts]
         whole = [i for i, u in enumerate(units) if u is None]
-        if len(self.kept) >= CACHE:
-            self.kept.clear()
-        kept = self.kept
-        firsts = {u[0] for u in units if u}
-        rests = {w for u in units if u for w in u[1:]}
-        new = [w for w in rests if w not in kept]
-        kept.update(zip(new, self._library([" " + w for w in new])))
-        heads = dict(zip(firsts, self._library(list(firsts))))
-        out = [b"" if u is None else heads[u[0]] + b"".join(map(kept.__getitem__, u[1:])) for u in units]
+        if len(self.kept) >= CACHE // 2:  # what is in use moves on to the new generation
+            self.kept, self.older = {}, self.kept
+        kept, older = self.kept, self.older
+        new = []
+        for w in {w for u in units if u for w in u[1:]}.difference(kept):
+            packed = older.get(w)
+            if packed is None:
+                new.append(w)
+            else:
+                kept[w] = packed
+        kept.update(zip(new, self._units(new)))
+        heads = self._library([u[0] for u in units if u is not None])
+        out = []
+        for u in units:
+            out.append(b"" if u is None else b"".join(map(kept.__getitem__, u[1:])))
+        for at, i in enumerate(i for i, u in enumerate(units) if u is not None):
+            out[i] = heads[at] + out[i]
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
         return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from countloom.llm import jaccard, mixing, neighbours, pii, quality, tokens, toxicity
+from countloom.llm import jaccard, mixing, near_vectors, neighbours, pii, quality, tokens, toxicity
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_nearest": neighbours.op1_nearest,
         "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
         "op3_quality": quality.op3_quality,
+        "op4_near_vectors": near_vectors.op4_near_vectors,
         "op5_pii": pii.op5_pii,
         "op6_bpe": tokens.op6_bpe,
         "op7_toxicity": toxicity.op7_toxicity,
@@ -22,4 +23,5 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_nearest": neighbours.OP1_SQL,
+        "op4_near_vectors": near_vectors.OP4_SQL,
     }

@@ -267,15 +267,17 @@ def _grouped(batches):
         yield [np.concatenate(x) for x in zip(*pieces)]
 
 
-def in_bitmap(spark: SparkSession, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rows whose id may be in wanted (id): a bitmap of fixed size, 2**23 bits, drops most others before anything is shuffled."""
+def in_bitmap(spark: SparkSession, rows: DataFrame, wanted: DataFrame, both: bool = False):
+    """rows whose id may be in wanted (id): a bitmap of fixed size, 2**23 bits, drops most others before anything is shuffled.  both: also those that surely aren't."""
     spot = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 23))
     words = wanted.select(F.shiftright(spot, 6).alias("_word"), spot.alias("_spot")).groupBy("_word").agg(
         F.bit_or(F.expr("shiftleft(1L, cast(pmod(_spot, 64) AS int))")).alias("_bits"))
     # at most 131,072 rows of two longs whatever the input
     placed = rows.withColumn("_spot", spot).withColumn("_word", F.shiftright("_spot", 6))
     hit = F.getbit("_bits", F.pmod("_spot", F.lit(64)).cast("int")) == 1
-    return placed.join(F.broadcast(words), "_word").filter(hit).drop("_word", "_bits", "_spot")
+    joined = placed.join(F.broadcast(words), "_word", "left" if both else "inner")
+    found = joined.filter(hit).drop("_word", "_bits", "_spot")
+    return (found, joined.filter(~F.coalesce(hit, F.lit(False))).drop("_word", "_bits", "_spot")) if both else found
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from countloom.llm import jaccard, mixing, near_vectors, neighbours, pii, quality, tokens, toxicity
+from countloom.llm import jaccard, mixing, near_vectors, neighbours, pii, quality, repeats, tokens, toxicity
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op6_bpe": tokens.op6_bpe,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_token_orc": tokens.op8_token_orc,
+        "op9_repeats": repeats.op9_repeats,
         "op10_mix": mixing.op10_mix,
     }
     return found

@@ -129,24 +129,31 @@ def with_bucket(rows: DataFrame, hot: DataFrame) -> DataFrame:
         "_bucket", F.coalesce(F.pmod(F.xxhash64("_hash"), F.col("buckets")), F.lit(0)).cast("long")).drop("buckets")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, id_column: str = "doc_id") -> DataFrame:
-    """docs with _size, _copies, source_size and target.
-
-    Sources take the weights in code point order, repeating, null last.  Null texts have size 0.  Rows that repeat
-    share their number of copies.  Reruns agree, as copies depend on ids, sources and sizes only.
-    """
-    rows = sized(docs, id_column)
+def planned(docs: DataFrame, weights: tuple[float, ...], share: float, most: int, id_column: str) -> DataFrame:
+    """_doc (the whole row of docs, so that no column's name can clash), _size, _copies, source_size, target and rate."""
+    rows = sized(docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text"), F.col("source"), F.col(id_column).alias("_id")), "_id").drop("text", "source", "_id")
     narrow = stored(rows.select("_key", "_size", "_hash"), "rows")
     plan, hot = plan_copies(narrow, weights, share, most)
     out = with_bucket(rows, hot).join(plan, ["_key", "_size", "_bucket"])
     copies = F.col("low") + F.when(F.col("_hash") <= F.col("upto"), 1).otherwise(0)
-    return out.withColumn("_copies", copies.cast("long"))
+    return out.select("_doc", "_size", copies.cast("long").alias("_copies"), "source_size", "target", "rate")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, id_column: str = "doc_id") -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, at most `most` times.
+
+    Sources take the weights in code point order, repeating, null last, and share `share` times all words; a source's
+    target stops at `most` times its words.  Null texts have size 0.  Rows that repeat an id, source and size share their
+    number of copies.  Reruns agree, as copies depend on ids, sources and sizes only.  An empty table stays empty.
+    """
+    out = planned(docs, weights, share, most, id_column).filter("_copies > 0")
+    return out.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_doc.*")
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = sized(docs).select("doc_id", "_key", "_size", "_hash")
-    rows = stored(rows, "rows")
+    # the text is read once: sizes go to a narrow table
+    docs = sized(table(spark, sf_dir, "documents")).select("doc_id", "_key", "_size", "_hash")
+    rows = stored(docs, "rows")
     plan, hot = plan_copies(rows.select("_key", "_size", "_hash"), (3, 1, 2), 1.5, 2)
     out = with_bucket(rows, hot).join(plan, ["_key", "_size", "_bucket"])
     copies = F.col("low") + F.when(F.col("_hash") <= F.col("upto"), 1).otherwise(0)

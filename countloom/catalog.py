@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from countloom.plans import core, evaluation, modelling  # noqa: F401
+from countloom.plans.registry import QUERIES, SQL
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

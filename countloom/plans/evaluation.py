@@ -1 +1,332 @@
 """Queries that evaluate rankings and audit tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from countloom.functions import ranks
+from countloom.operators import audits, metrics, neighbours
+from countloom.plans.core import rank_sql
+from countloom.plans.registry import d, i, query, with_
+from countloom.sources import tables as t
+
+
+def auroc_sql(score: str, label: str, source: str, by: str = "") -> str:
+    """(by, auroc) of a source by average ranks."""
+    part = f"PARTITION BY {by} " if by else ""
+    tie = f"PARTITION BY {by}, {score}" if by else f"PARTITION BY {score}"
+    key = f"{by}, " if by else ""
+    group = f" GROUP BY {by}" if by else ""
+    return f"""(SELECT {key}CASE WHEN sum({label}) > 0 AND sum({label}) < count(*) THEN (sum({label} * r) - sum({label}) * (sum({label}) + 1) / 2.0) / (sum({label}) * (count(*) - sum({label}))) END AS auroc
+ FROM (SELECT *, rank() OVER ({part}ORDER BY {score}) + (count(*) OVER ({tie}) - 1) / 2.0 AS r FROM {source}){group})"""
+
+
+def ap_sql(score: str, label: str, source: str, by: str = "") -> str:
+    key = f"{by}, " if by else ""
+    part = f"PARTITION BY {by} " if by else ""
+    group = f" GROUP BY {by}" if by else ""
+    return f"""(SELECT {key}CASE WHEN sum(p) > 0 THEN sum(p * tp / k) / sum(p) END AS auprc FROM (SELECT *, sum(p) OVER ({part}ORDER BY {score} DESC ROWS UNBOUNDED PRECEDING) AS tp, sum(c) OVER ({part}ORDER BY {score} DESC ROWS UNBOUNDED PRECEDING) AS k
+ FROM (SELECT {key}{score}, sum({label})::DOUBLE AS p, count(*)::DOUBLE AS c FROM {source} GROUP BY {key}{score})){group})"""
+
+
+@query("e10_auroc", f"{with_('sc')} SELECT {d('auroc')} FROM {auroc_sql('s1', 'positive', 'sc')}")
+def e10(spark, sf):
+    return metrics.auroc(t.demo_scores(spark, sf), "s1", "positive")
+
+
+@query("e10_auroc_by_cluster", f"{with_('sc')} SELECT cluster, {d('auroc')} FROM {auroc_sql('s1', 'positive', 'sc', 'cluster')}")
+def e10c(spark, sf):
+    return metrics.auroc(t.demo_scores(spark, sf), "s1", "positive", ["cluster"])
+
+
+@query("e11_average_precision", f"{with_('sc')} SELECT {d('auprc')} FROM {ap_sql('s1', 'positive', 'sc')}")
+def e11(spark, sf):
+    return metrics.average_precision(t.demo_scores(spark, sf), "s1", "positive")
+
+
+@query("e12_subtype_auprc", f"""{with_('sc')}, h AS (SELECT *, CASE WHEN label = 'homotypic_doublet' THEN 1 ELSE 0 END AS y FROM sc WHERE label <> 'heterotypic_doublet'), x AS (SELECT *, CASE WHEN label = 'heterotypic_doublet' THEN 1 ELSE 0 END AS y FROM sc WHERE label <> 'homotypic_doublet')
+ SELECT {d('a.auprc', 'homotypic')}, {d('b.auprc', 'heterotypic')}, {d('(a.auprc + b.auprc) / 2', 'macro')} FROM {ap_sql('s1', 'y', 'h')} a, {ap_sql('s1', 'y', 'x')} b""")
+def e12(spark, sf):
+    s = t.demo_scores(spark, sf)
+    one = lambda keep, out: metrics.average_precision(s.filter(F.col("label") != out).withColumn("y", (F.col("label") == keep).cast("int")), "s1", "y")
+    h = one("homotypic_doublet", "heterotypic_doublet").select(F.col("auprc").alias("homotypic"))
+    x = one("heterotypic_doublet", "homotypic_doublet").select(F.col("auprc").alias("heterotypic"))
+    return h.crossJoin(F.broadcast(x)).withColumn("macro", (F.col("homotypic") + F.col("heterotypic")) / 2)
+
+
+@query("e13_document_toxicity_metrics", f"""WITH l AS (SELECT labels.doc_id, toxic, n_chars FROM labels JOIN documents USING (doc_id)) SELECT {d('auroc')}, {d('auprc')} FROM {auroc_sql('n_chars', 'toxic', 'l')}, {ap_sql('n_chars', 'toxic', 'l')}""")
+def e13(spark, sf):
+    l = t.table(spark, sf, "labels").join(t.table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")  # noqa: E741
+    return metrics.auroc(l, "n_chars", "toxic").crossJoin(F.broadcast(metrics.average_precision(l, "n_chars", "toxic")))
+
+
+@query("e14_top_k", f"{with_('sc')}, r AS (SELECT positive, row_number() OVER (ORDER BY s1 DESC, cell) AS r, sum(positive) OVER () AS k FROM sc) SELECT {i('max(k)', 'k')}, {i('sum(positive) FILTER (r <= k)', 'hits')}, {d('sum(positive) FILTER (r <= k) / max(k)', 'precision')}, {d('sum(positive) FILTER (r <= k) / max(k)', 'recall')} FROM r")
+def e14(spark, sf):
+    return metrics.top_k(t.demo_scores(spark, sf), "s1", "cell", "positive")
+
+
+@query("e15_hard_fpr_at_budget", f"{with_('sc')}, r AS (SELECT cluster, hard, row_number() OVER (PARTITION BY cluster ORDER BY s1 DESC, cell) AS r, sum(positive) OVER (PARTITION BY cluster) AS k FROM sc) SELECT cluster, {i('max(k)', 'budget')}, {i('coalesce(sum(hard) FILTER (r <= k), 0)', 'false_hits')}, {i('sum(hard)', 'hard')}, {d('CASE WHEN sum(hard) > 0 THEN coalesce(sum(hard) FILTER (r <= k), 0) / sum(hard) END', 'fpr')} FROM r GROUP BY cluster")
+def e15(spark, sf):
+    return metrics.fpr_at_budget(t.demo_scores(spark, sf), "s1", "cell", "positive", "hard", ["cluster"])
+
+
+@query("e16_operating_points", f"""{with_('sc')}, r AS (SELECT s1, row_number() OVER w AS r, sum(positive) OVER w AS tp, sum(hard) OVER w AS fp, sum(positive) OVER () AS p, sum(hard) OVER () AS h FROM sc WINDOW w AS (ORDER BY s1 DESC, cell ROWS UNBOUNDED PRECEDING)),
+ x AS (SELECT target, min(r) AS r FROM r, (SELECT unnest([0.5, 0.7, 0.8, 0.9])::DOUBLE AS target) WHERE tp >= ceil(target * p - 1e-12) GROUP BY 1)
+ SELECT {d('target')}, {i('r.r', 'selected')}, {d('s1', 'threshold')}, {d('tp / r.r', 'precision')}, {d('tp / p', 'recall')}, {d('fp / h', 'hard_fpr')} FROM x JOIN r USING (r)""")
+def e16(spark, sf):
+    return metrics.operating_points(t.demo_scores(spark, sf), "s1", "cell", "positive", "hard")
+
+
+@query("e17_metric_bundle", f"""{with_('sc')}, r AS (SELECT row_number() OVER w AS r, sum(positive) OVER w AS tp, sum(hard) OVER w AS fp, sum(positive) OVER () AS p, sum(hard) OVER () AS h FROM sc WINDOW w AS (ORDER BY s1 DESC, cell ROWS UNBOUNDED PRECEDING)),
+ x AS (SELECT target, min(r) AS r FROM r, (SELECT unnest([0.5, 0.8])::DOUBLE AS target) WHERE tp >= ceil(target * p - 1e-12) GROUP BY 1), y AS (SELECT target, fp / h AS f FROM x JOIN r USING (r))
+ SELECT {d('max(f) FILTER (target = 0.5)', 'fpr_50')}, {d('max(f) FILTER (target = 0.8)', 'fpr_80')} FROM y""")
+def e17(spark, sf):
+    p = metrics.operating_points(t.demo_scores(spark, sf), "s1", "cell", "positive", "hard", (0.5, 0.8))
+    return p.agg(F.max(F.when(F.col("target") == 0.5, F.col("hard_fpr"))).alias("fpr_50"), F.max(F.when(F.col("target") == 0.8, F.col("hard_fpr"))).alias("fpr_80"))
+
+
+@query("e18_rate_budget", f"{with_('sc')} SELECT cell, {i('row_number() OVER (ORDER BY s1 DESC, cell)', 'rank')}, row_number() OVER (ORDER BY s1 DESC, cell) <= round_even(0.08 * count(*) OVER (), 0) AS selected FROM sc")
+def e18(spark, sf):
+    return metrics.rate_budget(t.demo_scores(spark, sf), "s1", "cell", 0.08).select("cell", "rank", "selected")
+
+
+@query("e19_class_quantiles", f"{with_('sc')} SELECT label, " + ", ".join(d(f"quantile_cont(s1, {q})", f"q{n}") for n, q in (("05", .05), ("25", .25), ("50", .5), ("75", .75), ("95", .95))) + " FROM sc GROUP BY label")
+def e19(spark, sf):
+    q = t.demo_scores(spark, sf).groupBy("label").agg(F.expr("percentile(s1, array(0.05, 0.25, 0.5, 0.75, 0.95))").alias("q"))
+    return q.select("label", *(F.col("q")[k].alias(f"q{n}") for k, n in enumerate(("05", "25", "50", "75", "95"))))
+
+
+@query("e20_method_summary", f"SELECT event_type AS method, {d('avg(value)', 'mean')}, {d('stddev_samp(value)', 'std')}, {i('count(*)', 'n')}, {d('min(value)', 'least')}, {d('max(value)', 'most')} FROM events GROUP BY 1")
+def e20(spark, sf):
+    return t.table(spark, sf, "events").groupBy(F.col("event_type").alias("method")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
+@query("e21_point_summary", f"SELECT event_type, {i('user_id % 7', 'seed')}, {d('avg(value)', 'mean')}, {i('count(*)', 'n')} FROM events GROUP BY 1, 2")
+def e21(spark, sf):
+    return t.table(spark, sf, "events").groupBy("event_type", (F.col("user_id") % 7).alias("seed")).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+
+
+@query("e22_paired_delta", f"""{with_('sc')} SELECT cluster, {d('avg(s1)', 'main')}, {d('avg(s1) - greatest(avg(s2), avg(s3))', 'delta')} FROM sc GROUP BY 1""")
+def e22(spark, sf):
+    long = t.demo_scores(spark, sf).unpivot(["cluster", "cell"], ["s1", "s2", "s3"], "method", "score")
+    wide = long.groupBy("cluster").pivot("method", ["s1", "s2", "s3"]).agg(F.avg("score"))
+    return wide.select("cluster", F.col("s1").alias("main"), (F.col("s1") - F.greatest("s2", "s3")).alias("delta"))
+
+
+@query("e23_top_k_overlap", f"""{with_('sc')}, r AS (SELECT row_number() OVER (ORDER BY s1 DESC, cell) <= 100 AS a, row_number() OVER (ORDER BY s2 DESC, cell) <= 100 AS b FROM sc) SELECT {i('count(*) FILTER (a AND b)', 'both')}, {i('count(*) FILTER (a OR b)', 'either')}, {d('count(*) FILTER (a AND b) / count(*) FILTER (a OR b)', 'jaccard')} FROM r""")
+def e23(spark, sf):
+    s = ranks.top_rank(ranks.top_rank(t.demo_scores(spark, sf), "s1", "cell", "a"), "s2", "cell", "b")
+    a, b = F.col("a") <= 100, F.col("b") <= 100
+    return s.agg(F.count_if(a & b).alias("both"), F.count_if(a | b).alias("either")).withColumn("jaccard", F.col("both") / F.col("either"))
+
+
+@query("e24_feature_statistics", f"""{with_('sc')}, r AS (SELECT {rank_sql('s1', 'sc')} AS a, {rank_sql('s2', 'sc')} AS b FROM sc) SELECT {d('2 * auroc - 1', 'cliffs_delta')}, {d('(SELECT corr(a, b) FROM r)', 'spearman')} FROM {auroc_sql('s1', 'positive', 'sc')}""")
+def e24(spark, sf):
+    s = t.demo_scores(spark, sf)
+    return metrics.cliffs_delta(s, "s1", "positive").crossJoin(F.broadcast(metrics.spearman(s, "s1", "s2")))
+
+
+@query("e25_blind_spot", f"""{with_('cells')}, p AS (SELECT count(*) / sum(count(*)) OVER () AS p FROM cells GROUP BY cluster), j AS (SELECT count(*) / sum(count(*)) OVER () AS p FROM cells GROUP BY cluster, library) SELECT {d('(SELECT sum(p * p) FROM p)', 'within')}, {d('(SELECT sum(p * p) FROM j) / (SELECT sum(p * p) FROM p)', 'joint_share')}""")
+def e25(spark, sf):
+    c = t.customer_cells(spark, sf)
+    n = c.agg(F.count("*").alias("t"))
+    square = lambda keys, out: c.groupBy(*keys).agg(F.count("*").alias("n")).crossJoin(F.broadcast(n)).agg(F.sum((F.col("n") / F.col("t")) ** 2).alias(out))
+    return square(["cluster"], "within").crossJoin(F.broadcast(square(["cluster", "library"], "j"))).select("within", (F.col("j") / F.col("within")).alias("joint_share"))
+
+
+KNN = """v AS (SELECT CAST(vec_id AS VARCHAR) AS id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ nn AS (SELECT query, neighbour, distance, rank, own, grp FROM (SELECT a.id AS query, b.id AS neighbour, list_distance(a.e, b.e) AS distance, a.label AS own, b.label AS grp, row_number() OVER (PARTITION BY a.id ORDER BY round(list_distance(a.e, b.e), 9), b.id) AS rank FROM v a JOIN v b ON a.id <> b.id) WHERE rank <= 15)"""
+
+
+def vectors(spark, sf):
+    return t.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+@query("d13_knn", f"WITH {KNN} SELECT query, {i('rank')}, neighbour, {d('distance')} FROM nn")
+def d13(spark, sf):
+    return neighbours.knn(vectors(spark, sf), vectors(spark, sf), 15)
+
+
+@query("e26_purity_entropy", f"""WITH {KNN}, g AS (SELECT query, own, grp, count(*) AS n, sum(distance) AS ds FROM nn GROUP BY 1, 2, 3)
+ SELECT query, {d('sum(n) FILTER (own = grp) / 15', 'purity_')}, {d('-sum(n / 15 * ln(n / 15)) / ln(greatest(2, (SELECT count(DISTINCT label) FROM embeddings)))', 'entropy')}, {d('sum(ds) / 15', 'mean_distance')} FROM g GROUP BY 1""".replace("sum(n) FILTER (own = grp) / 15", "coalesce(sum(n) FILTER (own = grp), 0) / 15").replace("purity_", "purity"))
+def e26(spark, sf):
+    groups = t.table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("label").alias("group"))
+    return neighbours.purity_entropy(neighbours.knn(vectors(spark, sf), vectors(spark, sf), 15), groups)
+
+
+@query("j6_j7_reference_neighbours", f"""WITH {KNN} SELECT query, {d('1 / (1 + avg(distance))', 'proximity')}, {d("avg(CASE WHEN CAST(neighbour AS BIGINT) % 2 = 0 THEN 1.0 ELSE 0.0 END)", 'artificial_fraction')} FROM nn GROUP BY 1""")
+def j6(spark, sf):
+    n = neighbours.knn(vectors(spark, sf), vectors(spark, sf), 15)
+    return n.groupBy("query").agg((1 / (1 + F.avg("distance"))).alias("proximity"), F.avg((F.col("neighbour").cast("long") % 2 == 0).cast("double")).alias("artificial_fraction"))
+
+
+@query("o5_nearest_centroid", f"""WITH m AS (SELECT label, p, avg(x) AS x FROM (SELECT label, generate_subscripts(embedding, 1) AS p, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY p) AS c FROM m GROUP BY 1)
+ SELECT id, "group", {d('distance')} FROM (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(c.label AS BIGINT) AS "group", round(list_distance(embedding::DOUBLE[], c), 9) AS distance, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_distance(embedding::DOUBLE[], c), 9), c.label) AS r FROM embeddings e, c) WHERE r = 1""")
+def o5(spark, sf):
+    e = t.table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("group"), F.posexplode("embedding").alias("p", "x"))
+    means = e.groupBy("group", "p").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centres = means.groupBy("group").agg(F.transform(F.sort_array(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("centre"))
+    return neighbours.nearest_centroid(vectors(spark, sf), centres)
+
+
+@query("e27_diagnostics", f"""{with_('sc')}, k AS (SELECT unnest(['clean', 'high_RNA_singlet', 'homotypic_doublet', 'heterotypic_doublet', 'unseen']) AS label), l AS (SELECT label, 's1' AS metric, s1 AS v FROM sc UNION ALL SELECT label, 's2', s2 FROM sc)
+ SELECT k.label, m.metric, {i('count(v)', 'n')}, {d('avg(v)', 'mean')}, {d('median(v)', 'median')}, {d('stddev_samp(v)', 'std')} FROM k CROSS JOIN (SELECT unnest(['s1', 's2']) AS metric) m LEFT JOIN l ON l.label = k.label AND l.metric = m.metric GROUP BY 1, 2""")
+def e27(spark, sf):
+    classes = spark.createDataFrame([(c, m) for c in ("clean", "high_RNA_singlet", "homotypic_doublet", "heterotypic_doublet", "unseen") for m in ("s1", "s2")], "label string, metric string")
+    long = t.demo_scores(spark, sf).unpivot(["label"], ["s1", "s2"], "metric", "v")
+    stats = long.groupBy("label", "metric").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.expr("percentile(v, 0.5)").alias("median"), F.stddev_samp("v").alias("std"))
+    return classes.join(stats, ["label", "metric"], "left").fillna(0, ["n"])
+
+
+@query("e28_candidate_summary", f"{with_('sc')} SELECT cluster, {i('count(*)', 'cells')}, {i('sum(positive)', 'candidates')}, {d('100.0 * sum(positive) / count(*)', 'percent')} FROM sc GROUP BY 1")
+def e28(spark, sf):
+    return t.demo_scores(spark, sf).groupBy("cluster").agg(F.count("*").alias("cells"), F.sum("positive").alias("candidates")).withColumn("percent", 100.0 * F.col("candidates") / F.col("cells"))
+
+
+@query("e29_display_budget", f"{with_('sc')} SELECT cluster, {i('least(greatest(floor(0.08 * count(*) + 0.5), 0), count(*))', 'budget')} FROM sc GROUP BY 1")
+def e29(spark, sf):
+    n = F.count("*")
+    return t.demo_scores(spark, sf).groupBy("cluster").agg(F.least(F.greatest(F.floor(0.08 * n + 0.5), F.lit(0)), n).alias("budget"))
+
+
+@query("e30_permutation_summary", f"""{with_('sc')} SELECT cluster, {d('avg(s1)', 'mean')}, {d('quantile_cont(s1, 0.025)', 'low')}, {d('quantile_cont(s1, 0.975)', 'high')}, {d('(1 + count(*) FILTER (s1 >= 0.95)) / (1.0 + count(*))', 'p')},
+ CASE WHEN count(*) < 20 THEN 'inconclusive' WHEN (1 + count(*) FILTER (s1 >= 0.95)) / (1.0 + count(*)) <= 0.05 THEN 'supported' ELSE 'not_supported' END AS evidence FROM sc GROUP BY 1""")
+def e30(spark, sf):
+    s = t.demo_scores(spark, sf).groupBy("cluster").agg(F.avg("s1").alias("mean"), F.expr("percentile(s1, array(0.025, 0.975))").alias("q"), F.count("*").alias("n"), F.count_if(F.col("s1") >= 0.95).alias("k"))
+    p = (1 + F.col("k")) / (1.0 + F.col("n"))
+    return s.select("cluster", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), p.alias("p"), F.when(F.col("n") < 20, "inconclusive").when(p <= 0.05, "supported").otherwise("not_supported").alias("evidence"))
+
+
+@query("e31_cluster_balance", f"{with_('sc')} SELECT cluster, {i('sum(positive)', 'cases')}, {i('sum(hard)', 'controls')}, {d('sum(positive) / sum(sum(positive)) OVER () - sum(hard) / sum(sum(hard)) OVER ()', 'imbalance')} FROM sc GROUP BY 1")
+def e31(spark, sf):
+    g = t.demo_scores(spark, sf).groupBy("cluster").agg(F.sum("positive").alias("cases"), F.sum("hard").alias("controls"))
+    w = W.partitionBy()
+    return g.withColumn("imbalance", F.col("cases") / F.sum("cases").over(w) - F.col("controls") / F.sum("controls").over(w))
+
+
+@query("e32_confusion", f"""{with_('sc')}, c AS (SELECT key % 3 AS fold, count(*) FILTER (s1 >= 0.5 AND positive = 1)::DOUBLE AS tp, count(*) FILTER (s1 >= 0.5 AND positive = 0)::DOUBLE AS fp, count(*) FILTER (s1 < 0.5 AND positive = 1)::DOUBLE AS fn, count(*) FILTER (s1 < 0.5 AND positive = 0)::DOUBLE AS tn FROM sc GROUP BY 1)
+ SELECT {i('fold')}, {d('(tp / (tp + fn) + tn / (tn + fp)) / 2', 'balanced_accuracy')}, {d('(tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))', 'mcc')} FROM c""")
+def e32(spark, sf):
+    hit, pos = F.col("s1") >= 0.5, F.col("positive") == 1
+    c = t.demo_scores(spark, sf).groupBy((F.col("key") % 3).alias("fold")).agg(*(F.count_if(x).cast("double").alias(n) for n, x in (("tp", hit & pos), ("fp", hit & ~pos), ("fn", ~hit & pos), ("tn", ~hit & ~pos))))
+    tp, fp, fn, tn = (F.col(n) for n in ("tp", "fp", "fn", "tn"))
+    return c.select("fold", ((tp / (tp + fn) + tn / (tn + fp)) / 2).alias("balanced_accuracy"), ((tp * tn - fp * fn) / F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))).alias("mcc"))
+
+
+GRID = """g AS (SELECT r_name AS dataset, m.method FROM region, (SELECT DISTINCT event_type AS method FROM events UNION ALL SELECT 'never') m),
+ runs AS (SELECT r_name AS dataset, event_type AS method, CASE WHEN value > 1 THEN 'SUCCESS' ELSE 'FAILED' END AS status FROM events JOIN region ON user_id % 5 = r_regionkey WHERE event_id % 97 = 0)"""
+
+
+@query("e34_e35_status_grid", f"""WITH {GRID} SELECT g.dataset, g.method, {i('count(status)', 'n')}, CASE count(status) WHEN 0 THEN 'NOT_RUN' WHEN 1 THEN CASE WHEN min(status) = 'SUCCESS' THEN 'SUCCESS' ELSE 'FAILED' END ELSE 'INCOMPLETE' END AS status FROM g LEFT JOIN runs ON g.dataset = runs.dataset AND g.method = runs.method GROUP BY 1, 2""")
+def e34(spark, sf):
+    region, e = t.table(spark, sf, "region"), t.table(spark, sf, "events")
+    methods = e.select(F.col("event_type").alias("method")).distinct().union(spark.createDataFrame([("never",)], "method string"))
+    runs = e.filter("event_id % 97 = 0").join(F.broadcast(region), F.col("user_id") % 5 == F.col("r_regionkey")).select(F.col("r_name").alias("dataset"), F.col("event_type").alias("method"), F.when(F.col("value") > 1, "SUCCESS").otherwise("FAILED").alias("status"))
+    return audits.status_grid([region.select(F.col("r_name").alias("dataset")), methods], runs, ["dataset", "method"], "status")
+
+
+@query("e33_runtime_completeness", f"""WITH m AS (SELECT unnest(['click', 'view', 'purchase', 'solo']) AS method), s AS (SELECT event_type AS method, count(*) AS n, max(CASE WHEN value > 1 THEN 2 ELSE 1 END) AS p FROM events GROUP BY 1)
+ SELECT m.method, {i('coalesce(n, 0)', 'n')}, CASE coalesce(p, 0) WHEN 2 THEN 'SUCCESS' WHEN 1 THEN 'FAILED' ELSE 'OMITTED' END AS status, CASE WHEN p IS NULL THEN 'no runtime row' ELSE '' END AS reason FROM m LEFT JOIN s USING (method)""")
+def e33(spark, sf):
+    m = spark.createDataFrame([(x,) for x in ("click", "view", "purchase", "solo")], "method string")
+    s = t.table(spark, sf, "events").groupBy(F.col("event_type").alias("method")).agg(F.count("*").alias("n"), F.max(F.when(F.col("value") > 1, 2).otherwise(1)).alias("p"))
+    j = m.join(s, "method", "left")
+    return j.select("method", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("p") == 2, "SUCCESS").when(F.col("p") == 1, "FAILED").otherwise("OMITTED").alias("status"), F.when(F.col("p").isNull(), "no runtime row").otherwise("").alias("reason"))
+
+
+PAIRS = "pr AS (SELECT CAST(l_partkey AS VARCHAR) AS a, CAST(l_suppkey AS VARCHAR) AS b, l_returnflag AS s, least(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS x, greatest(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS y FROM lineitem)"
+
+
+@query("e36_pair_duplicates", f"""WITH {PAIRS}, c AS (SELECT count(*) AS n, count(DISTINCT a) AS ways, count(DISTINCT s) AS splits FROM pr GROUP BY x, y), e AS (SELECT count(*) AS n FROM pr GROUP BY a, b), p AS (SELECT count(DISTINCT s) AS n FROM (SELECT a, s FROM pr UNION ALL SELECT b, s FROM pr) GROUP BY a)
+ SELECT {i('sum(n - 1)', 'canonical_repeats')}, {i('count(*) FILTER (ways > 1)', 'reversed_pairs')}, {i('count(*) FILTER (splits > 1)', 'pairs_across')}, {i('sum(n)', 'pairs')}, {i('(SELECT sum(n - 1) FROM e)', 'exact_repeats')}, {i('(SELECT count(*) FILTER (n > 1) FROM p)', 'parents_across')} FROM c""")
+def e36(spark, sf):
+    return audits.pair_duplicates(t.table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag"), "l_partkey", "l_suppkey", "l_returnflag")
+
+
+@query("e37_duplicate_profiles", f"""WITH k AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS gene FROM documents), c AS (SELECT CAST(doc_id AS VARCHAR) AS cell, gene, count(*) AS n FROM k GROUP BY 1, 2),
+ p AS (SELECT cell, sha256(string_agg(gene || ':' || n, ',' ORDER BY gene)) AS profile FROM c GROUP BY 1) SELECT profile, {i('count(*)', 'cells')}, min(cell) AS first_cell FROM p GROUP BY 1 HAVING count(*) > 1""")
+def e37(spark, sf):
+    return audits.duplicate_profiles(t.token_counts(spark, sf))
+
+
+@query("e38_largest_difference", f"""{with_('sc')} SELECT m AS "column", {d('max(g)', 'largest')}, {d('avg(g)', 'mean')}, {i('count(*) FILTER (g >= 1e-6)', 'beyond')}, 0::BIGINT AS unmatched FROM (SELECT 's1' AS m, abs(s1 - s2) AS g FROM sc UNION ALL SELECT 's2', abs(s2 - s3) FROM sc) GROUP BY 1""")
+def e38(spark, sf):
+    s = t.demo_scores(spark, sf)
+    return audits.largest_difference(s.select("cell", "s1", "s2"), s.select("cell", F.col("s2").alias("s1"), F.col("s3").alias("s2")), "cell", ["s1", "s2"])
+
+
+@query("e39_equal_columns", "SELECT 's1' AS a, 'copy' AS b, true AS equal UNION ALL SELECT 's1', 's2', false UNION ALL SELECT 'copy', 's2', false")
+def e39(spark, sf):
+    return audits.equal_columns(t.demo_scores(spark, sf).withColumn("copy", F.col("s1")), ["s1", "copy", "s2"])
+
+
+@query("e40_probability_contract", f"{with_('sc')} SELECT {i('count(*)', 'rows')}, 0::BIGINT AS not_finite, {i('count(*) FILTER (s1 / 2 > 1.000001)', 'out_of_bounds')}, {i('count(*) FILTER (abs(s1 / 2 + s2 / 2 - 1) > 1e-6)', 'bad_sum')} FROM sc")
+def e40(spark, sf):
+    return audits.probability_contract(t.demo_scores(spark, sf).select((F.col("s1") / 2).alias("a"), (F.col("s2") / 2).alias("b")), ["a", "b"])
+
+
+@query("e41_direction_consistency", f"{with_('sc')}, m AS (SELECT cluster, avg(s1) FILTER (positive = 1) - avg(s1) FILTER (positive = 0) AS g FROM sc GROUP BY 1) SELECT {i('count(*) FILTER (g > 0)', 'up')}, {i('count(*) FILTER (g < 0)', 'down')}, {d('greatest(count(*) FILTER (g > 0), count(*) FILTER (g < 0)) / count(*)', 'consistency')} FROM m")
+def e41(spark, sf):
+    p = F.col("positive")
+    g = t.demo_scores(spark, sf).groupBy("cluster").agg((F.avg(F.when(p == 1, F.col("s1"))) - F.avg(F.when(p == 0, F.col("s1")))).alias("g"))
+    out = g.agg(F.count_if(F.expr("g > 0")).alias("up"), F.count_if(F.expr("g < 0")).alias("down"), F.count("*").alias("n"))
+    return out.select("up", "down", (F.greatest("up", "down") / F.col("n")).alias("consistency"))
+
+
+@query("e42_status_tally", f"SELECT o_orderstatus AS status, {i('count(*)', 'n')} FROM orders GROUP BY 1")
+def e42(spark, sf):
+    return t.table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("l1_split_contract", f"""WITH k AS (SELECT l_partkey, count(DISTINCT l_returnflag) AS k FROM lineitem GROUP BY 1) SELECT l_returnflag AS split, {i('count(*)', 'rows')}, {i('count(DISTINCT l_partkey)', 'ids')}, {i('count(DISTINCT l_partkey) FILTER (k > 1)', 'shared')} FROM lineitem JOIN k USING (l_partkey) GROUP BY 1""")
+def l1(spark, sf):
+    return audits.split_contract(t.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("split")), "id", "split")
+
+
+@query("l8_fingerprints", f"""{with_('cells')} SELECT cluster, {i('count(*)', 'n')}, sha256(string_agg(cell, chr(10) ORDER BY cell)) AS fingerprint FROM cells GROUP BY 1""")
+def l8(spark, sf):
+    return audits.id_fingerprint(t.customer_cells(spark, sf), "cell", ["cluster"])
+
+
+@query("b6_last_ledger_row", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def b6(spark, sf):
+    return audits.last_terminal(t.table(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query("o1_one_to_one_check", f"{with_('cells')}, a AS (SELECT cluster, library, count(*) AS n FROM cells GROUP BY 1, 2) SELECT {i('count(*)', 'matched')}, {d('max(abs(a.n - b.n))', 'largest')} FROM a JOIN a b USING (cluster, library)")
+def o1(spark, sf):
+    a = t.customer_cells(spark, sf).groupBy("cluster", "library").agg(F.count("*").alias("n"))
+    return a.join(a.withColumnRenamed("n", "m"), ["cluster", "library"]).agg(F.count("*").alias("matched"), F.max(F.abs(F.col("n") - F.col("m")).cast("double")).alias("largest"))
+
+
+@query("o11_replication", f"{with_('sc')} SELECT CASE WHEN k = 0 THEN cell ELSE cell || '__train_aug' || k END AS cell, label FROM sc, (SELECT unnest([0, 1, 2]) AS k) WHERE k = 0 OR positive = 1")
+def o11(spark, sf):
+    s = t.demo_scores(spark, sf)
+    copies = s.withColumn("k", F.explode(F.when(F.col("positive") == 1, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))))
+    return copies.select(F.when(F.col("k") == 0, F.col("cell")).otherwise(F.concat("cell", F.lit("__train_aug"), F.col("k").cast("string"))).alias("cell"), "label")
+
+
+@query("o12_training_summary", f"{with_('sc')} SELECT label, {i('count(*)', 'n')}, {d('count(*) / sum(count(*)) OVER ()', 'prevalence')} FROM sc GROUP BY 1")
+def o12(spark, sf):
+    n = t.demo_scores(spark, sf).groupBy("label").agg(F.count("*").alias("n"))
+    return n.withColumn("prevalence", F.col("n") / F.sum("n").over(W.partitionBy()))
+
+
+@query("o13_log_loss", f"{with_('sc')} SELECT {d('-avg(ln(least(greatest(CASE WHEN positive = 1 THEN s1 ELSE 1 - s1 END, 1e-15), 1 - 1e-15)))', 'log_loss')} FROM sc")
+def o13(spark, sf):
+    p = F.when(F.col("positive") == 1, F.col("s1")).otherwise(1 - F.col("s1"))
+    return t.demo_scores(spark, sf).agg((-F.avg(F.log(F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))))).alias("log_loss"))
+
+
+@query("o36_audit_roll_up", f"{with_('sc')} SELECT cluster, {d('greatest(auroc, 1 - auroc)', 'separability')}, CASE WHEN greatest(auroc, 1 - auroc) <= 0.55 THEN 'little' WHEN greatest(auroc, 1 - auroc) <= 0.65 THEN 'weak' WHEN greatest(auroc, 1 - auroc) <= 0.75 THEN 'moderate' ELSE 'substantial' END AS category FROM {auroc_sql('s1', 'positive', 'sc', 'cluster')}")
+def o36(spark, sf):
+    from countloom.functions.scalars import separation
+
+    a = metrics.auroc(t.demo_scores(spark, sf), "s1", "positive", ["cluster"]).withColumn("separability", F.greatest(F.col("auroc"), 1 - F.col("auroc")))
+    return a.select("cluster", "separability", separation(F.col("separability")).alias("category"))
+
+
+@query("o41_group_key", "SELECT event_id, coalesce(NULLIF(event_type, 'view'), '__all__') AS library FROM events")
+def o41(spark, sf):
+    return t.table(spark, sf, "events").select("event_id", F.coalesce(F.nullif("event_type", F.lit("view")), F.lit("__all__")).alias("library"))

@@ -297,6 +297,26 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, hashes binary, sketch binary")
 
 
+def screened(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """Pairs whose bit sketches are no farther apart than linked sets may be: most others go before any set travels."""
+    num, den = bands.num, bands.den
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            a, b, n, m = (np.asarray(batch.column(i)) for i in range(4))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(a), -1) for i in (4, 5))
+            far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            small, large = np.minimum(n, m), np.maximum(n, m)
+            near = (far <= small * (den - num) // num) & (large * num <= small * den)
+            yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], ["a", "b"])
+
+    side = lambda p: sets.select(F.col("id").alias(p), F.col("n").alias(f"n_{p}"), F.col("sketch").alias(f"sketch_{p}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     """Pairs (a, b) whose sets are similar enough, counted exactly.  b's set travels to the rows of a, which holds its own once."""
     num, den = bands.num, bands.den
@@ -392,7 +412,7 @@ def similarity_classes(docs: DataFrame, k: int, num: int, den: int, id_column: s
     wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(hot.select("id")).distinct(), "wanted")
     once = in_bitmap(spark, source, wanted).join(wanted, "id", "left_semi")
     sets = stored(shingle_sets(once.select("id", "text").dropDuplicates(["id"]), k), "shingles")
-    links = stored(verified(pairs, sets, bands), "links")
+    links = stored(verified(stored(screened(pairs, sets, bands), "screened"), sets, bands), "links")
     linked = components(links)
     if not hot.isEmpty():
         linked = stored(linked, "linked")

@@ -1 +1,153 @@
-"""Queries of sampling, neighbours and models."""
+"""Queries of sampling, matching, components, models and the detector."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from countloom.operators import matching, matrix, sampling
+from countloom.plans.registry import d, i, query, with_
+from countloom.sources import tables as t
+
+SPLIT = """sp AS (SELECT cell, cluster, CASE WHEN r <= round(n * 0.2) THEN 'test' WHEN r <= round(n * 0.2) + round(n * 0.1) THEN 'validation' ELSE 'train' END AS split
+ FROM (SELECT cell, cluster, row_number() OVER (PARTITION BY cluster ORDER BY sha256('7:split:' || cell)) AS r, count(*) OVER (PARTITION BY cluster) AS n FROM cells))"""
+
+
+def pairs_sql(mixed: bool) -> str:
+    key = "split" if mixed else "split, cluster"
+    keep = " AND x.cluster <> y.cluster" if mixed else ""
+    on = "x.split = y.split" + ("" if mixed else " AND x.cluster = y.cluster")
+    return f"""fa AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY sha256('7:first:' || cell)) AS i FROM sp), fb AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY sha256('7:second:' || cell)) AS i FROM sp),
+ jn AS (SELECT x.split, x.cell AS parent_1, y.cell AS parent_2, least(x.cell, y.cell) AS cx, greatest(x.cell, y.cell) AS cy FROM fa x JOIN fb y ON {on} AND x.i = y.i WHERE x.cell <> y.cell{keep}),
+ od AS (SELECT *, row_number() OVER (PARTITION BY split, cx, cy ORDER BY parent_1) AS dd FROM jn),
+ sl AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY sha256('7:slot:' || cx || '|' || cy)) AS s FROM od WHERE dd = 1),
+ pl AS (SELECT 'pair_' || split || '_' || lpad(CAST(s AS VARCHAR), 5, '0') AS synthetic, split, '{'heterotypic' if mixed else 'homotypic'}' AS subtype, parent_1, parent_2 FROM sl WHERE s <= 100)"""
+
+
+def split(spark, sf):
+    return sampling.stratified_split(t.customer_cells(spark, sf).select("cell", "cluster"), 7, 0.2, 0.1)
+
+
+@query("i1_hash_choice", f"{with_('cells')} SELECT cell FROM (SELECT cell, row_number() OVER (ORDER BY sha256('3:subset:' || cell)) AS r FROM cells) WHERE r <= 100")
+def i1(spark, sf):
+    return sampling.hash_subset(t.customer_cells(spark, sf).select("cell"), "cell", 100, 3)
+
+
+@query("i2_stratified_split", f"{with_('cells')}, {SPLIT} SELECT * FROM sp")
+def i2(spark, sf):
+    return split(spark, sf)
+
+
+@query("i3_homotypic_pairs", f"{with_('cells')}, {SPLIT}, {pairs_sql(False)} SELECT * FROM pl")
+def i3(spark, sf):
+    return sampling.pair_plan(split(spark, sf), 100, 7, False)
+
+
+@query("d14_heterotypic_pairs", f"{with_('cells')}, {SPLIT}, {pairs_sql(True)} SELECT * FROM pl")
+def d14(spark, sf):
+    return sampling.pair_plan(split(spark, sf), 100, 7, True)
+
+
+@query("d15_parent_sums", f"{with_('cm1', 'cells')}, {SPLIT}, {pairs_sql(True)} SELECT synthetic, gene, {d('sum(count)', 'count')} FROM (SELECT synthetic, parent_1 AS cell FROM pl UNION ALL SELECT synthetic, parent_2 FROM pl) JOIN cm1 USING (cell) GROUP BY 1, 2")
+def d15(spark, sf):
+    return sampling.parent_sums(sampling.pair_plan(split(spark, sf), 100, 7, True), t.purchase_counts(spark, sf))
+
+
+@query("i5_binomial_thinning")
+def i5(spark, sf):
+    return sampling.thinned(t.purchase_counts(spark, sf))
+
+
+@query("i6_downsample")
+def i6(spark, sf):
+    counts = t.purchase_counts(spark, sf)
+    targets = matrix.cell_totals(counts).select("cell", F.floor(F.col("n_count") * 0.8).alias("target"))
+    return sampling.downsampled(counts, targets)
+
+
+@query("i7_permuted_labels", f"""{with_('sc')}, a AS (SELECT cell, label, row_number() OVER (ORDER BY sha256('5:rows:' || cell)) AS i FROM sc), b AS (SELECT label AS permuted, row_number() OVER (ORDER BY sha256('5:labels:' || cell)) AS i FROM sc) SELECT cell, label, permuted FROM a JOIN b USING (i)""")
+def i7(spark, sf):
+    return sampling.permuted(t.demo_scores(spark, sf).select("cell", "label"), "cell", "label", 5)
+
+
+@query("d18_greedy_match")
+def d18(spark, sf):
+    s = t.demo_scores(spark, sf).withColumn("x", F.col("s2"))
+    return matching.greedy_match(s.filter("positive = 1"), s.filter("hard = 1"))
+
+
+@query("d19_stratified_match", f"""{with_('sc')}, b AS (SELECT cell, cluster, positive, hard, CAST(floor(s1 * 4.999) AS BIGINT) AS b FROM sc), x AS (SELECT *, row_number() OVER (PARTITION BY cluster, b ORDER BY cell) AS i FROM b WHERE positive = 1), y AS (SELECT *, row_number() OVER (PARTITION BY cluster, b ORDER BY cell) AS i FROM b WHERE hard = 1)
+ SELECT x.cluster, x.b, x.cell, y.cell AS control FROM x JOIN y ON x.cluster = y.cluster AND x.b = y.b AND x.i = y.i""")
+def d19(spark, sf):
+    s = t.demo_scores(spark, sf).withColumn("b", F.floor(F.col("s1") * 4.999))
+    return matching.stratified_match(s.filter("positive = 1"), s.filter("hard = 1"), ["cluster", "b"])
+
+
+EDGES = "ed AS (SELECT c_custkey AS a, (c_custkey * 31) % (SELECT count(*) FROM customer) AS b FROM customer WHERE c_custkey % 3 = 0)"
+
+
+@query("d21_components", f"""WITH RECURSIVE {EDGES}, e2 AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), r AS (SELECT a AS node, a AS seen FROM e2 UNION SELECT r.node, e2.b FROM r JOIN e2 ON r.seen = e2.a) SELECT node, min(seen) AS component FROM r GROUP BY 1""")
+def d21(spark, sf):
+    from countloom.plans.storage import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    c = t.table(spark, sf, "customer")
+    n = c.count()
+    edges = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 31 % n).alias("b"))
+    return matching.connected_components(edges)
+
+
+@query("k1_source_groups", "SELECT feature, source FROM (VALUES ('duo', 'dosage'), ('duo', 'identity'), ('dosage', 'count_z'), ('identity', 'distance'), ('duo', 'count_z'), ('duo', 'distance')) v(feature, source)")
+def k1(spark, sf):
+    from countloom.operators.governance import source_groups
+
+    return source_groups(spark.createDataFrame([("duo", "dosage"), ("duo", "identity"), ("dosage", "count_z"), ("identity", "distance")], "feature string, needs string"))
+
+
+@query("o10_id_split", f"{with_('cells')}, {SPLIT} SELECT split, {i('count(*)', 'n')} FROM sp GROUP BY 1")
+def o10(spark, sf):
+    return split(spark, sf).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("o18_pair_plan_contract", f"{with_('cells')}, {SPLIT}, {pairs_sql(True)} SELECT split, {i('count(*)', 'pairs')}, {i('count(DISTINCT synthetic)', 'ids')}, {i('count(DISTINCT least(parent_1, parent_2) || chr(124) || greatest(parent_1, parent_2))', 'canonical')} FROM pl GROUP BY 1")
+def o18(spark, sf):
+    p = sampling.pair_plan(split(spark, sf), 100, 7, True)
+    return p.groupBy("split").agg(F.count("*").alias("pairs"), F.count_distinct("synthetic").alias("ids"), F.count_distinct(F.concat(F.least("parent_1", "parent_2"), F.lit("|"), F.greatest("parent_1", "parent_2"))).alias("canonical"))
+
+
+@query("o34_group_folds", f"{with_('sc')} SELECT {i('key % 50', 'block')}, {i('row_number() OVER (ORDER BY sha256(concat(9, chr(58), chr(102), chr(58), key % 50))) % 3', 'fold')} FROM sc GROUP BY key % 50")
+def o34(spark, sf):
+    from countloom.functions.scalars import draw
+
+    blocks = t.demo_scores(spark, sf).select((F.col("key") % 50).alias("block")).distinct()
+    return blocks.withColumn("fold", F.row_number().over(W.orderBy(draw(9, "f", F.col("block")))) % 3)
+
+
+@query("j1_frozen_projection")
+def j1(spark, sf):
+    """Uncentred decomposition of log-normalised purchases and the projection of every customer."""
+    from countloom.operators.reference import project, uncentred_svd
+
+    values = matrix.log_normalised(t.purchase_counts(spark, sf))
+    names = [r["gene"] for r in values.select("gene").distinct().orderBy("gene").collect()]
+    genes = spark.createDataFrame([(g, p) for p, g in enumerate(names)], "gene string, place long")
+    loadings = uncentred_svd(values, genes, 4)
+    frame = spark.createDataFrame(list(zip(names, loadings.tolist())), "gene string, b array<double>")
+    out = project(values, frame, 4)
+    return out.select("cell", *(F.col("vector")[c].alias(f"pc{c + 1}") for c in range(4)))
+
+
+@query("j8_j10_detector")
+def detector(spark, sf):
+    """Documents by tokens: reference, synthetic pairs, calibrated forest and calls at the expected rate."""
+    from countloom.plans.detector import Detector
+
+    return Detector(preset="fast", components=10, clusters=4).fit_predict(t.token_counts(spark, sf))
+
+
+@query("streaming_ledger_batch", f"SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, {i('count(*)', 'n')}, {d('avg(value)', 'mean')}, {d('max(value)', 'most')} FROM events GROUP BY 1, 2")
+def ledger(spark, sf):
+    """The windowed ledger over the whole table; the same function runs on a stream."""
+    from countloom.streaming.scoring import windowed_ledger
+
+    return windowed_ledger(t.table(spark, sf, "events"))

@@ -191,13 +191,31 @@ def shingle_hashes(words: np.ndarray, doc: np.ndarray, n_docs: int, k: int):
     return hashes, bounds
 
 
+def slices(batches, place: int, most: int = 4 << 20):
+    """The batches cut so that the texts of a piece hold about `most` bytes; a longer text is a piece of its own."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(place)), 0)).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def text_buffer(column):
     """(bytes, offsets) of an Arrow string column without nulls."""
     import pyarrow as pa
 
+    if len(column) == 0:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     column = column.cast(pa.large_string())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    if len(at) == 0 or data is None:
+    if at[0] == at[-1]:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]

@@ -299,7 +299,8 @@ def near_duplicates(embeddings: DataFrame, least: float, id_column: str, vector_
     """Per row: id, n_links (other vectors of its label with cosine least or more), component_id, kept.
 
     Null labels and null, empty, zero or non-finite vectors link with nothing; vectors of different dimension do not
-    link.  Rows that repeat id and vector count once; rows that share an id share its links and component.
+    link.  Rows that repeat id and vector count once; rows that share an id share its links and component;
+    rows without an id link with nothing.
     """
     spark = embeddings.sparkSession
     labelled = embeddings.filter(F.col(label_column).isNotNull())
@@ -331,7 +332,7 @@ def near_duplicates(embeddings: DataFrame, least: float, id_column: str, vector_
     united = components(found.select("a", "b")).withColumnRenamed("node", "id")
     out = embeddings.select(F.col(id_column).cast("long").alias("id")).join(counts, "id", "left").join(united, "id", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return out.select(F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def usable_with_label(rows: DataFrame, id_column: str, vector_column: str, label_column: str) -> DataFrame:

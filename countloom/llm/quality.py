@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm.common import as_text, batch_words, table, text_buffer, tune, worker_cache
+from countloom.llm.common import as_text, batch_words, mix64, slices, table, text_buffer, tune, worker_cache
 
 #: Documents that train the scorer, at most: those of the smallest hash of the id.  All documents count in the EM.
 TRAINING = 8000
@@ -15,7 +15,7 @@ DIMENSIONS = 1 << 16
 LEAST = 0.5
 GOOD, BAD, NONE = 1, 0, 2
 
-_STATS = 8
+_STATS = 9
 
 
 def document_stats(data: np.ndarray, offsets: np.ndarray):
@@ -47,6 +47,12 @@ def document_stats(data: np.ndarray, offsets: np.ndarray):
     order = np.lexsort((words, doc))
     new = np.ones(len(words), bool)
     new[1:] = (words[order][1:] != words[order][:-1]) | (doc[order][1:] != doc[order][:-1])
+    pairs = mix64(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
+    of = doc[:-1][doc[1:] == doc[:-1]]
+    pairs = pairs[doc[1:] == doc[:-1]]
+    order2 = np.lexsort((pairs, of))
+    fresh = np.ones(len(pairs), bool)
+    fresh[1:] = (pairs[order2][1:] != pairs[order2][:-1]) | (of[order2][1:] != of[order2][:-1])
     letters = per_doc(kinds & 3 > 0)
     stats = np.stack([
         by_doc(same) / some,
@@ -57,6 +63,7 @@ def document_stats(data: np.ndarray, offsets: np.ndarray):
         per_doc(kinds == 16) / some,
         np.bincount(doc, weights=length, minlength=n_docs) / some,
         per_doc(kinds == 8) / np.maximum(np.diff(offsets), 1),
+        np.bincount(of[order2][fresh], minlength=n_docs) / np.maximum(n - 1, 1),
     ], axis=1)
     return n, stats, words, doc
 
@@ -71,7 +78,7 @@ def votes(n: np.ndarray, stats: np.ndarray) -> np.ndarray:
         out[value <= bad if low else value >= bad] = BAD
         return out
 
-    repeat, symbols, upper, short, distinct, ends, length, digits = stats.T
+    repeat, symbols, upper, short, distinct, ends, length, digits, pairs = stats.T
     long = n >= 20
     said = np.stack([
         between(repeat, 0.15, 0.05),
@@ -82,6 +89,7 @@ def votes(n: np.ndarray, stats: np.ndarray) -> np.ndarray:
         np.where(long, between(ends, 0.005, 0.03), NONE),
         np.where(long, between(np.abs(length - 5.5), 6.0, 3.5), NONE),
         np.where(long, between(digits, 0.3, 0.1), NONE),
+        np.where(long, between(pairs, 0.6, 0.8), NONE),
     ], axis=1)
     said[n == 0] = BAD
     return said
@@ -102,8 +110,9 @@ def expectation_maximisation(counts: dict[int, int], labellers: int = _STATS, ro
     said = patterns[:, None] // 3 ** np.arange(labellers) % 3
     prior = 0.8
     chances = np.empty((2, labellers, 3))
-    chances[1] = [0.15, 0.85, 1.0]
-    chances[0] = [0.5, 0.5, 1.0]
+    # junk is of several kinds, so a labeller objects to a part of it only, and hardly ever to a good document
+    chances[1] = [0.005, 0.995, 1.0]
+    chances[0] = [0.25, 0.75, 1.0]
     post = np.full(len(patterns), prior)
     columns = np.arange(labellers)
     for _ in range(rounds):
@@ -119,14 +128,14 @@ def expectation_maximisation(counts: dict[int, int], labellers: int = _STATS, ro
         prior = np.clip((good.sum() + 8) / (weight.sum() + 10), 1e-3, 1 - 1e-3)
         for vote in (GOOD, BAD):
             hit, spoke = said == vote, said != NONE
-            chances[1, :, vote] = (good @ hit + (2, 8)[vote]) / (good @ spoke + 10)
-            chances[0, :, vote] = (bad @ hit + (6, 4)[vote]) / (bad @ spoke + 10)
+            chances[1, :, vote] = (good @ hit + (0.05, 9.95)[vote]) / (good @ spoke + 10)
+            chances[0, :, vote] = (bad @ hit + (2.5, 7.5)[vote]) / (bad @ spoke + 10)
     return dict(zip(patterns.tolist(), post.tolist())), float(prior), chances
 
 
 def shape_features(stats: np.ndarray) -> np.ndarray:
     """Hashed places of a document's statistics, each cut into a few ranges."""
-    steps = np.array([20, 8, 12, 12, 10, 40, 1, 12])
+    steps = np.array([20, 8, 12, 12, 10, 40, 1, 12, 10])
     cells = np.minimum((stats * steps).astype(np.int64), 15)
     return (cells + 16 * np.arange(stats.shape[1])) * 40503 % 4093 + (DIMENSIONS - 4096)
 
@@ -175,7 +184,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id") -> tuple[Scorer, dict[int, f
         import pyarrow as pa
 
         counts: dict[int, int] = {}
-        for batch in batches:
+        for batch in slices(batches, 0):
             n, stats, _, _ = document_stats(*text_buffer(batch.column(0)))
             for p, c in zip(*np.unique(pattern_of(votes(n, stats)), return_counts=True)):
                 counts[int(p)] = counts.get(int(p), 0) + int(c)
@@ -190,7 +199,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id") -> tuple[Scorer, dict[int, f
     def features(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 0):
             n, stats, words, doc = document_stats(*text_buffer(batch.column(0)))
             place = (words % np.uint64(DIMENSIONS - 4096)).astype(np.int32)
             cuts = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(n)))])
@@ -215,7 +224,7 @@ def score_documents(docs: DataFrame, scorer: Scorer, posterior: dict[int, float]
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             n, stats, words, doc = document_stats(*text_buffer(batch.column(1)))
             score = scorer(n, stats, words, doc)
             weak = [posterior.get(p, 0.5) for p in pattern_of(votes(n, stats)).tolist()]
@@ -233,7 +242,7 @@ def kept_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, place):
             column = batch.column(place)
             filled = column.fill_null("") if column.null_count else column
             yield batch.filter(pa.array(scorer(*document_stats(*text_buffer(filled))) >= LEAST))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm.common import _byte_tables, _inverse_powers, _powers, as_text, mix64, stored, table, text_buffer, tune, worker_cache
+from countloom.llm.common import _byte_tables, _inverse_powers, _powers, as_text, mix64, slices, stored, table, text_buffer, tune, worker_cache
 from countloom.llm.jaccard import in_bitmap
 
 #: Bytes of an anchor.  Every window of `length` bytes has one: the k-gram in it of the smallest hash, the leftmost of several.
@@ -16,7 +16,7 @@ GRAM = 128
 #: Members of one anchor that are sorted in one task at most; the windows of larger ones are counted by their hashes.
 GROUP = 20_000
 FILTER_BITS = 26
-PLACE = np.uint64((1 << 24) - 1)
+PLACE = np.uint64((1 << 28) - 1)
 
 
 def gram_hashes(data: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
@@ -183,7 +183,7 @@ def anchor_counts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 0):
             data, offsets = text_buffer(batch.column(0))
             _, hashes, _, _, _ = anchors(data, offsets, length, gram)
             value, count = np.unique(hashes, return_counts=True)
@@ -211,7 +211,7 @@ def contexts(docs: DataFrame, length: int, gram: int, filter_, hot) -> DataFrame
         import pyarrow as pa
 
         bits, hot_keys = filter_.value, hot.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             data, offsets = text_buffer(batch.column(1))
             ids = np.asarray(batch.column(0))
             at, hashes, first, last, doc = anchors(data, offsets, length, gram)
@@ -337,11 +337,12 @@ def cut_documents(docs: DataFrame, length: int = 400, id_column: str = "doc_id")
     """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (bytes left, in order).
 
     Removed is every byte that a `length`-byte string covers which also starts anywhere else, in the same text or another.
-    Texts are UTF-8; null and empty texts have no bytes; repeated rows are repeats of each other.
+    Texts are UTF-8; null and empty texts have no bytes; repeated rows are repeats of each other;
+    rows without an id stay whole and are no repeats.  Rows that share an id must share their text.
     """
     spark = docs.sparkSession
     source = as_text(docs.select(F.col(id_column).cast("long").alias("id"), "text"))
-    found = stored(repeated_intervals(source.filter(F.octet_length("text") >= length), length), "intervals")
+    found = stored(repeated_intervals(source.filter((F.octet_length("text") >= length) & F.col("id").isNotNull()), length), "intervals")
     per = stored(found.groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("intervals")), "spans")
 
     def run(batches):

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm.common import as_text, stored, table, text_buffer, tune, worker_cache
+from countloom.llm.common import as_text, slices, stored, table, text_buffer, tune, worker_cache
 
 #: Labelled documents of each class that train the model, at most about; words that do, at most.
 TRAINING, TOXIC_WORDS, CLEAN_WORDS, LANDMARKS = 8000, 600, 12000, 160
@@ -241,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Model:
     def scored(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             best = machine.best(*text_buffer(batch.column(1)))
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(0)), *(pa.array(b) for b in best.T)], ["toxic", *(f"b{i}" for i in range(BEST))])
 
@@ -287,7 +287,7 @@ def score_documents(docs: DataFrame, model: Model, id_column: str = "doc_id") ->
         import pyarrow as pa
 
         model = Model(*shared.value)
-        for batch in batches:
+        for batch in slices(batches, 1):
             score = model.score(model.best(*text_buffer(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["id", "score"])
 

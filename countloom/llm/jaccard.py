@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm.common import as_text, batch_words, mix64, shingle_hashes, stored, table, text_buffer, tune
+from countloom.llm.common import as_text, batch_words, mix64, shingle_hashes, slices, stored, table, text_buffer, tune
 from countloom.llm.components import components
 
 #: Buckets of up to ALL members are compared pair by pair; larger ones by stars first, then sketches.
 ALL, TILE = 32, 2048
-BAND, SPARE = 1.25, 0.15
+BAND, SPARE = 1.4, 0.15
 BITS = 1024
 
 
@@ -143,7 +143,7 @@ def set_classes(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             hashes, bounds, ids = _sets(batch, k)
             a, b = _prints(hashes, bounds)
             columns = (ids, np.diff(bounds), a.view(np.int64), b.view(np.int64))
@@ -157,30 +157,49 @@ def set_classes(docs: DataFrame, k: int) -> DataFrame:
     return joined.select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).alias("rep"))
 
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of numbers, plane by plane, as high planes are nearly all zero and compress away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize)[:, :width].T).tobytes()
+
+
+def _numbers(blob: bytes, kind, width: int) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(kind).ravel()
+
+
+#: Bytes of a key that travel: with the part that it belongs to they tell enough keys apart, and every candidate is verified.
+KEY_BYTES = 5
+
+
 def _packed(parts: int, pending: list):
-    """Entries (key, id, size, print) of a task dealt to parts by key, as one row of arrays a part."""
+    """Entries (key, id, size, print) of a task dealt to parts by key, as one row of arrays a part; a document's id stands once a part."""
     import pyarrow as pa
 
     key, doc, size, tag = (np.concatenate(x) for x in zip(*pending))
     part = (key % np.uint64(parts)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    cuts = np.flatnonzero(np.diff(part)) + 1
-    pieces = [np.split(x[order], cuts) for x in (key, doc, size, tag)]
-    blobs = [pa.array([np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in piece], pa.binary()) for piece in pieces]
-    heads = pa.array(part[np.concatenate([[0], cuts]).astype(np.int64)] if len(part) else part, pa.int32())
-    return pa.RecordBatch.from_arrays([heads, *blobs], ["part", "keys", "ids", "sizes", "tags"])
-
-
-def _unpacked(blob: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(width, -1).T).view(kind).ravel()
+    key = key // np.uint64(parts)
+    order = np.lexsort((tag, doc, part))
+    key, doc, size, tag, part = key[order], doc[order], size[order], tag[order], part[order]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+    columns: list[list] = [[], [], [], [], [], []]
+    for a, b in zip(cuts, cuts[1:]):
+        if a == b:
+            continue
+        d, t = doc[a:b], tag[a:b]
+        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
+        counts = np.diff(np.append(first, b - a)).astype(np.uint32)
+        values = (int(part[a]), _planes(key[a:b], KEY_BYTES), _planes(d[first], 8), _planes(size[a:b][first], 4), _planes(t[first], 4), _planes(counts, 4))
+        for column, value in zip(columns, values):
+            column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "keys", "ids", "sizes", "tags", "counts"])
 
 
 def sketch_entries(docs: DataFrame, k: int, bands: Bands, parts: int) -> DataFrame:
     def run(batches):
         pending, held, seen = [], 0, set()
-        for batch in batches:
+        for batch in slices(batches, 1):
             hashes, bounds, ids = _sets(batch, k)
             if not len(hashes):
                 continue
@@ -198,6 +217,8 @@ def sketch_entries(docs: DataFrame, k: int, bands: Bands, parts: int) -> DataFra
             if not len(chosen):
                 continue
             sets, keys = all_keys(hashes[np.repeat(fresh, sizes)], np.concatenate([[0], np.cumsum(sizes[chosen])]), bands)
+            if not len(keys):
+                continue
             of = chosen[sets]
             pending.append((keys, ids[of], sizes[of].astype(np.uint32), (a ^ mix64(b))[of].astype(np.uint32)))
             held += len(keys)
@@ -207,7 +228,7 @@ def sketch_entries(docs: DataFrame, k: int, bands: Bands, parts: int) -> DataFra
         if pending:
             yield _packed(parts, pending)
 
-    return docs.mapInArrow(run, "part int, keys binary, ids binary, sizes binary, tags binary")
+    return docs.mapInArrow(run, "part int, keys binary, ids binary, sizes binary, tags binary, counts binary")
 
 
 def bucket_rows(entries: DataFrame, bands: Bands, parts: int) -> DataFrame:
@@ -216,8 +237,8 @@ def bucket_rows(entries: DataFrame, bands: Bands, parts: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for part in _grouped(batches):
-            key, doc, size, tag = part
+        for number, key, doc, size, tag in _grouped(batches):
+            key = key * np.uint64(parts) + np.uint64(number)
             order = np.lexsort((doc, key))
             key, doc, size, tag = key[order], doc[order], size[order].astype(np.int64), tag[order]
             # equal sets in a bucket count once: their smallest id stands for them
@@ -259,12 +280,14 @@ def _grouped(batches):
     for batch in batches:
         for part, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
             if part != current and pieces:
-                yield [np.concatenate(x) for x in zip(*pieces)]
+                yield current, *(np.concatenate(x) for x in zip(*pieces))
                 pieces = []
             current = part
-            pieces.append([_unpacked(b, kind) for b, kind in zip(blobs, (np.uint64, np.int64, np.uint32, np.uint32))])
+            counts = _numbers(blobs[4], np.uint32, 4)
+            ids, sizes, tags = (np.repeat(_numbers(b, kind, w), counts) for b, kind, w in zip(blobs[1:4], (np.int64, np.uint32, np.uint32), (8, 4, 4)))
+            pieces.append([_numbers(blobs[0], np.uint64, KEY_BYTES), ids, sizes, tags])
     if pieces:
-        yield [np.concatenate(x) for x in zip(*pieces)]
+        yield current, *(np.concatenate(x) for x in zip(*pieces))
 
 
 def in_bitmap(spark: SparkSession, rows: DataFrame, wanted: DataFrame, both: bool = False):
@@ -280,21 +303,31 @@ def in_bitmap(spark: SparkSession, rows: DataFrame, wanted: DataFrame, both: boo
     return (found, joined.filter(~F.coalesce(hit, F.lit(False))).drop("_word", "_bits", "_spot")) if both else found
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """id, n, hashes (sorted), sketch."""
+def sketches(docs: DataFrame, k: int) -> DataFrame:
+    """id, n, sketch."""
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             hashes, bounds, ids = _sets(batch, k)
             words = bit_sketches(hashes, bounds)
-            blobs = [hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(np.diff(bounds)), pa.array(blobs, pa.binary()), pa.array([w.tobytes() for w in words], pa.binary())],
-                ["id", "n", "hashes", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(bounds)), pa.array([w.tobytes() for w in words], pa.binary())], ["id", "n", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, hashes binary, sketch binary")
+    return docs.mapInArrow(run, "id long, n long, sketch binary")
+
+
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """id, hashes (sorted)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, 1):
+            hashes, bounds, ids = _sets(batch, k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())], ["id", "hashes"])
+
+    return docs.mapInArrow(run, "id long, hashes binary")
 
 
 def screened(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -388,13 +421,14 @@ def similarity_classes(docs: DataFrame, k: int, num: int, den: int, id_column: s
 
     Two documents link where den * |A & B| >= num * |A | B|.  Words are what stands between 0x20 and 0x09-0x0D,
     A-Z lower-cased; shingles are compared by 64-bit hashes.  Null, empty and blank texts have no shingles and no links;
-    with fewer than k words the whole sequence is the only shingle.  Rows that repeat an id share its component.
+    with fewer than k words the whole sequence is the only shingle.  Rows that repeat an id share its component;
+    rows without an id are linked with nothing and have nulls.
     """
     spark = docs.sparkSession
     tune(spark)
     bands = Bands(num, den)
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
-    source = as_text(docs.select(F.col(id_column).cast("long").alias("id"), "text"))
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2
+    source = as_text(docs.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), "text"))
     classes = stored(set_classes(source, k), "classes")
     found = stored(bucket_rows(sketch_entries(source, k, bands, parts), bands, parts), "buckets")
     raw = found.filter("kind = 0").select("a", "b").distinct()
@@ -410,29 +444,43 @@ def similarity_classes(docs: DataFrame, k: int, num: int, den: int, id_column: s
     pairs = stored(pairs, "pairs")
     hot = stored(by_class(found.filter("kind = 1").select("key", F.col("a").alias("id")), "id").distinct(), "hot")
     wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(hot.select("id")).distinct(), "wanted")
-    once = in_bitmap(spark, source, wanted).join(wanted, "id", "left_semi")
-    sets = stored(shingle_sets(once.select("id", "text").dropDuplicates(["id"]), k), "shingles")
-    links = stored(verified(stored(screened(pairs, sets, bands), "screened"), sets, bands), "links")
+    # what the bitmap lets through wrongly joins nothing; rows that repeat an id repeat a pair, which links once
+    outline = stored(sketches(in_bitmap(spark, source, wanted), k), "sketches")
+
+    def checked(candidates: DataFrame) -> DataFrame:
+        near = stored(screened(candidates, outline, bands), "screened")
+        ends = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+        sets = stored(shingle_sets(in_bitmap(spark, source, ends).join(ends, "id", "left_semi"), k), "shingles")
+        return stored(verified(near, sets, bands), "links")
+
+    links = checked(pairs)
     linked = components(links)
     if not hot.isEmpty():
         linked = stored(linked, "linked")
         members = hot.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_ = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-        members = members.join(open_, "key").join(sets.select("id", "n", "sketch"), "id")
+        members = members.join(open_, "key").join(outline.dropDuplicates(["id"]), "id")
         more = stored(sketch_pairs(members, bands).join(pairs, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
-            links = links.union(stored(verified(more, sets, bands), "links"))
+            links = links.union(checked(more))
             linked = components(links)
     linked = linked.withColumnRenamed("node", "rep")
-    return classes.join(linked, "rep", "left").select(
+    out = classes.join(linked, "rep", "left").select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    nothing = F.lit(None).cast("long")
+    return out.union(docs.filter(F.col(id_column).isNull()).select(nothing.alias(id_column), nothing.alias("n_shingles"), nothing.alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id") -> DataFrame:
     """docs without the rows whose component has a smaller id; of rows that repeat an id one stays.  Rows without an id stay."""
+    spark = docs.sparkSession
     classes = similarity_classes(docs.filter(F.col(id_column).isNotNull()), k, num, den, id_column)
     dropped = classes.filter(F.col(id_column) != F.col("component_id")).select(F.col(id_column)).distinct()
-    kept = docs.join(dropped, id_column, "left_anti").select(docs.columns)
+    # most rows are surely not dropped and need no join
+    wanted = stored(dropped.withColumnRenamed(id_column, "id"), "dropped")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_column).cast("long").alias("id"))
+    maybe, never = in_bitmap(spark, rows, wanted, both=True)
+    kept = maybe.join(wanted, "id", "left_anti").select("_doc.*").union(never.select("_doc.*"))
     again = docs.groupBy(id_column).agg(F.count("*").alias("m")).filter("m > 1")
     if again.isEmpty():
         return kept

@@ -303,8 +303,8 @@ def in_bitmap(spark: SparkSession, rows: DataFrame, wanted: DataFrame, both: boo
     return (found, joined.filter(~F.coalesce(hit, F.lit(False))).drop("_word", "_bits", "_spot")) if both else found
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """id, n, sketch."""
+def sketches(docs: DataFrame, k: int, bands: Bands) -> DataFrame:
+    """id, n, sketch, slack: shared segments that a set can spare in every one of its bands, its empty ones taken off."""
 
     def run(batches):
         import pyarrow as pa
@@ -312,9 +312,13 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
         for batch in slices(batches, 1):
             hashes, bounds, ids = _sets(batch, k)
             words = bit_sketches(hashes, bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(bounds)), pa.array([w.tobytes() for w in words], pa.binary())], ["id", "n", "sketch"])
+            slack = np.full(len(ids), 1 << 30, np.int64)
+            for band, empty in segment_keys(hashes, bounds, bands, 0)[3]:
+                slack = np.where(band >= 0, np.minimum(slack, bands.spare[band] - empty), slack)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(np.diff(bounds)), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(slack)], ["id", "n", "sketch", "slack"])
 
-    return docs.mapInArrow(run, "id long, n long, sketch binary")
+    return docs.mapInArrow(run, "id long, n long, sketch binary, slack long")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -445,7 +449,7 @@ def similarity_classes(docs: DataFrame, k: int, num: int, den: int, id_column: s
     hot = stored(by_class(found.filter("kind = 1").select("key", F.col("a").alias("id")), "id").distinct(), "hot")
     wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(hot.select("id")).distinct(), "wanted")
     # what the bitmap lets through wrongly joins nothing; rows that repeat an id repeat a pair, which links once
-    outline = stored(sketches(in_bitmap(spark, source, wanted), k), "sketches")
+    outline = stored(sketches(in_bitmap(spark, source, wanted), k, bands), "sketches")
 
     def checked(candidates: DataFrame) -> DataFrame:
         near = stored(screened(candidates, outline, bands), "screened")
@@ -457,9 +461,14 @@ def similarity_classes(docs: DataFrame, k: int, num: int, den: int, id_column: s
     linked = components(links)
     if not hot.isEmpty():
         linked = stored(linked, "linked")
+        # a linked pair shares 1 + spare segments: with fewer large buckets and empty segments than that, one of a set's
+        # shared segments is in a small bucket, where every pair was taken; such sets leave the large ones
+        held = hot.groupBy("id").agg(F.count("*").alias("_held"))
+        heavy = held.join(outline.select("id", "slack").dropDuplicates(["id"]), "id").filter("_held > slack").select("id")
+        hot = stored(hot.join(heavy, "id", "left_semi"), "heavy")
         members = hot.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_ = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-        members = members.join(open_, "key").join(outline.dropDuplicates(["id"]), "id")
+        members = members.join(open_, "key").join(outline.drop("slack").dropDuplicates(["id"]), "id")
         more = stored(sketch_pairs(members, bands).join(pairs, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
             links = links.union(checked(more))

@@ -98,3 +98,39 @@ def downsampled(counts: DataFrame, targets: DataFrame, seed: int = 0) -> DataFra
         return pdf.assign(count=rng.multivariate_hypergeometric(c, keep).astype(float))[["cell", "gene", "count"]]
 
     return counts.join(targets, "cell").groupBy("cell").applyInPandas(one, "cell string, gene string, count double").filter("count > 0")
+
+
+def uniform(seed: int, salt: str, key):
+    """A number from 0 to below 1 of the hash of the key."""
+    return F.conv(F.substring(draw(seed, salt, key), 1, 12), 16, 10).cast("double") / float(16**12)
+
+
+def library_pairs(cells: DataFrame, n: int, seed: int, homotypic: float) -> DataFrame:
+    """n pairs of cells of one library: synthetic, library, subtype, parent_1, parent_2.  cells: cell, cluster, library.
+
+    Every pair draws its library by size, so libraries get a multinomial share of n; a coin makes it homotypic (also where the library
+    has one cluster only).  Clusters are drawn by size, the second of a heterotypic pair among the others; cells within a cluster
+    are drawn evenly, with replacement.
+    """
+    if cells.limit(1).count() == 0:
+        raise ValueError("no cells to draw pairs from")
+    groups = cells.groupBy("library", "cluster").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("library").orderBy("cluster")) - F.col("n")
+    own = groups.select("library", "cluster", "n", before.alias("low")).groupBy("library").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("low", "n", "cluster"))).alias("clusters"))
+    shares = own.agg(F.sort_array(F.collect_list(F.struct("library", "size", "clusters"))).alias("libraries"), F.sum("size").alias("total"))  # as long as there are libraries and clusters
+    spans = F.aggregate("libraries", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("ends")), lambda a, x: F.struct((a["at"] + x["size"]).alias("at"), F.concat(a["ends"], F.array(a["at"] + x["size"])).alias("ends")))["ends"]
+    shares = shares.withColumn("ends", spans)
+    i = F.col("id")
+    pick = lambda salt, size: F.least(F.floor(uniform(seed, salt, i) * size), size - 1)
+    at = lambda place: F.filter("clusters", lambda x: (place >= x["low"]) & (place < x["low"] + x["n"]))[0]
+    rows = cells.sparkSession.range(n).crossJoin(F.broadcast(shares)).withColumn("_at", pick("library", F.col("total")))
+    rows = rows.withColumn("_l", F.element_at("libraries", (F.size(F.filter("ends", lambda e: e <= F.col("_at"))) + 1).cast("int"))).select("id", "_l.*")
+    rows = rows.withColumn("one", at(pick("first", F.col("size")))).withColumn("same", (uniform(seed, "coin", i) < homotypic) | (F.size("clusters") < 2))
+    rest = F.col("size") - F.col("one.n")
+    skip = F.floor(uniform(seed, "second", i) * rest)
+    rows = rows.withColumn("two", F.when(F.col("same"), F.col("one")).otherwise(at(F.when(skip >= F.col("one.low"), skip + F.col("one.n")).otherwise(skip))))
+    rows = rows.select("id", "library", "same", F.col("one.cluster").alias("_x"), F.col("two.cluster").alias("_y"), (pick("cell 1", F.col("one.n")) + 1).alias("_i"), (pick("cell 2", F.col("two.n")) + 1).alias("_j"))
+    placed = cells.select("library", "cluster", "cell", F.row_number().over(W.partitionBy("library", "cluster").orderBy(draw(seed, "member", F.col("cell")))).alias("_p"))
+    side = lambda c, p, out: placed.select("library", F.col("cluster").alias(c), F.col("_p").alias(p), F.col("cell").alias(out))
+    return rows.join(side("_x", "_i", "parent_1"), ["library", "_x", "_i"]).join(side("_y", "_j", "parent_2"), ["library", "_y", "_j"]).select(
+        F.concat(F.lit("pair_"), i.cast("string")).alias("synthetic"), "library", F.when(F.col("same"), "homotypic").otherwise("heterotypic").alias("subtype"), "parent_1", "parent_2")

@@ -13,7 +13,7 @@ from countloom.llm.components import components
 
 #: Vectors of a shard, about; links of a node above the ground and on it; beams to build and first to search with.
 SHARD, LINKS, GROUND, BUILD, BEAM = 8192, 12, 24, 40, 48
-#: Queries of a tile whose links are counted by brute force; the share of them that a beam must find.
+#: Queries with links of a tile whose links are counted by brute force; the share of each one's that a beam must find, on average.
 AUDIT, RECALL = 96, 0.999
 STRIP, EXPAND = 256, 4
 
@@ -181,17 +181,35 @@ class Graph:
         return out
 
 
-def linked_pairs(queries: np.ndarray, graph: Graph, least: float):
+def linked_pairs(queries: np.ndarray, graph: Graph, least: float, same: bool = False):
     """(query, node) pairs whose similarity is about least or more.
 
-    The beam is doubled for queries whose beam is full of links, and for all while an audit of some queries against
-    brute force finds too few; a beam of a sixth
-    of the shard would visit most of it, and plain products take its place.
+    The beam is doubled for queries whose beam is full of links, and for all while an audit against brute force finds too
+    few.  The audit draws queries until AUDIT of them have links (to others, where same says that the queries are the shard) and
+    weighs each of those as one; where it comes to draw all, its links are the answer.  A beam of a sixth of the shard would visit
+    most of it, and plain products take its place.
     """
     slack = least - 1e-5
     n = len(graph.v)
-    sample = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = (queries[sample] @ graph.w.T) >= slack
+    drawn = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
+    rest = np.setdiff1d(np.arange(len(queries)), drawn)
+    rest = rest[np.argsort(mix64(rest.astype(np.uint64)), kind="stable")]
+    samples, truths, linked = [], [], 0
+    for part in (drawn, *(rest[at : at + STRIP] for at in range(0, len(rest), STRIP))):
+        true = (queries[part] @ graph.w.T) >= slack
+        if same:
+            true[part[:, None] == graph.order] = False
+        samples.append(part), truths.append(true)
+        linked += int(true.any(axis=1).sum())
+        if linked >= AUDIT:
+            break
+    sample = np.concatenate(samples)
+    if len(sample) == len(queries):
+        found = [np.nonzero(true) for true in truths]
+        return np.concatenate([part[i] for part, (i, _) in zip(samples, found)]), graph.order[np.concatenate([j for _, j in found])]
+    rising = np.argsort(sample)
+    sample, truth = sample[rising], np.concatenate(truths)[rising]
+    links = truth.sum(axis=1)
     beam = BEAM
     while True:
         todo, width = np.arange(len(queries)), beam
@@ -213,7 +231,7 @@ def linked_pairs(queries: np.ndarray, graph: Graph, least: float):
         where = np.searchsorted(sample, q)
         inside = (where < len(sample)) & (sample[np.minimum(where, len(sample) - 1)] == q)
         found[where[inside], node[inside]] = True
-        if beam >= n or (found & truth).sum() >= RECALL * truth.sum():
+        if beam >= n or ((found & truth).sum(axis=1)[links > 0] / links[links > 0]).mean() >= RECALL:
             return q, graph.order[node]
         beam *= 2
 
@@ -267,7 +285,7 @@ def tile_links(left: dict, right: dict, least: float):
         sides.append((v, _unit(v)))
     lv, lu = sides[0]
     rv, ru = sides[-1]
-    q, node = linked_pairs(lu, Graph.unpacked(ru, right["graph"]), least)
+    q, node = linked_pairs(lu, Graph.unpacked(ru, right["graph"]), least, same)
     pairs = [np.stack([q, node], 1)]
     if same:
         pairs = [np.stack([np.minimum(q, node), np.maximum(q, node)], 1)[q != node]]

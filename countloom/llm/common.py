@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import sys
 import tempfile
@@ -30,36 +31,52 @@ def tune(spark: SparkSession, records: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of about 4 MB, so that two of them fit a Python worker however long the texts are.
+
+    All operators set the same value, and only where the session has Spark's own, so it never matters which ran last.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "-1"):
+        spark.conf.set(key, "4m")
+
+
 def as_text(df: DataFrame, column: str = "text") -> DataFrame:
     """Null texts count as empty."""
+    bounded_batches(df.sparkSession)
     return df.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
+    """The folder that all executors share: spark.checkpoint.dir, or the context's own checkpoint folder.
+
+    A temporary folder stands in only on a local master, where driver and executors are one process.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="countloom-")
         atexit.register(shutil.rmtree, own, True)
         context.setCheckpointDir(f"file://{own}")
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/countloom/{name}-{uuid.uuid4().hex}"
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  at the end the session may have ended first
+        pass
 
-    def remove() -> None:
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may have ended first
-            pass
 
-    atexit.register(remove)
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's Python ends at the latest."""
+    path = f"{shared_dir(spark)}/countloom/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
     return path
 
 
@@ -68,7 +85,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes what stored() wrote, once everything that reads it is stored itself."""
+    for df in tables:
+        _remove(df.sparkSession, df._stored_at)
 
 
 def worker_cache(name: str, make):
@@ -191,7 +216,7 @@ def shingle_hashes(words: np.ndarray, doc: np.ndarray, n_docs: int, k: int):
     return hashes, bounds
 
 
-def slices(batches, place: int, most: int = 4 << 20):
+def slices(batches, place: int, most: int = 1 << 18):
     """The batches cut so that the texts of a piece hold about `most` bytes; a longer text is a piece of its own."""
     import pyarrow.compute as pc
 

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from countloom.llm.common import as_text, batch_words, mix64, shingle_hashes, slices, stored, table, text_buffer, tune
+from countloom.llm.common import as_text, batch_words, discard, mix64, shingle_hashes, slices, stored, table, text_buffer
 from countloom.llm.components import components
 
 #: Buckets of up to ALL members are compared pair by pair; larger ones by stars first, then sketches.
-ALL, TILE = 32, 2048
+#: Entries that a task packs at once; a key of more than ALL of them leaves its bucket at once and is dealt by rows.
+ALL, TILE, FLUSH = 32, 2048, 400_000
 BAND, SPARE = 1.4, 0.15
-BITS = 1024
+#: Bits of a set's sketch: for sets of up to 256 elements, up to 512, and larger.  Wider ones fold to narrower ones.
+BITS = ((256, 1024), (512, 2048), (1 << 62, 4096))
 
 
 class Bands:
@@ -110,14 +113,36 @@ def all_keys(hashes: np.ndarray, bounds: np.ndarray, bands: Bands, seeds: int =
     return np.concatenate([s for s, _ in out]), np.concatenate([k for _, k in out])
 
 
-def bit_sketches(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Parity sketches of BITS bits: an element flips one bit, so the Hamming distance is a lower bound of the symmetric difference."""
-    n = len(bounds) - 1
-    words = np.zeros((n, BITS // 64), np.uint64)
-    owner = np.repeat(np.arange(n), np.diff(bounds))
-    bit = mix64(hashes + np.uint64(0x51)) % np.uint64(BITS)
-    np.bitwise_xor.at(words, (owner, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-    return words
+def bit_sketches(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Parity sketches: an element flips one bit, so the Hamming distance is a lower bound of the symmetric difference.
+
+    The place of an element in a narrow sketch is that in a wide one modulo the width, so the XOR of a wide one's
+    parts is the narrow one.
+    """
+    sizes = np.diff(bounds)
+    width = np.select([sizes <= most for most, _ in BITS], [bits // 64 for _, bits in BITS])
+    start = np.concatenate([[0], np.cumsum(width)])
+    words = np.zeros(start[-1], np.uint64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    bit = mix64(hashes + np.uint64(0x51)) % (width[owner].astype(np.uint64) * np.uint64(64))
+    np.bitwise_xor.at(words, start[owner] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return [words[a:b] for a, b in zip(start, start[1:])]
+
+
+def folded(blobs: list[bytes], width: np.ndarray) -> np.ndarray:
+    """Sketches as rows, those wider than their `width` (in words) folded to it, and zeros after it."""
+    out = np.zeros((len(blobs), int(width.max(initial=1))), np.uint64)
+    for at, (blob, w) in enumerate(zip(blobs, width.tolist())):
+        words = np.frombuffer(blob, np.uint64)
+        out[at, :w] = words if len(words) == w else np.bitwise_xor.reduce(words.reshape(-1, w), axis=0)
+    return out
+
+
+def apart(n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Largest symmetric difference of linked sets of sizes n and m; -1 where the sizes rule a link out."""
+    n, m = n.astype(np.int64), m.astype(np.int64)
+    small, large = np.minimum(n, m), np.maximum(n, m)
+    return np.where(large * num <= small * den, (n + m) * (den - num) // (den + num), -1)
 
 
 def _sets(batch, k: int):
@@ -149,7 +174,8 @@ def set_classes(docs: DataFrame, k: int) -> DataFrame:
             columns = (ids, np.diff(bounds), a.view(np.int64), b.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["id", "n", "p", "q"])
 
-    sets = stored(docs.mapInArrow(run, "id long, n long, p long, q long"), "sets")
+    sets = docs.mapInArrow(run, "id long, n long, p long, q long")
+    sets = stored(sets, "sets")
     reps = sets.filter("n > 0").groupBy("n", "p", "q").agg(F.min("id").alias("rep"), F.count("*").alias("m"))
     # only sets that several documents have need the join
     shared = reps.filter("m > 1").drop("m")
@@ -174,26 +200,49 @@ KEY_BYTES = 5
 
 
 def _packed(parts: int, pending: list):
-    """Entries (key, id, size, print) of a task dealt to parts by key, as one row of arrays a part; a document's id stands once a part."""
+    """Entries (key, id, size, print) of a task dealt to parts by key, as rows of arrays; a document's id stands once a row.
+
+    Keys with more than ALL entries here belong to large buckets whatever other tasks hold: their members go to part
+    numbers from `parts` on, which are read row by row, and the key's own part gets one mark of size 0.  So a part gets
+    at most ALL entries of a key from every flush.
+    """
     import pyarrow as pa
 
     key, doc, size, tag = (np.concatenate(x) for x in zip(*pending))
     part = (key % np.uint64(parts)).astype(np.int32)
     key = key // np.uint64(parts)
-    order = np.lexsort((tag, doc, part))
+    order = np.lexsort((key, part))
     key, doc, size, tag, part = key[order], doc[order], size[order], tag[order], part[order]
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-    columns: list[list] = [[], [], [], [], [], []]
-    for a, b in zip(cuts, cuts[1:]):
-        if a == b:
-            continue
-        d, t = doc[a:b], tag[a:b]
-        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])]))
-        counts = np.diff(np.append(first, b - a)).astype(np.uint32)
-        values = (int(part[a]), _planes(key[a:b], KEY_BYTES), _planes(d[first], 8), _planes(size[a:b][first], 4), _planes(t[first], 4), _planes(counts, 4))
+    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+    count = np.diff(np.append(start, len(key)))
+    large = np.repeat(count > ALL, count)
+    columns: list[list] = [[], [], [], [], [], [], []]
+
+    def put(number: int, home: int, key, doc, size, tag) -> None:
+        order = np.lexsort((tag, doc))
+        key, d, size, t = key[order], doc[order], size[order], tag[order]
+        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (size[1:] != size[:-1])]))
+        counts = np.diff(np.append(first, len(d))).astype(np.uint32)
+        values = (number, home, _planes(key, KEY_BYTES), _planes(d[first], 8), _planes(size[first], 4), _planes(t[first], 8), _planes(counts, 4))
         for column, value in zip(columns, values):
             column.append(value)
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["part", "keys", "ids", "sizes", "tags", "counts"])
+
+    hot = np.flatnonzero(count > ALL)
+    for n, h in enumerate(hot.tolist()):
+        for at in range(start[h], start[h] + count[h], 4096):
+            x = slice(at, min(at + 4096, start[h] + count[h]))
+            put(parts + int(mix64(key[x][:1] + np.uint64(at))[0] % np.uint64(parts)), int(part[at]), key[x], doc[x], size[x], tag[x])
+    few = np.flatnonzero(~large)
+    marks = start[hot]
+    size[marks] = 0
+    use = np.sort(np.concatenate([few, marks]))
+    key, doc, size, tag, part = key[use], doc[use], size[use], tag[use], part[use]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            put(int(part[a]), int(part[a]), key[a:b], doc[a:b], size[a:b], tag[a:b])
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "home", "keys", "ids", "sizes", "tags", "counts"])
 
 
 def sketch_entries(docs: DataFrame, k: int, bands: Bands, parts: int) -> DataFrame:
@@ -211,7 +260,7 @@ def sketch_entries(docs: DataFrame, k: int, bands: Bands, parts: int) -> DataFra
                 if sizes[i] and mark not in seen:
                     seen.add(mark)
                     fresh[i] = True
-            if len(seen) > 200_000:
+            if len(seen) > 100_000:
                 seen.clear()
             chosen = np.flatnonzero(fresh)
             if not len(chosen):
@@ -220,74 +269,78 @@ def sketch_entries(docs: DataFrame, k: int, bands: Bands, parts: int) -> DataFra
             if not len(keys):
                 continue
             of = chosen[sets]
-            pending.append((keys, ids[of], sizes[of].astype(np.uint32), (a ^ mix64(b))[of].astype(np.uint32)))
+            pending.append((keys, ids[of], sizes[of].astype(np.uint32), (a ^ mix64(b))[of]))
             held += len(keys)
-            if held > 1_000_000:
+            if held > FLUSH:
                 yield _packed(parts, pending)
                 pending, held = [], 0
         if pending:
             yield _packed(parts, pending)
 
-    return docs.mapInArrow(run, "part int, keys binary, ids binary, sizes binary, tags binary, counts binary")
+    return docs.mapInArrow(run, "part int, home int, keys binary, ids binary, sizes binary, tags binary, counts binary")
 
 
 def bucket_rows(entries: DataFrame, bands: Bands, parts: int) -> DataFrame:
-    """Rows (kind, key, a, b) from the buckets: 0 candidate pairs, 1 members a of buckets over ALL."""
+    """Rows (kind, key, a, b) from the buckets: 0 candidate pairs (a, b), 1 members a of buckets over ALL.
 
-    def run(batches):
+    Sets of one size and 64-bit print in a bucket are copies, told apart no better anywhere else: their smallest id stands for them.
+    """
+
+    def rows(kind, key, a, b):
         import pyarrow as pa
 
-        for number, key, doc, size, tag in _grouped(batches):
-            key = key * np.uint64(parts) + np.uint64(number)
-            order = np.lexsort((doc, key))
+        for at in range(0, len(a), 10000):
+            x = slice(at, at + 10000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a[x]), kind, np.int32)), pa.array(key[x]), pa.array(a[x]), pa.array(b[x])], ["kind", "key", "a", "b"])
+
+    def run(batches):
+        for number, home, key, doc, size, tag in _grouped(batches, parts):
+            key = key * np.uint64(parts) + np.uint64(home)
+            if number >= parts:
+                yield from rows(1, key.view(np.int64), doc, doc)
+                continue
+            order = np.lexsort((doc, tag, size, key))
             key, doc, size, tag = key[order], doc[order], size[order].astype(np.int64), tag[order]
-            # equal sets in a bucket count once: their smallest id stands for them
-            same = np.lexsort((doc, tag, size, key))
-            first = np.ones(len(same), bool)
-            first[1:] = (key[same][1:] != key[same][:-1]) | (size[same][1:] != size[same][:-1]) | (tag[same][1:] != tag[same][:-1])
-            keep = np.sort(same[first])
+            first = np.ones(len(key), bool)
+            first[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (tag[1:] != tag[:-1])
+            marked = np.unique(key[size == 0])
+            keep = first & (size > 0)
             key, doc, size = key[keep], doc[keep], size[keep]
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
             count = np.diff(np.append(start, len(key)))
-            found = []
-            for m in np.unique(count[(count > 1) & (count <= ALL)]):
-                at = start[count == m][:, None] + np.arange(m)
+            hot = (count > ALL) | np.isin(key[start], marked)
+            found = [(np.zeros(0, int), np.zeros(0, int))]
+            for m in np.unique(count[(count > 1) & ~hot]):
+                at = start[(count == m) & ~hot][:, None] + np.arange(m)
                 i, j = np.triu_indices(m, 1)
                 found.append((at[:, i].ravel(), at[:, j].ravel()))
-            hot = count > ALL
-            members = np.repeat(hot, count)
-            pivot = np.repeat(start, count)
-            found.append((pivot[members], np.flatnonzero(members)))
-            last = np.repeat(start + count - 1, count)
-            found.append((last[members], np.flatnonzero(members)))
             i, j = (np.concatenate(x) for x in zip(*found))
             small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
             near = (large * bands.num <= small * bands.den) & (doc[i] != doc[j])
             pairs = np.unique(np.stack([np.minimum(doc[i], doc[j])[near], np.maximum(doc[i], doc[j])[near]], 1), axis=0)
-            for kind, k, a, b in ((0, np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1]), (1, key[members].view(np.int64), doc[members], doc[members])):
-                for at in range(0, len(a), 10000):
-                    s = slice(at, at + 10000)
-                    columns = [pa.array(np.full(len(a[s]), kind, np.int32)), pa.array(k[s]), pa.array(a[s]), pa.array(b[s])]
-                    yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "a", "b"])
+            yield from rows(0, np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
+            members = np.repeat(hot, count)
+            yield from rows(1, key[members].view(np.int64), doc[members], doc[members])
 
     dealt = entries.repartition(parts, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(run, "kind int, key long, a long, b long")
 
 
-def _grouped(batches):
-    """Arrays of each part, from rows that arrive sorted by part."""
-    current, pieces = None, []
+def _grouped(batches, parts: int):
+    """Arrays of each part, from rows that arrive sorted by part; rows of part numbers from `parts` on come one by one."""
+    current, home, pieces = None, None, []
     for batch in batches:
-        for part, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
-            if part != current and pieces:
-                yield current, *(np.concatenate(x) for x in zip(*pieces))
+        for row in range(batch.num_rows):
+            part, at, *blobs = (batch.column(c)[row].as_py() for c in range(batch.num_columns))
+            if pieces and (part != current or part >= parts):
+                yield current, home, *(np.concatenate(x) for x in zip(*pieces))
                 pieces = []
-            current = part
+            current, home = part, at
             counts = _numbers(blobs[4], np.uint32, 4)
-            ids, sizes, tags = (np.repeat(_numbers(b, kind, w), counts) for b, kind, w in zip(blobs[1:4], (np.int64, np.uint32, np.uint32), (8, 4, 4)))
+            ids, sizes, tags = (np.repeat(_numbers(b, kind, w), counts) for b, kind, w in zip(blobs[1:4], (np.int64, np.uint32, np.uint64), (8, 4, 8)))
             pieces.append([_numbers(blobs[0], np.uint64, KEY_BYTES), ids, sizes, tags])
     if pieces:
-        yield current, *(np.concatenate(x) for x in zip(*pieces))
+        yield current, home, *(np.concatenate(x) for x in zip(*pieces))
 
 
 def in_bitmap(spark: SparkSession, rows: DataFrame, wanted: DataFrame, both: bool = False):
@@ -343,10 +396,10 @@ def screened(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
         for batch in batches:
             a, b, n, m = (np.asarray(batch.column(i)) for i in range(4))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(a), -1) for i in (4, 5))
-            far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            small, large = np.minimum(n, m), np.maximum(n, m)
-            near = (far <= small * (den - num) // num) & (large * num <= small * den)
+            x, y = (batch.column(i).to_pylist() for i in (4, 5))
+            width = np.minimum([len(v) // 8 for v in x], [len(v) // 8 for v in y]).astype(np.int64)
+            far = np.bitwise_count(folded(x, width) ^ folded(y, width)).sum(axis=1, dtype=np.int64)
+            near = far <= apart(n, m, num, den)
             yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], ["a", "b"])
 
     side = lambda p: sets.select(F.col("id").alias(p), F.col("n").alias(f"n_{p}"), F.col("sketch").alias(f"sketch_{p}"))
@@ -354,11 +407,19 @@ def screened(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+#: Partners of a set in one task at most, about; a set of more is dealt to several tasks.
+PARTNERS = 128
+
+
 def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs (a, b) whose sets are similar enough, counted exactly.  b's set travels to the rows of a, which holds its own once."""
+    """Pairs (a, b) whose sets are similar enough, counted exactly.
+
+    Sets go by one join to where they are wanted: b's to each row of a, a's own once to every task that holds rows of a.
+    """
     num, den = bands.num, bands.den
-    other = pairs.join(sets.select(F.col("id").alias("b"), "hashes"), "b").select("a", "b", "hashes")
-    own = sets.join(pairs.select(F.col("a").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("long").alias("salts"))
+    dealt = pairs.join(salts, "a").withColumn("s", F.pmod(F.xxhash64("b"), F.col("salts"))).select("a", "s", "b")
+    wanted = dealt.select("a", "s", "b", F.col("b").alias("id")).union(dealt.select("a", "s").distinct().select("a", "s", F.lit(None).cast("long"), F.col("a")))
 
     def run(batches):
         import pyarrow as pa
@@ -366,10 +427,11 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
         current, mine = None, None
         for batch in batches:
             a_out, b_out = [], []
-            for a, b, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                values = np.frombuffer(blob, np.uint64)
+            for row in range(batch.num_rows):
+                a, b = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                values = np.frombuffer(batch.column(2)[row].as_buffer(), np.uint64)
                 if b is None:
-                    current, mine = a, values
+                    current, mine = a, values.copy()
                     continue
                 assert a == current
                 place = np.searchsorted(mine, values)
@@ -379,16 +441,31 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
                     a_out.append(a), b_out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    # the rows of a hot document are split by salt; every part gets the document's own set
-    salt = 16
-    other = other.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(salt)))
-    own = own.join(other.select("a", "s").distinct(), "a")
     parts = max(8, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = other.select("a", "s", "b", "hashes").union(own.select("a", "s", "b", "hashes"))
-    rows = rows.repartition(parts, "a", "s").sortWithinPartitions("a", "s", F.col("b").asc_nulls_first())
+    rows = wanted.join(sets, "id").select("a", "s", "b", "hashes").repartition(parts, "a", "s").sortWithinPartitions("a", "s", F.col("b").asc_nulls_first())
     return rows.select("a", "b", "hashes").mapInArrow(run, "a long, b long")
 
 
+def rare_enough(hot: DataFrame, slack: DataFrame) -> DataFrame:
+    """hot (key, id) without what no linked pair needs: every set drops its `slack` most frequent keys.
+
+    Linked sets share more segments than either can spare (empty ones taken off).  In one order of all keys by frequency,
+    the rarest that both hold is therefore never among the `slack` most frequent of either.  Keys of small buckets are rarer than
+    all of these and stay.  slack: id, slack.
+    """
+    sizes = hot.groupBy("key").agg(F.count("*").alias("m"))
+    ranked = hot.join(sizes, "key").withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("m"), "key")))
+    return ranked.join(slack, "id").filter("r > slack").select("key", "id")
+
+
+def star_pairs(hot: DataFrame) -> DataFrame:
+    """(a, b): every member of a large bucket with up to four of it, the smallest and the largest id and two by hash."""
+    by = lambda f, seed: f("id", F.xxhash64(F.lit(seed), "id"))
+    pivots = hot.groupBy("key").agg(F.min("id").alias("w"), F.max("id").alias("x"), by(F.min_by, 1).alias("y"), by(F.min_by, 2).alias("z"))
+    pivots = pivots.select("key", F.explode(F.array_distinct(F.array("w", "x", "y", "z"))).alias("pivot"))
+    return hot.join(pivots, "key").filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+
+
 def sketch_pairs(members: DataFrame, bands: Bands) -> DataFrame:
     """Pairs of one bucket's members in different components whose sketches are close enough.
 
@@ -404,16 +481,22 @@ def sketch_pairs(members: DataFrame, bands: Bands) -> DataFrame:
         import pyarrow as pa
 
         ids, comp, n, block = (group.column(c).to_numpy() for c in ("id", "component", "n", "block"))
-        words = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+        blobs = group.column("sketch").to_pylist()
+        # one width for the bucket: that of its narrowest sketch
+        words = folded(blobs, np.full(len(blobs), min(map(len, blobs)) // 8))
         first, second = (np.flatnonzero(block == key[i].as_py()) for i in (1, 2))
+        # members of the component that most are in meet only those outside it
+        kinds, count = np.unique(comp[second], return_counts=True)
+        main = kinds[np.argmax(count)]
+        outside = second[comp[second] != main]
         a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in range(0, len(first), 64):
-            x = first[at : at + 64]
-            far = np.bitwise_count(words[x][:, None, :] ^ words[second][None]).sum(axis=2, dtype=np.int64)
-            small, large = np.minimum.outer(n[x], n[second]), np.maximum.outer(n[x], n[second])
-            near = (far <= small * (den - num) // num) & (large * num <= small * den) & (comp[x][:, None] != comp[second])
-            i, j = np.nonzero(near)
-            a_out.append(np.minimum(ids[x[i]], ids[second[j]])), b_out.append(np.maximum(ids[x[i]], ids[second[j]]))
+        for xs, ys in ((first[comp[first] == main], outside), (first[comp[first] != main], second)):
+            for at in range(0, len(xs) if len(ys) else 0, 64):
+                x = xs[at : at + 64]
+                far = np.bitwise_count(words[x][:, None, :] ^ words[ys][None]).sum(axis=2, dtype=np.int64)
+                near = (far <= apart(n[x][:, None], n[ys][None], num, den)) & (comp[x][:, None] != comp[ys])
+                i, j = np.nonzero(near)
+                a_out.append(np.minimum(ids[x[i]], ids[ys[j]])), b_out.append(np.maximum(ids[x[i]], ids[ys[j]]))
         pairs = np.unique(np.stack([np.concatenate(a_out), np.concatenate(b_out)], 1), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -426,16 +509,17 @@ def similarity_classes(docs: DataFrame, k: int, num: int, den: int, id_column: s
     Two documents link where den * |A & B| >= num * |A | B|.  Words are what stands between 0x20 and 0x09-0x0D,
     A-Z lower-cased; shingles are compared by 64-bit hashes.  Null, empty and blank texts have no shingles and no links;
     with fewer than k words the whole sequence is the only shingle.  Rows that repeat an id share its component;
-    rows without an id are linked with nothing and have nulls.
+    rows without an id are linked with nothing and have nulls.  An empty table gives no rows; other columns are ignored.
+
+    Large buckets are first tied by stars of four members; what then is in different components of a bucket is compared by
+    bit sketches.  Buckets first lose the members that rarer segments cover (rare_enough).
     """
     spark = docs.sparkSession
-    tune(spark)
     bands = Bands(num, den)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2
     source = as_text(docs.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), "text"))
     classes = stored(set_classes(source, k), "classes")
     found = stored(bucket_rows(sketch_entries(source, k, bands, parts), bands, parts), "buckets")
-    raw = found.filter("kind = 0").select("a", "b").distinct()
     # copies stand for their class's smallest id
     reps = classes.filter("rep <> id").select("id", "rep").distinct()
 
@@ -444,35 +528,61 @@ def similarity_classes(docs: DataFrame, k: int, num: int, den: int, id_column: s
             rows = rows.join(reps.select(F.col("id").alias(c), F.col("rep").alias("_r")), c, "left").withColumn(c, F.coalesce("_r", c)).drop("_r")
         return rows
 
-    pairs = by_class(raw, "a", "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stored(pairs, "pairs")
-    hot = stored(by_class(found.filter("kind = 1").select("key", F.col("a").alias("id")), "id").distinct(), "hot")
-    wanted = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(hot.select("id")).distinct(), "wanted")
-    # what the bitmap lets through wrongly joins nothing; rows that repeat an id repeat a pair, which links once
-    outline = stored(sketches(in_bitmap(spark, source, wanted), k, bands), "sketches")
+    def outline_of(ids: DataFrame) -> DataFrame:
+        # what the bitmap lets through wrongly joins nothing; rows that repeat an id repeat a pair, which links once
+        return sketches(in_bitmap(spark, source, ids), k, bands)
 
-    def checked(candidates: DataFrame) -> DataFrame:
+    pairs = by_class(found.filter("kind = 0").select("a", "b").distinct(), "a", "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hot = stored(by_class(found.filter("kind = 1").select("key", F.col("a").alias("id")), "id").distinct(), "hot")
+    some = not hot.isEmpty()
+    if some:
+        slack = stored(outline_of(hot.select("id").distinct()).groupBy("id").agg(F.min("slack").alias("slack")), "slack")
+        heavy = stored(rare_enough(hot, slack), "heavy")
+        pairs = pairs.union(star_pairs(heavy))
+        discard(hot, slack)
+        hot = heavy
+    pairs = stored(pairs.distinct(), "pairs")
+    discard(found)
+
+    def counted(candidates: DataFrame) -> DataFrame:
+        ends = stored(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct(), "ends")
+        sets = shingle_sets(in_bitmap(spark, source, ends).join(ends, "id", "left_semi"), k)
+        links = stored(verified(candidates, sets, bands), "links")
+        discard(ends)
+        return links
+
+    def checked(candidates: DataFrame, outline: DataFrame) -> DataFrame:
+        """Links among candidates that give the same components as all of them: first one partner of each set, then pairs left apart."""
         near = stored(screened(candidates, outline, bands), "screened")
-        ends = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        sets = stored(shingle_sets(in_bitmap(spark, source, ends).join(ends, "id", "left_semi"), k), "shingles")
-        return stored(verified(near, sets, bands), "links")
-
-    links = checked(pairs)
-    linked = components(links)
-    if not hot.isEmpty():
-        linked = stored(linked, "linked")
-        # a linked pair shares 1 + spare segments: with fewer large buckets and empty segments than that, one of a set's
-        # shared segments is in a small bucket, where every pair was taken; such sets leave the large ones
-        held = hot.groupBy("id").agg(F.count("*").alias("_held"))
-        heavy = held.join(outline.select("id", "slack").dropDuplicates(["id"]), "id").filter("_held > slack").select("id")
-        hot = stored(hot.join(heavy, "id", "left_semi"), "heavy")
+        one = stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
+        links = counted(one)
+        known = stored(components(links), "known")
+        rest = near.join(one, ["a", "b"], "left_anti")
+        for c in ("a", "b"):
+            rest = rest.join(known.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
+        rest = stored(rest.filter("_a <> _b").select("a", "b"), "rest")
+        if not rest.isEmpty():
+            links = stored(links.union(counted(rest)), "links")
+        discard(near, one, known, rest)
+        return links
+
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    wanted = stored((wanted.union(hot.select("id")) if some else wanted).distinct(), "wanted")
+    outline = stored(outline_of(wanted), "sketches")
+    discard(wanted)
+    links = checked(pairs, outline)
+    linked = stored(components(links), "linked")
+    if some:
         members = hot.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_ = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
         members = members.join(open_, "key").join(outline.drop("slack").dropDuplicates(["id"]), "id")
         more = stored(sketch_pairs(members, bands).join(pairs, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
-            links = links.union(checked(more))
-            linked = components(links)
+            further = checked(more, outline)
+            before, linked = linked, stored(components(links.union(further)), "linked")
+            discard(before, further)
+        discard(hot, more)
+    discard(pairs, outline, links)
     linked = linked.withColumnRenamed("node", "rep")
     out = classes.join(linked, "rep", "left").select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
@@ -497,4 +607,5 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_c
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents by three-word shingles at 0.9; rows and edge cases as similarity_classes states."""
     return similarity_classes(table(spark, sf_dir, "documents"), 3, 90, 100)

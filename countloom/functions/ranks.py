@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from countloom.functions.scalars import clip
+from countloom.functions.scalars import clip, finite
 
 
 def _key(by: list[str]):
@@ -27,13 +27,15 @@ def value_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def percentile_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None, constant: float = 0.5) -> DataFrame:
-    """Average rank over n; missing values take the median first; a constant column ranks to `constant`."""
+    """Average rank over n; missing and non-finite values take the median first; a constant column ranks to `constant`."""
     by = by or []
-    middle = df.groupBy(*by).agg(F.expr(f"percentile({value}, 0.5)").alias("_m"))
-    filled = (df.join(middle, by, "left") if by else df.crossJoin(F.broadcast(middle))).withColumn("_v", F.coalesce(value, "_m", F.lit(0.0)))
+    kept = df
+    df = df.withColumn("_x", finite(F.col(value)))
+    middle = df.groupBy(*by).agg(F.expr("percentile(_x, 0.5)").alias("_m"))
+    filled = (df.join(middle, by, "left") if by else df.crossJoin(F.broadcast(middle))).withColumn("_v", F.coalesce("_x", "_m", F.lit(0.0)))
     counts = value_counts(filled, "_v", by).select(
         *by, "_v", F.when(F.col("_distinct") == 1, F.lit(constant)).otherwise((F.col("_upto") - (F.col("_c") - 1) / 2) / F.col("_n")).alias(out))
-    return filled.join(counts, [*by, "_v"], "left").drop("_v", "_m")
+    return filled.join(counts, [*by, "_v"], "left").select(*(c for c in kept.columns if c != out), out)
 
 
 def empirical(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -78,9 +80,10 @@ def expected_rate_threshold(df: DataFrame, score: str, rate: float) -> DataFrame
 
 
 def auto_threshold(df: DataFrame, score: str) -> DataFrame:
-    """median + 3 * 1.4826 * MAD, or the 0.95 quantile where MAD is 0; within the scores' own range."""
-    first = df.agg(F.expr(f"percentile({score}, array(0.5, 0.95))").alias("_q"), F.min(score).alias("_low"), F.max(score).alias("_high"))
-    second = df.crossJoin(F.broadcast(first)).withColumn("_d", F.abs(F.col(score) - F.col("_q")[0])).agg(
-        F.expr("percentile(_d, 0.5)").alias("mad"), F.first("_q").alias("_q"), F.first("_low").alias("_low"), F.first("_high").alias("_high"))
-    raw = F.when(F.col("mad") > 0, F.col("_q")[0] + 3 * 1.4826 * F.col("mad")).otherwise(F.col("_q")[1])
-    return second.select(F.least(F.greatest(raw, F.col("_low")), F.col("_high")).alias("threshold"))
+    """median + 3 * 1.4826 * MAD, or the 0.95 quantile where that reaches the largest score; cut to 0 to 1; 1 without scores."""
+    known = df.select(finite(F.col(score)).alias("_s")).filter("_s IS NOT NULL")
+    first = known.agg(F.expr("percentile(_s, array(0.5, 0.95))").alias("_q"), F.max("_s").alias("_high"))
+    second = known.crossJoin(F.broadcast(first)).agg(  # one row
+        F.expr("percentile(abs(_s - _q[0]), 0.5)").alias("mad"), F.first("_q").alias("_q"), F.first("_high").alias("_high"))
+    raw = F.col("_q")[0] + 3 * 1.4826 * F.col("mad")
+    return second.select(F.coalesce(clip(F.when(raw >= F.col("_high"), F.col("_q")[1]).otherwise(raw), 0.0, 1.0), F.lit(1.0)).alias("threshold"))

@@ -67,7 +67,7 @@ def call(score: Column, threshold) -> Column:
 
 def called_subtype(called: Column, hom: Column, het: Column) -> Column:
     """'' when not called; a tie is homotypic."""
-    return F.when(F.coalesce(called, F.lit(False)), F.when(hom >= het, "homotypic").otherwise("heterotypic")).otherwise("")
+    return F.when(F.coalesce(called, F.lit(False)), F.when(hom >= het, CLASSES[2]).otherwise(CLASSES[3])).otherwise("")
 
 
 def subtype_confidence(called: Column, hom: Column, het: Column) -> Column:
@@ -80,7 +80,13 @@ def candidate_class(candidate: Column, hom: Column, het: Column, upper: float =
     return F.when(~candidate, "not_candidate").when(q >= upper, "homotypic_like").when(q <= lower, "heterotypic_like").otherwise("subtype_ambiguous")
 
 
+def known_or_zero(x: Column) -> Column:
+    return F.coalesce(finite(x), F.lit(0.0))
+
+
 def five_way_label(low_quality: Column, hom: Column, het: Column, cut: float = 0.9, doubt: float = 0.6) -> Column:
+    """Missing and non-finite scores count as 0; the two subtype scores are cut to 0 to 1."""
+    low_quality, hom, het = known_or_zero(low_quality), clip(known_or_zero(hom), 0.0, 1.0), clip(known_or_zero(het), 0.0, 1.0)
     return (
         F.when(low_quality >= cut, "low_quality")
         .when((het >= cut) & (het > hom), "heterotypic_doublet")
@@ -91,16 +97,25 @@ def five_way_label(low_quality: Column, hom: Column, het: Column, cut: float = 0
 
 
 def gated_fusion(identity_rank: Column, dose_rank: Column, gate: float = 0.95, inlier: float = 0.75) -> dict[str, Column]:
-    rescue = F.greatest(F.lit(0.0), (dose_rank - gate) / (1 - gate))
-    add = lambda w: identity_rank + w * (1 - identity_rank) * rescue
+    """Identity ranks raised by how far the dose rank is above its gate; both are ranks from 0 to 1."""
+    rescue = clip((dose_rank - gate) / (1 - gate), 0.0, 1.0)
+    raised = lambda w, by: clip(identity_rank + w * (1 - identity_rank) * by, 0.0, 1.0)
     return {
-        "gated_025": add(0.25),
-        "gated_050": add(0.5),
-        "gated_max": F.greatest(identity_rank, rescue),
-        "gated_inlier": identity_rank + 0.5 * (1 - identity_rank) * F.when(identity_rank > inlier, 0.0).otherwise(rescue),
+        "gated_025": raised(0.25, rescue),
+        "gated_050": raised(0.5, rescue),
+        "gated_max": clip(F.greatest(identity_rank, 0.5 * rescue), 0.0, 1.0),
+        "gated_inlier": raised(0.5, F.when(identity_rank > inlier, 0.0).otherwise(rescue)),
     }
 
 
+def informativeness(q25: Column, q50: Column, q75: Column, q95: Column, distinct: Column, correlation: Column) -> Column:
+    """How useful the upper tail of a score is: its height over the quartile range and that range, less what the counts explain; 0 for a constant."""
+    iqr = F.greatest(q75 - q25, F.lit(1e-8))
+    tail, spread = clip(((q95 - q50) / iqr - 1) / 3, 0.0, 1.0), clip(iqr / 0.25, 0.0, 1.0)
+    penalty = F.coalesce(clip(1 - 0.35 * F.abs(finite(correlation)), 0.45, 1.0), F.lit(1.0))
+    return F.when(F.coalesce(distinct, F.lit(0)) <= 1, 0.0).otherwise(clip((0.65 * tail + 0.35 * spread) * penalty, 0.0, 1.0))
+
+
 def neighbour_identity(enrichment: Column, weighted: Column, distance: Column) -> Column:
     zero = F.lit(0.0)
     return 0.45 * F.greatest(zero, enrichment) + 0.35 * F.greatest(zero, weighted) + 0.2 / (1 + distance)

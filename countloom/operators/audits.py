@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from countloom.functions.scalars import canonical_pair
+from countloom.functions.scalars import canonical_pair, finite
 
 
-def pair_duplicates(pairs: DataFrame, a: str, b: str, split: str) -> DataFrame:
-    """One row: pairs, exact repeats, reversed ones, repeats of canonical pairs, pairs and parents in several splits."""
+def pair_duplicates(pairs: DataFrame, a: str, b: str, split: str, key: str, profile: str) -> DataFrame:
+    """One row of counts: repeats of ordered and of canonical pairs, the latter where both orders occur, repeats of whole rows, ids and profiles, and pairs and parents in several splits."""
     x, y = canonical_pair(F.col(a), F.col(b))
-    rows = pairs.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), F.col(split).alias("s"), x.alias("x"), y.alias("y"))
-    exact = rows.groupBy("a", "b").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") - 1).alias("exact_repeats"))
+    rows = pairs.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), F.col(split).alias("s"), F.col(key).alias("k"), F.col(profile).alias("f"), x.alias("x"), y.alias("y"))
+    beyond = lambda by, name: rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias(name))
     canonical = rows.groupBy("x", "y").agg(F.count("*").alias("n"), F.count_distinct("a").alias("ways"), F.count_distinct("s").alias("splits")).agg(
-        F.sum(F.col("n") - 1).alias("canonical_repeats"), F.count_if(F.expr("ways > 1")).alias("reversed_pairs"), F.count_if(F.expr("splits > 1")).alias("pairs_across"), F.sum("n").alias("pairs"))
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("canonical_repeats"), F.coalesce(F.sum(F.when(F.col("ways") > 1, F.col("n") - 1)), F.lit(0)).alias("reversed_equivalent"), F.count_if(F.expr("splits > 1")).alias("pairs_across"))
     parents = rows.select("a", "s").union(rows.select("b", "s")).groupBy("a").agg(F.count_distinct("s").alias("n")).agg(F.count_if(F.expr("n > 1")).alias("parents_across"))
-    # three tables of one row
-    return canonical.crossJoin(F.broadcast(exact)).crossJoin(F.broadcast(parents))
+    # tables of one row
+    tables = [canonical, parents, beyond(["a", "b"], "ordered_repeats"), beyond(["k", "a", "b", "s", "f"], "row_repeats"), beyond(["k"], "id_repeats"), beyond(["f"], "profile_repeats")]
+    return reduce(lambda m, n: m.crossJoin(F.broadcast(n)), tables)
 
 
 def profile_fingerprints(counts: DataFrame) -> DataFrame:
@@ -51,11 +52,49 @@ def equal_columns(df: DataFrame, columns: list[str], tolerance: float = 1e-12) -
     return df.agg(*worst).select(F.inline(rows))
 
 
-def probability_contract(df: DataFrame, columns: list[str], tolerance: float = 1e-6) -> DataFrame:
-    total = reduce(lambda a, b: a + b, [F.col(c) for c in columns])
-    bad = reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) for c in columns])
-    out = reduce(lambda a, b: a | b, [(F.col(c) < -tolerance) | (F.col(c) > 1 + tolerance) for c in columns])
-    return df.agg(F.count("*").alias("rows"), F.count_if(bad).alias("not_finite"), F.count_if(out).alias("out_of_bounds"), F.count_if(F.abs(total - 1) > tolerance).alias("bad_sum"))
+def probability_contract(df: DataFrame, key: str, columns: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """check, failed rows, worst error, status: finite, within bounds, rows sum to 1, the last two conditionally too, keys unique.  One aggregation."""
+    known = [finite(F.col(c)) for c in columns]
+    total = reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in known])
+    out = F.greatest(*(e for c in known for e in (-c, c - 1)), F.lit(0.0))
+    both = known[-2] + known[-1]
+    split = F.when(both > tolerance, F.abs(known[-2] / both + known[-1] / both - 1))
+    errors = {"bounds": out, "row_sum": F.abs(total - 1), "conditional_sum": split}
+    one = df.agg(
+        F.count_if(reduce(lambda a, b: a | b, [c.isNull() for c in known])).alias("finite_values"), (F.count("*") - F.count_distinct(key)).alias("unique_cells"),
+        *(F.count_if(e > tolerance).alias(n) for n, e in errors.items()), *(F.coalesce(F.max(e), F.lit(0.0)).alias(f"_{n}") for n, e in errors.items()))
+    rows = [F.struct(F.lit(n).alias("check"), F.col(n).alias("failed"), (F.col(f"_{n}") if n in errors else F.lit(0.0)).alias("worst")) for n in ("finite_values", *errors, "unique_cells")]
+    return one.select(F.inline(F.array(*rows))).withColumn("status", F.when(F.col("failed") == 0, "PASS").otherwise("FAIL"))
+
+
+def top_k_overlap(df: DataFrame, key: str, main: str, others: list[str], k: int) -> DataFrame:
+    """The k best rows of a method against those of each other and against what at least two others share; missing scores last, ties by key."""
+    best = lambda c: F.row_number().over(W.orderBy(F.desc_nulls_last(c), key)) <= k
+    flags = df.select(best(main).alias("_m"), *(best(c).alias(c) for c in others))
+    agreed = reduce(lambda a, b: a + b, [F.col(c).cast("int") for c in others]) >= 2
+    long = flags.withColumn("consensus", agreed).unpivot(["_m"], [*others, "consensus"], "other", "_o")
+    m, o = F.col("_m"), F.col("_o")
+    out = long.groupBy("other").agg(*(F.count_if(c).alias(n) for n, c in (("k", m), ("both", m & o), ("either", m | o), ("main_only", m & ~o), ("other_only", ~m & o))))
+    return out.withColumn("jaccard", F.when(F.col("either") > 0, F.col("both") / F.col("either")))
+
+
+def class_summary(df: DataFrame, column: str, classes: list[str]) -> DataFrame:
+    """class, n, percent of all rows: a row for every class, whether or not it occurs."""
+    every = df.sparkSession.createDataFrame([(c,) for c in classes], f"{column} string")
+    counts = df.groupBy(column).agg(F.count("*").alias("n"))
+    whole = df.agg(F.greatest(F.count("*"), F.lit(1)).alias("_n"))
+    joined = every.join(counts, column, "left").crossJoin(F.broadcast(whole))  # one row
+    return joined.select(column, F.coalesce("n", F.lit(0)).alias("n"), (100.0 * F.coalesce("n", F.lit(0)) / F.col("_n")).alias("percent"))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], value: str, tolerance: float = 1e-12) -> DataFrame:
+    """One row: keys on both sides and on one, keys that repeat on either, the largest difference of value, and whether all is the same."""
+    repeats = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.count_if(F.expr("n > 1")).alias(name))
+    both = left.select(*keys, F.col(value).cast("double").alias("_x")).join(right.select(*keys, F.col(value).cast("double").alias("_y")), keys, "full")
+    found = both.agg(
+        F.count_if(F.col("_x").isNotNull() & F.col("_y").isNotNull()).alias("matched"), F.count_if(F.col("_x").isNull() | F.col("_y").isNull()).alias("unmatched"), F.max(F.abs(F.col("_x") - F.col("_y"))).alias("largest"))
+    joined = found.crossJoin(F.broadcast(repeats(left, "repeated_left"))).crossJoin(F.broadcast(repeats(right, "repeated_right")))
+    return joined.withColumn("same", F.coalesce(F.col("largest") <= tolerance, F.lit(False)))
 
 
 def status_grid(dims: list[DataFrame], runs: DataFrame, keys: list[str], status: str) -> DataFrame:

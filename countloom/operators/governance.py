@@ -7,6 +7,8 @@ import fnmatch
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from countloom.plans.storage import cut
+
 # Tokens that a feature's name must not hold.
 DENIED = ("benchmark", "true", "label", "doublet_type", "simulated", "expected", "y_true", "is_", "scrublet", "hybrid", "external")
 
@@ -16,26 +18,33 @@ def safe_columns(columns: list[str], denied=DENIED) -> list[str]:
 
 
 def allowed(columns: list[str], patterns: list[str]) -> list[str]:
-    """Columns that a pattern allows, in the order of columns; a pattern that matches none is an error."""
+    """Columns that a pattern allows, in the order of the patterns and each once; a pattern that matches none is an error."""
+    found: dict[str, None] = {}
     for p in patterns:
-        if not fnmatch.filter(columns, p):
+        hits = [c for c in columns if fnmatch.fnmatchcase(c, p)]
+        if not hits:
             raise ValueError(f"no column matches {p}")
-    return [c for c in columns if any(fnmatch.fnmatchcase(c, p) for p in patterns)]
+        found.update(dict.fromkeys(hits))
+    return list(found)
+
 
+def source_groups(edges: DataFrame) -> DataFrame:
+    """feature, source: all features that each depends on, directly or through others.  edges: feature, needs.  A cycle is an error.
 
-def source_groups(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """feature, sources: all features that each depends on, directly or through others.  edges: feature, needs.  A cycle is an error."""
+    Every round doubles the length of the ways that are known, so rounds grow with the logarithm of the longest.
+    """
     direct = edges.select("feature", F.col("needs").alias("source")).distinct()
     out = direct
-    for _ in range(rounds):
-        step = out.join(direct.select(F.col("feature").alias("source"), F.col("source").alias("_n")), "source").select("feature", F.col("_n").alias("source"))
-        after = out.union(step).distinct()
+    held = out.count()
+    while True:
+        step = out.join(out.select(F.col("feature").alias("source"), F.col("source").alias("_n")), "source").select("feature", F.col("_n").alias("source"))
+        after = cut(out.union(step).distinct())
         if not after.filter("feature = source").isEmpty():
             raise ValueError("features depend on each other in a cycle")
-        if after.count() == out.count():
-            return out
-        out = after.checkpoint() if after.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else after
-    return out
+        now = after.count()
+        if now == held:
+            return after
+        out, held = after, now
 
 
 def ablated(columns: list[str], groups: dict[str, list[str]], without: str) -> list[str]:

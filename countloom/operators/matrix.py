@@ -38,23 +38,32 @@ def gene_moments(values: DataFrame, n_cells: DataFrame) -> DataFrame:
     return sums.select("gene", mean.alias("mean"), F.greatest(F.col("_q") / F.col("n") - mean * mean, F.lit(0.0)).alias("variance"))
 
 
-def stable_gene_score(counts: DataFrame, n_cells: DataFrame, top: int = 100) -> DataFrame:
-    """log1p of a cell's counts over the `top` expressed genes of smallest coefficient of variation, ties by gene."""
+def stable_gene_score(counts: DataFrame, cells: DataFrame, top: int = 100) -> DataFrame:
+    """log1p of a cell's counts over the `top` expressed genes of smallest coefficient of variation, ties by gene; 0 for cells without any.  cells: cell."""
+    n_cells = cells.agg(F.count("*").alias("n"))
     moments = gene_moments(counts.withColumnRenamed("count", "value"), n_cells).filter("mean > 0")
     chosen = moments.withColumn("cv", F.sqrt("variance") / F.col("mean")).orderBy("cv", "gene").limit(top).select("gene")
-    return counts.join(F.broadcast(chosen), "gene", "left_semi").groupBy("cell").agg(F.log1p(F.sum("count")).alias("stable"))
+    sums = counts.join(F.broadcast(chosen), "gene", "left_semi").groupBy("cell").agg(F.sum("count").alias("_s"))  # `top` genes at most
+    return cells.select("cell").join(sums, "cell", "left").select("cell", F.log1p(F.coalesce("_s", F.lit(0.0))).alias("stable"))
 
 
 def marker_dosage(counts: DataFrame, cells: DataFrame, top: int = 25) -> DataFrame:
-    """log1p sum of a cell's counts over its cluster's markers: the genes whose cluster mean exceeds the whole mean most."""
+    """log1p sum of a cell's counts over its cluster's markers; 0 for cells without any.
+
+    Markers are the genes whose mean normalised value (log_normalised) in the cluster exceeds the whole mean most, ties by gene.
+    """
+    values = log_normalised(counts).join(cells.select("cell", "cluster"), "cell")
     sizes = cells.groupBy("cluster").agg(F.count("*").alias("_nc"))
     n = cells.agg(F.count("*").alias("_n"))
-    whole = counts.groupBy("gene").agg(F.sum("count").alias("_g")).crossJoin(F.broadcast(n)).select("gene", (F.col("_g") / F.col("_n")).alias("_gm"))
-    tagged = counts.join(cells.select("cell", "cluster"), "cell")
-    per = tagged.groupBy("cluster", "gene").agg(F.sum("count").alias("_s")).join(sizes, "cluster").join(whole, "gene")
+    # sums by cluster and gene give those by gene
+    sums = values.groupBy("cluster", "gene").agg(F.sum("value").alias("_s"))
+    whole = sums.groupBy("gene").agg(F.sum("_s").alias("_g")).crossJoin(F.broadcast(n)).select("gene", (F.col("_g") / F.col("_n")).alias("_gm"))
+    per = sums.join(sizes, "cluster").join(whole, "gene")
     ranked = per.withColumn("_d", F.round(F.col("_s") / F.col("_nc") - F.col("_gm"), 9))
     ranked = ranked.withColumn("_r", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("_d"), "gene"))).filter(F.col("_r") <= top)
-    return tagged.join(ranked.select("cluster", "gene"), ["cluster", "gene"], "left_semi").groupBy("cell").agg(F.log1p(F.sum("count")).alias("marker_dosage"))
+    found = counts.join(cells.select("cell", "cluster"), "cell").join(ranked.select("cluster", "gene"), ["cluster", "gene"], "left_semi")
+    sums = found.groupBy("cell").agg(F.sum("count").alias("_m"))
+    return cells.select("cell").join(sums, "cell", "left").select("cell", F.log1p(F.coalesce("_m", F.lit(0.0))).alias("marker_dosage"))
 
 
 def low_quality(totals: DataFrame, n_genes: DataFrame, min_counts: float = 500, max_mito: float = 0.3) -> DataFrame:
@@ -68,10 +77,11 @@ def low_quality(totals: DataFrame, n_genes: DataFrame, min_counts: float = 500,
         ((F.col("n_count") >= min_counts) & (F.col("n_feature") >= F.col("_least")) & (F.col("mito") <= max_mito)).alias("passes"))
 
 
-def passing_or_all(scored: DataFrame, least: int = 1) -> DataFrame:
-    """Rows that pass; all rows if fewer than `least` do."""
-    enough = scored.agg(F.count_if("passes").alias("_p"))
-    return scored.crossJoin(F.broadcast(enough)).filter((F.col("_p") < least) | F.col("passes")).drop("_p")
+def passing_or_all(scored: DataFrame, least: int = 2) -> DataFrame:
+    """Rows that pass; all rows if fewer than `least` do (one row that passes alone is enough)."""
+    enough = scored.agg(F.count_if("passes").alias("_p"), F.count("*").alias("_n"))
+    few = F.col("_p") < F.least(F.lit(least), F.col("_n"))
+    return scored.crossJoin(F.broadcast(enough)).filter(few | F.col("passes")).drop("_p", "_n")
 
 
 def non_zero(counts: DataFrame) -> DataFrame:

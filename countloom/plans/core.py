@@ -86,7 +86,7 @@ def c8(spark, sf):
 
 
 @query("c11_c12_output_frame", f"""{with_('sc')}, o AS (SELECT cell, {CLIP.format('s1 * 0.5 + s2 * 0.5')} AS overall, s1 * 0.5 AS hom, s2 * 0.5 AS het FROM sc)
- SELECT cell, {d('overall')}, overall >= 0.5 AS called, CASE WHEN overall >= 0.5 THEN CASE WHEN hom >= het THEN 'homotypic' ELSE 'heterotypic' END ELSE '' END AS subtype,
+ SELECT cell, {d('overall')}, overall >= 0.5 AS called, CASE WHEN overall >= 0.5 THEN CASE WHEN hom >= het THEN 'homotypic_doublet' ELSE 'heterotypic_doublet' END ELSE '' END AS subtype,
  round(CASE WHEN overall >= 0.5 THEN CASE WHEN hom + het > 0 THEN greatest(hom, het) / (hom + het) ELSE 0.5 END END, 6) + 0.0 AS confidence FROM o""")
 def c11(spark, sf):
     hom, het = F.col("s1") * 0.5, F.col("s2") * 0.5
@@ -101,16 +101,20 @@ def c13(spark, sf):
     return t.demo_scores(spark, sf).select("cell", scalars.candidate_class(F.col("positive") == 1, F.col("s1"), F.col("s2")).alias("class"))
 
 
-@query("c15_five_way_label", f"""{with_('sc')} SELECT cell, CASE WHEN s3 >= 0.9 THEN 'low_quality' WHEN s2 >= 0.9 AND s2 > s1 THEN 'heterotypic_doublet' WHEN s1 >= 0.9 AND s1 >= s2 THEN 'homotypic_doublet'
- WHEN s1 >= 0.6 OR s2 >= 0.6 OR 1 - (1 - s1) * (1 - s2) >= 0.6 THEN 'uncertain' ELSE 'clean' END AS label FROM sc""")
+@query("c15_five_way_label", f"""{with_('rs')}, v AS (SELECT cell, coalesce(c, 0) AS low, {CLIP.format('coalesce(a, 0)')} AS hom, {CLIP.format('coalesce(b, 0)')} AS het FROM rs)
+ SELECT cell, CASE WHEN low >= 0.9 THEN 'low_quality' WHEN het >= 0.9 AND het > hom THEN 'heterotypic_doublet' WHEN hom >= 0.9 AND hom >= het THEN 'homotypic_doublet'
+ WHEN hom >= 0.6 OR het >= 0.6 OR 1 - (1 - hom) * (1 - het) >= 0.6 THEN 'uncertain' ELSE 'clean' END AS label FROM v""")
 def c15(spark, sf):
-    return t.demo_scores(spark, sf).select("cell", scalars.five_way_label(F.col("s3"), F.col("s1"), F.col("s2")).alias("label"))
+    return t.rough_scores(spark, sf).select("cell", scalars.five_way_label(F.col("c"), F.col("a"), F.col("b")).alias("label"))
 
 
-@query("c18_gated_fusion", f"""{with_('sc')}, g AS (SELECT cell, s1, greatest(0, (s2 - 0.95) / (1 - 0.95)) AS r FROM sc) SELECT cell, {d('s1 + 0.25 * (1 - s1) * r', 'gated_025')}, {d('s1 + 0.5 * (1 - s1) * r', 'gated_050')},
- {d('greatest(s1, r)', 'gated_max')}, {d('s1 + 0.5 * (1 - s1) * CASE WHEN s1 > 0.75 THEN 0 ELSE r END', 'gated_inlier')} FROM g""")
+@query("c18_gated_fusion", f"""{with_('rs')}, v AS (SELECT cell, coalesce(a, (SELECT median(a) FROM rs)) AS a, coalesce(b, (SELECT median(b) FROM rs)) AS b FROM rs),
+ k AS (SELECT cell, (rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0) / count(*) OVER () AS i, (rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0) / count(*) OVER () AS o FROM v),
+ g AS (SELECT cell, i, {CLIP.format('(o - 0.95) / (1 - 0.95)')} AS r FROM k) SELECT cell, {d('i + 0.25 * (1 - i) * r', 'gated_025')}, {d('i + 0.5 * (1 - i) * r', 'gated_050')},
+ {d('greatest(i, 0.5 * r)', 'gated_max')}, {d('i + 0.5 * (1 - i) * CASE WHEN i > 0.75 THEN 0 ELSE r END', 'gated_inlier')} FROM g""")
 def c18(spark, sf):
-    return t.demo_scores(spark, sf).select("cell", *(c.alias(n) for n, c in scalars.gated_fusion(F.col("s1"), F.col("s2")).items()))
+    ranked = ranks.percentile_rank(ranks.percentile_rank(t.rough_scores(spark, sf), "a", "i", constant=0.0), "b", "o", constant=0.0)
+    return ranked.select("cell", *(c.alias(n) for n, c in scalars.gated_fusion(F.col("i"), F.col("o")).items()))
 
 
 @query("c19_c20_residual_identity", f"{with_('sc')} SELECT cell, {d('0.5 * s1 + 0.3 * s2 + 0.2 * s3', 'residual')}, {d('0.45 * greatest(0, s1 - 0.5) + 0.35 * greatest(0, s2 - 0.5) + 0.2 / (1 + s3)', 'identity')} FROM sc")
@@ -191,7 +195,7 @@ def a14(spark, sf):
 
 @query("d1_quality_filter", f"""{with_('tot')}, m AS (SELECT cell, sum(CASE WHEN gene LIKE '1%' THEN count ELSE 0 END) / sum(count) AS mito FROM cm1 GROUP BY 1), g AS (SELECT least(200.0, ceil(0.1 * count(DISTINCT gene))) AS l FROM cm1),
  q AS (SELECT cell, greatest({CLIP.format('1 - n_count / 500.0')}, {CLIP.format('1 - n_feature / l')}, {CLIP.format('(mito - 0.3) / 0.7')}) AS low_quality, n_count >= 500 AND n_feature >= l AND mito <= 0.3 AS passes FROM tot JOIN m USING (cell), g)
- SELECT cell, {d('low_quality')}, passes FROM q WHERE passes OR (SELECT count(*) FILTER (passes) FROM q) < 1""")
+ SELECT cell, {d('low_quality')}, passes FROM q WHERE passes OR (SELECT count(*) FILTER (passes) FROM q) < least(2, (SELECT count(*) FROM q))""")
 def d1(spark, sf):
     counts = t.purchase_counts(spark, sf)
     totals = matrix.cell_totals(counts).join(matrix.prefix_fraction(counts, ["1"], "mito"), "cell")
@@ -290,24 +294,27 @@ def e5(spark, sf):
 
 
 @query("e6_stable_genes", f"""{with_('cm1')}, n AS (SELECT count(*) AS n FROM customer), g AS (SELECT gene, sum(count) / any_value(n) AS mu, greatest(sum(count * count) / any_value(n) - power(sum(count) / any_value(n), 2), 0) AS va FROM cm1, n GROUP BY 1),
- s AS (SELECT gene FROM g WHERE mu > 0 ORDER BY sqrt(va) / mu, gene LIMIT 100) SELECT cell, {d('ln(1 + sum(count))', 'stable')} FROM cm1 JOIN s USING (gene) GROUP BY cell""")
+ s AS (SELECT gene FROM g WHERE mu > 0 ORDER BY sqrt(va) / mu, gene LIMIT 100), v AS (SELECT cell, sum(count) AS v FROM cm1 JOIN s USING (gene) GROUP BY cell)
+ SELECT CAST(c_custkey AS VARCHAR) AS cell, {d('ln(1 + coalesce(v, 0))', 'stable')} FROM customer LEFT JOIN v ON cell = CAST(c_custkey AS VARCHAR)""")
 def e6(spark, sf):
-    n = t.table(spark, sf, "customer").agg(F.count("*").alias("n"))
-    return matrix.stable_gene_score(t.purchase_counts(spark, sf), n)
+    return matrix.stable_gene_score(t.purchase_counts(spark, sf), t.customer_cells(spark, sf))
 
 
-@query("e7_marker_dosage", f"""{with_('cm1', 'cells')}, nc AS (SELECT cluster, count(*) AS k FROM cells GROUP BY 1), w AS (SELECT gene, sum(count) / (SELECT count(*) FROM cells) AS gm FROM cm1 GROUP BY 1),
- p AS (SELECT cluster, gene, sum(count) AS s FROM cm1 JOIN cells USING (cell) GROUP BY 1, 2),
+@query("e7_marker_dosage", f"""{with_('cells', 'tot')}, nc AS (SELECT cluster, count(*) AS k FROM cells GROUP BY 1), x AS (SELECT cell, gene, ln(1 + count * 1e4 / n_count) AS value FROM cm1 JOIN tot USING (cell)),
+ w AS (SELECT gene, sum(value) / (SELECT count(*) FROM cells) AS gm FROM x GROUP BY 1), p AS (SELECT cluster, gene, sum(value) AS s FROM x JOIN cells USING (cell) GROUP BY 1, 2),
  r AS (SELECT cluster, gene, row_number() OVER (PARTITION BY cluster ORDER BY round(s / k - gm, 9) DESC, gene) AS r FROM p JOIN nc USING (cluster) JOIN w USING (gene))
- SELECT cell, {d('ln(1 + sum(count))', 'marker_dosage')} FROM cm1 JOIN cells USING (cell) JOIN r USING (cluster, gene) WHERE r <= 25 GROUP BY cell""")
+, m AS (SELECT cell, sum(count) AS m FROM cm1 JOIN cells USING (cell) JOIN r USING (cluster, gene) WHERE r <= 25 GROUP BY cell)
+ SELECT cell, {d('ln(1 + coalesce(m, 0))', 'marker_dosage')} FROM cells LEFT JOIN m USING (cell)""")
 def e7(spark, sf):
     return matrix.marker_dosage(t.purchase_counts(spark, sf), t.customer_cells(spark, sf))
 
 
-@query("e9_informativeness", f"""{with_('sc')} SELECT {d('quantile_cont(s1, 0.95) - quantile_cont(s1, 0.5)', 'tail')}, {d('quantile_cont(s1, 0.75) - quantile_cont(s1, 0.25)', 'spread')}, {d('corr(s1, s2)', 'pearson')} FROM sc""")
+@query("e9_informativeness", f"""{with_('rs')}, q AS (SELECT cluster, quantile_cont(a, 0.5) AS q50, quantile_cont(a, 0.95) AS q95, greatest(quantile_cont(a, 0.75) - quantile_cont(a, 0.25), 1e-8) AS iqr, count(DISTINCT a) AS k,
+ corr(a, ln(1 + spent)) AS r FROM rs GROUP BY cluster) SELECT cluster, {d("CASE WHEN k <= 1 THEN 0 ELSE (0.65 * " + CLIP.format('((q95 - q50) / iqr - 1) / 3') + " + 0.35 * " + CLIP.format('iqr / 0.25') + ") * coalesce(least(greatest(1 - 0.35 * abs(r), 0.45), 1), 1) END", 'informativeness')} FROM q""")
 def e9(spark, sf):
-    q = F.expr("percentile(s1, array(0.25, 0.5, 0.75, 0.95))")
-    return t.demo_scores(spark, sf).agg(q.alias("q"), F.corr("s1", "s2").alias("pearson")).select((F.col("q")[3] - F.col("q")[1]).alias("tail"), (F.col("q")[2] - F.col("q")[0]).alias("spread"), "pearson")
+    s = t.rough_scores(spark, sf).withColumn("a", scalars.finite(F.col("a")))
+    q = s.groupBy("cluster").agg(F.expr("percentile(a, array(0.25, 0.5, 0.75, 0.95))").alias("q"), F.count_distinct("a").alias("k"), F.corr("a", F.log1p("spent")).alias("r"))
+    return q.select("cluster", scalars.informativeness(*(F.col("q")[p] for p in range(4)), F.col("k"), F.col("r")).alias("informativeness"))
 
 
 # ---------------------------------------------------------------- ranks
@@ -368,9 +375,9 @@ def f10(spark, sf):
     return ranks.expected_rate_threshold(t.demo_scores(spark, sf), "s1", 0.2)
 
 
-@query("f12_auto_threshold", f"""{with_('sc')} SELECT {d('least(greatest(CASE WHEN mad(s1) > 0 THEN median(s1) + 3 * 1.4826 * mad(s1) ELSE quantile_cont(s1, 0.95) END, min(s1)), max(s1))', 'threshold')} FROM sc""")
+@query("f12_auto_threshold", f"""{with_('rs')} SELECT {d(CLIP.format('CASE WHEN median(b) + 3 * 1.4826 * mad(b) >= max(b) THEN quantile_cont(b, 0.95) ELSE median(b) + 3 * 1.4826 * mad(b) END'), 'threshold')} FROM rs""")
 def f12(spark, sf):
-    return ranks.auto_threshold(t.demo_scores(spark, sf), "s1")
+    return ranks.auto_threshold(t.rough_scores(spark, sf), "b")
 
 
 @query("f13_minimum_prefix", f"{with_('sc')}, r AS (SELECT row_number() OVER (ORDER BY s1 DESC, cell) AS k, sum(positive) OVER (ORDER BY s1 DESC, cell ROWS UNBOUNDED PRECEDING) AS tp, sum(positive) OVER () AS p FROM sc) SELECT {i('min(k)', 'selected')} FROM r WHERE tp >= ceil(0.5 * p - 1e-12)")

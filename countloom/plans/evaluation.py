@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from countloom.functions import ranks
-from countloom.operators import audits, metrics, neighbours
+from countloom.functions import ranks, scalars
+from countloom.operators import audits, metrics, neighbours, points
 from countloom.plans.core import rank_sql
 from countloom.plans.registry import d, i, query, with_
 from countloom.sources import tables as t
@@ -71,19 +71,32 @@ def e15(spark, sf):
     return metrics.fpr_at_budget(t.demo_scores(spark, sf), "s1", "cell", "positive", "hard", ["cluster"])
 
 
-@query("e16_operating_points", f"""{with_('sc')}, r AS (SELECT s1, row_number() OVER w AS r, sum(positive) OVER w AS tp, sum(hard) OVER w AS fp, sum(positive) OVER () AS p, sum(hard) OVER () AS h FROM sc WINDOW w AS (ORDER BY s1 DESC, cell ROWS UNBOUNDED PRECEDING)),
- x AS (SELECT target, min(r) AS r FROM r, (SELECT unnest([0.5, 0.7, 0.8, 0.9])::DOUBLE AS target) WHERE tp >= ceil(target * p - 1e-12) GROUP BY 1)
- SELECT {d('target')}, {i('r.r', 'selected')}, {d('s1', 'threshold')}, {d('tp / r.r', 'precision')}, {d('tp / p', 'recall')}, {d('fp / h', 'hard_fpr')} FROM x JOIN r USING (r)""")
+POINTS = """k AS (SELECT *, row_number() OVER w AS rank, count(*) FILTER (label = 'homotypic_doublet') OVER w AS hom, count(*) FILTER (label = 'heterotypic_doublet') OVER w AS het, count(*) FILTER (label = 'high_RNA_singlet') OVER w AS rna
+  FROM ms WINDOW w AS (PARTITION BY method ORDER BY score DESC NULLS LAST, cell ROWS UNBOUNDED PRECEDING)),
+ tt AS (SELECT method, count(*) AS n_cells, max(hom) AS n_hom, max(het) AS n_het, max(rna) AS n_high, count(score) AS known FROM k GROUP BY 1),
+ pt AS (SELECT * FROM (VALUES ('fixed_candidate_fraction', NULL::DOUBLE), ('matched_overall_recall', 0.5), ('matched_overall_recall', 0.7), ('matched_overall_recall', 0.8), ('matched_overall_recall', 0.9),
+  ('matched_homotypic_recall', 0.5), ('matched_homotypic_recall', 0.7), ('matched_homotypic_recall', 0.8)) v(type, target)),
+ r AS (SELECT tt.method, type, target, min(rank) AS rank FROM tt, pt, k WHERE k.method = tt.method AND known > 0 AND CASE type WHEN 'fixed_candidate_fraction' THEN rank >= round_even(0.2 * n_cells, 0)
+  WHEN 'matched_overall_recall' THEN hom + het >= ceil(target * (n_hom + n_het) - 1e-12) ELSE hom >= ceil(target * n_hom - 1e-12) END GROUP BY 1, 2, 3),
+ pts AS (SELECT tt.method, pt.type, pt.target, coalesce(r.rank, 0) AS selected, coalesce(r.rank, 0) / n_cells AS fraction, CASE WHEN r.rank IS NOT NULL THEN coalesce(score, '-inf'::DOUBLE) END AS threshold, (hom + het) / r.rank AS precision,
+  coalesce(hom + het, 0) / (n_hom + n_het) AS overall_recall, coalesce(hom, 0) / n_hom AS homotypic_recall, coalesce(het, 0) / n_het AS heterotypic_recall, coalesce(rna, 0) / n_high AS fpr,
+  n_cells, n_hom + n_het AS n_true, n_hom, n_het, n_high, coalesce(rna, 0) AS n_selected_high, CASE WHEN known = 0 THEN 'NOT_AVAILABLE' ELSE 'SUCCESS' END AS status, CASE WHEN known = 0 THEN 'no finite scores' ELSE '' END AS message
+  FROM tt CROSS JOIN pt LEFT JOIN r ON r.method = tt.method AND r.type = pt.type AND r.target IS NOT DISTINCT FROM pt.target LEFT JOIN k ON k.method = r.method AND k.rank = r.rank)"""
+
+
+@query("e16_operating_points", f"""{with_('ms')}, {POINTS} SELECT method, type, {d('target')}, {i('selected')}, {d('fraction')}, {d('threshold')}, {d('precision')}, {d('overall_recall')}, {d('homotypic_recall')}, {d('heterotypic_recall')}, {d('fpr')},
+ {i('n_cells')}, {i('n_true')}, {i('n_hom')}, {i('n_het')}, {i('n_high')}, {i('n_selected_high')}, status, message FROM pts""")
 def e16(spark, sf):
-    return metrics.operating_points(t.demo_scores(spark, sf), "s1", "cell", "positive", "hard")
+    return points.operating_table(t.method_scores(spark, sf))
 
 
-@query("e17_metric_bundle", f"""{with_('sc')}, r AS (SELECT row_number() OVER w AS r, sum(positive) OVER w AS tp, sum(hard) OVER w AS fp, sum(positive) OVER () AS p, sum(hard) OVER () AS h FROM sc WINDOW w AS (ORDER BY s1 DESC, cell ROWS UNBOUNDED PRECEDING)),
- x AS (SELECT target, min(r) AS r FROM r, (SELECT unnest([0.5, 0.8])::DOUBLE AS target) WHERE tp >= ceil(target * p - 1e-12) GROUP BY 1), y AS (SELECT target, fp / h AS f FROM x JOIN r USING (r))
- SELECT {d('max(f) FILTER (target = 0.5)', 'fpr_50')}, {d('max(f) FILTER (target = 0.8)', 'fpr_80')} FROM y""")
+@query("e17_metric_bundle", f"""{with_('ms')}, {POINTS}, p AS (SELECT * FROM pts WHERE type = 'matched_homotypic_recall' AND target = 0.5),
+ h AS (SELECT tt.method, n_hom + n_het AS budget, CASE WHEN known > 0 THEN rna / n_high END AS f FROM tt JOIN k ON k.method = tt.method AND k.rank = n_hom + n_het)
+ SELECT p.method, {d('p.fpr', 'fpr')}, p.status, p.message AS reason, {d("max(x.fpr) FILTER (x.target = 0.7 AND x.type = 'matched_homotypic_recall')", 'fpr_70')}, {d("max(x.fpr) FILTER (x.target = 0.8 AND x.type = 'matched_homotypic_recall')", 'fpr_80')},
+ {d("max(x.fpr) FILTER (x.type = 'fixed_candidate_fraction')", 'fpr_fixed')}, {d('p.homotypic_recall', 'recall')}, {d('p.fraction', 'fraction')}, {i('p.selected', 'selected')}, {i('any_value(budget)', 'budget')}, {d('any_value(f)', 'fpr_budget')}
+ FROM p JOIN pts x USING (method) JOIN h USING (method) GROUP BY p.method, p.fpr, p.status, p.message, p.homotypic_recall, p.fraction, p.selected""")
 def e17(spark, sf):
-    p = metrics.operating_points(t.demo_scores(spark, sf), "s1", "cell", "positive", "hard", (0.5, 0.8))
-    return p.agg(F.max(F.when(F.col("target") == 0.5, F.col("hard_fpr"))).alias("fpr_50"), F.max(F.when(F.col("target") == 0.8, F.col("hard_fpr"))).alias("fpr_80"))
+    return points.metric_bundle(t.method_scores(spark, sf))
 
 
 @query("e18_rate_budget", f"{with_('sc')} SELECT cell, {i('row_number() OVER (ORDER BY s1 DESC, cell)', 'rank')}, row_number() OVER (ORDER BY s1 DESC, cell) <= round_even(0.08 * count(*) OVER (), 0) AS selected FROM sc")
@@ -107,24 +120,34 @@ def e21(spark, sf):
     return t.table(spark, sf, "events").groupBy("event_type", (F.col("user_id") % 7).alias("seed")).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
 
 
-@query("e22_paired_delta", f"""{with_('sc')} SELECT cluster, {d('avg(s1)', 'main')}, {d('avg(s1) - greatest(avg(s2), avg(s3))', 'delta')} FROM sc GROUP BY 1""")
+@query("e22_paired_delta", f"""{with_('rs')}, m AS (SELECT cluster AS dataset, key % 3 AS seed, avg(a) AS main, avg(b) AS b, avg(c) AS c FROM rs GROUP BY 1, 2) SELECT dataset, {i('count(*)', 'seeds')}, {d('avg(main)', 'main')}, {d('avg(main - greatest(b, c))', 'delta')} FROM m GROUP BY 1""")
 def e22(spark, sf):
-    long = t.demo_scores(spark, sf).unpivot(["cluster", "cell"], ["s1", "s2", "s3"], "method", "score")
-    wide = long.groupBy("cluster").pivot("method", ["s1", "s2", "s3"]).agg(F.avg("score"))
-    return wide.select("cluster", F.col("s1").alias("main"), (F.col("s1") - F.greatest("s2", "s3")).alias("delta"))
+    """Per dataset: mean over seeds of the main method's score less the best of the others of the same seed."""
+    long = t.method_scores(spark, sf).filter("method <> 'none'").withColumn("score", scalars.finite(F.col("score")))
+    wide = long.groupBy(F.col("cluster").alias("dataset"), (F.col("key") % 3).alias("seed")).pivot("method", ["a", "b", "c"]).agg(F.avg("score"))
+    return wide.withColumn("delta", F.col("a") - F.greatest("b", "c")).groupBy("dataset").agg(F.count("*").alias("seeds"), F.avg("a").alias("main"), F.avg("delta").alias("delta"))
 
 
-@query("e23_top_k_overlap", f"""{with_('sc')}, r AS (SELECT row_number() OVER (ORDER BY s1 DESC, cell) <= 100 AS a, row_number() OVER (ORDER BY s2 DESC, cell) <= 100 AS b FROM sc) SELECT {i('count(*) FILTER (a AND b)', 'both')}, {i('count(*) FILTER (a OR b)', 'either')}, {d('count(*) FILTER (a AND b) / count(*) FILTER (a OR b)', 'jaccard')} FROM r""")
+@query("e23_top_k_overlap", f"""{with_('rs')}, k AS (SELECT row_number() OVER (ORDER BY a DESC NULLS LAST, cell) <= 100 AS m, row_number() OVER (ORDER BY b DESC NULLS LAST, cell) <= 100 AS x, row_number() OVER (ORDER BY c DESC NULLS LAST, cell) <= 100 AS y,
+ row_number() OVER (ORDER BY spent DESC NULLS LAST, cell) <= 100 AS z FROM rs), e AS (SELECT m, x AS o, 'b' AS other FROM k UNION ALL SELECT m, y, 'c' FROM k UNION ALL SELECT m, z, 'spent' FROM k UNION ALL SELECT m, x::INT + y::INT + z::INT >= 2, 'consensus' FROM k)
+ SELECT other, {i('count(*) FILTER (m)', 'k')}, {i('count(*) FILTER (m AND o)', 'both')}, {i('count(*) FILTER (m OR o)', 'either')}, {d('count(*) FILTER (m AND o) / count(*) FILTER (m OR o)', 'jaccard')}, {i('count(*) FILTER (m AND NOT o)', 'main_only')}, {i('count(*) FILTER (o AND NOT m)', 'other_only')} FROM e GROUP BY other""")
 def e23(spark, sf):
-    s = ranks.top_rank(ranks.top_rank(t.demo_scores(spark, sf), "s1", "cell", "a"), "s2", "cell", "b")
-    a, b = F.col("a") <= 100, F.col("b") <= 100
-    return s.agg(F.count_if(a & b).alias("both"), F.count_if(a | b).alias("either")).withColumn("jaccard", F.col("both") / F.col("either"))
-
-
-@query("e24_feature_statistics", f"""{with_('sc')}, r AS (SELECT {rank_sql('s1', 'sc')} AS a, {rank_sql('s2', 'sc')} AS b FROM sc) SELECT {d('2 * auroc - 1', 'cliffs_delta')}, {d('(SELECT corr(a, b) FROM r)', 'spearman')} FROM {auroc_sql('s1', 'positive', 'sc')}""")
+    s = t.rough_scores(spark, sf).withColumn("b", scalars.finite(F.col("b")))
+    return audits.top_k_overlap(s, "cell", "a", ["b", "c", "spent"], 100)
+
+
+@query("e24_feature_statistics", f"""{with_('rs')}, g AS (SELECT CASE WHEN label IN ('homotypic_doublet', 'heterotypic_doublet') THEN 'case' WHEN label = 'high_RNA_singlet' THEN 'control' ELSE 'other' END AS grp, a, b, c, spent FROM rs),
+ f AS (SELECT grp, 'a' AS feature, a AS v, spent AS n FROM g UNION ALL SELECT grp, 'b', b, spent FROM g UNION ALL SELECT grp, 'c', c, spent FROM g),
+ u AS (SELECT feature, grp, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0 AS r FROM f WHERE grp <> 'other' AND v IS NOT NULL),
+ w AS (SELECT feature, count(*) FILTER (grp = 'case') AS m, count(*) FILTER (grp = 'control') AS n, sum(r) FILTER (grp = 'case') AS r FROM u GROUP BY 1), x AS (SELECT feature, (r - m * (m + 1) / 2) / (m * n) AS auroc FROM w),
+ s AS (SELECT feature, (median(v) FILTER (grp = 'case') - median(v) FILTER (grp = 'control')) / stddev_samp(v) FILTER (grp <> 'other') AS effect FROM f GROUP BY 1),
+ p AS (SELECT feature, grp, rank() OVER (PARTITION BY feature, grp ORDER BY v) + (count(*) OVER (PARTITION BY feature, grp, v) - 1) / 2.0 AS rv, rank() OVER (PARTITION BY feature, grp ORDER BY n) + (count(*) OVER (PARTITION BY feature, grp, n) - 1) / 2.0 AS rn FROM f WHERE v IS NOT NULL AND n IS NOT NULL),
+ c AS (SELECT feature, grp, corr(rv, rn) AS spearman FROM p GROUP BY 1, 2), q AS (SELECT feature, grp, count(v) AS n, median(v) AS median, quantile_cont(v, 0.25) AS q25, quantile_cont(v, 0.75) AS q75 FROM f GROUP BY 1, 2)
+ SELECT feature, q.grp AS "group", {i('n')}, {d('median')}, {d('q25')}, {d('q75')}, {d('effect')}, {d('2 * auroc - 1', 'cliffs_delta')}, {d('auroc')}, {d('spearman')} FROM q JOIN x USING (feature) JOIN s USING (feature) JOIN c USING (feature, grp)""")
 def e24(spark, sf):
-    s = t.demo_scores(spark, sf)
-    return metrics.cliffs_delta(s, "s1", "positive").crossJoin(F.broadcast(metrics.spearman(s, "s1", "s2")))
+    s = t.rough_scores(spark, sf).withColumn("b", scalars.finite(F.col("b")))
+    kind = F.when(F.col("label").isin(*scalars.CLASSES[2:]), "case").when(F.col("label") == scalars.CLASSES[1], "control").otherwise("other")
+    return metrics.feature_statistics(s.withColumn("group", kind), ["a", "b", "c"], "group", "case", "control", "spent")
 
 
 @query("e25_blind_spot", f"""{with_('cells')}, p AS (SELECT count(*) / sum(count(*)) OVER () AS p FROM cells GROUP BY cluster), j AS (SELECT count(*) / sum(count(*)) OVER () AS p FROM cells GROUP BY cluster, library) SELECT {d('(SELECT sum(p * p) FROM p)', 'within')}, {d('(SELECT sum(p * p) FROM j) / (SELECT sum(p * p) FROM p)', 'joint_share')}""")
@@ -179,9 +202,15 @@ def e27(spark, sf):
     return classes.join(stats, ["label", "metric"], "left").fillna(0, ["n"])
 
 
-@query("e28_candidate_summary", f"{with_('sc')} SELECT cluster, {i('count(*)', 'cells')}, {i('sum(positive)', 'candidates')}, {d('100.0 * sum(positive) / count(*)', 'percent')} FROM sc GROUP BY 1")
+@query("e28_candidate_summary", f"""{with_('rs')}, c AS (SELECT CASE WHEN coalesce(c, 0) < 0.5 THEN 'non_candidate' WHEN q >= 0.6 THEN 'homotypic_like' WHEN q <= 0.4 THEN 'heterotypic_like' ELSE 'subtype_ambiguous' END AS class FROM
+ (SELECT c, CASE WHEN coalesce(a, 0) + coalesce(b, 0) > 0 THEN coalesce(a, 0) / (coalesce(a, 0) + coalesce(b, 0)) ELSE 0.5 END AS q FROM rs)), k AS (SELECT unnest(['non_candidate', 'homotypic_like', 'heterotypic_like', 'subtype_ambiguous', 'withheld']) AS class)
+ SELECT k.class, {i('count(c.class)', 'n')}, {d('100.0 * count(c.class) / (SELECT greatest(count(*), 1) FROM c)', 'percent')} FROM k LEFT JOIN c USING (class) GROUP BY 1""")
 def e28(spark, sf):
-    return t.demo_scores(spark, sf).groupBy("cluster").agg(F.count("*").alias("cells"), F.sum("positive").alias("candidates")).withColumn("percent", 100.0 * F.col("candidates") / F.col("cells"))
+    """Counts and percents of every class, 0 for classes without cells."""
+    s = t.rough_scores(spark, sf)
+    hom, het = scalars.known_or_zero(F.col("a")), scalars.known_or_zero(F.col("b"))
+    named = s.select(scalars.candidate_class(F.coalesce(F.col("c") >= 0.5, F.lit(False)), hom, het).alias("class")).replace({"not_candidate": "non_candidate"})
+    return audits.class_summary(named, "class", ["non_candidate", "homotypic_like", "heterotypic_like", "subtype_ambiguous", "withheld"])
 
 
 @query("e29_display_budget", f"{with_('sc')} SELECT cluster, {i('least(greatest(floor(0.08 * count(*) + 0.5), 0), count(*))', 'budget')} FROM sc GROUP BY 1")
@@ -190,12 +219,17 @@ def e29(spark, sf):
     return t.demo_scores(spark, sf).groupBy("cluster").agg(F.least(F.greatest(F.floor(0.08 * n + 0.5), F.lit(0)), n).alias("budget"))
 
 
-@query("e30_permutation_summary", f"""{with_('sc')} SELECT cluster, {d('avg(s1)', 'mean')}, {d('quantile_cont(s1, 0.025)', 'low')}, {d('quantile_cont(s1, 0.975)', 'high')}, {d('(1 + count(*) FILTER (s1 >= 0.95)) / (1.0 + count(*))', 'p')},
- CASE WHEN count(*) < 20 THEN 'inconclusive' WHEN (1 + count(*) FILTER (s1 >= 0.95)) / (1.0 + count(*)) <= 0.05 THEN 'supported' ELSE 'not_supported' END AS evidence FROM sc GROUP BY 1""")
+@query("e30_permutation_summary", f"""WITH n AS (SELECT event_type AS metric, value, user_id % 5 = 0 AS broken FROM events), o AS (SELECT metric, CASE metric WHEN 'click' THEN max(value) + 1 WHEN 'view' THEN median(value) ELSE min(value) - 1 END AS v, CASE metric WHEN 'click' THEN 'higher' WHEN 'view' THEN 'higher' ELSE 'lower' END AS direction FROM n GROUP BY 1),
+ s AS (SELECT metric, direction, any_value(v) AS observed, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, median(value) AS median, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high,
+ (1 + count(*) FILTER (CASE direction WHEN 'higher' THEN value >= v ELSE value <= v END)) / (1.0 + count(value)) AS p, 100.0 * count(*) FILTER (value <= v) / count(value) AS percentile FROM n JOIN o USING (metric) GROUP BY 1, 2)
+ SELECT metric, direction, {d('observed')}, {i('n')}, {d('mean', 'null_mean')}, {d('std', 'null_std')}, {d('median', 'null_median')}, {d('low', 'null_025')}, {d('high', 'null_975')}, {d('p')}, {d('percentile')},
+ CASE WHEN n < 20 THEN 'INCONCLUSIVE' WHEN p <= 0.05 AND (observed > mean) = (direction = 'higher') AND observed <> mean THEN 'SUPPORTED' ELSE 'NOT_SUPPORTED' END AS evidence FROM s""")
 def e30(spark, sf):
-    s = t.demo_scores(spark, sf).groupBy("cluster").agg(F.avg("s1").alias("mean"), F.expr("percentile(s1, array(0.025, 0.975))").alias("q"), F.count("*").alias("n"), F.count_if(F.col("s1") >= 0.95).alias("k"))
-    p = (1 + F.col("k")) / (1.0 + F.col("n"))
-    return s.select("cluster", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"), p.alias("p"), F.when(F.col("n") < 20, "inconclusive").when(p <= 0.05, "supported").otherwise("not_supported").alias("evidence"))
+    null = t.table(spark, sf, "events").select(F.col("event_type").alias("metric"), "value")
+    m = F.col("metric")
+    observed = null.groupBy("metric").agg(F.max("value").alias("x"), F.expr("percentile(value, 0.5)").alias("y"), F.min("value").alias("z")).select(
+        "metric", F.when(m == "click", F.col("x") + 1).when(m == "view", F.col("y")).otherwise(F.col("z") - 1).alias("observed"), F.when(m.isin("click", "view"), "higher").otherwise("lower").alias("direction"))
+    return metrics.permutation_summary(null, observed)
 
 
 @query("e31_cluster_balance", f"{with_('sc')} SELECT cluster, {i('sum(positive)', 'cases')}, {i('sum(hard)', 'controls')}, {d('sum(positive) / sum(sum(positive)) OVER () - sum(hard) / sum(sum(hard)) OVER ()', 'imbalance')} FROM sc GROUP BY 1")
@@ -205,13 +239,30 @@ def e31(spark, sf):
     return g.withColumn("imbalance", F.col("cases") / F.sum("cases").over(w) - F.col("controls") / F.sum("controls").over(w))
 
 
-@query("e32_confusion", f"""{with_('sc')}, c AS (SELECT key % 3 AS fold, count(*) FILTER (s1 >= 0.5 AND positive = 1)::DOUBLE AS tp, count(*) FILTER (s1 >= 0.5 AND positive = 0)::DOUBLE AS fp, count(*) FILTER (s1 < 0.5 AND positive = 1)::DOUBLE AS fn, count(*) FILTER (s1 < 0.5 AND positive = 0)::DOUBLE AS tn FROM sc GROUP BY 1)
- SELECT {i('fold')}, {d('(tp / (tp + fn) + tn / (tn + fp)) / 2', 'balanced_accuracy')}, {d('(tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))', 'mcc')} FROM c""")
+CV = """v AS (SELECT key % 3 AS fold, CASE WHEN label IN ('homotypic_doublet', 'heterotypic_doublet') THEN 1 ELSE 0 END AS y, least(greatest(coalesce(a, 0), 0), 1) AS p FROM rs),
+ w AS (SELECT fold, y, p FROM v UNION ALL SELECT -1, y, p FROM v),
+ c AS (SELECT fold, count(*) FILTER (p >= 0.5 AND y = 1)::DOUBLE AS tp, count(*) FILTER (p >= 0.5 AND y = 0)::DOUBLE AS fp, count(*) FILTER (p < 0.5 AND y = 1)::DOUBLE AS fn, count(*) FILTER (p < 0.5 AND y = 0)::DOUBLE AS tn FROM w GROUP BY 1),
+ u AS (SELECT fold, y, rank() OVER (PARTITION BY fold ORDER BY p) + (count(*) OVER (PARTITION BY fold, p) - 1) / 2.0 AS r FROM w), a AS (SELECT fold, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) AS auroc FROM u GROUP BY 1),
+ s AS (SELECT fold, p, sum(y) AS t, count(*) AS n FROM w GROUP BY 1, 2), x AS (SELECT fold, t, sum(t) OVER z AS tp, sum(n) OVER z AS n, sum(t) OVER (PARTITION BY fold) AS al FROM s WINDOW z AS (PARTITION BY fold ORDER BY p DESC ROWS UNBOUNDED PRECEDING)), e AS (SELECT fold, sum(t * tp / n) / any_value(al) AS auprc FROM x GROUP BY 1),
+ f AS (SELECT fold, tp, fp, fn, tn, auroc, auprc, (tp + fn) / (tp + fp + fn + tn) AS prevalence FROM c JOIN a USING (fold) JOIN e USING (fold))"""
+
+
+@query("e32_fold_metrics", f"""{with_('rs')}, {CV} SELECT {i('fold')}, {d('auroc')}, {d('auprc')}, {d('prevalence')}, {d('(tp / (tp + fn) + tn / (tn + fp)) / 2', 'balanced_accuracy')},
+ {d('CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0 END', 'mcc')} FROM f""")
 def e32(spark, sf):
-    hit, pos = F.col("s1") >= 0.5, F.col("positive") == 1
-    c = t.demo_scores(spark, sf).groupBy((F.col("key") % 3).alias("fold")).agg(*(F.count_if(x).cast("double").alias(n) for n, x in (("tp", hit & pos), ("fp", hit & ~pos), ("fn", ~hit & pos), ("tn", ~hit & ~pos))))
-    tp, fp, fn, tn = (F.col(n) for n in ("tp", "fp", "fn", "tn"))
-    return c.select("fold", ((tp / (tp + fn) + tn / (tn + fp)) / 2).alias("balanced_accuracy"), ((tp * tn - fp * fn) / F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))).alias("mcc"))
+    """Per fold, and pooled as fold -1."""
+    return metrics.fold_metrics(cv_predictions(spark, sf), "fold", "p", "y")
+
+
+@query("e32_fold_summary", f"""{with_('rs')}, {CV}, k AS (SELECT * FROM f WHERE fold >= 0) SELECT {i('count(*)', 'folds')}, {d('avg(auroc)', 'auroc_mean')}, {d('stddev_pop(auroc)', 'auroc_std')}, {d('CASE WHEN max(prevalence) - min(prevalence) <= 0.1 THEN avg(auprc) END', 'auprc_mean')},
+ {d('CASE WHEN max(prevalence) - min(prevalence) <= 0.1 THEN stddev_pop(auprc) END', 'auprc_std')}, {d('(SELECT auroc FROM f WHERE fold = -1)', 'pooled_auroc')}, {d('(SELECT auprc FROM f WHERE fold = -1)', 'pooled_auprc')} FROM k""")
+def e32s(spark, sf):
+    return metrics.fold_summary(metrics.fold_metrics(cv_predictions(spark, sf), "fold", "p", "y"), "fold")
+
+
+def cv_predictions(spark, sf):
+    s = t.rough_scores(spark, sf)
+    return s.select((F.col("key") % 3).alias("fold"), F.when(F.col("label").isin(*scalars.CLASSES[2:]), 1).otherwise(0).alias("y"), scalars.clip(scalars.known_or_zero(F.col("a")), 0.0, 1.0).alias("p"))
 
 
 GRID = """g AS (SELECT r_name AS dataset, m.method FROM region, (SELECT DISTINCT event_type AS method FROM events UNION ALL SELECT 'never') m),
@@ -238,10 +289,15 @@ def e33(spark, sf):
 PAIRS = "pr AS (SELECT CAST(l_partkey AS VARCHAR) AS a, CAST(l_suppkey AS VARCHAR) AS b, l_returnflag AS s, least(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS x, greatest(CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR)) AS y FROM lineitem)"
 
 
-@query("e36_pair_duplicates", f"""WITH {PAIRS}, c AS (SELECT count(*) AS n, count(DISTINCT a) AS ways, count(DISTINCT s) AS splits FROM pr GROUP BY x, y), e AS (SELECT count(*) AS n FROM pr GROUP BY a, b), p AS (SELECT count(DISTINCT s) AS n FROM (SELECT a, s FROM pr UNION ALL SELECT b, s FROM pr) GROUP BY a)
- SELECT {i('sum(n - 1)', 'canonical_repeats')}, {i('count(*) FILTER (ways > 1)', 'reversed_pairs')}, {i('count(*) FILTER (splits > 1)', 'pairs_across')}, {i('sum(n)', 'pairs')}, {i('(SELECT sum(n - 1) FROM e)', 'exact_repeats')}, {i('(SELECT count(*) FILTER (n > 1) FROM p)', 'parents_across')} FROM c""")
+@query("e36_pair_duplicates", f"""WITH {PAIRS}, ids AS (SELECT CAST(l_orderkey AS VARCHAR) || ':' || l_linenumber AS id, CAST(l_partkey AS VARCHAR) AS a, CAST(l_suppkey AS VARCHAR) AS b, l_returnflag AS s, l_quantity || '/' || l_extendedprice AS profile FROM lineitem),
+ c AS (SELECT count(*) AS n, count(DISTINCT a) AS ways, count(DISTINCT s) AS splits FROM pr GROUP BY x, y), e AS (SELECT count(*) AS n FROM pr GROUP BY a, b), p AS (SELECT count(DISTINCT s) AS n FROM (SELECT a, s FROM pr UNION ALL SELECT b, s FROM pr) GROUP BY a),
+ g AS (SELECT count(*) AS n FROM ids GROUP BY id, a, b, s, profile), h AS (SELECT count(*) AS n FROM ids GROUP BY id), o AS (SELECT count(*) AS n FROM ids GROUP BY profile)
+ SELECT {i('(SELECT sum(n - 1) FROM e)', 'ordered_repeats')}, {i('coalesce(sum(n - 1) FILTER (ways > 1), 0)', 'reversed_equivalent')}, {i('sum(n - 1)', 'canonical_repeats')}, {i('(SELECT sum(n - 1) FROM g)', 'row_repeats')}, {i('(SELECT sum(n - 1) FROM h)', 'id_repeats')},
+ {i('(SELECT sum(n - 1) FROM o)', 'profile_repeats')}, {i('count(*) FILTER (splits > 1)', 'pairs_across')}, {i('(SELECT count(*) FILTER (n > 1) FROM p)', 'parents_across')} FROM c""")
 def e36(spark, sf):
-    return audits.pair_duplicates(t.table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag"), "l_partkey", "l_suppkey", "l_returnflag")
+    lines = t.table(spark, sf, "lineitem").select(
+        F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), "l_partkey", "l_suppkey", "l_returnflag", F.struct("l_quantity", "l_extendedprice").alias("profile"))
+    return audits.pair_duplicates(lines, "l_partkey", "l_suppkey", "l_returnflag", "id", "profile")
 
 
 @query("e37_duplicate_profiles", f"""WITH k AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS gene FROM documents), c AS (SELECT CAST(doc_id AS VARCHAR) AS cell, gene, count(*) AS n FROM k GROUP BY 1, 2),
@@ -256,14 +312,24 @@ def e38(spark, sf):
     return audits.largest_difference(s.select("cell", "s1", "s2"), s.select("cell", F.col("s2").alias("s1"), F.col("s3").alias("s2")), "cell", ["s1", "s2"])
 
 
-@query("e39_equal_columns", "SELECT 's1' AS a, 'copy' AS b, true AS equal UNION ALL SELECT 's1', 's2', false UNION ALL SELECT 'copy', 's2', false")
+@query("e39_equal_columns", f"""{with_('rs')}, x AS (SELECT a, a AS copy, c, CASE WHEN key % 2 = 0 THEN a END AS half FROM rs), p AS (SELECT 'a' AS a, 'copy' AS b, max(CASE WHEN (a IS NULL) <> (copy IS NULL) THEN 1 WHEN a IS NULL THEN 0 ELSE abs(a - copy) END) AS m FROM x
+ UNION ALL SELECT 'a', 'c', max(CASE WHEN (a IS NULL) <> (c IS NULL) THEN 1 WHEN a IS NULL THEN 0 ELSE abs(a - c) END) FROM x UNION ALL SELECT 'a', 'half', max(CASE WHEN (a IS NULL) <> (half IS NULL) THEN 1 WHEN a IS NULL THEN 0 ELSE abs(a - half) END) FROM x
+ UNION ALL SELECT 'copy', 'c', max(CASE WHEN (copy IS NULL) <> (c IS NULL) THEN 1 WHEN c IS NULL THEN 0 ELSE abs(c - copy) END) FROM x UNION ALL SELECT 'copy', 'half', max(CASE WHEN (copy IS NULL) <> (half IS NULL) THEN 1 WHEN half IS NULL THEN 0 ELSE abs(half - copy) END) FROM x
+ UNION ALL SELECT 'c', 'half', max(CASE WHEN (c IS NULL) <> (half IS NULL) THEN 1 WHEN half IS NULL THEN 0 ELSE abs(half - c) END) FROM x) SELECT a, b, m <= 1e-12 AS equal FROM p""")
 def e39(spark, sf):
-    return audits.equal_columns(t.demo_scores(spark, sf).withColumn("copy", F.col("s1")), ["s1", "copy", "s2"])
+    s = t.rough_scores(spark, sf).withColumn("copy", F.col("a")).withColumn("half", F.when(F.col("key") % 2 == 0, F.col("a")))
+    return audits.equal_columns(s, ["a", "copy", "c", "half"])
 
 
-@query("e40_probability_contract", f"{with_('sc')} SELECT {i('count(*)', 'rows')}, 0::BIGINT AS not_finite, {i('count(*) FILTER (s1 / 2 > 1.000001)', 'out_of_bounds')}, {i('count(*) FILTER (abs(s1 / 2 + s2 / 2 - 1) > 1e-6)', 'bad_sum')} FROM sc")
+@query("e40_probability_contract", f"""{with_('rs')}, p AS (SELECT cell, a AS clean, b AS high, c AS hom, 1 - coalesce(a, 0) - coalesce(b, 0) - c AS het FROM rs), f AS (SELECT *, greatest(-clean, clean - 1, -high, high - 1, -hom, hom - 1, -het, het - 1, 0) AS o, abs(coalesce(clean, 0) + coalesce(high, 0) + hom + het - 1) AS t FROM p),
+ r AS (SELECT 'finite_values' AS "check", count(*) FILTER (clean IS NULL OR high IS NULL OR hom IS NULL OR het IS NULL) AS failed, 0.0 AS worst FROM f UNION ALL SELECT 'bounds', count(*) FILTER (o > 1e-6), max(o) FROM f UNION ALL SELECT 'row_sum', count(*) FILTER (t > 1e-6), max(t) FROM f
+ UNION ALL SELECT 'conditional_sum', count(*) FILTER (hom + het > 1e-6 AND abs(hom / (hom + het) + het / (hom + het) - 1) > 1e-6), coalesce(max(CASE WHEN hom + het > 1e-6 THEN abs(hom / (hom + het) + het / (hom + het) - 1) END), 0) FROM f UNION ALL SELECT 'unique_cells', count(*) - count(DISTINCT cell), 0 FROM f)
+ SELECT "check", {i('failed')}, {d('worst')}, CASE WHEN failed = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM r""")
 def e40(spark, sf):
-    return audits.probability_contract(t.demo_scores(spark, sf).select((F.col("s1") / 2).alias("a"), (F.col("s2") / 2).alias("b")), ["a", "b"])
+    s = t.rough_scores(spark, sf)
+    zero = scalars.known_or_zero
+    p = s.select("cell", F.col("a").alias("clean"), F.col("b").alias("high"), F.col("c").alias("hom"), (1 - zero(F.col("a")) - zero(F.col("b")) - F.col("c")).alias("het"))
+    return audits.probability_contract(p, "cell", ["clean", "high", "hom", "het"])
 
 
 @query("e41_direction_consistency", f"{with_('sc')}, m AS (SELECT cluster, avg(s1) FILTER (positive = 1) - avg(s1) FILTER (positive = 0) AS g FROM sc GROUP BY 1) SELECT {i('count(*) FILTER (g > 0)', 'up')}, {i('count(*) FILTER (g < 0)', 'down')}, {d('greatest(count(*) FILTER (g > 0), count(*) FILTER (g < 0)) / count(*)', 'consistency')} FROM m")
@@ -294,10 +360,14 @@ def b6(spark, sf):
     return audits.last_terminal(t.table(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
-@query("o1_one_to_one_check", f"{with_('cells')}, a AS (SELECT cluster, library, count(*) AS n FROM cells GROUP BY 1, 2) SELECT {i('count(*)', 'matched')}, {d('max(abs(a.n - b.n))', 'largest')} FROM a JOIN a b USING (cluster, library)")
+@query("o1_one_to_one_check", f"""{with_('cells')}, a AS (SELECT cluster, library, count(*) AS n FROM cells GROUP BY 1, 2), o AS (SELECT c_mktsegment AS cluster, r_name AS library, count(DISTINCT c_custkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2)
+ SELECT {i('count(*) FILTER (a.n IS NOT NULL AND o.n IS NOT NULL)', 'matched')}, {i('count(*) FILTER (a.n IS NULL OR o.n IS NULL)', 'unmatched')}, 0::BIGINT AS repeated_left, 0::BIGINT AS repeated_right, {d('max(abs(a.n - o.n))', 'largest')}, coalesce(max(abs(a.n - o.n)) <= 1e-12, false) AS same FROM a FULL JOIN o USING (cluster, library)""")
 def o1(spark, sf):
-    a = t.customer_cells(spark, sf).groupBy("cluster", "library").agg(F.count("*").alias("n"))
-    return a.join(a.withColumnRenamed("n", "m"), ["cluster", "library"]).agg(F.count("*").alias("matched"), F.max(F.abs(F.col("n") - F.col("m")).cast("double")).alias("largest"))
+    """Cells per cluster and library: all of them against those with orders."""
+    cells = t.customer_cells(spark, sf)
+    bought = t.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("cell"))
+    count = lambda df: df.groupBy("cluster", "library").agg(F.count("*").alias("n"))
+    return audits.one_to_one(count(cells), count(cells.join(bought, "cell", "left_semi")), ["cluster", "library"], "n")
 
 
 @query("o11_replication", f"{with_('sc')} SELECT CASE WHEN k = 0 THEN cell ELSE cell || '__train_aug' || k END AS cell, label FROM sc, (SELECT unnest([0, 1, 2]) AS k) WHERE k = 0 OR positive = 1")

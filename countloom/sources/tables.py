@@ -51,3 +51,22 @@ def demo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((k * 37) % 101 / 100.0).alias("s1"), ((k * 53) % 97 / 96.0).alias("s2"), ((k * 11) % 89 / 88.0).alias("s3"),
         F.when(k * 7 % 5 == 0, 1).otherwise(0).alias("positive"), F.when(k * 7 % 5 == 1, 1).otherwise(0).alias("hard"),
         F.when(k * 7 % 5 == 0, F.when(k % 2 == 0, "homotypic_doublet").otherwise("heterotypic_doublet")).when(k * 7 % 5 == 1, "high_RNA_singlet").otherwise("clean").alias("label"))
+
+
+def rough_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores as they come: balances and spending of customers, beyond 0 to 1 on both sides, some missing, some not a number."""
+    k = F.col("c_custkey")
+    spent = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("spent"))
+    return table(spark, sf_dir, "customer").join(spent, "c_custkey", "left").select(
+        k.cast("string").alias("cell"), F.col("c_mktsegment").alias("cluster"), k.alias("key"),
+        F.when(k % 13 != 0, F.round(F.col("c_acctbal") / 8000, 3)).alias("a"),
+        F.when(k % 19 == 0, float("nan")).when(k % 23 != 0, F.round((k * 53 % 97) / 80.0 - 0.1, 4)).alias("b"),
+        F.round(1 - F.col("c_acctbal") / 9000, 3).alias("c"), F.round("spent", 2).alias("spent"),
+        F.when(k * 7 % 5 == 0, F.when(k % 2 == 0, "homotypic_doublet").otherwise("heterotypic_doublet")).when(k * 7 % 5 == 1, "high_RNA_singlet").otherwise("clean").alias("label"))
+
+
+def method_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rough_scores by method: a, b, c, and one method without any score."""
+    s = rough_scores(spark, sf_dir).withColumn("none", F.lit(None).cast("double"))
+    long = s.unpivot(["cell", "cluster", "key", "label"], ["a", "b", "c", "none"], "method", "score")
+    return long.withColumn("high", F.col("label") == "high_RNA_singlet")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from countloom.plans import core, domain, evaluation, evidence, modelling  # noqa: F401
+from countloom.plans import contracts, core, domain, evaluation, evidence, modelling  # noqa: F401
 from countloom.plans.registry import QUERIES, SQL
 
 

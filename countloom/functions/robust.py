@@ -44,3 +44,16 @@ def z_with_fallback(df: DataFrame, value: str, by: list[str], out: str, variant:
     whole = statistics(ref, value, []).select(F.col("med").alias("_wm"), scale_of(variant).alias("_ws"))
     joined = df.join(group, by, "left").crossJoin(F.broadcast(whole))  # one row
     return joined.withColumn(out, (F.col(value) - F.coalesce("_gm", "_wm")) / F.coalesce("_gs", "_ws")).drop("_gm", "_gs", "_wm", "_ws")
+
+
+def z_by_chain(df: DataFrame, value: str, chain: list[list[str]], names: list[str], out: str, level: str, reference: DataFrame, variant: str = "r1") -> DataFrame:
+    """z against the first group of the chain that the reference has, the whole reference at last, and which it was (names: one for each and for the whole)."""
+    joined = df
+    for at, by in enumerate(chain):
+        joined = joined.join(statistics(reference, value, by).select(*by, F.col("med").alias(f"_m{at}"), scale_of(variant).alias(f"_s{at}")), by, "left")
+    whole = statistics(reference, value, []).select(F.col("med").alias("_m"), scale_of(variant).alias("_s"))
+    joined = joined.crossJoin(F.broadcast(whole))  # one row
+    known = [f"_m{at}" for at in range(len(chain))]
+    which = F.coalesce(*(F.when(F.col(c).isNotNull(), n) for c, n in zip(known, names)), F.lit(names[-1]))
+    scales = [F.col(f"_s{at}") for at in range(len(chain))]
+    return joined.withColumns({out: (F.col(value) - F.coalesce(*known, "_m")) / F.coalesce(*scales, F.col("_s")), level: which}).select(*df.columns, out, level)

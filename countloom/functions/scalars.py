@@ -127,7 +127,7 @@ def sample_weight(label: Column) -> Column:
 
 def separation(auroc: Column) -> Column:
     return (
-        F.when(auroc.isNull() | F.isnan(auroc), "not_available").when(auroc <= 0.55, "little").when(auroc <= 0.65, "weak").when(auroc <= 0.75, "moderate").otherwise("substantial")
+        F.when(auroc.isNull() | F.isnan(auroc), "not available").when(auroc <= 0.55, "little detectable separation").when(auroc <= 0.65, "weak separation").when(auroc <= 0.75, "moderate separation").otherwise("substantial separation")
     )
 
 
@@ -156,3 +156,8 @@ def draw(seed: int, salt: str, key: Column) -> Column:
 
 def half_even(x: Column) -> Column:
     return F.rint(x)
+
+
+def capped_ratio(a: Column, b: Column, cap: float = 20.0) -> Column:
+    """a / b up to cap; 1 where either is not above 0."""
+    return F.when((b > 0) & (a > 0), F.least(a / b, F.lit(cap))).otherwise(1.0)

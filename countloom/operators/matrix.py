@@ -66,12 +66,12 @@ def marker_dosage(counts: DataFrame, cells: DataFrame, top: int = 25) -> DataFra
     return cells.select("cell").join(sums, "cell", "left").select("cell", F.log1p(F.coalesce("_m", F.lit(0.0))).alias("marker_dosage"))
 
 
-def low_quality(totals: DataFrame, n_genes: DataFrame, min_counts: float = 500, max_mito: float = 0.3) -> DataFrame:
+def low_quality(totals: DataFrame, n_genes: DataFrame, min_counts: float = 500, max_mito: float = 0.3, min_genes: float = 200) -> DataFrame:
     """totals: cell, n_count, n_feature, mito.  The largest of three clipped shortfalls, and whether the cell passes."""
-    least = F.least(F.lit(200.0), F.ceil(0.1 * F.col("n")).cast("double"))
+    least = F.least(F.lit(float(min_genes)), F.greatest(F.lit(1.0), F.ceil(0.1 * F.col("n")).cast("double")))
     joined = totals.crossJoin(F.broadcast(n_genes)).withColumn("_least", least)
     short = lambda value, bound: clip(1 - safe_divide(value, bound, 1.0), 0.0, 1.0)
-    over = clip((F.col("mito") - max_mito) / (1 - max_mito), 0.0, 1.0)
+    over = clip(safe_divide(F.col("mito") - max_mito, F.lit(1.0 - max_mito)), 0.0, 1.0)
     return joined.select(
         "cell", F.greatest(short(F.col("n_count"), F.lit(float(min_counts))), short(F.col("n_feature"), F.col("_least")), over).alias("low_quality"),
         ((F.col("n_count") >= min_counts) & (F.col("n_feature") >= F.col("_least")) & (F.col("mito") <= max_mito)).alias("passes"))
@@ -116,3 +116,11 @@ def require_valid(counts: DataFrame, cells: DataFrame, min_cells: int = 20, min_
         (c["bad"], "counts are missing or not finite"), (c["negative"], "counts are negative"), ((c["fraction"] or 0) > fractional, "counts are not whole numbers")):
         if failed:
             raise ValueError(why)
+
+
+def optional_filter(totals: DataFrame, n_genes: DataFrame, min_counts: float | None = None, min_genes: float | None = None, max_mito: float | None = None) -> DataFrame:
+    """totals without the cells that miss a given bound (passing_or_all); all of them where no bound is given."""
+    if min_counts is None and min_genes is None and max_mito is None:
+        return totals
+    scored = totals.join(low_quality(totals, n_genes, 1 if min_counts is None else min_counts, 1.0 if max_mito is None else max_mito, 1 if min_genes is None else min_genes), "cell")
+    return passing_or_all(scored).select(*totals.columns)

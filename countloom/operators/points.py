@@ -76,3 +76,15 @@ def metric_bundle(scores: DataFrame) -> DataFrame:
     last = rows.join(F.broadcast(totals), "method").filter("rank = budget AND _k > 0").select("method", "up_rna")
     history = totals.join(last, "method", "left").select("method", "budget", F.when((F.col("_h") > 0) & (F.col("budget") > 0), F.col("up_rna") / F.col("_h")).alias("fpr_budget"))
     return points.join(history, "method")
+
+
+def true_budget(scores: DataFrame) -> DataFrame:
+    """Per method: the rows of largest score, as many as there are doublets, their threshold and false rate; missing scores last, ties by cell."""
+    rows = ranked(scores)
+    totals = rows.groupBy("method").agg((F.max("up_hom") + F.max("up_het")).alias("_n"), F.max("up_rna").alias("_h"), F.count("*").alias("_m"))
+    last = rows.join(F.broadcast(totals), "method").filter("rank = _n").select("method", "score", "up_rna")  # one row a method
+    joined = totals.join(last, "method", "left")
+    fine = (F.col("_h") > 0) & (F.col("_n") > 0)
+    return joined.select(
+        "method", F.col("score").alias("threshold"), F.col("_n").alias("selected"), (F.col("_n") / F.col("_m")).alias("fraction"), F.col("_h").alias("n_high"), F.coalesce("up_rna", F.lit(0)).alias("n_selected_high"),
+        F.when(fine, F.col("up_rna") / F.col("_h")).alias("fpr"), F.when(fine, "AVAILABLE").otherwise("NOT_AVAILABLE").alias("status"))

@@ -145,9 +145,9 @@ def c24(spark, sf):
     return joined.select("cell", scalars.sample_weight(F.col("label")).alias("weight"), (F.col("n") / (F.col("k") * F.col("c"))).alias("balanced"), F.least(F.col("n") / F.col("c"), F.lit(20.0)).alias("capped"))
 
 
-@query("c26_separation", f"""{with_('sc')} SELECT cell, CASE WHEN s1 <= 0.55 THEN 'little' WHEN s1 <= 0.65 THEN 'weak' WHEN s1 <= 0.75 THEN 'moderate' ELSE 'substantial' END AS separation FROM sc""")
+@query("c26_separation", f"""{with_('rs')} SELECT cell, CASE WHEN b IS NULL THEN 'not available' WHEN b <= 0.55 THEN 'little detectable separation' WHEN b <= 0.65 THEN 'weak separation' WHEN b <= 0.75 THEN 'moderate separation' ELSE 'substantial separation' END AS separation FROM rs""")
 def c26(spark, sf):
-    return t.demo_scores(spark, sf).select("cell", scalars.separation(F.col("s1")).alias("separation"))
+    return t.rough_scores(spark, sf).select("cell", scalars.separation(F.col("b")).alias("separation"))
 
 
 @query("c27_method_alias", """SELECT event_id, CASE lower(event_type) WHEN 'click' THEN 'select' WHEN 'view' THEN 'show' ELSE lower(event_type) END AS method FROM events""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from countloom.operators import evidence, governance
@@ -70,11 +71,17 @@ def a13(spark, sf):
     return t.table(spark, sf, "documents").select("doc_id").join(labels, "doc_id", "left").fillna({"labelled": False})
 
 
-@query("a16_cache_validation", "SELECT count(*) FILTER (d.doc_id IS NULL)::BIGINT AS unknown, count(*) FILTER (l.doc_id IS NULL)::BIGINT AS missing, count(*) FILTER (d.doc_id = l.doc_id)::BIGINT AS matched FROM (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0) d FULL JOIN labels l USING (doc_id)")
+@query("a16_cache_validation", """WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p FROM documents), l AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p, quality FROM labels)
+ SELECT count(*) FILTER (d.doc_id IS NULL)::BIGINT AS unknown, count(*) FILTER (l.doc_id IS NULL)::BIGINT AS missing, count(*) FILTER (d.doc_id = l.doc_id)::BIGINT AS matched, count(*) FILTER (d.p <> l.p)::BIGINT AS out_of_order, count(*) FILTER (d.doc_id = l.doc_id AND quality IS DISTINCT FROM 1)::BIGINT AS other_label FROM d FULL JOIN l USING (doc_id)""")
 def a16(spark, sf):
-    docs = t.table(spark, sf, "documents").filter("doc_id % 7 <> 0").select("doc_id", F.lit(1).alias("a"))
-    both = docs.join(t.table(spark, sf, "labels").select("doc_id", F.lit(1).alias("b")), "doc_id", "full")
-    return both.agg(F.count_if(F.col("a").isNull()).alias("unknown"), F.count_if(F.col("b").isNull()).alias("missing"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("matched"))
+    """Cached labels against the documents: ids on either side only, ids in both, those at another place, and those whose label is not the wanted one."""
+    place = F.row_number().over(W.orderBy("doc_id"))
+    docs = t.table(spark, sf, "documents").select("doc_id", place.alias("p"), F.lit(1).alias("wanted"))
+    both = docs.join(t.table(spark, sf, "labels").select("doc_id", place.alias("q"), F.col("quality").alias("found")), "doc_id", "full")
+    known = F.col("p").isNotNull() & F.col("q").isNotNull()
+    return both.agg(
+        F.count_if(F.col("p").isNull()).alias("unknown"), F.count_if(F.col("q").isNull()).alias("missing"), F.count_if(known).alias("matched"), F.count_if(F.col("p") != F.col("q")).alias("out_of_order"),
+        F.count_if(known & ~F.col("wanted").eqNullSafe(F.col("found"))).alias("other_label"))
 
 
 @query("c21_renamed_columns", f"{with_('sc')} SELECT cell, {d('s1', 'dosage_score')}, {d('s2', 'identity_score')} FROM sc")

@@ -51,9 +51,10 @@ def test_constant_scale_falls_back(spark):
 
 
 def test_reversed_pair_counts_once(spark):
-    got = audits.pair_duplicates(frame(spark, [("A", "B", "x"), ("B", "A", "x")], "a string, b string, s string"), "a", "b", "s").first()
-    assert (got["canonical_repeats"], got["reversed_pairs"], got["pairs_across"]) == (1, 1, 0)
-    got = audits.pair_duplicates(frame(spark, [("A", "B", "x"), ("B", "A", "y")], "a string, b string, s string"), "a", "b", "s").first()
+    schema = "a string, b string, s string, k int, f int"
+    got = audits.pair_duplicates(frame(spark, [("A", "B", "x", 1, 1), ("B", "A", "x", 2, 1)], schema), "a", "b", "s", "k", "f").first()
+    assert (got["canonical_repeats"], got["reversed_equivalent"], got["pairs_across"], got["id_repeats"], got["profile_repeats"]) == (1, 1, 0, 0, 1)
+    got = audits.pair_duplicates(frame(spark, [("A", "B", "x", 1, 1), ("B", "A", "y", 2, 2)], schema), "a", "b", "s", "k", "f").first()
     assert (got["pairs_across"], got["parents_across"]) == (1, 2)
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm.common import as_text, table, tune
+from countloom.llm.common import as_text, bounded_batches, slices, table
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE = KINDS[:4]
@@ -136,13 +136,12 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
     Null texts are empty and have no spans; repeated rows give repeated results; other columns are ignored.
     """
-    tune(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = [[{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in spans(t)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["id", "spans"])
 
@@ -152,13 +151,13 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with the personal data in text replaced; null texts stay null, n_chars (if there) follows the text, other columns stay."""
-    tune(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     place = docs.columns.index("text")
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, place):
             texts = pa.array([None if t is None else redacted(t) for t in batch.column(place).to_pylist()], pa.string())
             columns = list(batch.columns)
             columns[place] = texts

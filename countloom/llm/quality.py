@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm.common import as_text, batch_words, mix64, slices, table, text_buffer, tune, worker_cache
+from countloom.llm.common import as_text, batch_words, bounded_batches, mix64, slices, table, text_buffer, worker_cache
 
 #: Documents that train the scorer, at most: those of the smallest hash of the id.  All documents count in the EM.
 TRAINING = 8000
@@ -177,7 +177,6 @@ def _texts(docs: DataFrame, id_column: str) -> DataFrame:
 def fit(docs: DataFrame, id_column: str = "doc_id") -> tuple[Scorer, dict[int, float]]:
     """The scorer and the posteriors by pattern of votes.  No label is read."""
     spark = docs.sparkSession
-    tune(spark)
     source = _texts(docs, id_column)
 
     def patterns(batches):
@@ -219,7 +218,6 @@ def fit(docs: DataFrame, id_column: str = "doc_id") -> tuple[Scorer, dict[int, f
 
 def score_documents(docs: DataFrame, scorer: Scorer, posterior: dict[int, float], id_column: str = "doc_id") -> DataFrame:
     """Per row: id, score (0 for null, empty and blank texts), posterior of the weak labels, kept."""
-    tune(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -237,6 +235,7 @@ def score_documents(docs: DataFrame, scorer: Scorer, posterior: dict[int, float]
 def kept_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """The rows of docs, whole, that the classifier keeps."""
     scorer, _ = fit(docs, id_column)
+    bounded_batches(docs.sparkSession)
     place = docs.columns.index("text")
 
     def run(batches):

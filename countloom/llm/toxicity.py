@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm.common import as_text, slices, stored, table, text_buffer, tune, worker_cache
+from countloom.llm.common import as_text, slices, stored, table, text_buffer, worker_cache
 
 #: Labelled documents of each class that train the model, at most about; words that do, at most.
 TRAINING, TOXIC_WORDS, CLEAN_WORDS, LANDMARKS = 8000, 600, 12000, 160
@@ -186,7 +186,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Model:
     toxic than clean documents have it than chance allows.
     """
     spark = docs.sparkSession
-    tune(spark)
     known = labels.filter(F.col("toxic").isNotNull() & F.col(id_column).isNotNull() & ~_held_out(F.col(id_column)))
     known = known.groupBy(F.col(id_column).cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -279,7 +278,6 @@ def calibrated(best: np.ndarray, y: np.ndarray, prior: float, rounds: int = 50):
 
 def score_documents(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFrame:
     """Per row: id, score from 0 to 1.  Null, empty and wordless texts get the score of a text without any likeness."""
-    tune(docs.sparkSession)
     # 2 MB, whatever the corpus
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.slope, model.offset))
 

@@ -26,3 +26,27 @@ def test_an_empty_table_passes(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def plain_run(docs):
+    """The stages after quality on a few rows, by plain versions: groups by sets of shingles, spans by patterns, sizes by words."""
+    from test_operators import classes, shingles
+
+    wanted = classes({r["doc_id"]: shingles(r["text"], 5) for r in docs if r["doc_id"] is not None}, 80, 100)
+    return {i for i, c in wanted.items() if i == c}
+
+
+def test_each_stage_on_edge_rows(spark, edge_docs):
+    """Nulls in any column, empty and long texts, repeated rows: every stage keeps the columns and a defined set of rows."""
+    rows = edge_docs.collect()
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["quality"](spark, edge_docs, SF)
+    assert kept.columns == edge_docs.columns and not {3, 4, 5} & {r["doc_id"] for r in kept.collect()}
+    one = stages["near_duplicates"](spark, edge_docs, SF).collect()
+    assert {r["doc_id"] for r in one} == plain_run(rows) | {None} and len(one) == len({r["doc_id"] for r in one})
+    safe = {(r["doc_id"], r["text"]) for r in stages["personal_data"](spark, edge_docs, SF).collect()}
+    assert safe == {(r["doc_id"], None if r["text"] is None else pii.redacted(r["text"])) for r in rows}
+    mixed = [r["doc_id"] for r in stages["mixing"](spark, edge_docs, SF).collect()]
+    assert set(mixed) <= {r["doc_id"] for r in rows} and max(mixed.count(r["doc_id"]) for r in rows if r["doc_id"] != 2) <= 2 and mixed.count(2) <= 4
+    coded = stages["encoding"](spark, edge_docs, SF).collect()
+    assert sorted(str(r["doc_id"]) for r in coded) == sorted(str(r["doc_id"]) for r in rows) and all(r["n_tokens"] * 4 == len(r["ids"]) for r in coded)

@@ -8,14 +8,17 @@ import struct
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from countloom.llm.common import as_text, scratch, table, tune, worker_cache
+from countloom.llm.common import as_text, scratch, slices, stored, table, tune, worker_cache
 
 #: A cut before a space is a pre-token boundary unless white space stands before it.
 _UNSAFE = re.compile(r"[\s\x1c-\x1f\x85] ")
-CHUNK, OVERLAP = 1 << 16, 1 << 10
-CACHE = 400_000
+#: Characters of a chunk and of what it shares with the next; characters and boundaries at its end that may change with what follows.
+CHUNK, OVERLAP, LAST, OPEN = 1 << 15, 1 << 10, 64, 3
+#: Units that the token writer keeps (tens of bytes each), and pre-tokens that the encoder does.
+UNITS, CACHE = 1_000_000, 200_000
 
 
 def split_units(text: str) -> list[str] | None:
@@ -25,57 +28,44 @@ def split_units(text: str) -> list[str] | None:
     return text.split(" ")
 
 
-def chunks(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, str]]:
-    """Overlapping pieces of text with the place where each begins."""
-    if len(text) <= size:
-        return [(0, text)]
-    return [(at, text[at : at + size]) for at in range(0, max(1, len(text) - overlap), size - overlap)]
+def chunks(text: str, size: int, overlap: int):
+    """(number, place where it begins, chunk, whether it is the last): overlapping pieces, in one pass."""
+    at = range(0, max(1, len(text) - overlap), size - overlap)
+    for number, begin in enumerate(at):
+        yield number, begin, text[begin : begin + size], number == len(at) - 1
 
 
-def stitch(text: str, parts: list[tuple[int, list[int]]]) -> list[int] | None:
-    """Boundaries of the whole text from those of its chunks.
+def boundaries(chunk: str, begin: int, last: bool, pattern) -> list[int]:
+    """Ends of the pre-tokens of a chunk, as places in the whole text, as far as what follows the chunk cannot move them."""
+    ends = [m.end() for m in pattern.finditer(chunk)]
+    if not last:
+        ends = [e for e in ends[:-OPEN] if e <= len(chunk) - LAST]
+    return [begin + e for e in ends]
 
-    Pre-tokenising is a scan without memory, so from a boundary that two neighbouring chunks
-    share on, both give the same boundaries.  The last boundaries of a chunk depend on text beyond
-    its end and are not used.  None where two neighbours never meet.
+
+def meeting(before: list[int], after: list[int]) -> int | None:
+    """First boundary that two neighbouring chunks share.
+
+    Pre-tokenising is a scan without memory, so from there on the later chunk has the whole text's boundaries if the
+    earlier one has them there.
     """
-    out = list(parts[0][1])
-    for at, bounds in parts[1:]:
-        mine = set(out[:-2])
-        meet = next((b for b in bounds if b in mine and b > at), None)
-        if meet is None:
-            return None
-        out = [b for b in out if b <= meet] + [b for b in bounds if b > meet]
-    return out
-
-
-def pre_tokens(text: str, pattern, size: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-    """All matches of pattern in text, found chunk by chunk and stitched where the boundaries meet again."""
-    if len(text) <= size:
-        return pattern.findall(text)
-    parts = []
-    for at, chunk in chunks(text, size, overlap):
-        ends = [at]
-        for match in pattern.finditer(chunk):
-            ends.append(at + match.end())
-        parts.append((at, ends))
-    bounds = stitch(text, parts)
-    if bounds is None:  # one pre-token spans a whole overlap
-        return pattern.findall(text)
-    return [text[a:b] for a, b in zip(bounds, bounds[1:])]
+    shared = set(before)
+    return next((b for b in after if b in shared), None)
 
 
 class _Pieces(dict):
-    """Packed ids of a unit; forgets all when full, so that memory stays bounded."""
+    """Packed ids of a pre-token; forgets all when full, so that memory stays bounded."""
 
-    def __init__(self, encode, prefix: str):
+    def __init__(self, encode):
         super().__init__()
-        self.encode, self.prefix = encode, prefix
+        self.encode = encode
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        packed = self[key] = self.encode(self.prefix + key)
+        packed = self.encode(key)
+        if len(key) <= 64:  # longer ones hardly come again
+            if len(self) >= CACHE:
+                self.clear()
+            self[key] = packed
         return packed
 
 
@@ -95,45 +85,137 @@ class ByteBpe:
             self.vocabulary[rank] = token
         single = self.encoding._encode_single_piece
 
-        def pieces(unit: str) -> bytes:
-            ids = [i for piece in self.pattern.findall(unit) for i in single(piece.encode())]
+        def packed(piece: str) -> bytes:
+            ids = single(piece.encode())
             return struct.pack(f"<{len(ids)}I", *ids)
 
-        self.plain, self.spaced = _Pieces(pieces, ""), _Pieces(pieces, " ")
+        self.plain = _Pieces(packed)
+
+    def pieces(self, text: str, begin: int = 0, end: int | None = None) -> bytes:
+        """Packed ids of text from one boundary of pre-tokens to another."""
+        found = self.pattern.findall(text, begin, len(text) if end is None else end)
+        return b"".join(map(self.plain.__getitem__, found))
 
     def encode(self, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> bytes:
-        if not text:
-            return b""
-        if len(text) <= size:
-            units = split_units(text)
-            if units is not None:
-                return self.plain[units[0]] + b"".join(map(self.spaced.__getitem__, units[1:]))
-        return b"".join(map(self.plain.__getitem__, pre_tokens(text, self.pattern, size, overlap)))
+        """Packed ids of a whole text: what encode_documents does with its chunks, in one place."""
+        parts = list(chunks(text, size, overlap))
+        found = [boundaries(chunk, begin, last, self.pattern) for _, begin, chunk, last in parts]
+        meets = [meeting(x, y) for x, y in zip(found, found[1:])]
+        if None in meets:  # one pre-token fills an overlap
+            return self.pieces(text)
+        cuts = [0, *meets, len(text)]
+        return b"".join(self.pieces(chunk, a - begin, b - begin) for (_, begin, chunk, _), a, b in zip(parts, cuts, cuts[1:]))
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id") -> DataFrame:
-    """Per row: id, ids (packed little-endian unsigned 32-bit) and decoded (raw bytes).
+def _coder(path: str, pattern: str) -> ByteBpe:
+    return worker_cache(f"bpe-{path}", lambda: ByteBpe(path, pattern))
+
 
-    Null texts are empty and have no ids; repeated rows give repeated results; other columns are ignored.
+def long_texts(source: DataFrame, path: str, pattern: str, size: int, overlap: int) -> DataFrame:
+    """id, ids, decoded of texts of several chunks, which are dealt over all tasks.
+
+    The chunks are written once, so that row numbers are settled.  Every chunk is pre-tokenised by itself; it and
+    the one before it meet at the first boundary that both found in their overlap, and a chunk's pieces are those between its two
+    meetings.  A text with neighbours that never meet (a pre-token as long as an overlap) is put together and encoded whole.
     """
-    tune(docs.sparkSession)
+    import pyarrow as pa
+
+    spark = source.sparkSession
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def cut(batches):
+        for batch in slices(batches, 2):
+            for row, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for at in chunks(text, size, overlap):
+                    yield pa.RecordBatch.from_arrays([pa.array([v]) if v is not None else pa.array([None], pa.int64()) for v in (row, doc, *at)], ["row", "id", "number", "begin", "chunk", "last"])
 
+    numbered = source.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    schema = "row long, id long, number long, begin long, chunk string, last boolean"
+    pieces = stored(numbered.mapInArrow(cut, schema).repartition(parts, "row", "number"), "chunks")
+
+    def ends(batches):
+        coder = _coder(path, pattern)
+        for batch in batches:
+            rows, numbers, heads, tails = [], [], [], []
+            for row, _, number, begin, chunk, last in zip(*(c.to_pylist() for c in batch.columns)):
+                found = boundaries(chunk, begin, last, coder.pattern)
+                rows.append(row), numbers.append(number)
+                heads.append([e for e in found if e <= begin + overlap]), tails.append([e for e in found if e > begin + len(chunk) - overlap])
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((rows, numbers, heads, tails), kinds)], ["row", "number", "head", "tail"])
+
+    order = W.partitionBy("row").orderBy("number")
+    met = pieces.mapInArrow(ends, "row long, number long, head array<long>, tail array<long>")
+    met = met.withColumn("from", F.when(F.col("number") > 0, F.array_min(F.array_intersect(F.lag("tail").over(order), "head"))).otherwise(0))
+    met = met.withColumn("to", F.lead("from").over(order)).withColumn("whole", F.max(F.col("from").isNull()).over(W.partitionBy("row")))
+    dealt = pieces.join(met.select("row", "number", "from", "to", "whole"), ["row", "number"])
+
+    def encode(batches):
+        coder = _coder(path, pattern)
+        for batch in batches:
+            out = [[], [], [], []]
+            for begin, chunk, last, a, b, whole in zip(*(c.to_pylist() for c in batch.columns[3:])):
+                if whole:
+                    ids, raw = None, chunk if last else chunk[: size - overlap]
+                else:
+                    ids, raw = coder.pieces(chunk, a - begin, len(chunk) if last else b - begin), None
+                for column, value in zip(out, (ids, None if ids is None else coder.decode(ids), raw, whole)):
+                    column.append(value)
+            kinds = [pa.binary(), pa.binary(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c, k) for c, k in zip(out, kinds))], ["row", "number", "id", "ids", "decoded", "raw", "whole"])
+
+    coded = dealt.select("row", "number", "id", "begin", "chunk", "last", "from", "to", "whole").mapInArrow(
+        encode, "row long, number long, id long, ids binary, decoded binary, raw string, whole boolean")
+
+    def joined(batches):
+        coder = _coder(path, pattern)
+
+        def flush(doc, held, whole):
+            ids, decoded = (b"".join(h[i] for h in held) for i in (0, 1)) if not whole else (None, None)
+            if whole:
+                ids = coder.pieces("".join(h[2] for h in held))
+                decoded = coder.decode(ids)
+            return pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([ids], pa.binary()), pa.array([decoded], pa.binary())], ["id", "ids", "decoded"])
+
+        current, held = None, []
+        for batch in batches:
+            for row, _, doc, ids, decoded, raw, whole in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row != current[0]:
+                    yield flush(current[1], held, current[2])
+                    held = []
+                current = (row, doc, whole)
+                held.append((ids, decoded, raw))
+        if held:
+            yield flush(current[1], held, current[2])
+
+    return coded.repartition(parts, "row").sortWithinPartitions("row", "number").mapInArrow(joined, "id long, ids binary, decoded binary")
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """Per row: id, ids (packed little-endian unsigned 32-bit) and decoded (raw bytes).
+
+    Texts are cut into overlapping chunks; a text of one chunk is encoded where it is read, the chunks of longer ones
+    everywhere (long_texts).  Null texts are empty and have no ids; repeated rows and ids give repeated results; rows
+    without an id are encoded too; an empty table gives no rows; other columns are ignored.
+    """
     def run(batches):
         import pyarrow as pa
 
-        coder = worker_cache(f"bpe-{path}", lambda: ByteBpe(path, pattern))
-        for batch in batches:
-            ids = [coder.encode(t) for t in batch.column(1).to_pylist()]
+        coder = _coder(path, pattern)
+        for batch in slices(batches, 1):
+            ids = [coder.pieces(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array([coder.decode(i) for i in ids], pa.binary())],
                 ["id", "ids", "decoded"],
             )
 
     source = as_text(docs.select(F.col(id_column).cast("long").alias("id"), "text"))
-    return source.mapInArrow(run, "id long, ids binary, decoded binary").withColumnRenamed("id", id_column)
+    out = source.filter(F.char_length("text") <= size).mapInArrow(run, "id long, ids binary, decoded binary")
+    long = source.filter(F.char_length("text") > size)
+    return out.union(long_texts(long, path, pattern, size, overlap)).withColumnRenamed("id", id_column)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

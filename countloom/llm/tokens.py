@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from countloom.llm.common import as_text, scratch, slices, stored, table, tune, worker_cache
+from countloom.llm.common import as_text, scratch, slices, stored, table, worker_cache
 
 #: A cut before a space is a pre-token boundary unless white space stands before it.
 _UNSAFE = re.compile(r"[\s\x1c-\x1f\x85] ")
@@ -240,23 +240,32 @@ def digests(encoded: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- token files
 
+def _id_lists(blobs: list[bytes]):
+    """Packed ids as an Arrow list column."""
+    import pyarrow as pa
+
+    size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+    bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(blobs), "<i4")))
+
+
 class JsonTokenizer:
-    """ids of a text by a tokenizers file.  What a unit between spaces gives is kept; only new units reach the library."""
+    """ids of texts by a tokenizers file.  What a unit between spaces gives is kept in Arrow columns; only new units reach the library."""
 
     JOINED = 512
 
     def __init__(self, path: str):
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         tokens = self.tokenizer.get_vocab()
         # a byte-level token has one character a byte
         self.lengths = np.zeros(max(tokens.values()) + 1, np.int64)
         for token, i in tokens.items():
             self.lengths[i] = len(token)
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known, self.ids = pa.array([], pa.string()), _id_lists([])
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -277,40 +286,70 @@ class JsonTokenizer:
             out += [ids[a:b] for a, b in zip(at, at[1:])]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        units = [split_units(t) for t in texts]
-        whole = [i for i, u in enumerate(units) if u is None]
-        if len(self.kept) >= CACHE // 2:  # what is in use moves on to the new generation
-            self.kept, self.older = {}, self.kept
-        kept, older = self.kept, self.older
-        new = []
-        for w in {w for u in units if u for w in u[1:]}.difference(kept):
-            packed = older.get(w)
-            if packed is None:
-                new.append(w)
-            else:
-                kept[w] = packed
-        kept.update(zip(new, self._units(new)))
-        heads = self._library([u[0] for u in units if u is not None])
-        out = []
-        for u in units:
-            out.append(b"" if u is None else b"".join(map(kept.__getitem__, u[1:])))
-        for at, i in enumerate(i for i, u in enumerate(units) if u is not None):
-            out[i] = heads[at] + out[i]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole])):
-            out[i] = ids
-        return out
-
-
-def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int, partitions: int | None = None, id_column: str = "doc_id") -> None:
+    def _places(self, words):
+        """(id lists, place in them of each of the distinct words); all that is kept beyond UNITS gives way to the words at hand."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found = pc.index_in(words, value_set=self.known)
+        new = words.filter(pc.is_null(found))
+        place = np.asarray(found.fill_null(-1)).astype(np.int64)
+        place[place < 0] = len(self.known) + np.arange(len(new))
+        if len(new):
+            self.known = pa.concat_arrays([self.known, new])
+            self.ids = pa.concat_arrays([self.ids, _id_lists(self._units(new.to_pylist()))])
+        lists = self.ids
+        if len(self.known) > UNITS:
+            self.known, self.ids = words, lists.take(pa.array(place))
+        return lists, place
+
+    def encode(self, column, end_id: int | None = None):
+        """(bounds, ids) of an Arrow column of texts without nulls, each text's ids followed by end_id.
+
+        Texts are cut before spaces and only distinct pieces are looked up; ids are then gathered piece by piece.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = column.to_pylist()
+        # the library looks for its added tokens before anything else, so texts that hold one go to it whole
+        cut = np.array([not (any(a in t for a in self.added) or t[:1] == " " or t[-1:] == " " or _UNSAFE.search(t)) for t in texts], bool)
+        lists = pc.split_pattern(column.filter(pa.array(cut)), " ")
+        at = np.asarray(lists.offsets).astype(np.int64)
+        at -= at[0] if len(at) else 0
+        rest = np.ones(int(at[-1]) if len(at) else 0, bool)
+        rest[at[:-1]] = False
+        pieces = lists.flatten()
+        coded = pieces.filter(pa.array(rest)).dictionary_encode()
+        first = iter(pieces.take(pa.array(at[:-1])).to_pylist())
+        # heads of cut texts and whole other texts go to the library as they are
+        single = self._library([next(first) if c else t for c, t in zip(cut.tolist(), texts)])
+        kept, place = self._places(coded.dictionary)
+        store = pa.concat_arrays([kept, _id_lists([*single, b"" if end_id is None else np.array([end_id], "<u4").tobytes()])])
+        # segments of every text: its head or whole, its other pieces, the end
+        count = np.full(len(texts), 2)
+        count[cut] += np.diff(at) - 1
+        begin = np.cumsum(count) - count
+        segment = np.empty(int(count.sum()), np.int64)
+        inner = np.ones(len(segment), bool)
+        inner[begin] = inner[begin + count - 1] = False
+        segment[begin] = len(kept) + np.arange(len(texts))
+        segment[begin + count - 1] = len(store) - 1
+        segment[inner] = place[np.asarray(coded.indices)]
+        lists = store.take(pa.array(segment))
+        bounds = np.asarray(lists.offsets).astype(np.int64)
+        return bounds[np.append(begin, len(segment))], lists.flatten().to_numpy()
+
+
+def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int, partitions: int | None = None, id_column: str = "doc_id", stride: int = 1000, stripe: int = 16 << 20) -> None:
     """Writes (doc_id, ids) in ascending doc_id order as ORC.
 
-    The format packs ids with its integer run-length encoding, keeps row indexes for every stripe and
-    Bloom filters on doc_id; files and stripes can be read in parallel, and a lookup of one doc_id reads
-    metadata first.  Rows with equal ids keep any order among themselves.
+    The format packs ids with its integer run-length encoding, keeps row indexes for every `stride` rows of a stripe and
+    Bloom filters on doc_id; files and stripes can be read in parallel, and a lookup of one doc_id (look_up) reads
+    metadata first.  Null texts are empty and hold the end id alone; rows with equal ids keep any order among themselves, rows
+    without an id come first; an empty table gives files without rows.
     """
     spark = docs.sparkSession
-    tune(spark)
 
     def run(batches):
         import os
@@ -319,24 +358,26 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str, end_id: int, par
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder = worker_cache(f"json-{tokenizer}", lambda: JsonTokenizer(tokenizer))
-        last = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            ids = [np.frombuffer(i + last, "<i4") for i in coder.encode(batch.column(1).to_pylist())]
-            bounds = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values))], ["doc_id", "ids"])
+        for batch in slices(batches, 1, 4 << 20):
+            bounds, values = coder.encode(batch.column(1), end_id)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))], ["doc_id", "ids"])
 
     source = as_text(docs.select(F.col(id_column).cast("long").alias("doc_id"), "text"))
     parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     coded = source.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, "doc_id long, ids array<int>")
-    (coded.write.option("compression", "zlib").option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true")
-     .option("orc.stripe.size", str(16 << 20)).option("orc.row.index.stride", "10000").orc(path))
+    (coded.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.create.index", "true")
+     .option("orc.stripe.size", str(stripe)).option("orc.row.index.stride", str(stride)).orc(path))
 
 
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("doc_id long, ids array<int>").orc(path)
 
 
+def look_up(spark: SparkSession, path: str, *doc_ids: int) -> DataFrame:
+    """The rows of some documents: stripes and row groups whose statistics or Bloom filter exclude all of them are not read."""
+    return read_token_orc(spark, path).filter(F.col("doc_id").isin(*doc_ids))
+
+
 def token_spans(spark: SparkSession, path: str) -> DataFrame:
     """Per document of token files: doc_id, start, n_tokens, ids_crc32.
 
@@ -364,18 +405,18 @@ def token_spans(spark: SparkSession, path: str) -> DataFrame:
     return named.mapInArrow(lengths, "doc_id long, n_tokens long, ids_crc32 long, file string")
 
 
-def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    from pyspark.sql import Window as W
-
-    from countloom.llm.common import stored
+def token_index(docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "doc_id") -> DataFrame:
+    """Writes docs as token files, reads them back and returns doc_id, start, n_tokens and ids_crc32 of every row.
 
+    Rows that repeat an id follow each other by checksum and length; rows without an id come first; null and empty texts
+    hold the end id alone; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
     path = scratch(spark, "tokens")
-    write_token_orc(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    write_token_orc(docs, path, tokenizer, end_id, id_column=id_column)
     spans = stored(token_spans(spark, path), "spans")
     # one row a file: the files' order is that of their first documents
-    files = spans.groupBy("file").agg(F.min("doc_id").alias("first_id"), F.sum("n_tokens").alias("held"))
+    files = spans.groupBy("file").agg(F.coalesce(F.min("doc_id"), F.lit(-(1 << 63))).alias("first_id"), F.sum("n_tokens").alias("held"))
     files = files.withColumn("before", F.sum("held").over(W.orderBy("first_id", "file").rowsBetween(W.unboundedPreceding, -1)))
     inside = W.partitionBy("file").orderBy("doc_id", "ids_crc32", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
     return (
@@ -383,3 +424,10 @@ def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(files.select("file", F.coalesce("before", F.lit(0)).alias("before")), "file")
         .select("doc_id", (F.col("before") + F.col("inside")).cast("long").alias("start"), "n_tokens", "ids_crc32")
     )
+
+
+def op8_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, length and checksum of every document in the token files; rows and edge cases as token_index states."""
+    import public_tokenizers
+
+    return token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)

@@ -6,14 +6,15 @@ import heapq
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from countloom.llm.common import stored, table
+from countloom.llm.common import bounded_batches, discard, stored, table
 
 #: Rows of a block of candidates and of a block of queries.
 CANDIDATES, QUERIES, STRIP = 8192, 4096, 256
 
-_BLOCK = "dim int, n int, ids binary, vectors binary, codes binary, scales binary, norms binary, errors binary"
+_BLOCK = "dim int, n int, ids binary, tags binary, codes binary, scales binary, norms binary, errors binary"
 
 
 def usable(embeddings: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -41,10 +42,15 @@ def exact_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def tagged(rows: DataFrame) -> DataFrame:
+    """id, vector and tag (hash of the vector, which tells vectors of one id apart); rows that repeat id and vector once."""
+    return rows.dropDuplicates(["id", "vector"]).withColumn("tag", F.xxhash64("vector"))
+
+
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """rows (id, vector) packed into blocks of about size rows of one dimension, numbered from 0: column number.
+    """rows (id, vector, tag) packed into blocks of about size rows of one dimension, numbered from 0: column number.
 
-    Rows that repeat an id with the same vector count once.
+    A block holds int8 codes and bounds, an eighth of the vectors' bytes; the vectors themselves stay where they are.
     """
     n = rows.count()
     parts = max(1, -(-n // size))
@@ -53,121 +59,136 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         import pyarrow as pa
 
         dim = key[0].as_py()
-        ids = group.column("id").to_numpy()
+        ids, tags = group.column("id").to_numpy(), group.column("tag").to_numpy()
         vectors = group.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), dim)
-        order = np.lexsort((*vectors.T[::-1], ids))
-        ids, vectors = ids[order], vectors[order]
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (vectors[1:] != vectors[:-1]).any(axis=1)
-        ids, vectors = ids[new], vectors[new]
+        order = np.lexsort((tags, ids))
+        ids, tags, vectors = ids[order], tags[order], vectors[order]
         codes, scales, norms, errors = quantised(vectors)
-        values = [[dim], [len(ids)], *([x.tobytes()] for x in (ids, vectors, codes, scales, norms, errors))]
+        values = [[dim], [len(ids)], *([x.tobytes()] for x in (ids, tags, codes, scales, norms, errors))]
         names = [x.split()[0] for x in _BLOCK.split(", ")]
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6]
         return pa.table([pa.array(v, k) for v, k in zip(values, kinds)], names=names)
 
-    keyed = rows.select(F.size("vector").alias("_dim"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("_part"), "id", "vector")
+    keyed = rows.select(F.size("vector").alias("_dim"), F.pmod(F.xxhash64("id", "tag"), F.lit(parts)).alias("_part"), "id", "tag", "vector")
     return keyed.groupBy("_dim", "_part").applyInArrow(pack, _BLOCK).withColumn("number", F.monotonically_increasing_id())
 
 
 def _unpacked(row, prefix: str):
     dim, n = row[f"{prefix}dim"], row[f"{prefix}n"]
-    ids = np.frombuffer(row[f"{prefix}ids"], np.int64)
-    vectors = np.frombuffer(row[f"{prefix}vectors"], np.float64).reshape(n, dim)
+    ids, tags = (np.frombuffer(row[prefix + k], np.int64) for k in ("ids", "tags"))
     codes = np.frombuffer(row[f"{prefix}codes"], np.int8).reshape(n, dim)
-    return ids, vectors, codes, *(np.frombuffer(row[prefix + k], np.float64) for k in ("scales", "norms", "errors"))
+    return ids, tags, codes, *(np.frombuffer(row[prefix + k], np.float64) for k in ("scales", "norms", "errors"))
 
 
-def tile(query, candidate, k: int, heaps: dict) -> None:
-    """Adds a tile's best candidates to the heaps of its queries (query id -> [(score, -id)], at most k).
+class Survivors:
+    """Candidates of a block of queries whose upper bound reaches the k-th largest lower bound seen so far.
 
-    |q.c - q^.c^| <= |q - q^| |c| + |q^| |c - c^|, so a candidate whose upper bound is below the k-th
-    largest lower bound of the query, or below its heap's least score, cannot be among its k nearest.
+    |q.c - q^.c^| <= |q - q^| |c| + |q^| |c - c^| for codes q^ and c^, so a candidate below that cannot be among the k nearest.
     """
-    qi, qv, qc, qs, qn, qe = query
-    ci, cv, cc, cs, cn, ce = candidate
-    # products of int8 codes are whole numbers, exact in float32 up to 2**24 and in float64 beyond
-    kind = np.float32 if qv.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    right = np.ascontiguousarray(cc.T).astype(kind)
-    length = cn + ce
-    for at in range(0, len(qi), STRIP):
-        part = slice(at, at + STRIP)
-        about = (qc[part].astype(kind) @ right).astype(np.float64) * qs[part, None] * cs
-        error = (qe[part, None] * length + qn[part, None] * ce) * (1 + 1e-9) + 1e-9 * (qn + qe)[part, None] * length
-        own = qi[part, None] == ci
-        about[own] = -np.inf
-        lower = about - error
-        floor = np.full(len(about), -np.inf)
-        if lower.shape[1] > k:
-            floor = np.partition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k]
-        for r, q in enumerate(qi[part].tolist()):
-            heap = heaps.setdefault(q, [])
-            if len(heap) >= k and heap[0][0] > floor[r]:
-                floor[r] = heap[0][0]
-        rows, columns = np.nonzero((about + error >= floor[:, None]) & ~own)
-        scores = exact_products(qv[at + rows], cv[columns])
-        for q, c, s in zip(qi[at + rows].tolist(), ci[columns].tolist(), scores.tolist()):
-            heap = heaps[q]
-            if len(heap) < k:
-                heapq.heappush(heap, (s, -c))
-            elif (s, -c) > heap[0]:
-                heapq.heapreplace(heap, (s, -c))
-
-
-def _rows_of(heaps: dict, final: bool):
-    import pyarrow as pa
-
-    q, rank, c, s = [], [], [], []
-    for query, heap in heaps.items():
-        for place, (value, minus) in enumerate(sorted(heap, reverse=True), 1):
-            q.append(query), rank.append(place), c.append(-minus), s.append(value)
-    columns = [pa.array(q, pa.int64()), pa.array(rank, pa.int32()), pa.array(c, pa.int64()), pa.array(s, pa.float64())]
-    return pa.RecordBatch.from_arrays(columns, ["query_id", "rank", "id", "score"])
+
+    def __init__(self, query, k: int):
+        self.query, self.k = query, k
+        self.best = np.full((len(query[0]), k), -np.inf)
+        self.found: list[tuple] = []
+
+    def add(self, candidate) -> None:
+        qi, _, qc, qs, qn, qe = self.query
+        ci, ct, cc, cs, cn, ce = candidate
+        # products of int8 codes are whole numbers, exact in float32 up to 2**24 and in float64 beyond
+        kind = np.float32 if qc.shape[1] * 127 * 127 < 1 << 24 else np.float64
+        right = np.ascontiguousarray(cc.T).astype(kind)
+        length = cn + ce
+        for at in range(0, len(qi), STRIP):
+            part = slice(at, at + STRIP)
+            about = (qc[part].astype(kind) @ right).astype(np.float64) * qs[part, None] * cs
+            error = (qe[part, None] * length + qn[part, None] * ce) * (1 + 1e-9) + 1e-9 * (qn + qe)[part, None] * length
+            about[qi[part, None] == ci] = -np.inf
+            lower = about - error
+            both = np.hstack([self.best[part], lower])
+            self.best[part] = np.partition(both, both.shape[1] - self.k, axis=1)[:, both.shape[1] - self.k :]
+            upper = about + error
+            rows, columns = np.nonzero((upper >= self.best[part].min(axis=1)[:, None]) & (about > -np.inf))
+            self.found.append((at + rows, ci[columns], ct[columns], lower[rows, columns], upper[rows, columns]))
+
+    def rows(self):
+        """(query_id, query_tag, id, tag, lower, upper), those pruned that later tiles have ruled out."""
+        import pyarrow as pa
+
+        row, ids, tags, lower, upper = (np.concatenate(x) for x in zip(*self.found))
+        near = upper >= self.best.min(axis=1)[row]
+        columns = [self.query[0][row], self.query[1][row], ids, tags, lower, upper]
+        return pa.RecordBatch.from_arrays([pa.array(c[near]) for c in columns], ["query_id", "query_tag", "id", "tag", "lower", "upper"])
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """The k candidates of largest inner product per query: query_id, rank (from 1), id, score; ties to the smaller id.
 
     Both frames have id and vector (see usable).  A query never meets a row of its own id; vectors meet
-    those of their own dimension only.  Every pair of a query block and a candidate block is one tile;
-    tiles are dealt evenly over the tasks, and a task keeps one heap of k for each of its queries.
+    those of their own dimension only; rows that repeat id and vector count once, and an id's other vectors are candidates
+    of their own.  With fewer than k candidates all are returned; no queries or no candidates give no rows.
+
+    Every pair of a query block and a candidate block is one tile of int8 codes; tiles of a query block that meet in a task
+    share its bounds.  Survivors are then pruned over all tasks, their vectors fetched by id, recomputed in double and merged by heaps.
     """
     spark = queries.sparkSession
-    cand = stored(blocks(candidates, CANDIDATES), "candidates")
-    quer = stored(blocks(queries, QUERIES), "queries")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    bounded_batches(spark)
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted, given = tagged(queries), tagged(candidates)
+    cand = stored(blocks(given, CANDIDATES), "candidates")
+    quer = stored(blocks(wanted, QUERIES), "queries")
     pairs = quer.select(F.col("number").alias("qb"), F.col("dim").alias("qd")).join(
         cand.select(F.col("number").alias("cb"), F.col("dim").alias("cd")), F.col("qd") == F.col("cd")).select("qb", "cb")
     left = quer.select(F.col("number").alias("qb"), *(F.col(c).alias(f"q_{c}") for c in quer.columns if c != "number"))
     right = cand.select(F.col("number").alias("cb"), *(F.col(c).alias(f"c_{c}") for c in cand.columns if c != "number"))
-    tiles = pairs.join(right, "cb").join(left, "qb")
+    # a task gets several tiles of one query block where there are more tiles than tasks
+    share = max(1, -(-4 * max(8, parts) // max(1, quer.count())))
+    tiles = pairs.join(right, "cb").join(left, "qb").withColumn("share", F.pmod("cb", F.lit(share))).repartition(max(8, parts), "qb", "share").sortWithinPartitions("qb")
 
     def search(batches):
-        heaps: dict = {}
+        current, held = None, None
         for batch in batches:
-            for row in batch.to_pylist():
-                tile(_unpacked(row, "q_"), _unpacked(row, "c_"), k, heaps)
-        yield _rows_of(heaps, False)
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if row["qb"] != current:
+                    if held is not None:
+                        yield held.rows()
+                    current, held = row["qb"], Survivors(_unpacked(row, "q_"), k)
+                held.add(_unpacked(row, "c_"))
+        if held is not None:
+            yield held.rows()
+
+    found = stored(tiles.mapInArrow(search, "query_id long, query_tag long, id long, tag long, lower double, upper double"), "found")
+    discard(cand, quer)
+    # over all tasks: a query has about k rows a task
+    each = W.partitionBy("query_id", "query_tag")
+    ranked = found.withColumn("r", F.row_number().over(each.orderBy(F.desc("lower"))))
+    near = ranked.withColumn("floor", F.max(F.when(F.col("r") == k, F.col("lower"))).over(each)).filter("floor IS NULL OR upper >= floor")
+    scored = near.select("query_id", "query_tag", "id", "tag").join(
+        wanted.select(F.col("id").alias("query_id"), F.col("tag").alias("query_tag"), F.col("vector").alias("q")), ["query_id", "query_tag"]).join(
+        given.select("id", "tag", F.col("vector").alias("c")), ["id", "tag"])
+    # from the first component to the last
+    score = F.aggregate(F.zip_with("q", "c", lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
 
     def merge(batches):
+        import pyarrow as pa
+
         heaps: dict = {}
         for batch in batches:
-            for q, _, c, s in zip(*(x.to_pylist() for x in batch.columns)):
+            for q, c, s in zip(*(x.to_pylist() for x in batch.columns)):
                 heap = heaps.setdefault(q, [])
                 if len(heap) < k:
                     heapq.heappush(heap, (s, -c))
                 elif (s, -c) > heap[0]:
                     heapq.heapreplace(heap, (s, -c))
-        yield _rows_of(heaps, True)
+        rows = [(q, rank, -minus, s) for q, heap in heaps.items() for rank, (s, minus) in enumerate(sorted(heap, reverse=True), 1)]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["query_id", "rank", "id", "score"])
 
-    schema = "query_id long, rank int, id long, score double"
-    found = stored(tiles.mapInArrow(search, schema), "found")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return found.repartition(parts, "query_id").mapInArrow(merge, schema)
+    return scored.select("query_id", "id", score.alias("score")).repartition(parts, "query_id").mapInArrow(merge, "query_id long, rank int, id long, score double")
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20; rows and edge cases as nearest states."""
     rows = usable(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return nearest(rows.filter("id % 20 = 0"), rows, 20).withColumnRenamed("id", "vec_id")
 

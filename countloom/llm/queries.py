@@ -24,5 +24,6 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_nearest": neighbours.OP1_SQL,
+        "op2_ngram_jaccard": jaccard.OP2_SQL,
         "op4_near_vectors": near_vectors.OP4_SQL,
     }

@@ -15,27 +15,32 @@ from countloom.functions.scalars import binary_label
 LABEL_COLUMNS = ("doublet", "is_doublet", "doublet_label", "label", "labels", "true_label", "ground_truth", "classification")
 
 
-def read_matrix_market(spark: SparkSession, matrix: str, barcodes: str, features: str) -> DataFrame:
-    """cell, gene, count of a coordinate file; which side holds the cells follows from the sizes."""
-    lines = spark.read.text(matrix).filter(~F.col("value").startswith("%")).withColumn("value", F.trim("value"))
+def read_matrix_market(spark: SparkSession, matrix: str, barcodes: str, features: str | None) -> DataFrame:
+    """cell, gene, count of a coordinate file; which side holds the cells follows from the number of barcodes.
+
+    The first line that is no comment holds the sizes and is left out by its place.  Gene names that are missing or of
+    another number become gene_0, gene_1, and so on; a matrix whose sides both differ from the barcodes is an error.
+    """
+    lines = spark.read.text(matrix).withColumn("_n", F.monotonically_increasing_id()).withColumn("value", F.trim("value")).filter(~F.col("value").startswith("%") & (F.col("value") != ""))
     parts = F.split("value", r"\s+")
-    cells, genes = name_file(spark, barcodes, False), name_file(spark, features, True)
-    n_cells, n_genes = cells.count(), genes.count()
-    rows = lines.select(parts[0].cast("long").alias("i"), parts[1].cast("long").alias("j"), parts[2].cast("double").alias("count"))
-    size = rows.first()
-    if (size["i"], size["j"]) == (n_genes, n_cells):
-        rows = rows.select(F.col("j").alias("_c"), F.col("i").alias("_g"), "count")
-    elif (size["i"], size["j"]) == (n_cells, n_genes):
-        rows = rows.select(F.col("i").alias("_c"), F.col("j").alias("_g"), "count")
-    else:
+    size = lines.agg(F.min(F.struct("_n", "value")).alias("s")).first()["s"]
+    if size is None:
+        raise ValueError("the matrix is empty")
+    high, wide, *_ = (int(float(x)) for x in size["value"].split())
+    cells = name_file(spark, barcodes, False)
+    n_cells = cells.count()
+    if n_cells not in (high, wide):
         raise ValueError("names and matrix differ in size")
-    # the size line has the largest place of both sides and the number of entries
-    rows = rows.filter(~((F.col("_c") == n_cells) & (F.col("_g") == n_genes) & (F.col("count") == float(size["count"])))) if _size_line(rows, n_cells, n_genes, size["count"]) else rows
-    return rows.join(cells.select(F.col("place").alias("_c"), F.col("name").alias("cell")), "_c").join(genes.select(F.col("place").alias("_g"), F.col("name").alias("gene")), "_g").filter("count > 0").select("cell", "gene", "count")
-
-
-def _size_line(rows, n_cells: int, n_genes: int, n: float) -> bool:
-    return rows.filter((F.col("_c") == n_cells) & (F.col("_g") == n_genes)).count() >= 1 and n >= 0
+    by_row = n_cells == high
+    n_genes = wide if by_row else high
+    genes = name_file(spark, features, True) if features else None
+    if genes is None or genes.count() != n_genes:
+        genes = spark.range(1, n_genes + 1).select(F.col("id").alias("place"), F.concat(F.lit("gene_"), (F.col("id") - 1).cast("string")).alias("name"))
+    i, j = parts[0].cast("long"), parts[1].cast("long")
+    rows = lines.filter(F.col("_n") > size["_n"]).select((i if by_row else j).alias("_c"), (j if by_row else i).alias("_g"), parts[2].cast("double").alias("count"))
+    # an entry may come in parts, which add up
+    placed = rows.groupBy("_c", "_g").agg(F.sum("count").alias("count")).filter("count > 0")
+    return placed.join(cells.select(F.col("place").alias("_c"), F.col("name").alias("cell")), "_c").join(genes.select(F.col("place").alias("_g"), F.col("name").alias("gene")), "_g").select("cell", "gene", "count")
 
 
 def name_file(spark: SparkSession, path: str, second: bool) -> DataFrame:
@@ -118,3 +123,30 @@ def write_results(cells: DataFrame, scores: DataFrame, path: str, form: str = "p
 def read_all(spark: SparkSession, root: str, name: str) -> DataFrame:
     """All tables of one name below a folder, with their file, columns matched by name."""
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).option("header", True).csv(root).withColumn("source_file", F.input_file_name())
+
+
+def aligned_labels(labels: DataFrame, columns: list[str], label: str, cells: DataFrame) -> DataFrame:
+    """cells (cell, place) with label, by the first column that holds at least half of them, else by place where both are as many; else an error.
+
+    labels: the columns, label and place.
+    """
+    key = join_key(labels, columns, cells.select(F.col("cell").alias("id")))
+    if key is not None:
+        found = labels.groupBy(F.col(key).cast("string").alias("cell")).agg(F.min_by(label, "place").alias(label))
+        return cells.join(found, "cell", "left").select("cell", label)
+    if labels.count() != cells.count():
+        raise ValueError("labels match neither by id nor in number")
+    return cells.join(labels.select("place", label), "place", "left").select("cell", label)
+
+
+def load_scores(cached: DataFrame | None, cells: DataFrame) -> tuple[DataFrame | None, str]:
+    """(scores, "") of a cache that holds a finite score for every cell once and nothing else, or (None, why it is refused)."""
+    if cached is None:
+        return None, "not there"
+    both = cells.select("cell", F.lit(1).alias("_w")).join(cached.select("cell", "score", F.lit(1).alias("_c")), "cell", "full")
+    bad = F.isnan("score") | F.col("score").isNull() | (F.abs("score") == float("inf"))
+    one = both.agg(F.count_if(F.col("_c").isNull()).alias("missing"), F.count_if(F.col("_w").isNull()).alias("unknown"), F.count_if(F.col("_c").isNotNull() & bad).alias("bad"), (F.count("*") - F.count_distinct("cell")).alias("twice")).first()
+    for name, why in (("missing", "cells are missing"), ("unknown", "cells are unknown"), ("bad", "scores are not finite"), ("twice", "cells repeat")):
+        if one[name]:
+            return None, why
+    return cached, ""

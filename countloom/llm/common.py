@@ -26,11 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tune(spark: SparkSession, records: int = 256) -> None:
-    """Small Arrow batches: one batch of very long texts must fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of about 4 MB, so that two of them fit a Python worker however long the texts are.
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countloom.llm.common import mix64, stored, table
+from countloom.llm.common import bounded_batches, discard, mix64, stored, table
 from countloom.llm.components import components
 
 #: Vectors of a shard, about; links of a node above the ground and on it; beams to build and first to search with.
@@ -182,12 +182,17 @@ class Graph:
 
 
 def linked_pairs(queries: np.ndarray, graph: Graph, least: float, same: bool = False):
-    """(query, node) pairs whose similarity is about least or more.
+    """(query, node) pairs whose similarity is about least or more."""
+    return audited_pairs(queries, graph, least, same)[:2]
 
-    The beam is doubled for queries whose beam is full of links, and for all while an audit against brute force finds too
+
+def audited_pairs(queries: np.ndarray, graph: Graph, least: float, same: bool = False):
+    """linked_pairs by walks in the graph, with the links that the last audit counted and those of them that the walks found.
+
+    The beam is widened for queries whose beam is full of links, and for all while an audit against brute force finds too
     few.  The audit draws queries until AUDIT of them have links (to others, where same says that the queries are the shard) and
-    weighs each of those as one; where it comes to draw all, its links are the answer.  A beam of a sixth of the shard would visit
-    most of it, and plain products take its place.
+    weighs each of those as one.  Every query walks the graph.  Those whose links fill even a beam of a sixth of the shard are
+    multiplied with all of it, as that visits no more, and so are all queries where no beam passes the audit.
     """
     slack = least - 1e-5
     n = len(graph.v)
@@ -204,42 +209,49 @@ def linked_pairs(queries: np.ndarray, graph: Graph, least: float, same: bool = F
         if linked >= AUDIT:
             break
     sample = np.concatenate(samples)
-    if len(sample) == len(queries):
-        found = [np.nonzero(true) for true in truths]
-        return np.concatenate([part[i] for part, (i, _) in zip(samples, found)]), graph.order[np.concatenate([j for _, j in found])]
     rising = np.argsort(sample)
     sample, truth = sample[rising], np.concatenate(truths)[rising]
     links = truth.sum(axis=1)
-    beam = BEAM
+    beam = min(BEAM, n)
     while True:
         todo, width = np.arange(len(queries)), beam
-        q_out, n_out = [], []
+        q_out, n_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         while len(todo):
-            if width * 6 >= n:
+            if width > beam and width * 6 >= n:
                 for at in range(0, len(todo), STRIP):
                     i, j = np.nonzero(queries[todo[at : at + STRIP]] @ graph.w.T >= slack)
                     q_out.append(todo[at + i]), n_out.append(j)
                 break
             ids, sims = graph.search(queries[todo], width)
             hit = (ids >= 0) & (sims >= slack)
-            more = hit.mean(axis=1) > 0.5
+            more = (hit.mean(axis=1) > 0.5) & (width < n)
             i, j = np.nonzero(hit & ~more[:, None])
             q_out.append(todo[i]), n_out.append(ids[i, j])
-            todo, width = todo[more], width * 4
+            todo, width = todo[more], min(width * 4, n)
         q, node = np.concatenate(q_out), np.concatenate(n_out)
         found = np.zeros_like(truth)
         where = np.searchsorted(sample, q)
         inside = (where < len(sample)) & (sample[np.minimum(where, len(sample) - 1)] == q)
         found[where[inside], node[inside]] = True
-        if beam >= n or ((found & truth).sum(axis=1)[links > 0] / links[links > 0]).mean() >= RECALL:
-            return q, graph.order[node]
-        beam *= 2
+        hits = (found & truth).sum(axis=1)
+        if not links.any() or (hits[links > 0] / links[links > 0]).mean() >= RECALL:
+            return q, graph.order[node], int(links.sum()), int(hits.sum())
+        if beam >= n:
+            break
+        beam = min(beam * 2, n)
+    parts = [np.nonzero(queries[at : at + STRIP] @ graph.w.T >= slack) for at in range(0, len(queries), STRIP)]
+    q = np.concatenate([at * STRIP + i for at, (i, _) in enumerate(parts)])
+    return q, graph.order[np.concatenate([j for _, j in parts])], int(links.sum()), int(links.sum())
 
 
 def shards(rows: DataFrame) -> DataFrame:
-    """rows (id, label, vector) packed into shards with their graphs: label, number, dim, n, ids, vectors, graph."""
+    """rows (id, label, vector) packed into shards with their graphs: label, number, dim, n, ids, vectors, graph.
+
+    Rows that repeat id and vector are dropped before they are dealt, so that a shard stays of bounded size.
+    """
+    rows = rows.dropDuplicates(["label", "id", "vector"])
     sizes = rows.groupBy("label").agg(F.ceil(F.count("*") / SHARD).cast("long").alias("parts"))
-    keyed = rows.join(sizes, "label").select("label", F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"), "id", "vector")
+    keyed = rows.join(sizes, "label").select("label", F.size("vector").alias("dim"), F.pmod(F.xxhash64("id", "vector"), F.col("parts")).alias("part"), "id", "vector")
 
     def pack(key, group):
         import pyarrow as pa
@@ -254,10 +266,10 @@ def shards(rows: DataFrame) -> DataFrame:
         ids, vectors = ids[new], vectors[new]
         blob = Graph(_unit(vectors)).packed()
         return pa.table({
-            "label": pa.array([key[0].as_py()], pa.int64()), "dim": pa.array([dim], pa.int32()), "n": pa.array([len(ids)], pa.int32()),
+            "label": pa.array([key[0].as_py()], pa.string()), "dim": pa.array([dim], pa.int32()), "n": pa.array([len(ids)], pa.int32()),
             "ids": [ids.tobytes()], "vectors": [vectors.tobytes()], "graph": [blob]})
 
-    out = keyed.groupBy("label", "dim", "part").applyInArrow(pack, "label long, dim int, n int, ids binary, vectors binary, graph binary")
+    out = keyed.groupBy("label", "dim", "part").applyInArrow(pack, "label string, dim int, n int, ids binary, vectors binary, graph binary")
     return out.withColumn("number", F.monotonically_increasing_id())
 
 
@@ -276,8 +288,31 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(x) * np.sqrt(y))
 
 
+def verified_pairs(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs (i of a, j of b; i rising) have a cosine of least or more in double precision.
+
+    Rows with many partners are multiplied as a block; where its rounding could matter, and for all other pairs, components are
+    summed one after the other (cosines).
+    """
+    unit = [x / np.abs(x).max(axis=1, keepdims=True) for x in (a, b)]
+    unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in unit]
+    ok = np.zeros(len(i), bool)
+    cuts = np.searchsorted(i, np.arange(0, len(a) + STRIP, STRIP))
+    for at, (x, y) in enumerate(zip(cuts, cuts[1:])):
+        if y - x > STRIP * len(b) // 32:
+            value = (unit[0][at * STRIP : (at + 1) * STRIP] @ unit[1].T)[i[x:y] - at * STRIP, j[x:y]]
+            ok[x:y] = value >= least
+            open_ = x + np.flatnonzero(np.abs(value - least) < 1e-9)
+        else:
+            open_ = np.arange(x, y)
+        for p in range(0, len(open_), 65536):
+            part = open_[p : p + 65536]
+            ok[part] = cosines(a[i[part]], b[j[part]]) >= least
+    return ok
+
+
 def tile_links(left: dict, right: dict, least: float):
-    """Verified links between two shards, or inside one: places (i in left, j in right), each pair once."""
+    """Verified links between two shards, or inside one: places (i in left, j in right), each pair once; links audited and found."""
     same = left["number"] == right["number"]
     sides = []
     for s in (left, right) if not same else (left,):
@@ -285,17 +320,18 @@ def tile_links(left: dict, right: dict, least: float):
         sides.append((v, _unit(v)))
     lv, lu = sides[0]
     rv, ru = sides[-1]
-    q, node = linked_pairs(lu, Graph.unpacked(ru, right["graph"]), least, same)
+    q, node, true, hit = audited_pairs(lu, Graph.unpacked(ru, right["graph"]), least, same)
     pairs = [np.stack([q, node], 1)]
     if same:
         pairs = [np.stack([np.minimum(q, node), np.maximum(q, node)], 1)[q != node]]
     else:
-        q, node = linked_pairs(ru, Graph.unpacked(lu, left["graph"]), least)
+        q, node, more_true, more_hit = audited_pairs(ru, Graph.unpacked(lu, left["graph"]), least)
         pairs.append(np.stack([node, q], 1))
+        true, hit = true + more_true, hit + more_hit
     code = np.unique(np.concatenate(pairs)[:, 0] * np.int64(len(rv)) + np.concatenate(pairs)[:, 1])
     i, j = code // len(rv), code % len(rv)
-    ok = np.concatenate([cosines(lv[i[at : at + 65536]], rv[j[at : at + 65536]]) >= least for at in range(0, len(i), 65536)] or [np.zeros(0, bool)])
-    return i[ok], j[ok]
+    ok = verified_pairs(lv, rv, i, j, least)
+    return i[ok], j[ok], true, hit
 
 
 def forest(a: np.ndarray, b: np.ndarray):
@@ -313,18 +349,12 @@ def forest(a: np.ndarray, b: np.ndarray):
             return ids, ids[least]
 
 
-def near_duplicates(embeddings: DataFrame, least: float, id_column: str, vector_column: str, label_column: str) -> DataFrame:
-    """Per row: id, n_links (other vectors of its label with cosine least or more), component_id, kept.
-
-    Null labels and null, empty, zero or non-finite vectors link with nothing; vectors of different dimension do not
-    link.  Rows that repeat id and vector count once; rows that share an id share its links and component;
-    rows without an id link with nothing.
-    """
+def vector_links(embeddings: DataFrame, least: float, id_column: str, vector_column: str, label_column: str) -> DataFrame:
+    """Links per pair of shards, united there: id a, the smallest id b that it reaches, its number n of links; for a null, n links audited and b of them found."""
     spark = embeddings.sparkSession
-    labelled = embeddings.filter(F.col(label_column).isNotNull())
-    rows = usable_with_label(labelled, id_column, vector_column, label_column)
+    bounded_batches(spark)
+    rows = usable_with_label(embeddings.filter(F.col(label_column).isNotNull()), id_column, vector_column, label_column)
     packed = stored(shards(rows), "shards")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     heads = packed.select("label", "dim", "number")
     pairs = heads.select("label", "dim", F.col("number").alias("x")).join(heads.select("label", "dim", F.col("number").alias("y")), ["label", "dim"]).filter("x <= y").select("x", "y")
     columns = ["number", "dim", "n", "ids", "vectors", "graph"]
@@ -335,17 +365,36 @@ def near_duplicates(embeddings: DataFrame, least: float, id_column: str, vector_
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 left, right = row["left"], row["right"]
-                i, j = tile_links(left, right, least)
+                i, j, true, hit = tile_links(left, right, least)
                 a, b = np.frombuffer(left["ids"], np.int64)[i], np.frombuffer(right["ids"], np.int64)[j]
                 a, b = a[a != b], b[a != b]
                 ids, to = forest(a, b)
                 counts = np.bincount(np.searchsorted(ids, np.concatenate([a, b])), minlength=len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(to, pa.int64()), pa.array(counts, pa.int64())], ["a", "b", "n"])
+                columns = [pa.array([*ids.tolist(), None], pa.int64()), pa.array(np.append(to, hit), pa.int64()), pa.array(np.append(counts, true), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n"])
 
     found = stored(tiles.mapInArrow(run, "a long, b long, n long"), "links")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    discard(packed)
+    return found
+
+
+def audit(links: DataFrame) -> DataFrame:
+    """One row: links that the audits of all pairs of shards counted by brute force, and how many of them the walks found."""
+    return links.filter("a IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("audited"), F.coalesce(F.sum("b"), F.lit(0)).alias("found"))
+
+
+def near_duplicates(embeddings: DataFrame, least: float, id_column: str, vector_column: str, label_column: str) -> DataFrame:
+    """Per row: id, n_links (other vectors of its label with cosine least or more), component_id, kept.
+
+    Null labels and null, empty, zero or non-finite vectors link with nothing; vectors of different dimension do not
+    link.  Rows that repeat id and vector count once; rows that share an id share its links and component;
+    rows without an id link with nothing.  Labels of any type compare as text.  A cosine of least itself links.
+    An empty table gives no rows; other columns are ignored.
+    """
+    found = vector_links(embeddings, least, id_column, vector_column, label_column).filter("a IS NOT NULL")
     counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n_links"))
     united = components(found.select("a", "b")).withColumnRenamed("node", "id")
     out = embeddings.select(F.col(id_column).cast("long").alias("id")).join(counts, "id", "left").join(united, "id", "left")
@@ -357,10 +406,11 @@ def usable_with_label(rows: DataFrame, id_column: str, vector_column: str, label
     v = F.col(vector_column)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     good = F.col(id_column).isNotNull() & v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
-    return rows.filter(good).select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("long").alias("label"), v.cast("array<double>").alias("vector"))
+    return rows.filter(good).select(F.col(id_column).cast("long").alias("id"), F.col(label_column).cast("string").alias("label"), v.cast("array<double>").alias("vector"))
 
 
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among vectors of a label at cosine 0.93; rows and edge cases as near_duplicates states."""
     return near_duplicates(table(spark, sf_dir, "embeddings"), 0.93, "vec_id", "embedding", "label")
 
 

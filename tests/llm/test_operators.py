@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -61,6 +62,25 @@ def test_nearest_is_exact(spark):
     assert not any(q > 300 and q != 904 for q, _ in got)
 
 
+def test_nearest_with_repeats_ties_and_other_columns(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CANDIDATES", 16)
+    monkeypatch.setattr(neighbours, "QUERIES", 4)
+    rng = np.random.default_rng(3)
+    v = rng.integers(-2, 3, (120, 4)).astype(float)
+    v[:, 0] = np.where((v == 0).all(axis=1), 1, v[:, 0])
+    rows = [(i, x.tolist(), "a", 0.5, i) for i, x in enumerate(v)] * 2 + [(7, [2.0, 2.0, 2.0, 2.0], "b", None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string, score double, id long").drop("id").withColumnRenamed("label", "rank")
+    usable = neighbours.usable(df, "vec_id", "embedding")
+    got = {}
+    for r in neighbours.nearest(usable.filter("id % 20 = 0"), usable, 9).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["id"], r["score"]))
+    ids, w = np.append(np.arange(120), 7), np.vstack([v, [[2, 2, 2, 2]]])
+    for q in range(0, 120, 20):
+        score = w @ v[q]
+        order = sorted((p for p in range(121) if ids[p] != q), key=lambda p: (-score[p], ids[p]))[:9]
+        assert sorted(got[q]) == [(r + 1, ids[p], score[p]) for r, p in enumerate(order)]
+
+
 def test_nearest_of_nothing(spark):
     df = neighbours.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id", "embedding")
     assert neighbours.nearest(df, df, 3).count() == 0
@@ -81,6 +101,46 @@ def test_near_vectors_match_brute_force(spark):
     assert all(got[i]["component_id"] == 0 for i in range(50, 250))
 
 
+def test_near_vectors_walk_the_graphs_of_large_shards(spark, monkeypatch):
+    """Over 1,000 vectors a label in shards of about 600; labels are text, other columns bear names used inside; every audited link was found by walks."""
+    monkeypatch.setattr(near_vectors, "SHARD", 600)
+    rng = np.random.default_rng(7)
+    n, dim = 2600, 24
+    v = rng.standard_normal((n, dim))
+    for group in range(60):
+        members = rng.choice(n, rng.integers(2, 6), replace=False)
+        v[members] = v[members[0]] + 0.03 * rng.standard_normal((len(members), dim))
+    hot = rng.choice(n, 400, replace=False)
+    v[hot] = v[hot[0]] + 0.05 * rng.standard_normal((400, dim))
+    v = v.astype(np.float32)
+    label = np.array(["x", "y"])[rng.integers(0, 2, n)]
+    rows = [(i, x.tolist(), k, i, 1) for i, (x, k) in enumerate(zip(v, label.tolist()))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string, component long, number int")
+    links = near_vectors.vector_links(df, 0.93, "vec_id", "embedding", "label")
+    audited = near_vectors.audit(links).first()
+    assert audited["audited"] > 1000 and audited["found"] >= 0.999 * audited["audited"]
+    got = {r["vec_id"]: r for r in near_vectors.near_duplicates(df, 0.93, "vec_id", "embedding", "label").collect()}
+    w = v.astype(float)
+    unit = w / np.linalg.norm(w, axis=1, keepdims=True)
+    link = (unit @ unit.T >= 0.93) & (label[:, None] == label) & ~np.eye(n, dtype=bool)
+    assert sum(abs(got[i]["n_links"] - link[i].sum()) for i in range(n)) <= 0.001 * link.sum()
+    wanted = {i: i for i in range(n)}
+    for i, j in zip(*np.nonzero(link)):
+        a, b = sorted((wanted[int(i)], wanted[int(j)]))
+        if a != b:
+            wanted = {k: a if x == b else x for k, x in wanted.items()}
+    assert {i: r["component_id"] for i, r in got.items()} == wanted
+
+
+def test_near_vectors_of_edge_rows(spark):
+    schema = "vec_id long, embedding array<float>, label int"
+    assert near_vectors.near_duplicates(spark.createDataFrame([], schema), 0.93, "vec_id", "embedding", "label").count() == 0
+    # cosine of (1, 0) and (3, 4) is 0.6 exactly, which links; repeated rows link once
+    rows = [(5, [1.0, 0.0], 1), (3, [3.0, 4.0], 1), (3, [3.0, 4.0], 1), (4, [0.0, 0.0], 1), (None, [1.0, 0.0], 1), (9, [1.0, 0.0], 2), (8, [], 1)]
+    got = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.near_duplicates(spark.createDataFrame(rows, schema), 0.6, "vec_id", "embedding", "label").collect())
+    assert got == sorted([("5", 1, 3, False), ("3", 1, 3, True), ("3", 1, 3, True), ("4", 0, 4, True), ("None", 0, None, True), ("9", 0, 9, True), ("8", 0, 8, True)])
+
+
 # ---------------------------------------------------------------- op2
 
 @pytest.mark.parametrize("k,num,den,small", [(3, 90, 100, 32), (5, 80, 100, 3), (1, 80, 100, 2)])
@@ -104,6 +164,30 @@ def test_similarity_classes_match_brute_force(spark, monkeypatch, k, num, den, s
     assert {i: r["component_id"] for i, r in got.items()} == wanted
 
 
+@pytest.mark.parametrize("flush", [1_000_000, 3000])
+def test_similarity_in_a_large_group_of_near_copies(spark, monkeypatch, flush):
+    """A base with many near copies, some beyond the threshold, a passage that many documents share, and exact copies."""
+    monkeypatch.setattr(jaccard, "FLUSH", flush)
+    monkeypatch.setattr(jaccard, "ALL", 8)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(5000)}"
+    base, passage = [word() for _ in range(120)], [word() for _ in range(60)]
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 5, 8])):
+            copy[rng.randrange(len(copy))] = word()
+        texts.append(" ".join(copy))
+    texts += [" ".join([*passage, *(word() for _ in range(rng.choice([5, 15, 60])))]) for _ in range(150)]
+    texts += [texts[3]] * 40
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similarity_classes(df, 5, 80, 100).collect()}
+    assert got == classes({i: shingles(t, 5) for i, t in enumerate(texts)}, 80, 100)
+    kept = sorted(r["doc_id"] for r in jaccard.one_of_each(df).collect())
+    assert kept == sorted(set(got.values()))
+
+
 def test_similarity_of_edge_rows(spark, edge_docs, no_docs):
     got = {r["doc_id"]: r for r in jaccard.similarity_classes(edge_docs, 3, 90, 100).collect()}
     assert got[3]["n_shingles"] == got[4]["n_shingles"] == got[5]["n_shingles"] == 0 and got[6]["n_shingles"] == 1
@@ -199,29 +283,68 @@ def test_personal_data_of_edge_rows(spark, edge_docs, no_docs):
 # ---------------------------------------------------------------- op6, op8
 
 def test_ids_are_those_of_the_library_and_decode_back(spark, edge_docs, no_docs):
-    coder = tokens.ByteBpe(*tokens.multi_ranks())
-    texts = list(documents().values()) + ["a  b \n c", " x", "don't  stop ", "tab\t two　x", "🙂" * 50, "word " * 400 + "\n" * 30 + "z" * 3000]
-    for text in texts:
-        ids = coder.encoding.encode_ordinary(text)
-        wanted = struct.pack(f"<{len(ids)}I", *ids)
-        assert coder.encode(text) == coder.encode(text, 256, 64) == wanted
-        assert coder.decode(wanted) == text.encode()
-    got = {r["doc_id"]: r for r in tokens.digests(tokens.encode_documents(edge_docs, *tokens.multi_ranks())).collect()}
-    assert got[3]["n_tokens"] == got[4]["n_tokens"] == 0 and got[3]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
-    assert tokens.encode_documents(no_docs, *tokens.multi_ranks()).count() == 0
+    path, pattern = tokens.multi_ranks()
+    coder = tokens.ByteBpe(path, pattern)
+    texts = list(documents().values()) + ["a  b \n c", " x", "don't  stop ", "tab\t two　x", "🙂" * 50, "word " * 400 + "\n" * 30 + "z" * 3000, "", None, "it's we'll " * 300, "12 345 " * 200 + " \t \n" * 90]
+    wanted = [(t or "").encode() for t in texts], [struct.pack(f"<{len(i)}I", *i) for i in (coder.encoding.encode_ordinary(t or "") for t in texts)]
+    for text, raw, ids in zip(texts, *wanted):
+        assert coder.encode(text or "") == coder.encode(text or "", 256, 64 + 80) == ids
+        assert coder.decode(ids) == raw
+    # chunks of 512 characters: most texts are dealt, those with a pre-token as long as an overlap are encoded whole
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in tokens.encode_documents(df, path, pattern, size=512, overlap=200).collect())
+    assert got == Counter((i // 2, ids, raw) for i, (raw, ids) in enumerate(zip(*wanted)))
+    got = {r["doc_id"]: r for r in tokens.digests(tokens.encode_documents(edge_docs, path, pattern)).collect()}
+    assert got[3]["n_tokens"] == got[4]["n_tokens"] == 0 and got[3]["decoded_sha256"] == hashlib.sha256(b"").hexdigest() and got[None]["n_tokens"] > 0
+    assert tokens.encode_documents(no_docs, path, pattern).count() == 0
+
+
+def plain_index(rows, path):
+    """(doc_id, start, n_tokens, ids_crc32) of rows (id, text) by a fresh tokenizer, document by document."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    coded = []
+    for i, text in rows:
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
+        coded.append((i is not None, i or 0, zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)), len(ids), i, tuple(ids)))
+    out, start = [], 0
+    for _, _, crc, n, i, _ in sorted(coded):
+        out.append((i, start, n, crc))
+        start += n
+    return out, Counter((c[4], c[5]) for c in coded)
 
 
 def test_token_files_round_trip(spark, edge_docs, no_docs, tmp_path):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coder = tokens.JsonTokenizer(path)
-    tokens.write_token_orc(edge_docs, str(tmp_path / "t"), path, 2, 3)
-    got = Counter((r["doc_id"], tuple(r["ids"])) for r in tokens.read_token_orc(spark, str(tmp_path / "t")).collect())
-    wanted = Counter((r["doc_id"], (*coder.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2)) for r in edge_docs.collect())
-    assert got == wanted
-    tokens.write_token_orc(no_docs, str(tmp_path / "e"), path, 2, 3)
-    assert tokens.read_token_orc(spark, str(tmp_path / "e")).count() == 0
+    rows = [(r["doc_id"], r["text"]) for r in edge_docs.collect()] + list(documents().items())
+    rows += [(10**6, "hi <|endoftext|> there"), (10**6 + 1, "<|endoftext|>"), (10**6 + 2, "a <|endoftext| > b  c"), (3, "again"), (3, "again"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tokens.write_token_orc(df, str(tmp_path / "t"), path, 2, 3)
+    index, ids = plain_index(rows, path)
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in tokens.read_token_orc(spark, str(tmp_path / "t")).collect()) == ids
+    got = [tuple(r) for r in tokens.token_index(df, path, 2).collect()]
+    assert sorted(got, key=lambda r: r[1]) == index
+    assert tokens.token_index(no_docs, path, 2).count() == 0
+
+
+def test_a_lookup_reads_few_row_groups(spark, tmp_path):
+    import public_tokenizers
+
+    df = spark.range(20000).selectExpr("id * 3 AS doc_id", "concat('text ', id, repeat(' more words', 20)) AS text")
+    tokens.write_token_orc(df, str(tmp_path / "t"), public_tokenizers.path("byte_bpe_50k.json"), 2, 2)
+
+    def read(frame):
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().collectLeaves()
+        return plan.apply(0).metrics().get("numOutputRows").get().value()
+
+    # by the statistics of row groups; an id between two that are there, by the Bloom filter
+    assert read(tokens.look_up(spark, str(tmp_path / "t"), 3 * 777)) <= 2000
+    assert read(tokens.look_up(spark, str(tmp_path / "t"), 3 * 777 + 1)) <= 1000
+    assert [r["doc_id"] for r in tokens.look_up(spark, str(tmp_path / "t"), 3 * 777, 3 * 777 + 1).collect()] == [3 * 777]
 
 
 # ---------------------------------------------------------------- op9
@@ -239,11 +362,8 @@ def plain_cut(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,gram,group", [(40, 12, 20000), (40, 40, 20000), (25, 10, 3)])
-def test_repeats_match_brute_force(spark, monkeypatch, length, gram, group):
-    monkeypatch.setattr(repeats, "GRAM", gram)
-    monkeypatch.setattr(repeats, "GROUP", group)
-    rng = random.Random(length)
+def repeated_texts(seed):
+    rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcé") for _ in range(rng.randrange(1, 6)))
     passages = [" ".join(word() for _ in range(30)) for _ in range(4)]
     texts = []
@@ -254,10 +374,46 @@ def test_repeats_match_brute_force(spark, monkeypatch, length, gram, group):
             a = rng.randrange(len(p) // 2)
             parts += [p[a : a + rng.randrange(10, len(p))], " ".join(word() for _ in range(rng.randrange(12)))]
         texts.append(" ".join(parts))
-    texts += ["ab" * 60, "xyz " * 40, texts[0], "", "short"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.cut_documents(df, length).collect()}
-    assert [got[i] for i in range(len(texts))] == plain_cut([t.encode() for t in texts], length)
+    return texts + ["ab" * 60, "xyz " * 40, texts[0], "", "short"]
+
+
+@pytest.mark.parametrize("length,gram,group,small,stretch", [(40, 12, 20000, 12, 1 << 20), (40, 40, 20000, 2, 100), (25, 10, 3, 12, 1 << 20), (25, 10, 20000, 3, 57)])
+def test_repeats_match_brute_force(spark, monkeypatch, length, gram, group, small, stretch):
+    for name, value in (("GRAM", gram), ("GROUP", group), ("SMALL", small), ("STRETCH", stretch)):
+        monkeypatch.setattr(repeats, name, value)
+    texts = repeated_texts(length)
+    # two rows share each id, with different texts
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.cut_documents(df, length).collect())
+    assert got == Counter((i // 2, *cut) for i, cut in enumerate(plain_cut([t.encode() for t in texts], length)))
+
+
+def test_sorted_groups_survive_collisions(monkeypatch):
+    """Orders and extensions of all groups against sorting by bytes, with hashes that agree and with ones that claim a byte too many."""
+    rng = random.Random(4)
+    texts, left, count = [], [], []
+    for size in (1, 2, 3, 7, 40):
+        for _ in range(size):
+            texts.append(bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 9))) + b"ANCHOR" + bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 9))))
+            left.append(texts[-1].index(b"ANCHOR"))
+        count.append(size)
+    count, left = np.array(count), np.array(left)
+    start = np.cumsum(count) - count
+    true = repeats.Extensions.common
+    for lie in (0, 1):
+        def common(self, i, j, back):
+            limit = self.left if back else self.right
+            return np.minimum(true(self, i, j, back) + lie * (i % 5 == 0), np.minimum(limit[i], limit[j]))
+
+        monkeypatch.setattr(repeats.Extensions, "common", common)
+        ext = repeats.Extensions(texts, left)
+        for back in (False, True):
+            order, shared = ext.sorted_groups(start, count, back)
+            for a, n in zip(start, count):
+                sides = [ext._side(int(m), back) for m in order[a : a + n]]
+                assert sides == sorted(sides) and sorted(order[a : a + n]) == list(range(a, a + n))
+                for p, (x, y) in enumerate(zip(sides, sides[1:])):
+                    assert shared[a + p] == next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
 
 
 def test_repeats_of_edge_rows(spark, edge_docs, no_docs):

@@ -14,6 +14,8 @@ from countloom.plans.storage import cut
 # Centre, scale and weight of each residual's gate.
 GATES = {"count_z": (1.5, 0.6, 0.35), "gene_z": (1.25, 0.6, 0.2), "stable_z": (1.25, 0.6, 0.25), "marker_z": (1.25, 0.6, 0.2)}
 
+OUTPUTS = ("centroid_inlier", "neighbour_consistency", "inlier", "dosage_outlier", "uniform_dosage", "program", "candidate", "final", "mixture", "rank_mean", "rank_spread")
+
 
 def homotypic_evidence(df: DataFrame) -> DataFrame:
     """df: the residuals of GATES, distance_z, consistency, hom, het, count_rank.  Adds the scores of each step.
@@ -36,8 +38,8 @@ def homotypic_evidence(df: DataFrame) -> DataFrame:
     out = out.withColumns({
         "dosage_outlier": clip(reduce(lambda a, b: a + b, [GATES[r][2] * F.col(f"_g_{r}") for r in GATES]), 0.0, 1.0),
         "uniform_dosage": F.sqrt(clip(F.least(*gates) * F.col("_balance"), 0.0, 1.0)),
-        "inlier": F.sqrt(clip(centred_sigmoid(-F.col("distance_z"), -1.25, 0.75) * (0.25 + 0.75 * clip(F.col("consistency"), 0.0, 1.0)), 0.0, 1.0)),
-    })
+        "centroid_inlier": centred_sigmoid(-F.col("distance_z"), -1.25, 0.75), "neighbour_consistency": clip(F.col("consistency"), 0.0, 1.0),
+    }).withColumn("inlier", F.sqrt(clip(F.col("centroid_inlier") * (0.25 + 0.75 * F.col("neighbour_consistency")), 0.0, 1.0)))
     imbalance = clip(0.65 * F.col("_spread") + 0.35 * (1 - F.col("_balance")), 0.0, 1.0)
     program = clip(F.greatest(F.greatest(*ranks), F.greatest(*gates)) * imbalance * centred_sigmoid(F.col("dosage_outlier"), 0.45, 0.2), 0.0, 1.0)
     coherent = clip(F.col("count_rank") * F.col("inlier") * (1 - F.col("uniform_dosage")) * (1 - 0.65 * F.col("dosage_outlier")), 0.0, 1.0)
@@ -48,7 +50,7 @@ def homotypic_evidence(df: DataFrame) -> DataFrame:
     sensitive = clip(0.55 * F.col("dosage_outlier") + 0.25 * F.col("_rank_hom") + 0.2 * F.col("inlier"), 0.0, 1.0)
     out = out.withColumn("candidate", F.sqrt(clip(sensitive * (0.1 + 0.9 * F.col("dosage_outlier")) * (0.35 + 0.65 * F.col("inlier")), 0.0, 1.0)))
     final = F.col("candidate") * (0.35 + 0.65 * F.col("uniform_dosage")) * (1 - 0.55 * F.col("program")) * (1 - 0.35 * F.col("mixture"))
-    return out.withColumn("final", clip(final, 0.0, 1.0)).select(*df.columns, "dosage_outlier", "uniform_dosage", "inlier", "program", "mixture", "candidate", "final")
+    return out.withColumn("final", clip(final, 0.0, 1.0)).withColumnsRenamed({"_mean": "rank_mean", "_spread": "rank_spread"}).select(*df.columns, *OUTPUTS)
 
 
 def propensity(df: DataFrame, score: str, rate: float = 0.06) -> DataFrame:

@@ -51,6 +51,9 @@ def ablated(columns: list[str], groups: dict[str, list[str]], without: str) -> l
     """Columns without those that descend from a group; `none` keeps all."""
     if without == "none":
         return list(columns)
+    known = {g for found in groups.values() for g in found}
+    if without not in known:
+        raise ValueError(f"unknown group {without}")
     return [c for c in columns if without not in groups.get(c, [])]
 
 

@@ -184,6 +184,17 @@ def j6(spark, sf):
     return n.groupBy("query").agg((1 / (1 + F.avg("distance"))).alias("proximity"), F.avg((F.col("neighbour").cast("long") % 2 == 0).cast("double")).alias("artificial_fraction"))
 
 
+@query("o6_parent_groups", f"""WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS id, label, embedding::DOUBLE[] AS e FROM embeddings), o AS (SELECT * FROM v WHERE label < 8), s AS (SELECT * FROM v WHERE label >= 8),
+ n AS (SELECT o.id AS cell, s.id AS nearest, s.label, row_number() OVER (PARTITION BY o.id ORDER BY round(list_distance(o.e, s.e), 9), s.id) AS r FROM o, s) SELECT cell, nearest, {i('label', 'parent_1')}, {i('CAST(nearest AS BIGINT) % 8', 'parent_2')} FROM n WHERE r = 1""")
+def o6(spark, sf):
+    """Every observed vector takes the parents of its nearest synthetic one (here those of labels 8 and 9)."""
+    e = t.table(spark, sf, "embeddings")
+    part = lambda f: e.filter(f).select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    parents = e.filter("label >= 8").select(F.col("vec_id").cast("string").alias("nearest"), F.col("label").alias("parent_1"), (F.col("vec_id") % 8).alias("parent_2"))
+    near = neighbours.knn(part("label < 8"), part("label >= 8"), 1).select(F.col("query").alias("cell"), F.col("neighbour").alias("nearest"))
+    return near.join(parents, "nearest").select("cell", "nearest", "parent_1", "parent_2")
+
+
 @query("o5_nearest_centroid", f"""WITH m AS (SELECT label, p, avg(x) AS x FROM (SELECT label, generate_subscripts(embedding, 1) AS p, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY p) AS c FROM m GROUP BY 1)
  SELECT id, "group", {d('distance')} FROM (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(c.label AS BIGINT) AS "group", round(list_distance(embedding::DOUBLE[], c), 9) AS distance, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_distance(embedding::DOUBLE[], c), 9), c.label) AS r FROM embeddings e, c) WHERE r = 1""")
 def o5(spark, sf):

@@ -33,15 +33,16 @@ def _evidence_sql() -> str:
     return f"""{with_('sc')}, a AS (SELECT cell, {base}, 2 * s3 - 1 AS distance_z, s2 AS consistency, s1 AS hom, s3 AS het, s2 AS count_rank, greatest(s3 - s1, 0.0) AS margin FROM sc),
  b AS (SELECT *, {ranks}, {gates}, {rank_sql('hom', 'a')} AS rk_hom, {rank_sql('het', 'a')} AS rk_het, {rank_sql('margin', 'a')} AS rk_margin FROM a),
  c AS (SELECT *, {mean} AS m FROM b), e AS (SELECT *, greatest({rs}) - least({rs}) AS spread, {CLIP.format('1 - 2.5 * ' + spread)} AS balance FROM c),
- f AS (SELECT *, {CLIP.format(dosage)} AS dosage_outlier, sqrt({CLIP.format(f'least({gs}) * balance')}) AS uniform_dosage, sqrt({CLIP.format(GATE.format('-distance_z', '(-1.25)', '0.75') + ' * (0.25 + 0.75 * ' + CLIP.format('consistency') + ')')}) AS inlier FROM e),
+ f AS (SELECT *, {CLIP.format(dosage)} AS dosage_outlier, sqrt({CLIP.format(f'least({gs}) * balance')}) AS uniform_dosage, {GATE.format('-distance_z', '(-1.25)', '0.75')} AS centroid_inlier, {CLIP.format('consistency')} AS neighbour_consistency, sqrt({CLIP.format(GATE.format('-distance_z', '(-1.25)', '0.75') + ' * (0.25 + 0.75 * ' + CLIP.format('consistency') + ')')}) AS inlier FROM e),
  g AS (SELECT *, greatest({CLIP.format(f"greatest({rs}, {gs}) * " + CLIP.format('0.65 * spread + 0.35 * (1 - balance)') + ' * ' + GATE.format('dosage_outlier', '0.45', '0.2'))}, {CLIP.format('count_rank * inlier * (1 - uniform_dosage) * (1 - 0.65 * dosage_outlier)')}) AS program,
   {CLIP.format('0.55 * rk_het + 0.35 * rk_margin + 0.1 * (1 - inlier)')} AS mixture, sqrt({CLIP.format(CLIP.format('0.55 * dosage_outlier + 0.25 * rk_hom + 0.2 * inlier') + ' * (0.1 + 0.9 * dosage_outlier) * (0.35 + 0.65 * inlier)')}) AS candidate FROM f)
- SELECT cell, {d('dosage_outlier')}, {d('uniform_dosage')}, {d('inlier')}, {d('program')}, {d('mixture')}, {d('candidate')}, {d(CLIP.format('candidate * (0.35 + 0.65 * uniform_dosage) * (1 - 0.55 * program) * (1 - 0.35 * mixture)'), 'final')} FROM g"""
+ SELECT cell, {d(Z['marker_z'], 'marker_z')}, {d('centroid_inlier')}, {d('neighbour_consistency')}, {d('m', 'rank_mean')}, {d('spread', 'rank_spread')}, {d('dosage_outlier')}, {d('uniform_dosage')}, {d('inlier')}, {d('program')}, {d('mixture')}, {d('candidate')}, {d(CLIP.format('candidate * (0.35 + 0.65 * uniform_dosage) * (1 - 0.55 * program) * (1 - 0.35 * mixture)'), 'final')} FROM g JOIN sc USING (cell)"""
 
 
 @query("c16_homotypic_evidence", _evidence_sql())
 def c16(spark, sf):
-    return evidence.homotypic_evidence(_inputs(spark, sf)).select("cell", "dosage_outlier", "uniform_dosage", "inlier", "program", "mixture", "candidate", "final")
+    """The twelve outputs: marker_z is passed on."""
+    return evidence.homotypic_evidence(_inputs(spark, sf)).select("cell", "marker_z", *evidence.OUTPUTS)
 
 
 @query("e8_propensity", f"""{with_('sc', 'cells')}, x AS (SELECT sc.cell, sc.cluster, library, s1 FROM sc JOIN cells USING (cell)), b AS (SELECT library, CASE WHEN count(*) >= 10 THEN quantile_cont(s1, 0.9) ELSE max(s1) END AS b, count(*) AS n FROM x GROUP BY 1),

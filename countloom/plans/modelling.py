@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from countloom.operators import matching, matrix, sampling
+from countloom.functions.scalars import CLASSES
 from countloom.plans.registry import d, i, query, with_
 from countloom.sources import tables as t
 
@@ -151,3 +152,19 @@ def ledger(spark, sf):
     from countloom.streaming.scoring import windowed_ledger
 
     return windowed_ledger(t.table(spark, sf, "events"))
+
+
+@query("d19_match_with_fallback")
+def d19b(spark, sf):
+    """Both stages; sequential, so without SQL: tests compare the second stage with a plain loop."""
+    s = t.demo_scores(spark, sf).withColumn("b", F.floor(F.col("s1") * 4.999))
+    return matching.match_with_fallback(s.filter("positive = 1"), s.filter("hard = 1"), ["cluster", "b"], ["s1", "s2"]).select("cluster", "cell", "control", "stage")
+
+
+@query("j13_j19_logistic")
+def j13(spark, sf):
+    """Chances of a doublet by the balanced logistic model, fitted on two thirds of the customers and given for all."""
+    from countloom.operators.logistic import BalancedLogistic
+
+    s = t.rough_scores(spark, sf).withColumn("y", F.col("label").isin(*CLASSES[2:]).cast("int"))
+    return BalancedLogistic(["a", "b", "c", "spent"]).fit(s.filter("key % 3 <> 0"), "y").predict(s).select("cell", F.round("chance", 6).alias("chance"))

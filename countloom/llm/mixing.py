@@ -11,6 +11,8 @@ from countloom.llm.common import WORD, stored, table
 #: Rows of one (source, size, bucket) cell at most, about: larger ones are split by a hash of the id.
 CELL = 8192
 REPAIRS = 5
+#: Newton steps of one job.
+STEPS = 3
 
 
 def sized(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -46,28 +48,33 @@ def tilts(cells: DataFrame, goals: DataFrame, most: float, rounds: int = 60, clo
     """Per source: lam, the dual variable of its token constraint.
 
     Rates minimise the entropy distance to 1 between 0 and most under sum(rate * size) = target, so
-    rate = most / (1 + (most - 1) * exp(-lam * size / mean size)).  Every round is one aggregation of the
-    (source, size) counts; a Newton step that leaves the known bracket is replaced by its middle.
+    rate = most / (1 + (most - 1) * exp(-lam * size / mean size)).  Every step is one aggregation of the
+    (source, size) counts, STEPS of them a job; one that leaves the known bracket is replaced by its middle.
     """
-    state = stored(goals.withColumns({"lam": F.lit(0.0), "low": F.lit(-64.0), "high": F.lit(64.0), "gap": F.lit(1e300)}), "tilt")
-    for _ in range(rounds):
+    def step(state: DataFrame) -> DataFrame:
         joined = cells.join(state.select("_key", "lam", "mean_size"), "_key").withColumn("z", F.col("_size") / F.col("mean_size"))
         rate = tilted(F.col("lam"), F.col("z"), most)
         words = F.col("n") * F.col("_size")
         sums = joined.groupBy("_key").agg(
             F.sum(words * rate).alias("got"), F.sum(words * rate * (1 - rate / most) * F.col("z")).alias("slope"))
-        step = F.col("lam") - (F.col("got") - F.col("target")) / F.col("slope")
+        newton = F.col("lam") - (F.col("got") - F.col("target")) / F.col("slope")
         low = F.when(F.col("got") < F.col("target"), F.col("lam")).otherwise(F.col("low"))
         high = F.when(F.col("got") < F.col("target"), F.col("high")).otherwise(F.col("lam"))
         moved = (
             state.drop("gap").join(sums, "_key")
-            .withColumns({"low": low, "high": high, "step": step})
+            .withColumns({"low": low, "high": high, "step": newton})
             .withColumn("gap", F.abs(F.col("got") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0)))
             .withColumn("lam", F.when(F.col("gap") <= close, F.col("lam"))
                         .when((F.col("slope") > 0) & (F.col("step") > F.col("low")) & (F.col("step") < F.col("high")), F.col("step"))
                         .otherwise((F.col("low") + F.col("high")) / 2))
         )
-        state = stored(moved.select("_key", "source_size", "target", "mean_size", "lam", "low", "high", "gap"), "tilt")
+        return moved.select("_key", "source_size", "target", "mean_size", "lam", "low", "high", "gap")
+
+    state = goals.withColumns({"lam": F.lit(0.0), "low": F.lit(-64.0), "high": F.lit(64.0), "gap": F.lit(1e300)})
+    for _ in range(rounds // STEPS):
+        for _ in range(STEPS):
+            state = step(state)
+        state = stored(state, "tilt")
         worst = state.agg(F.max(F.when(F.col("high") - F.col("low") > 1e-9, F.col("gap"))).alias("g")).first()["g"]
         if worst is None or worst <= close:
             break
@@ -151,6 +158,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; sources, ties and edge cases as mix and planned state.
+
+    Null texts have size 0 and take nothing; a null source is one of its own, last; documents that share source, size and id (or have none)
+    share their number of copies; an empty table gives no rows.
+    """
     # the text is read once: sizes go to a narrow table
     docs = sized(table(spark, sf_dir, "documents")).select("doc_id", "_key", "_size", "_hash")
     rows = stored(docs, "rows")

@@ -7,23 +7,18 @@ and rows get their rank back by a join on the value, so no task sorts all rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from countloom.functions.running import numbered, running_sums
 from countloom.functions.scalars import clip, finite
 
 
-def _key(by: list[str]):
-    return W.partitionBy(*by) if by else W.partitionBy()
-
-
 def value_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Per distinct value: rows with it, rows up to it, all rows, distinct values."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = _key(by)
-    return counts.withColumns({
-        "_upto": F.sum("_c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0)),
-        "_n": F.sum("_c").over(w), "_distinct": F.count("*").over(w)})
+    whole = counts.groupBy(*by).agg(F.sum("_c").alias("_n"), F.count("*").alias("_distinct"))
+    summed = running_sums(counts, value, {"_upto": "_c"}, by)
+    return summed.join(whole, by) if by else summed.crossJoin(F.broadcast(whole))  # one row
 
 
 def percentile_rank(df: DataFrame, value: str, out: str, by: list[str] | None = None, constant: float = 0.5) -> DataFrame:
@@ -41,8 +36,9 @@ def percentile_rank(df: DataFrame, value: str, out: str, by: list[str] | None =
 def empirical(df: DataFrame, value: str, out: str) -> DataFrame:
     """Average percentile of known values; missing ones 0.5; NULL throughout if all are missing."""
     counts = value_counts(df, value, []).select(value, ((F.col("_upto") - (F.col("_c") - 1) / 2) / F.col("_n")).alias("_r"))
-    known = F.max(F.col(value).isNotNull()).over(W.partitionBy())
-    return df.join(counts, value, "left").withColumn(out, F.when(known, F.coalesce("_r", F.lit(0.5)))).drop("_r")
+    known = df.agg(F.max(F.col(value).isNotNull()).alias("_k"))
+    joined = df.join(counts, value, "left").crossJoin(F.broadcast(known))  # one row
+    return joined.withColumn(out, F.when(F.col("_k"), F.coalesce("_r", F.lit(0.5)))).drop("_r", "_k")
 
 
 def tail(rank: Column, start: float = 0.5) -> Column:
@@ -54,22 +50,25 @@ def reference_ecdf(df: DataFrame, value: str, reference: DataFrame, ref_value: s
     ref = reference.filter(F.col(ref_value).isNotNull()).groupBy(F.col(ref_value).alias("_v")).agg(F.count("*").alias("_c"))
     own = df.select(F.col(value).alias("_v")).distinct().withColumn("_c", F.lit(0).cast("long"))
     both = ref.unionByName(own).groupBy("_v").agg(F.sum("_c").alias("_c"))
-    w = W.orderBy("_v")
-    ranks = both.withColumns({"_upto": F.sum("_c").over(w.rowsBetween(W.unboundedPreceding, 0)), "_n": F.sum("_c").over(W.partitionBy())})
+    whole = ref.agg(F.sum("_c").alias("_n"))
+    ranks = running_sums(both.filter("_v IS NOT NULL"), "_v", {"_upto": "_c"}, []).crossJoin(F.broadcast(whole))  # one row
     ranks = ranks.select("_v", (F.col("_upto") / F.col("_n")).alias(out))
-    return df.join(ranks, df[value].eqNullSafe(ranks["_v"]), "left").drop("_v")
+    return df.join(ranks, df[value] == ranks["_v"], "left").drop("_v")
 
 
 def top_rank(df: DataFrame, score: str, key: str, out: str, by: list[str] | None = None) -> DataFrame:
-    return df.withColumn(out, F.row_number().over(_key(by or []).orderBy(F.desc(score), F.asc(key))))
+    return numbered(df, score, key, out, by or [])
 
 
 def coarse_bin(df: DataFrame, value: str, key: str, out: str, by: list[str] | None = None, bins: int = 5) -> DataFrame:
     """Position of the value, ties by key, cut into bins; -1 for missing values."""
-    w = _key(by or [])
+    by = by or []
     known = F.col(value).isNotNull()
-    place = F.row_number().over(w.orderBy(F.asc_nulls_last(value), key)) / F.sum(known.cast("int")).over(w)
-    return df.withColumn(out, F.when(known, F.least(F.floor(place * bins), F.lit(bins - 1))).otherwise(-1).cast("int"))
+    whole = df.groupBy(*by).agg(F.count(value).alias("_n"))
+    rows = numbered(df, value, key, "_place", by, descending=False)
+    rows = rows.join(whole, by) if by else rows.crossJoin(F.broadcast(whole))  # one row
+    place = F.col("_place") / F.col("_n")
+    return rows.withColumn(out, F.when(known, F.least(F.floor(place * bins), F.lit(bins - 1))).otherwise(-1).cast("int")).drop("_place", "_n")
 
 
 def expected_rate_threshold(df: DataFrame, score: str, rate: float) -> DataFrame:

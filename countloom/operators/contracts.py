@@ -138,6 +138,23 @@ def audit_contract(audits: DataFrame) -> DataFrame:
     return rows.select("dataset", F.when(reason == "", "COMPLETED").otherwise(F.coalesce(known, F.lit("CONTRACT_ERROR"))).alias("state"), reason.alias("reason"))
 
 
+# States of an audit, and words of messages that tell why one failed.
+DONE = ("PASS", "SUCCESS", "COMPLETED")
+TOO_FEW = ("INSUFFICIENT_PARENT_DISJOINT_DATA", "SKIPPED_INSUFFICIENT_DATA")
+KNOWN_FAILURES = (*TOO_FEW, "INPUT_ERROR", "PROVENANCE_ERROR", "CONTRACT_ERROR", "ANALYSIS_ERROR", "FAILED")
+
+
+def audit_state(source: Column, status: Column, message: Column) -> Column:
+    """The state of an audit from its own status, that of its source and the message, in this order of precedence."""
+    source, status, text = F.upper(F.trim(source)), F.upper(F.trim(status)), F.lower(message)
+    holds = lambda *words: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    return (
+        F.when(status.isin(*DONE), "COMPLETED").when(status.isin(*TOO_FEW), "SKIPPED_INSUFFICIENT_DATA").when(status.isin(*KNOWN_FAILURES), status)
+        .when((source == TOO_FEW[0]) | holds("insufficient parent-unique", "additional labeled singlets", "no parent cluster"), TOO_FEW[0])
+        .when(holds("provenance", "transformer", "reference pool"), "PROVENANCE_ERROR").when(source.isin("INPUT_ERROR", "FAILED") & holds("input", "missing", "not found", "read"), "INPUT_ERROR")
+        .when((source != "") & ~source.isin(*DONE, *KNOWN_FAILURES), "CONTRACT_ERROR").otherwise("ANALYSIS_ERROR"))
+
+
 def shared_coordinates(coordinates: DataFrame, scores: DataFrame, key: str, panels: list[str]) -> DataFrame:
     """Per panel: cells, an order-free hash of ids and coordinates, and whether scores have the same ids."""
     hashed = coordinates.select(key, F.xxhash64(key).alias("_i"), F.xxhash64(*coordinates.columns).alias("_c"))

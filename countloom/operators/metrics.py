@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from countloom.functions.running import numbered, running_sums
+
 
 def _sums(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("_p"), F.count("*").cast("double").alias("_c"))
 
 
 def auroc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
-    """Mann-Whitney with ties averaged; NULL with one class.  Windows run over distinct scores, not rows."""
+    """Mann-Whitney with ties averaged; NULL with one class.  Sums run over distinct scores, range by range."""
     by = by or []
-    w = W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)
     s = _sums(df, score, label, by).withColumn("_n", F.col("_c") - F.col("_p"))
-    s = s.withColumn("_below", F.coalesce(F.sum("_n").over(w), F.lit(0.0)))
+    s = running_sums(s, score, {"_below": "_n"}, by).withColumn("_below", F.col("_below") - F.col("_n"))
     out = s.groupBy(*by).agg(
         F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2)).alias("_u"), F.sum("_p").alias("_P"), F.sum("_n").alias("_N"))
     return out.select(*by, F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_u") / (F.col("_P") * F.col("_N"))).alias("auroc"))
@@ -25,17 +26,21 @@ def auroc(df: DataFrame, score: str, label: str, by: list[str] | None = None) ->
 def average_precision(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Step sum over distinct thresholds."""
     by = by or []
-    w = W.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    s = _sums(df, score, label, by).withColumns({"_tp": F.sum("_p").over(w), "_k": F.sum("_c").over(w)})
+    s = running_sums(_sums(df, score, label, by), score, {"_tp": "_p", "_k": "_c"}, by, descending=True)
     out = s.groupBy(*by).agg(F.sum(F.col("_p") * F.col("_tp") / F.col("_k")).alias("_a"), F.sum("_p").alias("_P"))
     return out.select(*by, F.when(F.col("_P") > 0, F.col("_a") / F.col("_P")).alias("auprc"))
 
 
+def _with_total(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """df with _k: the column's sum in each group."""
+    total = df.groupBy(*by).agg(F.sum(column).alias("_k"))
+    return df.join(total, by) if by else df.crossJoin(F.broadcast(total))  # one row
+
+
 def top_k(df: DataFrame, score: str, key: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Precision and recall of the K best rows, K being the number of positives; ties by key."""
     by = by or []
-    w = W.partitionBy(*by)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(F.desc(score), key))).withColumn("_k", F.sum(F.col(label)).over(w))
+    ranked = _with_total(numbered(df, score, key, "_r", by), label, by)
     out = ranked.groupBy(*by).agg(F.max("_k").alias("k"), F.sum(F.when(F.col("_r") <= F.col("_k"), F.col(label)).otherwise(0)).alias("hits"))
     return out.withColumns({"precision": F.when(F.col("k") > 0, F.col("hits") / F.col("k")), "recall": F.when(F.col("k") > 0, F.col("hits") / F.col("k"))})
 
@@ -43,8 +48,7 @@ def top_k(df: DataFrame, score: str, key: str, label: str, by: list[str] | None
 def fpr_at_budget(df: DataFrame, score: str, key: str, positive: str, hard: str, by: list[str] | None = None) -> DataFrame:
     """Share of the hard negatives among the K best rows, K being the number of positives."""
     by = by or []
-    w = W.partitionBy(*by)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(F.desc(score), key))).withColumn("_k", F.sum(positive).over(w))
+    ranked = _with_total(numbered(df, score, key, "_r", by), positive, by)
     return ranked.groupBy(*by).agg(
         F.max("_k").alias("budget"), F.sum(F.when(F.col("_r") <= F.col("_k"), F.col(hard)).otherwise(0)).alias("false_hits"),
         F.sum(hard).alias("hard")).withColumn("fpr", F.when(F.col("hard") > 0, F.col("false_hits") / F.col("hard")))
@@ -65,7 +69,7 @@ def operating_points(df: DataFrame, score: str, key: str, positive: str, hard: s
 
 def rate_budget(df: DataFrame, score: str, key: str, rate: float) -> DataFrame:
     """The round(rate * n) best rows, halves to even."""
-    ranked = df.withColumns({"rank": F.row_number().over(W.orderBy(F.desc(score), key)), "_n": F.count("*").over(W.partitionBy())})
+    ranked = numbered(df, score, key, "rank", []).crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))  # one row
     return ranked.withColumn("selected", F.col("rank") <= F.rint(F.lit(rate) * F.col("_n"))).drop("_n")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from countloom.functions import ranks, scalars
-from countloom.operators import audits, metrics, neighbours, points
+from countloom.operators import audits, contracts, metrics, neighbours, points
 from countloom.plans.core import rank_sql
 from countloom.plans.registry import d, i, query, with_
 from countloom.sources import tables as t
@@ -401,12 +401,23 @@ def o13(spark, sf):
     return t.demo_scores(spark, sf).agg((-F.avg(F.log(F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))))).alias("log_loss"))
 
 
-@query("o36_audit_roll_up", f"{with_('sc')} SELECT cluster, {d('greatest(auroc, 1 - auroc)', 'separability')}, CASE WHEN greatest(auroc, 1 - auroc) <= 0.55 THEN 'little' WHEN greatest(auroc, 1 - auroc) <= 0.65 THEN 'weak' WHEN greatest(auroc, 1 - auroc) <= 0.75 THEN 'moderate' ELSE 'substantial' END AS category FROM {auroc_sql('s1', 'positive', 'sc', 'cluster')}")
+@query("o36_audit_roll_up", f"""{with_('rs')}, r AS (SELECT cell, b, CASE key % 4 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'insufficient_parent_disjoint_data' WHEN 2 THEN 'odd' ELSE '' END AS source, CASE key % 5 WHEN 0 THEN 'Pass' WHEN 1 THEN 'COMPLETED' WHEN 2 THEN 'skipped_insufficient_data' ELSE '' END AS status,
+  CASE key % 3 WHEN 0 THEN 'Input not found' WHEN 1 THEN 'transformer differs' ELSE 'other' END AS message FROM rs),
+ x AS (SELECT *, CASE WHEN upper(status) IN ('PASS', 'COMPLETED') THEN 'COMPLETED' WHEN upper(status) = 'SKIPPED_INSUFFICIENT_DATA' THEN 'SKIPPED_INSUFFICIENT_DATA' WHEN upper(source) = 'INSUFFICIENT_PARENT_DISJOINT_DATA' THEN 'INSUFFICIENT_PARENT_DISJOINT_DATA' WHEN lower(message) LIKE '%transformer%' THEN 'PROVENANCE_ERROR'
+  WHEN upper(source) = 'FAILED' AND lower(message) LIKE '%input%' THEN 'INPUT_ERROR' WHEN upper(source) NOT IN ('', 'FAILED', 'INSUFFICIENT_PARENT_DISJOINT_DATA') THEN 'CONTRACT_ERROR' ELSE 'ANALYSIS_ERROR' END AS state FROM r),
+ y AS (SELECT cell, state, CASE WHEN state = 'COMPLETED' THEN greatest(b, 1 - b) END AS s FROM x)
+ SELECT cell, state, {d('s', 'separability')}, CASE WHEN s IS NULL THEN 'not available' WHEN s <= 0.55 THEN 'little detectable separation' WHEN s <= 0.65 THEN 'weak separation' WHEN s <= 0.75 THEN 'moderate separation' ELSE 'substantial separation' END AS category FROM y""")
 def o36(spark, sf):
-    from countloom.functions.scalars import separation
-
-    a = metrics.auroc(t.demo_scores(spark, sf), "s1", "positive", ["cluster"]).withColumn("separability", F.greatest(F.col("auroc"), 1 - F.col("auroc")))
-    return a.select("cluster", "separability", separation(F.col("separability")).alias("category"))
+    """Audits by state: their area counts, whichever its direction, only where they completed."""
+    k = F.col("key")
+    s = t.rough_scores(spark, sf).withColumns({
+        "source": F.when(k % 4 == 0, "FAILED").when(k % 4 == 1, "insufficient_parent_disjoint_data").when(k % 4 == 2, "odd").otherwise(""),
+        "status": F.when(k % 5 == 0, "Pass").when(k % 5 == 1, "COMPLETED").when(k % 5 == 2, "skipped_insufficient_data").otherwise(""),
+        "message": F.when(k % 3 == 0, "Input not found").when(k % 3 == 1, "transformer differs").otherwise("other")})
+    state = contracts.audit_state(F.col("source"), F.col("status"), F.col("message"))
+    area = scalars.finite(F.col("b"))
+    s = s.withColumn("state", state).withColumn("separability", F.when(F.col("state") == "COMPLETED", F.greatest(area, 1 - area)))
+    return s.select("cell", "state", "separability", scalars.separation(F.col("separability")).alias("category"))
 
 
 @query("o41_group_key", "SELECT event_id, coalesce(NULLIF(event_type, 'view'), '__all__') AS library FROM events")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from countloom.functions.running import numbered
 from countloom.functions.scalars import canonical_pair, draw
 
 
@@ -64,27 +65,34 @@ def permuted(df: DataFrame, key: str, label: str, seed: int, by: list[str] | Non
 
 
 def thinned(counts: DataFrame, low: float = 0.6, high: float = 1.0, seed: int = 0) -> DataFrame:
-    """Counts of each cell thinned binomially by a fraction that its id's hash draws from low to high."""
+    """Counts of each cell thinned binomially by a fraction that its id's hash draws from low to high.
 
-    def run(batches):
-        import hashlib
+    Every unit of a count has a hash of its own and stays where that is below the fraction: one expression per row, no shuffle.
+    """
+    fraction = low + (high - low) * uniform(seed, "fraction", F.col("cell"))
+    unit = lambda u: uniform(seed, "unit", F.concat_ws(":", "cell", "gene", u.cast("string"))) < F.col("_f")
+    kept = F.when(F.col("count") >= 1, F.size(F.filter(F.sequence(F.lit(1), F.floor("count").cast("int")), unit))).otherwise(0)
+    return counts.select("cell", "gene", "count").withColumn("_f", fraction).withColumn("count", kept.cast("double")).filter("count > 0").drop("_f")
 
-        import numpy as np
 
-        for pdf in batches:
-            out = []
-            for cell, gene, count in pdf.itertuples(index=False):
-                mark = hashlib.sha256(f"{seed}:{cell}".encode()).digest()
-                fraction = low + (high - low) * int.from_bytes(mark[:8], "big") / 2**64
-                own = hashlib.sha256(f"{seed}:{cell}:{gene}".encode()).digest()
-                out.append(np.random.default_rng(int.from_bytes(own[:8], "big")).binomial(int(count), fraction))
-            yield pdf.assign(count=np.array(out, float))
+def upper_tail_targets(totals: DataFrame, pairs: DataFrame, seed: int = 0, low: float = 0.7, high: float = 0.995) -> DataFrame:
+    """cell, target of pairs (cell, n_count): a total drawn evenly from those between two quantiles of the reference, at most the pair's own and at least 1.
 
-    return counts.select("cell", "gene", "count").mapInPandas(run, "cell string, gene string, count double").filter("count > 0")
+    totals: cell, n_count of the reference; where none lies between the quantiles all serve.
+    """
+    good = totals.filter("n_count > 0")
+    ends = good.agg(F.expr(f"percentile(n_count, array({low}, {high}))").alias("q"))
+    marked = good.crossJoin(F.broadcast(ends)).withColumn("_in", F.col("n_count").between(F.col("q")[0], F.col("q")[1]))  # one row
+    some = marked.agg(F.max("_in").alias("_any"))
+    pool = numbered(marked.crossJoin(F.broadcast(some)).filter(F.col("_in") | ~F.col("_any")).select("cell", "n_count"), "n_count", "cell", "_i", [], descending=False)
+    size = pool.agg(F.count("*").alias("_m"))
+    drawn = pairs.crossJoin(F.broadcast(size)).withColumn("_i", (F.least(F.floor(uniform(seed, "target", F.col("cell")) * F.col("_m")), F.col("_m") - 1) + 1).cast("int"))
+    picked = drawn.join(pool.select("_i", F.rint("n_count").alias("_t")), "_i")
+    return picked.select("cell", F.least(F.col("n_count"), F.greatest(F.col("_t"), F.lit(1.0))).cast("long").alias("target"))
 
 
 def downsampled(counts: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
-    """Counts of each cell drawn without replacement down to its target total (cell, target)."""
+    """Counts of each cell drawn multinomially by its own shares, down to its target total (cell, target)."""
 
     def one(pdf):
         import hashlib
@@ -95,9 +103,9 @@ def downsampled(counts: DataFrame, targets: DataFrame, seed: int = 0) -> DataFra
         c = pdf["count"].astype(int).to_numpy()
         rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{pdf['cell'].iloc[0]}".encode()).digest()[:8], "big"))
         keep = min(int(pdf["target"].iloc[0]), int(c.sum()))
-        return pdf.assign(count=rng.multivariate_hypergeometric(c, keep).astype(float))[["cell", "gene", "count"]]
+        return pdf.assign(count=rng.multinomial(keep, c / c.sum()).astype(float))[["cell", "gene", "count"]]
 
-    return counts.join(targets, "cell").groupBy("cell").applyInPandas(one, "cell string, gene string, count double").filter("count > 0")
+    return counts.filter("count >= 1").join(targets, "cell").groupBy("cell").applyInPandas(one, "cell string, gene string, count double").filter("count > 0")
 
 
 def uniform(seed: int, salt: str, key):

@@ -54,16 +54,29 @@ def d15(spark, sf):
     return sampling.parent_sums(sampling.pair_plan(split(spark, sf), 100, 7, True), t.purchase_counts(spark, sf))
 
 
-@query("i5_binomial_thinning")
+def uniform_sql(salt: str, key: str) -> str:
+    return f"(CAST('0x' || substr(sha256('0:{salt}:' || {key}), 1, 12) AS BIGINT) / 281474976710656.0)"
+
+
+@query("i5_binomial_thinning", f"""{with_('cm1')}, f AS (SELECT cell, gene, count, 0.6 + 0.4 * {uniform_sql('fraction', 'cell')} AS f FROM cm1), u AS (SELECT cell, gene, f, unnest(range(1, CAST(floor(count) AS BIGINT) + 1)) AS u FROM f)
+ SELECT cell, gene, {d('count(*)', 'count')} FROM u WHERE {uniform_sql('unit', "cell || ':' || gene || ':' || u")} < f GROUP BY cell, gene""")
 def i5(spark, sf):
     return sampling.thinned(t.purchase_counts(spark, sf))
 
 
+@query("i6_target_totals", f"""{with_('tot')}, q AS (SELECT quantile_cont(n_count, 0.7) AS a, quantile_cont(n_count, 0.995) AS b FROM tot), p AS (SELECT n_count, row_number() OVER (ORDER BY n_count, cell) AS i, count(*) OVER () AS m FROM tot, q WHERE n_count BETWEEN a AND b),
+ x AS (SELECT cell, n_count * 2 AS n_count, least(CAST(floor({uniform_sql('target', 'cell')} * (SELECT max(m) FROM p)) AS BIGINT), (SELECT max(m) FROM p) - 1) + 1 AS i FROM tot) SELECT cell, {i('least(x.n_count, greatest(round_even(p.n_count, 0), 1))', 'target')} FROM x JOIN p USING (i)""")
+def i6t(spark, sf):
+    """Targets for pairs of twice each customer's total, from the upper tail of the customers' totals."""
+    totals = matrix.cell_totals(t.purchase_counts(spark, sf)).select("cell", "n_count")
+    return sampling.upper_tail_targets(totals, totals.withColumn("n_count", 2 * F.col("n_count")))
+
+
 @query("i6_downsample")
 def i6(spark, sf):
     counts = t.purchase_counts(spark, sf)
-    targets = matrix.cell_totals(counts).select("cell", F.floor(F.col("n_count") * 0.8).alias("target"))
-    return sampling.downsampled(counts, targets)
+    totals = matrix.cell_totals(counts).select("cell", "n_count")
+    return sampling.downsampled(counts, sampling.upper_tail_targets(totals, totals))
 
 
 @query("i7_permuted_labels", f"""{with_('sc')}, a AS (SELECT cell, label, row_number() OVER (ORDER BY sha256('5:rows:' || cell)) AS i FROM sc), b AS (SELECT label AS permuted, row_number() OVER (ORDER BY sha256('5:labels:' || cell)) AS i FROM sc) SELECT cell, label, permuted FROM a JOIN b USING (i)""")

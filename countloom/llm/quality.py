@@ -154,13 +154,14 @@ class Scorer:
 
 
 def train(samples: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 6, rate: float = 0.3, decay: float = 1e-5) -> Scorer:
-    """samples: hashed words, shape features, posterior of good."""
+    """samples: hashed words with their counts (rows of two), shape features, posterior of good."""
     weights, squares, bias = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1.0), 0.0
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(samples)):
             words, shape, wanted = samples[i]
-            share = 1 / max(1, len(words))
-            value = weights[words].sum() * share + weights[shape].sum() + bias
+            words, count = words[:, 0], words[:, 1]
+            share = count / max(1, count.sum())
+            value = (weights[words] * share).sum() + weights[shape].sum() + bias
             error = 1 / (1 + np.exp(-np.clip(value, -50, 50))) - wanted
             for place, scale in ((words, share), (shape, 1.0)):
                 step = error * scale + decay * weights[place]
@@ -175,7 +176,12 @@ def _texts(docs: DataFrame, id_column: str) -> DataFrame:
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id") -> tuple[Scorer, dict[int, float]]:
-    """The scorer and the posteriors by pattern of votes.  No label is read."""
+    """The scorer and the posteriors by pattern of votes.  No label is read.
+
+    All documents count in the votes; the scorer trains on about TRAINING of them, without labels.  Null and empty texts are bad to
+    all labellers; repeated rows count as often as they stand in the votes and once in training; an empty table gives a scorer that keeps nothing
+    but is never asked; other columns are ignored.
+    """
     spark = docs.sparkSession
     source = _texts(docs, id_column)
 
@@ -200,19 +206,21 @@ def fit(docs: DataFrame, id_column: str = "doc_id") -> tuple[Scorer, dict[int, f
 
         for batch in slices(batches, 0):
             n, stats, words, doc = document_stats(*text_buffer(batch.column(0)))
-            place = (words % np.uint64(DIMENSIONS - 4096)).astype(np.int32)
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(n)))])
+            # places with their counts, so that a text has at most DIMENSIONS of them however long it is
+            code, held = np.unique(doc * np.int64(DIMENSIONS) + (words % np.uint64(DIMENSIONS - 4096)).astype(np.int64), return_counts=True)
+            place = np.stack([code % DIMENSIONS, held], axis=1).astype(np.int32)
+            cuts = np.searchsorted(code // DIMENSIONS, np.arange(len(n) + 1))
             shape = shape_features(stats).astype(np.int32)
             said = pattern_of(votes(n, stats))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([place[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([s.tobytes() for s in shape], pa.binary()), pa.array(said)],
                 ["words", "shape", "p"])
 
-    # hashes are dealt evenly, so the rows are about TRAINING; the limit makes it a bound
-    chosen = source.withColumn("h", F.xxhash64(F.lit("quality"), "id")).filter(F.col("h") <= bound).limit(2 * TRAINING)
+    # hashes are dealt evenly, so the rows are about TRAINING; repeats count once, and the limit in their order makes it a bound
+    chosen = source.withColumn("h", F.xxhash64(F.lit("quality"), "id", "text")).filter(F.col("h") <= bound).dropDuplicates(["h"]).orderBy("h").limit(2 * TRAINING)
     rows = chosen.select("text").mapInArrow(features, "words binary, shape binary, p long").collect()
     samples = sorted((bytes(r["words"]), bytes(r["shape"]), posterior[r["p"]]) for r in rows)
-    scorer = train([(np.frombuffer(w, np.int32).astype(np.int64), np.frombuffer(s, np.int32).astype(np.int64), y) for w, s, y in samples])
+    scorer = train([(np.frombuffer(w, np.int32).astype(np.int64).reshape(-1, 2), np.frombuffer(s, np.int32).astype(np.int64), y) for w, s, y in samples])
     return scorer, posterior
 
 
@@ -233,7 +241,7 @@ def score_documents(docs: DataFrame, scorer: Scorer, posterior: dict[int, float]
 
 
 def kept_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The rows of docs, whole, that the classifier keeps."""
+    """The rows of docs, whole and with all their columns, that the classifier keeps: blank, empty and null texts go, repeated rows share their fate."""
     scorer, _ = fit(docs, id_column)
     bounded_batches(docs.sparkSession)
     place = docs.columns.index("text")
@@ -250,5 +258,6 @@ def kept_documents(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and fate of every document; repeated rows, nulls and empty texts as score_documents and fit state."""
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, *fit(docs))

@@ -183,7 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Model:
     """Learns from labelled rows outside the held-out third: crc32 of the id as text, modulo 3, is not 1.
 
     At most about TRAINING documents of each label, those of the smallest hashes, give their words; a word is toxic where far more
-    toxic than clean documents have it than chance allows.
+    toxic than clean documents have it than chance allows.  Labels or ids that are null are left out, a document with several labels is toxic
+    if one says so, repeated ids train with each of their texts; without toxic rows every document gets the same low score.
     """
     spark = docs.sparkSession
     known = labels.filter(F.col("toxic").isNotNull() & F.col(id_column).isNotNull() & ~_held_out(F.col(id_column)))
@@ -195,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id") -> Model:
     spot = F.pmod(F.xxhash64(F.lit("toxic"), "id"), F.lit(1 << 20)) / float(1 << 20)
     share = F.when(F.col("toxic") == 1, min(1.0, TRAINING / n_toxic)).otherwise(min(1.0, TRAINING / max(1, n_clean)))
     # about 2 * TRAINING rows of two numbers whatever the corpus; the limit makes it a bound
-    chosen = known.filter(spot < share).limit(3 * TRAINING)
+    chosen = known.filter(spot < share).orderBy(F.xxhash64(F.lit("toxic"), "id"), "id").limit(3 * TRAINING)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), "text")
     rows = as_text(rows.join(F.broadcast(chosen), "id"))
 
@@ -294,6 +295,7 @@ def score_documents(docs: DataFrame, model: Model, id_column: str = "doc_id") ->
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document; null and empty texts get the score of a text without likeness, rows without an id are not held out."""
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", F.coalesce(_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -257,3 +257,49 @@ def scaled_sizes(sizes: dict[str, int], factor: float, historical: bool = False)
     if factor <= 0:
         raise ValueError("the factor must be positive")
     return {k: max(1, round(v * factor)) if historical or k.startswith("n_train") else v for k, v in sizes.items()}
+
+
+def completion(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """stage, rows, state of every expected stage: MISSING without a table, INCOMPLETE below its least number of rows, else COMPLETE; and UNEXPECTED stages.
+
+    expected: stage, least.  found: stage, rows.
+    """
+    both = expected.join(found, "stage", "full")
+    state = F.when(F.col("least").isNull(), "UNEXPECTED").when(F.col("rows").isNull(), "MISSING").when(F.col("rows") < F.col("least"), "INCOMPLETE").otherwise("COMPLETE")
+    return both.select("stage", F.coalesce("rows", F.lit(0)).alias("rows"), state.alias("state"))
+
+
+def domain_frame(real: DataFrame, made: DataFrame, totals: DataFrame, features: list[str]) -> DataFrame:
+    """Rows of both domains with their features, technical covariates and the group that keeps parents together in cross-validation.
+
+    real and made: cell, features, and log_count, log_feature or not; made also parent_1.  Covariates that a side lacks come from totals
+    (cell, n_count, n_feature).  A real cell is its own group, a made one goes with its first parent.
+    """
+    covariates = {"log_count": F.log1p("n_count"), "log_feature": F.log1p("n_feature")}
+
+    def side(df: DataFrame, domain: str, group) -> DataFrame:
+        joined = df.join(totals.select("cell", "n_count", "n_feature"), "cell", "left")
+        filled = {c: F.coalesce(F.col(c), e) if c in df.columns else e for c, e in covariates.items()}
+        return joined.select("cell", F.lit(domain).alias("domain"), *(finite(F.col(f).cast("double")).alias(f) for f in features), *(e.alias(c) for c, e in filled.items()), group.alias("grp"))
+
+    return side(real, "experimental_doublet", F.col("cell")).unionByName(side(made, "semireal_heterotypic_doublet", F.col("parent_1")))
+
+
+# What every metric is computed on, as data.
+METRICS = (
+    ("auroc", "doublets", "all others", "all test rows", "none"),
+    ("overall_auprc", "doublets", "all others", "all test rows", "none"),
+    ("homotypic_auprc", "homotypic doublets", "all others", "without heterotypic doublets", "none"),
+    ("heterotypic_auprc", "heterotypic doublets", "all others", "without homotypic doublets", "none"),
+    ("macro_subtype_auprc", "mean of both subtypes", "as in each", "as in each", "none"),
+    ("homotypic_vs_high_auprc", "homotypic doublets", "high-count singlets", "these two", "none"),
+    ("fpr", "high-count singlets selected", "those left", "shortest prefix with half of the homotypic doublets", "matched recall"),
+    ("fpr_fixed", "high-count singlets selected", "those left", "a fifth of all rows", "rint(0.2 * rows)"),
+    ("fpr_budget", "high-count singlets selected", "those left", "as many rows as doublets", "doublets"),
+    ("precision_at_k", "doublets selected", "others selected", "as many rows as doublets", "doublets"),
+    ("recall_at_k", "doublets selected", "doublets left", "as many rows as doublets", "doublets"),
+)
+
+
+def metric_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(METRICS), "metric string, positive string, negative string, subset string, budget string")

@@ -211,3 +211,24 @@ def f14b(spark, sf):
         F.when(u % 5 != 0, "SUCCESS").otherwise("FAILED").alias("status"), (u % 7 == 0).alias("cached"))
     tasks = spark.createDataFrame([(s, m, c) for s in ("stage0", "stage1", "stage2", "stage9") for m, c in (("click", 300), ("view", 100000), ("never", 300))], "stage string, method string, cells long")
     return ledger.estimates(tasks, runs, ["ts", "event_id"])
+
+
+@query("l11_completion", f"""WITH e AS (SELECT * FROM (VALUES ('click', 1), ('view', 1000000000), ('never', 1)) v(stage, least)), f AS (SELECT event_type AS stage, count(*) AS rows FROM events GROUP BY 1)
+ SELECT coalesce(e.stage, f.stage) AS stage, {i('coalesce(rows, 0)', 'rows')}, CASE WHEN least IS NULL THEN 'UNEXPECTED' WHEN rows IS NULL THEN 'MISSING' WHEN rows < least THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS state FROM e FULL JOIN f ON e.stage = f.stage""")
+def l11(spark, sf):
+    expected = spark.createDataFrame([("click", 1), ("view", 1000000000), ("never", 1)], "stage string, least long")
+    return contracts.completion(expected, t.table(spark, sf, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("rows")))
+
+
+@query("o33_domain_frame", f"""{with_('rs', 'tot')}, r AS (SELECT cell, 'experimental_doublet' AS domain, a, b, CASE WHEN key % 2 = 0 THEN ln(1 + spent) END AS lc, cell AS grp FROM rs WHERE label <> 'clean'), m AS (SELECT cell, 'semireal_heterotypic_doublet' AS domain, a, b, NULL::DOUBLE AS lc, CAST(key % 50 AS VARCHAR) AS grp FROM rs WHERE label = 'clean')
+ SELECT cell, domain, {d('a')}, {d('b')}, {d('coalesce(lc, ln(1 + n_count))', 'log_count')}, {d('ln(1 + n_feature)', 'log_feature')}, grp FROM (SELECT * FROM r UNION ALL SELECT * FROM m) LEFT JOIN tot USING (cell)""")
+def o33(spark, sf):
+    s = t.rough_scores(spark, sf)
+    real = s.filter("label <> 'clean'").select("cell", "a", "b", F.when(F.col("key") % 2 == 0, F.log1p("spent")).alias("log_count"))
+    made = s.filter("label = 'clean'").select("cell", "a", "b", (F.col("key") % 50).cast("string").alias("parent_1"))
+    return contracts.domain_frame(real, made, matrix.cell_totals(t.purchase_counts(spark, sf)), ["a", "b"])
+
+
+@query("o39_metric_table", f"SELECT * FROM (VALUES {rows(contracts.METRICS)}) v(metric, positive, negative, subset, budget)")
+def o39(spark, sf):
+    return contracts.metric_table(spark)

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow.dataset as ds
 import pytest
+from pyspark.sql import functions as F
 
 from countloom.llm import components, jaccard, mixing, near_vectors, neighbours, pii, quality, repeats, tokens, toxicity
 
@@ -458,3 +459,31 @@ def test_mix_of_edge_rows(spark, edge_docs, no_docs):
     mixed = mixing.mix(edge_docs)
     assert mixed.columns == edge_docs.columns and mixed.count() > 0
     assert mixing.mix(no_docs).count() == 0
+
+
+def test_mix_of_repeated_rows_and_ties(spark):
+    """Equal sizes, repeated rows and one source of a third of all: targets are met, copies stay below twice a size, reruns and partitions change nothing."""
+    rows = [(i % 40 if i < 80 else i, "w " * (5 if i % 3 else 17), None if i % 7 == 0 else "ab"[i % 2] if i > 100 else "hot") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_size", F.lit("clash")).withColumn("target", F.lit(1))
+    got = [(r["doc_id"], r["text"], r["source"]) for r in mixing.mix(df).collect()]
+    again = [(r["doc_id"], r["text"], r["source"]) for r in mixing.mix(df.repartition(5)).collect()]
+    assert sorted(got, key=str) == sorted(again, key=str)
+    have = Counter((r[0], r[1], r[2]) for r in rows)
+    assert all(n <= 2 * have[k] for k, n in Counter(got).items())
+    size = lambda texts: sum(len(t.split()) for t in texts)
+    total = size(r[1] for r in rows)
+    assert abs(size(t for _, t, _ in got) - 1.5 * total) <= 0.03 * total
+
+
+def test_personal_data_query_columns(spark):
+    """Counts, digest and spans of the query against plain patterns, document by document."""
+    got = {r["doc_id"]: r for r in pii.op5_pii(spark, SF).collect()}
+    texts = documents()
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        base, row = plain_spans(text or ""), got[i]
+        counts = Counter(k for k, _, _ in base)
+        assert [row[f"n_{k}"] for k in BASE] == [counts[k] for k in BASE]
+        assert row["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        every = [x for x in row["spans"].split(",") if x]
+        assert [x for x in every if x.split(":")[0] in BASE] == [f"{k}:{a}:{b}" for k, a, b in base]

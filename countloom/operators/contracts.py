@@ -303,3 +303,46 @@ METRICS = (
 
 def metric_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(METRICS), "metric string, positive string, negative string, subset string, budget string")
+
+
+def method_status(scores: DataFrame) -> DataFrame:
+    """Per method: its most frequent status (ties to the first by name) and its longest run time.  scores: method, status, runtime."""
+    counts = scores.filter("status IS NOT NULL").groupBy("method", "status").agg(F.count("*").alias("_n"))
+    common = counts.groupBy("method").agg(F.min_by("status", F.struct(-F.col("_n"), F.col("status"))).alias("status"))
+    return scores.groupBy("method").agg(F.max(finite(F.col("runtime").cast("double"))).alias("runtime"), F.count("*").alias("rows")).join(common, "method", "left")
+
+
+def centroid_distances(centroids: DataFrame) -> DataFrame:
+    """group, nearest, distance: the nearest other centroid of every group, ties to the smaller group.  centroids: group, p, mean; groups are few."""
+    other = centroids.select(F.col("group").alias("nearest"), "p", F.col("mean").alias("_m"))
+    pairs = centroids.join(other, "p").filter(F.col("group") != F.col("nearest")).groupBy("group", "nearest").agg(F.sqrt(F.sum((F.col("mean") - F.col("_m")) ** 2)).alias("distance"))
+    return pairs.groupBy("group").agg(F.min(F.struct(F.round("distance", 9).alias("d"), "nearest", "distance")).alias("x")).select("group", "x.nearest", "x.distance")
+
+
+def plan_checks(pairs: DataFrame, splits: list[str], subtypes: list[str]) -> DataFrame:
+    """Contract of a pair plan (synthetic, split, subtype, parent_1, parent_2): gaps, repeated ids, unknown splits and subtypes, equal parents, repeated pairs, and parents of several splits."""
+    a, b = F.col("parent_1").cast("string"), F.col("parent_2").cast("string")
+    rows = pairs.select("synthetic", "split", "subtype", a.alias("a"), b.alias("b"), F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
+    gaps = reduce(lambda p, q: p | q, [F.col(c).isNull() for c in ("synthetic", "split", "subtype", "a", "b")])
+    one = rows.agg(
+        F.count_if(gaps).alias("c0"), (F.count("*") - F.count_distinct("synthetic")).alias("c1"), F.count_if(~F.col("split").isin(*splits)).alias("c2"), F.count_if(~F.col("subtype").isin(*subtypes)).alias("c3"), F.count_if(F.col("a") == F.col("b")).alias("c4"))
+    twice = rows.groupBy("split", "x", "y").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("c5"))
+    across = rows.select("split", "a").union(rows.select("split", "b")).groupBy("a").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("c6"))
+    names = ("complete", "unique_ids", "known_splits", "known_subtypes", "two_parents", "no_repeated_pair", "no_parent_across_splits")
+    return as_checks(one.crossJoin(F.broadcast(twice)).crossJoin(F.broadcast(across)), *(check(n, F.col(f"c{k}")) for k, n in enumerate(names)))
+
+
+def parent_removal(pairs: DataFrame, reference: DataFrame) -> DataFrame:
+    """Per split: pairs, distinct parents, those still in the reference, and PASS where there is none.  reference: cell."""
+    parents = pairs.select("split", F.explode(F.array("parent_1", "parent_2")).alias("cell"))
+    marked = parents.distinct().join(reference.select("cell", F.lit(1).alias("_r")), "cell", "left")
+    held = marked.groupBy("split").agg(F.count("*").alias("parents"), F.count("_r").alias("in_reference"))
+    joined = pairs.groupBy("split").agg(F.count("*").alias("pairs")).join(held, "split")
+    return joined.withColumn("status", F.when(F.col("in_reference") == 0, "PASS").otherwise("FAIL"))
+
+
+def single_valued(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, values, status: provenance columns hold one value and no gap."""
+    one = df.agg(*(F.count_distinct(c).alias(f"n{k}") for k, c in enumerate(columns)), *(F.count_if(F.col(c).isNull()).alias(f"z{k}") for k, c in enumerate(columns)))
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"n{k}").alias("values"), F.when((F.col(f"n{k}") == 1) & (F.col(f"z{k}") == 0), "PASS").otherwise("FAIL").alias("status")) for k, c in enumerate(columns)))
+    return one.select(F.inline(rows))

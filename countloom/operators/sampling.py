@@ -142,3 +142,19 @@ def library_pairs(cells: DataFrame, n: int, seed: int, homotypic: float) -> Data
     side = lambda c, p, out: placed.select("library", F.col("cluster").alias(c), F.col("_p").alias(p), F.col("cell").alias(out))
     return rows.join(side("_x", "_i", "parent_1"), ["library", "_x", "_i"]).join(side("_y", "_j", "parent_2"), ["library", "_y", "_j"]).select(
         F.concat(F.lit("pair_"), i.cast("string")).alias("synthetic"), "library", F.when(F.col("same"), "homotypic").otherwise("heterotypic").alias("subtype"), "parent_1", "parent_2")
+
+
+def group_folds(df: DataFrame, group: str, stratum: str, folds: int = 3, seed: int = 0) -> DataFrame:
+    """df with fold: whole groups dealt in turn, in the order of their hash, within each stratum; a group takes its smallest stratum."""
+    groups = df.groupBy(group).agg(F.min(stratum).alias("_s"))
+    place = F.row_number().over(W.partitionBy("_s").orderBy(draw(seed, "fold", F.col(group)))) - 1
+    return df.join(groups.select(group, (place % folds).alias("fold")), group)
+
+
+def stratified_fraction(df: DataFrame, key: str, stratum: str, share: float, seed: int = 0, least: int = 2) -> DataFrame:
+    """About share of the rows of each stratum, `least` at least, first by hash of the key; all rows from a share of 0.999 on."""
+    if share >= 0.999:
+        return df
+    sizes = df.groupBy(stratum).agg(F.greatest(F.rint(share * F.count("*")), F.lit(float(least))).alias("_k"))
+    place = F.row_number().over(W.partitionBy(stratum).orderBy(draw(seed, "fraction", F.col(key))))
+    return df.withColumn("_r", place).join(sizes, stratum).filter("_r <= _k").select(*df.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from countloom.functions import robust, scalars
-from countloom.operators import contracts, ledger, matrix, points
+from countloom.operators import contracts, ledger, matrix, points, sampling
 from countloom.operators.governance import DENIED
 from countloom.plans.core import CLIP, R1, stats_sql
 from countloom.plans.registry import d, i, query, with_
@@ -232,3 +232,59 @@ def o33(spark, sf):
 @query("o39_metric_table", f"SELECT * FROM (VALUES {rows(contracts.METRICS)}) v(metric, positive, negative, subset, budget)")
 def o39(spark, sf):
     return contracts.metric_table(spark)
+
+
+# ---------------------------------------------------------------- plans, folds and centroids
+
+@query("a14_method_status", f"""WITH s AS (SELECT event_type AS method, CASE WHEN value > 1 THEN 'success' WHEN value > 0.5 THEN 'failed' END AS status, value AS runtime FROM events), c AS (SELECT method, status, row_number() OVER (PARTITION BY method ORDER BY count(*) DESC, status) AS r FROM s WHERE status IS NOT NULL GROUP BY 1, 2)
+ SELECT s.method, {d('max(runtime)', 'runtime')}, {i('count(*)', 'rows')}, any_value(c.status) AS status FROM s LEFT JOIN c ON c.method = s.method AND c.r = 1 GROUP BY s.method""")
+def a14s(spark, sf):
+    v = F.col("value")
+    return contracts.method_status(t.table(spark, sf, "events").select(F.col("event_type").alias("method"), F.when(v > 1, "success").when(v > 0.5, "failed").alias("status"), v.alias("runtime")))
+
+
+@query("e3_centroid_distances", f"""WITH m AS (SELECT label, p, avg(x) AS x FROM (SELECT label, generate_subscripts(embedding, 1) AS p, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY 1, 2), q AS (SELECT a.label AS g, b.label AS o, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS dist FROM m a JOIN m b ON a.p = b.p AND a.label <> b.label GROUP BY 1, 2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round(dist, 9), o) AS k FROM q) SELECT {i('g', '"group"')}, {i('o', 'nearest')}, {d('dist', 'distance')} FROM r WHERE k = 1""")
+def e3d(spark, sf):
+    e = t.table(spark, sf, "embeddings").select(F.col("label").alias("group"), F.posexplode("embedding").alias("p", "x"))
+    return contracts.centroid_distances(e.groupBy("group", "p").agg(F.avg(F.col("x").cast("double")).alias("mean")))
+
+
+LINES = "pl AS (SELECT CAST(l_orderkey AS VARCHAR) || ':' || l_linenumber AS synthetic, CASE l_returnflag WHEN 'A' THEN 'train' WHEN 'N' THEN 'validation' ELSE 'other' END AS split, CASE WHEN l_linestatus = 'F' THEN 'homotypic' ELSE 'heterotypic' END AS subtype, CAST(l_partkey AS VARCHAR) AS a, CAST(l_suppkey AS VARCHAR) AS b FROM lineitem)"
+
+
+def line_pairs(spark, sf):
+    split = F.when(F.col("l_returnflag") == "A", "train").when(F.col("l_returnflag") == "N", "validation").otherwise("other")
+    return t.table(spark, sf, "lineitem").select(
+        F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("synthetic"), split.alias("split"), F.when(F.col("l_linestatus") == "F", "homotypic").otherwise("heterotypic").alias("subtype"),
+        F.col("l_partkey").cast("string").alias("parent_1"), F.col("l_suppkey").cast("string").alias("parent_2"))
+
+
+@query("o18_plan_checks", f"""WITH {LINES}, c AS (SELECT sum(n - 1) AS n FROM (SELECT count(*) AS n FROM pl GROUP BY split, least(a, b), greatest(a, b))), x AS (SELECT count(*) FILTER (n > 1) AS n FROM (SELECT count(DISTINCT split) AS n FROM (SELECT split, a FROM pl UNION ALL SELECT split, b FROM pl) GROUP BY a)),
+ r AS (SELECT 'complete' AS "check", 0 AS failed UNION ALL SELECT 'unique_ids', count(*) - count(DISTINCT synthetic) FROM pl UNION ALL SELECT 'known_splits', count(*) FILTER (split = 'other') FROM pl UNION ALL SELECT 'known_subtypes', 0 UNION ALL SELECT 'two_parents', count(*) FILTER (a = b) FROM pl
+ UNION ALL SELECT 'no_repeated_pair', n FROM c UNION ALL SELECT 'no_parent_across_splits', n FROM x) SELECT "check", {i('failed')}, CASE WHEN failed = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM r""")
+def o18c(spark, sf):
+    return contracts.plan_checks(line_pairs(spark, sf), ["train", "validation", "test"], ["homotypic", "heterotypic"])
+
+
+@query("l1_parent_removal", f"""WITH {LINES}, ref AS (SELECT CAST(s_suppkey AS VARCHAR) AS cell FROM supplier WHERE s_acctbal > 0), p AS (SELECT split, a AS cell FROM pl UNION SELECT split, b FROM pl), h AS (SELECT split, count(*) AS parents, count(ref.cell) AS held FROM p LEFT JOIN ref USING (cell) GROUP BY 1), n AS (SELECT split, count(*) AS pairs FROM pl GROUP BY 1)
+ SELECT split, {i('pairs')}, {i('parents')}, {i('held', 'in_reference')}, CASE WHEN held = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM n JOIN h USING (split)""")
+def l1r(spark, sf):
+    reference = t.table(spark, sf, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("cell"))
+    return contracts.parent_removal(line_pairs(spark, sf), reference)
+
+
+@query("o31_single_valued", f"""SELECT * FROM (SELECT 'l_linestatus' AS "column", count(DISTINCT l_linestatus)::BIGINT AS "values", CASE WHEN count(DISTINCT l_linestatus) = 1 THEN 'PASS' ELSE 'FAIL' END AS status FROM lineitem UNION ALL SELECT 'transformer', 1, 'PASS')""")
+def o31s(spark, sf):
+    return contracts.single_valued(t.table(spark, sf, "lineitem").withColumn("transformer", F.lit("one")), ["l_linestatus", "transformer"])
+
+
+@query("o34_stratified_folds", f"""{with_('rs')}, g AS (SELECT CAST(key % 60 AS VARCHAR) AS grp, min(label) AS s FROM rs GROUP BY 1), f AS (SELECT grp, (row_number() OVER (PARTITION BY s ORDER BY sha256('0:fold:' || grp)) - 1) % 3 AS fold FROM g) SELECT cell, grp, {i('fold')} FROM rs JOIN f ON grp = CAST(key % 60 AS VARCHAR)""")
+def o34f(spark, sf):
+    s = t.rough_scores(spark, sf).withColumn("grp", (F.col("key") % 60).cast("string"))
+    return sampling.group_folds(s, "grp", "label").select("cell", "grp", "fold")
+
+
+@query("o11_stratified_fraction", f"""{with_('rs')}, k AS (SELECT cell, label, row_number() OVER (PARTITION BY label ORDER BY sha256('0:fraction:' || cell)) AS r, count(*) OVER (PARTITION BY label) AS n FROM rs) SELECT cell, label FROM k WHERE r <= greatest(round_even(0.25 * n, 0), 2)""")
+def o11f(spark, sf):
+    return sampling.stratified_fraction(t.rough_scores(spark, sf), "cell", "label", 0.25).select("cell", "label")

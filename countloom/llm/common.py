@@ -32,7 +32,7 @@ def bounded_batches(spark: SparkSession) -> None:
     All operators set the same value, and only where the session has Spark's own, so it never matters which ran last.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) in ("67108864b", "-1"):
+    if spark.conf.get(key, "64m") in ("67108864b", "64m"):
         spark.conf.set(key, "4m")
 
 

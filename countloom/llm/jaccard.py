@@ -503,7 +503,7 @@ def sketch_pairs(members: DataFrame, bands: Bands) -> DataFrame:
     return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def similarity_classes(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id") -> DataFrame:
+def similarity_classes(docs: DataFrame, k: int, num: int, den: int, id_column: str = "doc_id", links: bool = False) -> DataFrame:
     """Per row: id, n_shingles (size of the set of k-word shingles), component_id (smallest id linked directly or through others).
 
     Two documents link where den * |A & B| >= num * |A | B|.  Words are what stands between 0x20 and 0x09-0x0D,
@@ -513,13 +513,16 @@ def similarity_classes(docs: DataFrame, k: int, num: int, den: int, id_column: s
 
     Large buckets are first tied by stars of four members; what then is in different components of a bucket is compared by
     bit sketches.  Buckets first lose the members that rarer segments cover (rare_enough).
+
+    links: also n_links, the number of other documents linked directly.  Then no pair is left out because its sets are in one component
+    already: every candidate is counted, so work grows with the number of links between different sets (copies count by their class's size).
     """
     spark = docs.sparkSession
     bands = Bands(num, den)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 2
     source = as_text(docs.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), "text"))
     classes = stored(set_classes(source, k), "classes")
-    found = stored(bucket_rows(sketch_entries(source, k, bands, parts), bands, parts), "buckets")
+    buckets = stored(bucket_rows(sketch_entries(source, k, bands, parts), bands, parts), "buckets")
     # copies stand for their class's smallest id
     reps = classes.filter("rep <> id").select("id", "rep").distinct()
 
@@ -532,61 +535,78 @@ def similarity_classes(docs: DataFrame, k: int, num: int, den: int, id_column: s
         # what the bitmap lets through wrongly joins nothing; rows that repeat an id repeat a pair, which links once
         return sketches(in_bitmap(spark, source, ids), k, bands)
 
-    pairs = by_class(found.filter("kind = 0").select("a", "b").distinct(), "a", "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    hot = stored(by_class(found.filter("kind = 1").select("key", F.col("a").alias("id")), "id").distinct(), "hot")
+    pairs = by_class(buckets.filter("kind = 0").select("a", "b").distinct(), "a", "b").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hot = stored(by_class(buckets.filter("kind = 1").select("key", F.col("a").alias("id")), "id").distinct(), "hot")
     some = not hot.isEmpty()
     if some:
         slack = stored(outline_of(hot.select("id").distinct()).groupBy("id").agg(F.min("slack").alias("slack")), "slack")
         heavy = stored(rare_enough(hot, slack), "heavy")
-        pairs = pairs.union(star_pairs(heavy))
+        if links:
+            alone = outline_of(heavy.select("id").distinct()).drop("slack").dropDuplicates(["id"])
+            pairs = pairs.union(sketch_pairs(heavy.join(alone, "id").withColumn("component", F.col("id")), bands))
+        else:
+            pairs = pairs.union(star_pairs(heavy))
         discard(hot, slack)
         hot = heavy
     pairs = stored(pairs.distinct(), "pairs")
-    discard(found)
+    discard(buckets)
 
     def counted(candidates: DataFrame) -> DataFrame:
         ends = stored(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct(), "ends")
         sets = shingle_sets(in_bitmap(spark, source, ends).join(ends, "id", "left_semi"), k)
-        links = stored(verified(candidates, sets, bands), "links")
+        found = stored(verified(candidates, sets, bands), "links")
         discard(ends)
-        return links
+        return found
 
     def checked(candidates: DataFrame, outline: DataFrame) -> DataFrame:
         """Links among candidates that give the same components as all of them: first one partner of each set, then pairs left apart."""
         near = stored(screened(candidates, outline, bands), "screened")
+        if links:
+            found = counted(near)
+            discard(near)
+            return found
         one = stored(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
-        links = counted(one)
-        known = stored(components(links), "known")
+        found = counted(one)
+        known = stored(components(found), "known")
         rest = near.join(one, ["a", "b"], "left_anti")
         for c in ("a", "b"):
             rest = rest.join(known.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")), c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
         rest = stored(rest.filter("_a <> _b").select("a", "b"), "rest")
         if not rest.isEmpty():
-            links = stored(links.union(counted(rest)), "links")
+            found = stored(found.union(counted(rest)), "links")
         discard(near, one, known, rest)
-        return links
+        return found
 
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     wanted = stored((wanted.union(hot.select("id")) if some else wanted).distinct(), "wanted")
     outline = stored(outline_of(wanted), "sketches")
     discard(wanted)
-    links = checked(pairs, outline)
-    linked = stored(components(links), "linked")
-    if some:
+    found = checked(pairs, outline)
+    linked = stored(components(found), "linked")
+    if some and not links:
         members = hot.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_ = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
         members = members.join(open_, "key").join(outline.drop("slack").dropDuplicates(["id"]), "id")
         more = stored(sketch_pairs(members, bands).join(pairs, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
             further = checked(more, outline)
-            before, linked = linked, stored(components(links.union(further)), "linked")
+            before, linked = linked, stored(components(found.union(further)), "linked")
             discard(before, further)
         discard(hot, more)
-    discard(pairs, outline, links)
+    discard(pairs, outline)
     linked = linked.withColumnRenamed("node", "rep")
     out = classes.join(linked, "rep", "left").select(
-        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"), *(["rep"] if links else []))
     nothing = F.lit(None).cast("long")
+    if links:
+        sizes = classes.filter("n > 0").groupBy("rep").agg(F.count_distinct("id").alias("_m"))
+        ends = found.select("a", "b").distinct()
+        ends = ends.union(ends.select("b", "a")).join(sizes.withColumnRenamed("rep", "b"), "b").groupBy(F.col("a").alias("rep")).agg(F.sum("_m").alias("_l"))
+        out = out.join(sizes, "rep", "left").join(ends, "rep", "left").select(
+            id_column, "n_shingles", "component_id", (F.coalesce("_m", F.lit(1)) - 1 + F.coalesce("_l", F.lit(0))).alias("n_links"))
+        rest = docs.filter(F.col(id_column).isNull()).select(nothing.alias(id_column), nothing.alias("n_shingles"), nothing.alias("component_id"), nothing.alias("n_links"))
+        return out.union(rest)
+    discard(found)
     return out.union(docs.filter(F.col(id_column).isNull()).select(nothing.alias(id_column), nothing.alias("n_shingles"), nothing.alias("component_id")))
 
 

@@ -187,6 +187,11 @@ def test_similarity_in_a_large_group_of_near_copies(spark, monkeypatch, flush):
     assert got == classes({i: shingles(t, 5) for i, t in enumerate(texts)}, 80, 100)
     kept = sorted(r["doc_id"] for r in jaccard.one_of_each(df).collect())
     assert kept == sorted(set(got.values()))
+    # the number of links of every document, copies included
+    sets = [shingles(t, 5) for t in texts]
+    wanted = {i: sum(100 * len(x & y) >= 80 * len(x | y) for j, y in enumerate(sets) if j != i) for i, x in enumerate(sets)}
+    rows = jaccard.similarity_classes(df, 5, 80, 100, links=True).collect()
+    assert {r["doc_id"]: r["n_links"] for r in rows} == wanted and {r["doc_id"]: r["component_id"] for r in rows} == got
 
 
 def test_similarity_of_edge_rows(spark, edge_docs, no_docs):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from countloom.functions import ranks
 from countloom.functions.scalars import centred_sigmoid, clip, finite, union
+from countloom.plans.storage import cut
 
 CLASSES = ("clean", "heterotypic_doublet", "homotypic_doublet", "low_quality")
 #: Feature -> value where the column is missing.
@@ -39,7 +40,7 @@ def refined(rows: DataFrame, key: str, legacy: bool = False, penalize: bool = Tr
     clipped = {c: F.col(c) if c == "population_propensity_prior" or legacy else unit(F.col(c)) for c in _VARY}
     vary = df.agg(F.min("_c").alias("low"), F.max("_c").alias("high"), *(F.coalesce(F.min(x) < F.max(x), F.lit(False)).alias(c) for c, x in clipped.items())).first()
     for c in "abcde":
-        df = ranks.percentile_rank(df, f"_{c}", f"r{c}")
+        df = cut(ranks.percentile_rank(df, f"_{c}", f"r{c}"))  # a rank reads its input several times
     constant = vary["low"] is None or vary["low"] == vary["high"]
     hom, het, off, margin = F.col("ra"), F.col("rb"), F.col("rc"), F.col("rd")
     centred = F.lit(0.5) if constant else 1 - off

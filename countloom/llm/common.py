@@ -76,10 +76,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as a table in the shared folder and read back: it cuts the lineage, and lost executors cost no recomputation."""
+    """df written once as a table in the shared folder and read back: it cuts the lineage, and lost executors cost no recomputation.
+
+    The codec is one that works on the heap: native ones take memory beside it for every column of every task.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "lz4_raw").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

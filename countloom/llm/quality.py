@@ -220,7 +220,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id") -> tuple[Scorer, dict[int, f
     chosen = source.withColumn("h", F.xxhash64(F.lit("quality"), "id", "text")).filter(F.col("h") <= bound).dropDuplicates(["h"]).orderBy("h").limit(2 * TRAINING)
     rows = chosen.select("text").mapInArrow(features, "words binary, shape binary, p long").collect()
     samples = sorted((bytes(r["words"]), bytes(r["shape"]), posterior[r["p"]]) for r in rows)
-    scorer = train([(np.frombuffer(w, np.int32).astype(np.int64).reshape(-1, 2), np.frombuffer(s, np.int32).astype(np.int64), y) for w, s, y in samples])
+    scorer = train([(np.frombuffer(w, np.int32).reshape(-1, 2), np.frombuffer(s, np.int32), y) for w, s, y in samples])
     return scorer, posterior
 
 

@@ -11,8 +11,8 @@ from countloom.llm.common import WORD, stored, table
 #: Rows of one (source, size, bucket) cell at most, about: larger ones are split by a hash of the id.
 CELL = 8192
 REPAIRS = 5
-#: Newton steps of one job.
-STEPS = 3
+#: Newton steps of one job: more make fewer jobs but larger plans, which the driver has to hold.
+STEPS = 1
 
 
 def sized(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:

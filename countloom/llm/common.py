@@ -122,7 +122,10 @@ def _byte_tables():
     space = np.zeros(256, bool)
     space[[0x20, 9, 10, 11, 12, 13]] = True
     weight = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD)) | np.uint64(1)
-    return lower, space, weight
+    other = np.arange(256) < 128  # all but digits, letters and what is not ASCII
+    for first, end in ((48, 58), (65, 91), (97, 123)):
+        other[first:end] = False
+    return lower, {"words": space, "terms": other}, weight
 
 
 def _powers(n: int) -> np.ndarray:
@@ -147,18 +150,15 @@ def _inverse_powers(n: int) -> np.ndarray:
     return worker_cache(f"inverse-{size}", make)
 
 
-def batch_words(data: np.ndarray, offsets: np.ndarray):
-    """Words of a batch of UTF-8 texts laid end to end: A-Z lower-cased, split at 0x20 and 0x09-0x0D.
+def word_places(data: np.ndarray, offsets: np.ndarray, kind: str = "words"):
+    """(first byte, end byte, document) of every word of a batch of UTF-8 texts laid end to end.
 
-    Returns (hash of each word, document of each word, first byte, end byte).  A word's hash is the
-    mixed polynomial of its bytes, taken from prefix sums, so the cost is a few passes over the bytes.
+    Words end at 0x20 and 0x09-0x0D, terms at every ASCII character but digits and letters.
     """
-    lower, space, weight = worker_cache("bytes", _byte_tables)
     n = len(data)
     if n == 0:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
-    blank = space[data]
+        return (np.zeros(0, np.int64),) * 3
+    blank = worker_cache("bytes", _byte_tables)[1][kind][data]
     # a document border also ends a word
     first = ~blank
     first[1:] &= blank[:-1]
@@ -170,13 +170,31 @@ def batch_words(data: np.ndarray, offsets: np.ndarray):
     last = starts[starts > 0] - 1
     ends[last] |= ~blank[last]
     begin, end = np.flatnonzero(first), np.flatnonzero(ends) + 1
+    return begin, end, np.searchsorted(offsets, begin, side="right") - 1
+
+
+def batch_words(data: np.ndarray, offsets: np.ndarray, kind: str = "words"):
+    """Words or terms of a batch of UTF-8 texts laid end to end, A-Z lower-cased.
+
+    Returns (hash of each word, document of each word, first byte, end byte).  A word's hash is the
+    mixed polynomial of its bytes, taken from prefix sums, so the cost is a few passes over the bytes.
+    """
+    lower, _, weight = worker_cache("bytes", _byte_tables)
+    n = len(data)
+    begin, end, doc = word_places(data, offsets, kind)
+    if n == 0:
+        return doc.astype(np.uint64), doc, begin, end
     prefix = np.zeros(n + 1, np.uint64)
     np.cumsum(weight[lower[data]] * _powers(n)[:n], out=prefix[1:])
     words = mix64((prefix[end] - prefix[begin]) * _inverse_powers(n)[begin] + (end - begin).astype(np.uint64))
-    doc = np.searchsorted(offsets, begin, side="right") - 1
     return words, doc, begin, end
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lower-cased."""
+    return worker_cache("bytes", _byte_tables)[0][data]
+
+
 def shingle_hashes(words: np.ndarray, doc: np.ndarray, n_docs: int, k: int):
     """Distinct k-word shingles of every document: (hashes sorted within a document, bounds of the documents).
 

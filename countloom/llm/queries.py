@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from countloom.llm import jaccard, mixing, near_vectors, neighbours, pii, quality, repeats, tokens, toxicity
+from countloom.llm import jaccard, mixing, near_vectors, neighbours, pii, quality, repeats, resampling, tokens, toxicity
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_token_orc": tokens.op8_token_orc,
         "op9_repeats": repeats.op9_repeats,
         "op10_mix": mixing.op10_mix,
+        "op11_resample": resampling.op11_resample,
     }
     return found
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_nearest": neighbours.OP1_SQL,
         "op2_ngram_jaccard": jaccard.OP2_SQL,
         "op4_near_vectors": near_vectors.OP4_SQL,
+        "op11_resample": resampling.OP11_SQL,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from countloom.llm import jaccard, mixing, near_vectors, neighbours, pii, quality, repeats, resampling, tokens, toxicity
+from countloom.llm import jaccard, lexical, mixing, near_vectors, neighbours, pages, pii, quality, repeats, resampling, tokens, toxicity
 
 
 def queries():
@@ -18,6 +18,8 @@ def queries():
         "op9_repeats": repeats.op9_repeats,
         "op10_mix": mixing.op10_mix,
         "op11_resample": resampling.op11_resample,
+        "op12_main_text": pages.op12_main_text,
+        "op13_wand": lexical.op13_wand,
     }
     return found
 
@@ -28,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_ngram_jaccard": jaccard.OP2_SQL,
         "op4_near_vectors": near_vectors.OP4_SQL,
         "op11_resample": resampling.OP11_SQL,
+        "op13_wand": lexical.OP13_SQL,
     }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from countloom.functions import ranks, scalars
 from countloom.operators import audits, contracts, metrics, neighbours, points
 from countloom.plans.core import rank_sql
+from countloom.plans.storage import written
 from countloom.plans.registry import d, i, query, with_
 from countloom.sources import tables as t
 
@@ -171,6 +172,27 @@ def d13(spark, sf):
     return neighbours.knn(vectors(spark, sf), vectors(spark, sf), 15)
 
 
+@query("j4_communities")
+def j4(spark, sf):
+    """Communities of the fuzzy graph of the 15 nearest neighbours of all vectors; rounds and levels, so without SQL: a test compares them with a plain version."""
+    from countloom.operators.communities import communities
+    from countloom.operators.graph import fuzzy_graph
+
+    v = vectors(spark, sf)
+    edges = written(fuzzy_graph(neighbours.knn(v, v, 15), 15))
+    return communities(edges, 0.6, v.select(F.col("id").alias("node"))).labels.select(F.col("node").alias("cell"), F.col("community").alias("cluster"))
+
+
+@query("j20_layout")
+def j20(spark, sf):
+    """The same graph in two dimensions; forces over rounds, so without SQL: a test compares the neighbours that it keeps with a plain version's."""
+    from countloom.operators.graph import fuzzy_graph, layout
+
+    v = vectors(spark, sf)
+    edges = written(fuzzy_graph(neighbours.knn(v, v, 15), 15))
+    return layout(edges, nodes=v.select(F.col("id").alias("node"))).select(F.col("node").alias("cell"), "x", "y")
+
+
 @query("e26_purity_entropy", f"""WITH {KNN}, g AS (SELECT query, own, grp, count(*) AS n, sum(distance) AS ds FROM nn GROUP BY 1, 2, 3)
  SELECT query, {d('sum(n) FILTER (own = grp) / 15', 'purity_')}, {d('-sum(n / 15 * ln(n / 15)) / ln(greatest(2, (SELECT count(DISTINCT label) FROM embeddings)))', 'entropy')}, {d('sum(ds) / 15', 'mean_distance')} FROM g GROUP BY 1""".replace("sum(n) FILTER (own = grp) / 15", "coalesce(sum(n) FILTER (own = grp), 0) / 15").replace("purity_", "purity"))
 def e26(spark, sf):

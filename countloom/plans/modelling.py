@@ -181,3 +181,24 @@ def j13(spark, sf):
 
     s = t.rough_scores(spark, sf).withColumn("y", F.col("label").isin(*CLASSES[2:]).cast("int"))
     return BalancedLogistic(["a", "b", "c", "spent"]).fit(s.filter("key % 3 <> 0"), "y").predict(s).select("cell", F.round("chance", 6).alias("chance"))
+
+
+@query("j11_network")
+def j11(spark, sf):
+    """Chances by the network of three heads, trained on two thirds of the customers and stopped on the rest; a fit, so without SQL."""
+    from countloom.operators.network import MultiTaskNetwork, NetworkConfig
+
+    s = t.rough_scores(spark, sf)
+    net = MultiTaskNetwork(("a", "b", "c", "spent"), NetworkConfig(epochs=6, patience=3, batch=2048)).fit(s.filter("key % 3 <> 0"), s.filter("key % 3 = 0"))
+    return net.predict(s).select("cell", *CLASSES, "rejection")
+
+
+@query("j12_network_extras")
+def j12(spark, sf):
+    """The same with the extra terms: correlation with the spent total and triplets mined in the embedding."""
+    from countloom.operators.network import MultiTaskNetwork, NetworkConfig
+
+    s = t.rough_scores(spark, sf)
+    config = NetworkConfig(epochs=4, patience=3, batch=2048, decorrelation=0.1, triplets=0.1, warm_up=2)
+    net = MultiTaskNetwork(("a", "b", "c", "spent"), config).fit(s.filter("key % 3 <> 0"), s.filter("key % 3 = 0"), cluster="cluster", covariate="spent")
+    return net.predict(s).select("cell", *CLASSES, "rejection")

@@ -29,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def removed(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -47,7 +47,7 @@ def written(df: DataFrame, by: str | None = None) -> DataFrame:
     ensure_checkpoint_dir(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{base.rstrip('/')}/countloom/table-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(removed, spark, path)
     writer = df.write.option("compression", "lz4_raw")
     (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -58,4 +58,4 @@ def written(df: DataFrame, by: str | None = None) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Removes what written() wrote, once everything that reads it is written itself."""
     for df in tables:
-        _remove(df.sparkSession, df._written_at)
+        removed(df.sparkSession, df._written_at)

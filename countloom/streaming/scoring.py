@@ -13,7 +13,14 @@ def windowed_ledger(events: DataFrame, time: str = "ts", late: str = "10 minutes
 
 
 def scored_stream(counts: DataFrame, model, path: str, checkpoint: str):
-    """Writes predictions of every micro-batch of complete cells (cell, gene, count); the model is frozen, so batches do not influence each other."""
+    """Writes predictions of every micro-batch of complete cells (cell, gene, count); the model is frozen, so batches do not influence each other.
+
+    model: a fitted detector, or the folder of a saved one, from which a restarted stream goes on.
+    """
+    if isinstance(model, str):
+        from countloom.plans.detector import Detector
+
+        model = Detector.load(counts.sparkSession, model)
 
     def one(batch: DataFrame, number: int) -> None:
         model.predict(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)

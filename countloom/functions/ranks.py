@@ -72,10 +72,17 @@ def coarse_bin(df: DataFrame, value: str, key: str, out: str, by: list[str] | No
 
 
 def expected_rate_threshold(df: DataFrame, score: str, rate: float) -> DataFrame:
-    """One row: the value at place floor((n - 1) * (1 - rate)) of the rising scores, found over counts of values."""
-    counts = value_counts(df, score, [])
+    """One row: the value at place floor((n - 1) * (1 - rate)) of the rising finite scores, found over counts of values.
+
+    Without any finite score the query fails, as there is nothing to cut.
+    """
+    if not 0 < rate < 1:
+        raise ValueError("rate lies between 0 and 1")
+    known = df.select(finite(F.col(score)).alias(score)).filter(F.col(score).isNotNull())
+    counts = value_counts(known, score, []).drop("_n")
+    total = known.agg(F.count("*").alias("_n")).select(F.when(F.col("_n") > 0, F.col("_n")).otherwise(F.raise_error("no finite scores to cut").cast("long")).alias("_n"))
     place = F.floor((F.col("_n") - 1) * F.lit(1.0 - rate)) + 1
-    return counts.filter((F.col("_upto") >= place) & (F.col("_upto") - F.col("_c") < place)).select(F.col(score).alias("threshold"))
+    return total.join(counts, (F.col("_upto") >= place) & (F.col("_upto") - F.col("_c") < place), "left").select(F.col(score).alias("threshold"))  # total is one row
 
 
 def auto_threshold(df: DataFrame, score: str) -> DataFrame:

@@ -15,6 +15,12 @@ from pyspark.sql import functions as F
 RANGES = 64
 
 
+def known(value: str) -> Column:
+    """value, or NULL where it is no finite number."""
+    x = F.col(value).cast("double")
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(F.col(value))
+
+
 def ranged(df: DataFrame, value: str) -> DataFrame:
     """df with _b: the number of cuts below the value; missing values have -1.  Finding the cuts is a job of its own, of RANGES numbers."""
     shares = [i / RANGES for i in range(1, RANGES)]
@@ -42,11 +48,11 @@ def running_sums(df: DataFrame, value: str, sums: dict[str, str], by: list[str],
 
 
 def numbered(df: DataFrame, value: str, key: str | Column, out: str, by: list[str], descending: bool = True) -> DataFrame:
-    """df with out: 1, 2, ... in the order of value (falling, or rising), ties by key, missing values last, per group."""
-    rows = ranged(df, value)
+    """df with out: 1, 2, ... in the order of value (falling, or rising), ties by key, missing and non-finite values last, per group."""
+    rows = ranged(df.withColumn("_known", known(value)), "_known")
     place = F.when(F.col("_b") < 0, 1 << 20).otherwise(-F.col("_b") if descending else F.col("_b"))
     rows = rows.withColumn("_b", place)
-    inside = W.partitionBy(*by, "_b").orderBy(F.desc_nulls_last(value) if descending else F.asc_nulls_last(value), key)
+    inside = W.partitionBy(*by, "_b").orderBy(F.desc_nulls_last("_known") if descending else F.asc_nulls_last("_known"), key)
     before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = rows.groupBy(*by, "_b").agg(F.count("*").alias("_t")).select(*by, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
     return _joined(rows.withColumn(out, F.row_number().over(inside)), offsets, by).withColumn(out, (F.col(out) + F.col("_o")).cast("int")).select(*(c for c in df.columns if c != out), out)

@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from countloom.functions.running import numbered, running_sums
+from countloom.functions.running import known, numbered, running_sums
 
 
 def _sums(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
-    return df.groupBy(*by, score).agg(F.sum(F.col(label).cast("double")).alias("_p"), F.count("*").cast("double").alias("_c"))
+    """Positives and rows by score; rows without a finite score count as none, but keep their group."""
+    there = F.col(score).isNotNull()
+    return df.withColumn(score, known(score)).groupBy(*by, score).agg(
+        F.coalesce(F.sum(F.when(there, F.col(label).cast("double"))), F.lit(0.0)).alias("_p"), F.count(F.when(there, 1)).cast("double").alias("_c"))
 
 
 def auroc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
-    """Mann-Whitney with ties averaged; NULL with one class.  Sums run over distinct scores, range by range."""
+    """Mann-Whitney with ties averaged, over finite scores; NULL with one class.  Sums run over distinct scores, range by range."""
     by = by or []
     s = _sums(df, score, label, by).withColumn("_n", F.col("_c") - F.col("_p"))
     s = running_sums(s, score, {"_below": "_n"}, by).withColumn("_below", F.col("_below") - F.col("_n"))
@@ -24,11 +27,11 @@ def auroc(df: DataFrame, score: str, label: str, by: list[str] | None = None) ->
 
 
 def average_precision(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
-    """Step sum over distinct thresholds."""
+    """Step sum over distinct thresholds, over finite scores; NULL with one class."""
     by = by or []
     s = running_sums(_sums(df, score, label, by), score, {"_tp": "_p", "_k": "_c"}, by, descending=True)
-    out = s.groupBy(*by).agg(F.sum(F.col("_p") * F.col("_tp") / F.col("_k")).alias("_a"), F.sum("_p").alias("_P"))
-    return out.select(*by, F.when(F.col("_P") > 0, F.col("_a") / F.col("_P")).alias("auprc"))
+    out = s.groupBy(*by).agg(F.sum(F.when(F.col("_k") > 0, F.col("_p") * F.col("_tp") / F.col("_k"))).alias("_a"), F.sum("_p").alias("_P"), F.sum("_c").alias("_N"))
+    return out.select(*by, F.when((F.col("_P") > 0) & (F.col("_N") > F.col("_P")), F.col("_a") / F.col("_P")).alias("auprc"))
 
 
 def _with_total(df: DataFrame, column: str, by: list[str]) -> DataFrame:
@@ -55,10 +58,9 @@ def fpr_at_budget(df: DataFrame, score: str, key: str, positive: str, hard: str,
 
 
 def operating_points(df: DataFrame, score: str, key: str, positive: str, hard: str, recalls=(0.5, 0.7, 0.8, 0.9)) -> DataFrame:
-    """For every recall: the shortest prefix that reaches it, its threshold, precision, recall and false rate among hard negatives."""
-    whole = W.partitionBy()
-    running = W.orderBy(F.desc(score), key).rowsBetween(W.unboundedPreceding, 0)
-    rows = df.withColumns({"_r": F.row_number().over(W.orderBy(F.desc(score), key)), "_tp": F.sum(positive).over(running), "_fp": F.sum(hard).over(running), "_P": F.sum(positive).over(whole), "_H": F.sum(hard).over(whole)})
+    """For every recall: the shortest prefix that reaches it, its threshold (NULL where rows without a finite score are needed, which come last), precision, recall and false rate among hard negatives."""
+    sums = df.agg(F.sum(positive).alias("_P"), F.sum(hard).alias("_H"))
+    rows = running_sums(numbered(df.withColumn(score, known(score)), score, key, "_r", []), "_r", {"_tp": positive, "_fp": hard}, []).crossJoin(F.broadcast(sums))  # one row
     wanted = F.explode(F.array(*(F.lit(float(r)) for r in recalls)))
     spread = rows.withColumn("target", wanted).filter(F.col("_tp") >= F.ceil(F.col("target") * F.col("_P") - 1e-12))
     best = spread.groupBy("target").agg(F.min(F.struct("_r", score, "_tp", "_fp", "_P", "_H")).alias("m"))

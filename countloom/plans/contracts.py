@@ -13,41 +13,10 @@ from countloom.plans.registry import d, i, query, with_
 from countloom.sources import tables as t
 
 
-def listed(values) -> str:
-    return ", ".join(f"'{v}'" for v in values)
-
-
 def rows(values) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" for x in v) + ")" for v in values)
 
 
-EDGES = [(f, n) for f, needs in contracts.NEEDS.items() for n in needs]
-GROUPS = [(r, g) for r, groups in contracts.RAW_GROUPS.items() for g in groups]
-DENY = " OR ".join(f"lower(feature) LIKE '%{x.replace('_', chr(92) + '_')}%' ESCAPE '{chr(92)}'" for x in DENIED)
-
-
-@query("k2_provenance", f"""WITH RECURSIVE e AS (SELECT * FROM (VALUES {rows(EDGES)}) v(feature, needs)), g AS (SELECT * FROM (VALUES {rows(GROUPS)}) v(source, grp)),
- r AS (SELECT feature, needs AS source FROM e UNION SELECT r.feature, e.needs FROM r JOIN e ON r.source = e.feature), x AS (SELECT feature, count(*) > 1 OR max(CASE WHEN needs NOT LIKE 'raw:%' THEN 1 ELSE 0 END) = 1 AS composite FROM e GROUP BY 1)
- SELECT feature, array_to_string(list_sort(list(DISTINCT source)), ';') AS sources, array_to_string(list_sort(list(DISTINCT grp)), ';') AS groups, any_value(composite) AS composite FROM r JOIN g USING (source) JOIN x USING (feature) GROUP BY feature""")
-def k2(spark, sf):
-    return contracts.provenance(spark)
-
-
-@query("k4_feature_matrix", f"""SELECT CAST(place AS BIGINT) AS place, feature, ({DENY}) AS denied, feature IN ({listed(contracts.ALLOWED)}) AS allowed, NOT ({DENY}) AS included
- FROM (VALUES {', '.join(f"({p}, '{f}')" for p, f in enumerate(contracts.CANDIDATES))}) v(place, feature)""")
-def k4(spark, sf):
-    """41 candidates, of which 35 are in the public matrix and 24 in the protocol's list."""
-    return contracts.feature_matrix(spark)
-
-
-AUDITED = [*contracts.CANDIDATES[:16], "true_label_rank", "is_external", "something_else"]
-
-
-@query("k5_feature_audit", f"""WITH f AS (SELECT unnest([{listed(AUDITED)}]) AS feature), t AS (SELECT unnest([{listed(DENIED)}]) AS token, generate_subscripts([{listed(DENIED)}], 1) AS p),
- r AS (SELECT feature, p, token AS reason FROM f, t WHERE contains(lower(feature), token) UNION ALL SELECT feature, 98, 'not allowed' FROM f WHERE feature NOT IN ({listed(contracts.ALLOWED)}) UNION ALL SELECT feature, 99, 'no provenance' FROM f WHERE feature NOT IN ({listed(contracts.CANDIDATES)}))
- SELECT feature, coalesce(string_agg(reason, '; ' ORDER BY p), '') AS reasons, CASE WHEN count(reason) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM f LEFT JOIN r USING (feature) GROUP BY feature""")
-def k5(spark, sf):
-    return contracts.feature_audit(spark, AUDITED)
 
 
 @query("l6_schema_audit", f"""{with_('cm1')}, c AS (SELECT CAST(c_custkey AS VARCHAR) AS cell FROM customer), g AS (SELECT CAST(p_partkey AS VARCHAR) AS gene FROM part WHERE p_size <= 49),
@@ -109,18 +78,6 @@ def o8(spark, sf):
     return contracts.old_safe_features(s.select("cell", "a", "b", "spent", F.col("c").alias("true_score"), F.col("c").alias("homotypic_similarity"), F.col("c").alias("expected_rate")), "cell")
 
 
-@query("o19_o29_variants", "SELECT * FROM (VALUES ('raw_sum_parents_removed', 'raw_sum', 'removed', 750::BIGINT, 250::BIGINT), ('downsampled_parents_removed', 'downsampled', 'removed', 750, 500), ('downsampled_parents_retained', 'downsampled', 'retained', 188, 250), ('raw_sum_parents_retained', 'raw_sum', 'retained', 188, 125)) v(variant, counts, parents, n_train, n_test)")
-def o19(spark, sf):
-    """Variants by name and by replaced parts, with sizes scaled for training only and for all splits."""
-    sizes = {"n_train": 375, "n_test": 250}
-    plans = [({}, 2, False), ({"counts": "downsampled"}, 2, True), ({"variant": "downsampled_parents_retained"}, 0.5, False), ({"parents": "retained"}, 0.5, True)]
-    found = []
-    for parts, factor, historical in plans:
-        scaled = contracts.scaled_sizes(sizes, factor, historical)
-        found.append((*contracts.construction(**parts), scaled["n_train"], scaled["n_test"]))
-    return spark.createDataFrame(found, "variant string, counts string, parents string, n_train long, n_test long")
-
-
 @query("o25_positional_alignment", f"""WITH a AS (SELECT row_number() OVER (ORDER BY doc_id) AS p, doc_id AS k FROM documents), b AS (SELECT row_number() OVER (ORDER BY doc_id) AS p, doc_id AS k FROM labels)
  SELECT {i('count(a.k)', 'left_rows')}, {i('count(b.k)', 'right_rows')}, {i('count(*) FILTER (a.k IS DISTINCT FROM b.k)', 'mismatches')} FROM a FULL JOIN b USING (p)""")
 def o25(spark, sf):
@@ -229,11 +186,6 @@ def o33(spark, sf):
     return contracts.domain_frame(real, made, matrix.cell_totals(t.purchase_counts(spark, sf)), ["a", "b"])
 
 
-@query("o39_metric_table", f"SELECT * FROM (VALUES {rows(contracts.METRICS)}) v(metric, positive, negative, subset, budget)")
-def o39(spark, sf):
-    return contracts.metric_table(spark)
-
-
 # ---------------------------------------------------------------- plans, folds and centroids
 
 @query("a14_method_status", f"""WITH s AS (SELECT event_type AS method, CASE WHEN value > 1 THEN 'success' WHEN value > 0.5 THEN 'failed' END AS status, value AS runtime FROM events), c AS (SELECT method, status, row_number() OVER (PARTITION BY method ORDER BY count(*) DESC, status) AS r FROM s WHERE status IS NOT NULL GROUP BY 1, 2)

@@ -365,14 +365,14 @@ def f8(spark, sf):
     return ranks.coarse_bin(t.demo_scores(spark, sf), "s1", "cell", "bin", ["cluster"]).select("cell", "bin")
 
 
-@query("f9_top_rank", f"{with_('sc')} SELECT cell, {i('row_number() OVER (ORDER BY s1 DESC, cell)', 'rank')} FROM sc")
+@query("f9_top_rank", f"{with_('pb')} SELECT cell, {i('row_number() OVER (ORDER BY b DESC NULLS LAST, cell)', 'rank')} FROM pb")
 def f9(spark, sf):
-    return ranks.top_rank(t.demo_scores(spark, sf), "s1", "cell", "rank").select("cell", "rank")
+    return ranks.top_rank(t.rough_ranking(spark, sf), "b", "cell", "rank").select("cell", "rank")
 
 
-@query("f10_expected_rate_threshold", f"{with_('sc')}, r AS (SELECT s1, row_number() OVER (ORDER BY s1) AS p, count(*) OVER () AS n FROM sc) SELECT {d('s1', 'threshold')} FROM r WHERE p = floor((n - 1) * 0.8) + 1")
+@query("f10_expected_rate_threshold", f"{with_('ok')}, r AS (SELECT b, row_number() OVER (ORDER BY b) AS p, count(*) OVER () AS n FROM ok) SELECT {d('b', 'threshold')} FROM r WHERE p = floor((n - 1) * 0.8) + 1")
 def f10(spark, sf):
-    return ranks.expected_rate_threshold(t.demo_scores(spark, sf), "s1", 0.2)
+    return ranks.expected_rate_threshold(t.rough_ranking(spark, sf), "b", 0.2)
 
 
 @query("f12_auto_threshold", f"""{with_('rs')} SELECT {d(CLIP.format('CASE WHEN median(b) + 3 * 1.4826 * mad(b) >= max(b) THEN quantile_cont(b, 0.95) ELSE median(b) + 3 * 1.4826 * mad(b) END'), 'threshold')} FROM rs""")
@@ -380,11 +380,11 @@ def f12(spark, sf):
     return ranks.auto_threshold(t.rough_scores(spark, sf), "b")
 
 
-@query("f13_minimum_prefix", f"{with_('sc')}, r AS (SELECT row_number() OVER (ORDER BY s1 DESC, cell) AS k, sum(positive) OVER (ORDER BY s1 DESC, cell ROWS UNBOUNDED PRECEDING) AS tp, sum(positive) OVER () AS p FROM sc) SELECT {i('min(k)', 'selected')} FROM r WHERE tp >= ceil(0.5 * p - 1e-12)")
+@query("f13_minimum_prefix", f"{with_('pb')}, r AS (SELECT row_number() OVER (ORDER BY b DESC NULLS LAST, cell) AS k, sum(positive) OVER (ORDER BY b DESC NULLS LAST, cell ROWS UNBOUNDED PRECEDING) AS tp, sum(positive) OVER () AS p FROM pb) SELECT {i('min(k)', 'selected')} FROM r WHERE tp >= ceil(0.5 * p - 1e-12)")
 def f13(spark, sf):
     from countloom.operators.metrics import operating_points
 
-    return operating_points(t.demo_scores(spark, sf), "s1", "cell", "positive", "hard", (0.5,)).select("selected")
+    return operating_points(t.rough_ranking(spark, sf), "b", "cell", "positive", "hard", (0.5,)).select("selected")
 
 
 @query("f14_rolling_median", f"""WITH r AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) SELECT user_id, {d('median(value)', 'expected')}, {i('count(*)', 'n')} FROM r WHERE k <= 20 GROUP BY 1 HAVING count(*) >= 2""")

@@ -31,26 +31,27 @@ def ap_sql(score: str, label: str, source: str, by: str = "") -> str:
  FROM (SELECT {key}{score}, sum({label})::DOUBLE AS p, count(*)::DOUBLE AS c FROM {source} GROUP BY {key}{score})){group})"""
 
 
-@query("e10_auroc", f"{with_('sc')} SELECT {d('auroc')} FROM {auroc_sql('s1', 'positive', 'sc')}")
+@query("e10_auroc", f"{with_('ok')} SELECT {d('auroc')} FROM {auroc_sql('b', 'positive', 'ok')}")
 def e10(spark, sf):
-    return metrics.auroc(t.demo_scores(spark, sf), "s1", "positive")
+    """Over rows with a finite score: missing scores and NaN are left out."""
+    return metrics.auroc(t.rough_ranking(spark, sf), "b", "positive")
 
 
-@query("e10_auroc_by_cluster", f"{with_('sc')} SELECT cluster, {d('auroc')} FROM {auroc_sql('s1', 'positive', 'sc', 'cluster')}")
+@query("e10_auroc_by_cluster", f"{with_('ok')} SELECT cluster, {d('auroc')} FROM {auroc_sql('b', 'positive', 'ok', 'cluster')}")
 def e10c(spark, sf):
-    return metrics.auroc(t.demo_scores(spark, sf), "s1", "positive", ["cluster"])
+    return metrics.auroc(t.rough_ranking(spark, sf), "b", "positive", ["cluster"])
 
 
-@query("e11_average_precision", f"{with_('sc')} SELECT {d('auprc')} FROM {ap_sql('s1', 'positive', 'sc')}")
+@query("e11_average_precision", f"{with_('ok')} SELECT {d('auprc')} FROM {ap_sql('b', 'positive', 'ok')}")
 def e11(spark, sf):
-    return metrics.average_precision(t.demo_scores(spark, sf), "s1", "positive")
+    return metrics.average_precision(t.rough_ranking(spark, sf), "b", "positive")
 
 
-@query("e12_subtype_auprc", f"""{with_('sc')}, h AS (SELECT *, CASE WHEN label = 'homotypic_doublet' THEN 1 ELSE 0 END AS y FROM sc WHERE label <> 'heterotypic_doublet'), x AS (SELECT *, CASE WHEN label = 'heterotypic_doublet' THEN 1 ELSE 0 END AS y FROM sc WHERE label <> 'homotypic_doublet')
- SELECT {d('a.auprc', 'homotypic')}, {d('b.auprc', 'heterotypic')}, {d('(a.auprc + b.auprc) / 2', 'macro')} FROM {ap_sql('s1', 'y', 'h')} a, {ap_sql('s1', 'y', 'x')} b""")
+@query("e12_subtype_auprc", f"""{with_('ok')}, h AS (SELECT *, CASE WHEN label = 'homotypic_doublet' THEN 1 ELSE 0 END AS y FROM ok WHERE label <> 'heterotypic_doublet'), x AS (SELECT *, CASE WHEN label = 'heterotypic_doublet' THEN 1 ELSE 0 END AS y FROM ok WHERE label <> 'homotypic_doublet')
+ SELECT {d('a.auprc', 'homotypic')}, {d('b.auprc', 'heterotypic')}, {d('(a.auprc + b.auprc) / 2', 'macro')} FROM {ap_sql('b', 'y', 'h')} a, {ap_sql('b', 'y', 'x')} b""")
 def e12(spark, sf):
-    s = t.demo_scores(spark, sf)
-    one = lambda keep, out: metrics.average_precision(s.filter(F.col("label") != out).withColumn("y", (F.col("label") == keep).cast("int")), "s1", "y")
+    s = t.rough_ranking(spark, sf)
+    one = lambda keep, out: metrics.average_precision(s.filter(F.col("label") != out).withColumn("y", (F.col("label") == keep).cast("int")), "b", "y")
     h = one("homotypic_doublet", "heterotypic_doublet").select(F.col("auprc").alias("homotypic"))
     x = one("heterotypic_doublet", "homotypic_doublet").select(F.col("auprc").alias("heterotypic"))
     return h.crossJoin(F.broadcast(x)).withColumn("macro", (F.col("homotypic") + F.col("heterotypic")) / 2)
@@ -62,14 +63,14 @@ def e13(spark, sf):
     return metrics.auroc(l, "n_chars", "toxic").crossJoin(F.broadcast(metrics.average_precision(l, "n_chars", "toxic")))
 
 
-@query("e14_top_k", f"{with_('sc')}, r AS (SELECT positive, row_number() OVER (ORDER BY s1 DESC, cell) AS r, sum(positive) OVER () AS k FROM sc) SELECT {i('max(k)', 'k')}, {i('sum(positive) FILTER (r <= k)', 'hits')}, {d('sum(positive) FILTER (r <= k) / max(k)', 'precision')}, {d('sum(positive) FILTER (r <= k) / max(k)', 'recall')} FROM r")
+@query("e14_top_k", f"{with_('pb')}, r AS (SELECT positive, row_number() OVER (ORDER BY b DESC NULLS LAST, cell) AS r, sum(positive) OVER () AS k FROM pb) SELECT {i('max(k)', 'k')}, {i('sum(positive) FILTER (r <= k)', 'hits')}, {d('sum(positive) FILTER (r <= k) / max(k)', 'precision')}, {d('sum(positive) FILTER (r <= k) / max(k)', 'recall')} FROM r")
 def e14(spark, sf):
-    return metrics.top_k(t.demo_scores(spark, sf), "s1", "cell", "positive")
+    return metrics.top_k(t.rough_ranking(spark, sf), "b", "cell", "positive")
 
 
-@query("e15_hard_fpr_at_budget", f"{with_('sc')}, r AS (SELECT cluster, hard, row_number() OVER (PARTITION BY cluster ORDER BY s1 DESC, cell) AS r, sum(positive) OVER (PARTITION BY cluster) AS k FROM sc) SELECT cluster, {i('max(k)', 'budget')}, {i('coalesce(sum(hard) FILTER (r <= k), 0)', 'false_hits')}, {i('sum(hard)', 'hard')}, {d('CASE WHEN sum(hard) > 0 THEN coalesce(sum(hard) FILTER (r <= k), 0) / sum(hard) END', 'fpr')} FROM r GROUP BY cluster")
+@query("e15_hard_fpr_at_budget", f"{with_('pb')}, r AS (SELECT cluster, hard, row_number() OVER (PARTITION BY cluster ORDER BY b DESC NULLS LAST, cell) AS r, sum(positive) OVER (PARTITION BY cluster) AS k FROM pb) SELECT cluster, {i('max(k)', 'budget')}, {i('coalesce(sum(hard) FILTER (r <= k), 0)', 'false_hits')}, {i('sum(hard)', 'hard')}, {d('CASE WHEN sum(hard) > 0 THEN coalesce(sum(hard) FILTER (r <= k), 0) / sum(hard) END', 'fpr')} FROM r GROUP BY cluster")
 def e15(spark, sf):
-    return metrics.fpr_at_budget(t.demo_scores(spark, sf), "s1", "cell", "positive", "hard", ["cluster"])
+    return metrics.fpr_at_budget(t.rough_ranking(spark, sf), "b", "cell", "positive", "hard", ["cluster"])
 
 
 POINTS = """k AS (SELECT *, row_number() OVER w AS rank, count(*) FILTER (label = 'homotypic_doublet') OVER w AS hom, count(*) FILTER (label = 'heterotypic_doublet') OVER w AS het, count(*) FILTER (label = 'high_RNA_singlet') OVER w AS rna
@@ -100,9 +101,9 @@ def e17(spark, sf):
     return points.metric_bundle(t.method_scores(spark, sf))
 
 
-@query("e18_rate_budget", f"{with_('sc')} SELECT cell, {i('row_number() OVER (ORDER BY s1 DESC, cell)', 'rank')}, row_number() OVER (ORDER BY s1 DESC, cell) <= round_even(0.08 * count(*) OVER (), 0) AS selected FROM sc")
+@query("e18_rate_budget", f"{with_('pb')} SELECT cell, {i('row_number() OVER (ORDER BY b DESC NULLS LAST, cell)', 'rank')}, row_number() OVER (ORDER BY b DESC NULLS LAST, cell) <= round_even(0.08 * count(*) OVER (), 0) AS selected FROM pb")
 def e18(spark, sf):
-    return metrics.rate_budget(t.demo_scores(spark, sf), "s1", "cell", 0.08).select("cell", "rank", "selected")
+    return metrics.rate_budget(t.rough_ranking(spark, sf), "b", "cell", 0.08).select("cell", "rank", "selected")
 
 
 @query("e19_class_quantiles", f"{with_('sc')} SELECT label, " + ", ".join(d(f"quantile_cont(s1, {q})", f"q{n}") for n, q in (("05", .05), ("25", .25), ("50", .5), ("75", .75), ("95", .95))) + " FROM sc GROUP BY label")

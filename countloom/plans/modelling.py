@@ -111,13 +111,6 @@ def d21(spark, sf):
     return matching.connected_components(edges)
 
 
-@query("k1_source_groups", "SELECT feature, source FROM (VALUES ('duo', 'dosage'), ('duo', 'identity'), ('dosage', 'count_z'), ('identity', 'distance'), ('duo', 'count_z'), ('duo', 'distance')) v(feature, source)")
-def k1(spark, sf):
-    from countloom.operators.governance import source_groups
-
-    return source_groups(spark.createDataFrame([("duo", "dosage"), ("duo", "identity"), ("dosage", "count_z"), ("identity", "distance")], "feature string, needs string"))
-
-
 @query("o10_id_split", f"{with_('cells')}, {SPLIT} SELECT split, {i('count(*)', 'n')} FROM sp GROUP BY 1")
 def o10(spark, sf):
     return split(spark, sf).groupBy("split").agg(F.count("*").alias("n"))

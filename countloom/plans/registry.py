@@ -23,9 +23,11 @@ CTE = {
       CASE WHEN c_custkey % 19 <> 0 AND c_custkey % 23 <> 0 THEN round(CAST(c_custkey * 53 % 97 AS DOUBLE) / 80 - 0.1, 4) END AS b, round(1 - c_acctbal / 9000, 3) AS c, round(spent, 2) AS spent,
       CASE WHEN c_custkey * 7 % 5 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'homotypic_doublet' ELSE 'heterotypic_doublet' END WHEN c_custkey * 7 % 5 = 1 THEN 'high_RNA_singlet' ELSE 'clean' END AS label
       FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS spent FROM orders GROUP BY 1) ON o_custkey = c_custkey)""",
+    "pb": "pb AS (SELECT *, CASE WHEN label LIKE '%_doublet' THEN 1 ELSE 0 END AS positive, CASE WHEN label = 'high_RNA_singlet' THEN 1 ELSE 0 END AS hard FROM rs)",
+    "ok": "ok AS (SELECT * FROM pb WHERE b IS NOT NULL)",
     "ms": """ms AS (SELECT cell, cluster, key, label, method, CASE method WHEN 'a' THEN a WHEN 'b' THEN b WHEN 'c' THEN c END AS score FROM rs, (SELECT unnest(['a', 'b', 'c', 'none']) AS method))""",
 }
-DEEP = {"cm1": ["cm1"], "cells": ["cells"], "tot": ["cm1", "tot"], "base": ["cm1", "cells", "tot", "base"], "sc": ["sc"], "rs": ["rs"], "ms": ["rs", "ms"]}
+DEEP = {"cm1": ["cm1"], "cells": ["cells"], "tot": ["cm1", "tot"], "base": ["cm1", "cells", "tot", "base"], "sc": ["sc"], "rs": ["rs"], "pb": ["rs", "pb"], "ok": ["rs", "pb", "ok"], "ms": ["rs", "ms"]}
 
 
 def with_(*names: str, recursive: bool = False) -> str:

@@ -65,6 +65,12 @@ def rough_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k * 7 % 5 == 0, F.when(k % 2 == 0, "homotypic_doublet").otherwise("heterotypic_doublet")).when(k * 7 % 5 == 1, "high_RNA_singlet").otherwise("clean").alias("label"))
 
 
+def rough_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rough_scores with what rankings need: positive and hard; b is missing on some rows and not a number on others."""
+    label = F.col("label")
+    return rough_scores(spark, sf_dir).withColumns({"positive": label.endswith("_doublet").cast("int"), "hard": (label == "high_RNA_singlet").cast("int")})
+
+
 def method_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """rough_scores by method: a, b, c, and one method without any score."""
     s = rough_scores(spark, sf_dir).withColumn("none", F.lit(None).cast("double"))

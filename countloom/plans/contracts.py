@@ -7,16 +7,11 @@ from pyspark.sql import functions as F
 
 from countloom.functions import robust, scalars
 from countloom.operators import contracts, ledger, matrix, points, sampling
-from countloom.operators.governance import DENIED
 from countloom.plans.core import CLIP, R1, stats_sql
 from countloom.plans.registry import d, i, query, with_
 from countloom.sources import tables as t
 
 
-def rows(values) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" for x in v) + ")" for v in values)
-
-
 
 
 @query("l6_schema_audit", f"""{with_('cm1')}, c AS (SELECT CAST(c_custkey AS VARCHAR) AS cell FROM customer), g AS (SELECT CAST(p_partkey AS VARCHAR) AS gene FROM part WHERE p_size <= 49),

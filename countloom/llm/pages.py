@@ -35,6 +35,8 @@ CLOSES = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
+#: An end tag of these reaches over no block.
+INLINE = set("a abbr b big cite code em font i label q s small span strike strong sub sup tt u".split())
 BARRIER = set("table td th caption html template".split())
 # Words of class and id names, and roles, that mark what stands around an article.
 MARKS = set(
@@ -122,7 +124,7 @@ class Page:
                 if count[name]:
                     place = next(k for k in range(len(stack) - 1, -1, -1) if self.tag[stack[k]] == name)
                     between = stack[place + 1 :]
-                    if not any(self.tag[n] in (BARRIER if name in BLOCK else BLOCK) for n in between) or name in ("article", "body", "html", "table"):
+                    if not any(self.tag[n] in (BLOCK if name in INLINE else BARRIER) for n in between) or name in ("article", "body", "html", "table"):
                         close(place)
                 if name in BLOCK:
                     block += 1

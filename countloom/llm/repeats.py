@@ -412,12 +412,13 @@ def cut_documents(docs: DataFrame, length: int = 400, id_column: str = "doc_id")
 
     Removed is every byte that a `length`-byte string covers which also starts anywhere else, in the same text or another.
     Texts are UTF-8; null and empty texts have no bytes; repeated rows are repeats of each other, and so are equal texts of
-    different ids; rows that share an id may differ in text; rows without an id stay whole and are no repeats;
+    different ids; rows that share an id may differ in text; rows without an id take part as all others do;
     an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    source = as_text(docs.select(F.col(id_column).cast("long").alias("id"), "text")).select("id", F.xxhash64("text").alias("mark"), "text")
-    found = repeated_intervals(source.filter((F.octet_length("text") >= length) & F.col("id").isNotNull()), length)
+    mark = F.xxhash64("text")  # also stands for a missing id: id and mark together tell texts apart, not rows
+    source = as_text(docs.select(F.col(id_column).cast("long").alias("own"), "text")).select(F.coalesce("own", mark).alias("id"), mark.alias("mark"), "own", "text")
+    found = repeated_intervals(source.filter(F.octet_length("text") >= length).select("id", "mark", "text"), length)
     per = stored(found.groupBy("id", "mark").agg(F.collect_list(F.struct("a", "b")).alias("intervals")), "spans")
     discard(found)
 
@@ -444,9 +445,9 @@ def cut_documents(docs: DataFrame, length: int = 400, id_column: str = "doc_id")
 
     # most rows have no interval and need no join; the bitmap's size is fixed
     maybe, never = in_bitmap(spark, source, per.select("id").distinct(), both=True)
-    some = maybe.join(per, ["id", "mark"], "left").select("id", "text", "intervals").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    some = maybe.join(per, ["id", "mark"], "left").select("own", "text", "intervals").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     zero = F.lit(0).cast("long")
-    rest = never.select("id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    rest = never.select(F.col("own").alias("id"), F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
     return some.union(rest).withColumnRenamed("id", id_column)
 
 

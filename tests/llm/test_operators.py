@@ -388,10 +388,11 @@ def test_repeats_match_brute_force(spark, monkeypatch, length, gram, group, smal
     for name, value in (("GRAM", gram), ("GROUP", group), ("SMALL", small), ("STRETCH", stretch)):
         monkeypatch.setattr(repeats, name, value)
     texts = repeated_texts(length)
-    # two rows share each id, with different texts
-    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    # two rows share each id, with different texts, and some have none
+    own = lambda i: None if i % 5 == 2 else i // 2
+    df = spark.createDataFrame([(own(i), t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = Counter((r["doc_id"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.cut_documents(df, length).collect())
-    assert got == Counter((i // 2, *cut) for i, cut in enumerate(plain_cut([t.encode() for t in texts], length)))
+    assert got == Counter((own(i), *cut) for i, cut in enumerate(plain_cut([t.encode() for t in texts], length)))
 
 
 def test_sorted_groups_survive_collisions(monkeypatch):
@@ -428,6 +429,13 @@ def test_repeats_of_edge_rows(spark, edge_docs, no_docs):
     assert repeats.cut_documents(no_docs).count() == 0
 
 
+def test_repeats_between_rows_with_and_without_id(spark):
+    text = "".join(chr(97 + (k * k + k // 7) % 26) for k in range(701))
+    rows = [(1, text), (None, text), (None, "other " + text[:420]), (2, "x" * 300), (None, None)]
+    got = sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"], r["n_spans"]) for r in repeats.cut_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, 0, 0), (0, 426, 420, 1), (0, 701, 701, 1), (1, 701, 701, 1), (2, 300, 0, 0)]
+
+
 # ---------------------------------------------------------------- op10
 
 def test_mix_reaches_its_targets(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from countloom.operators import matching, matrix, sampling
 from countloom.functions.scalars import CLASSES
 from countloom.plans.registry import d, i, query, with_
+from countloom.plans.storage import written
 from countloom.sources import tables as t
 
 SPLIT = """sp AS (SELECT cell, cluster, CASE WHEN r <= round(n * 0.2) THEN 'test' WHEN r <= round(n * 0.2) + round(n * 0.1) THEN 'validation' ELSE 'train' END AS split
@@ -176,6 +177,26 @@ def j13(spark, sf):
     return BalancedLogistic(["a", "b", "c", "spent"]).fit(s.filter("key % 3 <> 0"), "y").predict(s).select("cell", F.round("chance", 6).alias("chance"))
 
 
+@query("j2_variable_genes", f"""{with_('cm1', 'tot')}, v AS (SELECT cell, gene, ln(1 + count / n_count * 10000) AS v FROM cm1 JOIN tot USING (cell) WHERE count > 0), n AS (SELECT count(DISTINCT cell) AS n FROM cm1),
+ g AS (SELECT gene, sum(v) / n AS mean, round(greatest(0, sum(v * v) / n - (sum(v) / n) * (sum(v) / n)), 12) AS variance FROM v, n GROUP BY gene, n) SELECT gene, {d('mean')}, {d('variance')} FROM g ORDER BY g.variance DESC, gene LIMIT 200""")
+def j2g(spark, sf):
+    """The 200 parts whose log-normalised purchases vary most."""
+    from countloom.operators.preprocess import variable_genes
+
+    counts = t.purchase_counts(spark, sf)
+    return variable_genes(matrix.log_normalised(counts), counts.select("cell").distinct().count(), 200)
+
+
+@query("j2_centred_axes")
+def j2(spark, sf):
+    """Customers on six axes of the 200 most varying parts, centred and padded to eight; a fit, so without SQL: a test compares it with numpy."""
+    from countloom.operators.preprocess import Decomposition
+
+    counts = written(t.purchase_counts(spark, sf))
+    out = Decomposition.fit(counts, 200, 6).transform(counts)
+    return out.select("cell", *(F.coalesce(F.get("vector", F.lit(c)), F.lit(0.0)).alias(f"axis{c + 1}") for c in range(8)))
+
+
 @query("j11_network")
 def j11(spark, sf):
     """Chances by the network of three heads, trained on two thirds of the customers and stopped on the rest; a fit, so without SQL."""

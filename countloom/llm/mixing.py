@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from countloom.llm.common import WORD, stored, table
+from countloom.llm.common import WORD, discard, stored, table
 
 #: Rows of one (source, size, bucket) cell at most, about: larger ones are split by a hash of the id.
 CELL = 8192
@@ -45,7 +45,7 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
 
 
 def tilts(cells: DataFrame, goals: DataFrame, most: float, rounds: int = 60, close: float = 1e-10) -> DataFrame:
-    """Per source: lam, the dual variable of its token constraint.
+    """Per source: lam, the dual variable of its token constraint; a stored table, the one table left of the steps.
 
     Rates minimise the entropy distance to 1 between 0 and most under sum(rate * size) = target, so
     rate = most / (1 + (most - 1) * exp(-lam * size / mean size)).  Every step is one aggregation of the
@@ -71,15 +71,17 @@ def tilts(cells: DataFrame, goals: DataFrame, most: float, rounds: int = 60, clo
         return moved.select("_key", "source_size", "target", "mean_size", "lam", "low", "high", "gap")
 
     state = goals.withColumns({"lam": F.lit(0.0), "low": F.lit(-64.0), "high": F.lit(64.0), "gap": F.lit(1e300)})
-    for _ in range(rounds // STEPS):
+    for number in range(rounds // STEPS):
+        before = state
         for _ in range(STEPS):
             state = step(state)
         state = stored(state, "tilt")
+        if number:
+            discard(before)
         worst = state.agg(F.max(F.when(F.col("high") - F.col("low") > 1e-9, F.col("gap"))).alias("g")).first()["g"]
         if worst is None or worst <= close:
             break
-    # rounded, so that the last bits of sums taken in another order change nothing
-    return state.withColumn("lam", F.round("lam", 9))
+    return state
 
 
 def tilted(lam, z, most: float):
@@ -100,7 +102,9 @@ def plan_copies(rows: DataFrame, weights: tuple[float, ...], share: float, most:
         sources.select("_key", F.coalesce(F.col("source_size") / F.col("filled"), F.lit(1.0)).alias("mean_size")), "_key")
     goals = stored(goals, "goals")
     state = tilts(counts.filter("_size > 0"), goals.filter("source_size > 0 and target < source_size * %r" % float(most)), most)
-    goals = goals.join(state.select("_key", "lam"), "_key", "left")
+    made = [counts, goals, state]
+    # rounded, so that the last bits of sums taken in another order change nothing
+    goals = goals.join(state.select("_key", F.round("lam", 9).alias("lam")), "_key", "left")
     # target 0 only where the size is 0; target at its stop means all copies
     rated = counts.join(goals, "_key").withColumn(
         "rate", F.when(F.col("lam").isNull(), F.lit(float(most))).otherwise(tilted(F.col("lam"), F.col("_size") / F.col("mean_size"), most)))
@@ -113,8 +117,12 @@ def plan_copies(rows: DataFrame, weights: tuple[float, ...], share: float, most:
     upto = F.floor(F.sum(F.col("m") * F.col("rate")).over(order.rowsBetween(W.unboundedPreceding, 0)) + 0.5)
     cells = cells.withColumn("upto", upto).withColumn("k", F.col("upto") - F.coalesce(F.lag("upto").over(order), F.lit(0)))
     cells = cells.withColumn("k", F.least(F.greatest("k", F.lit(0)), F.col("m") * most)).drop("upto")
+    before = None
     for _ in range(REPAIRS):
         cells = stored(cells, "cells")
+        if before is not None:
+            discard(before)
+        before = cells
         off = cells.groupBy("_key").agg(F.first("target").alias("t"), F.sum(F.col("k") * F.col("_size")).alias("got")).withColumn("off", F.col("t") - F.col("got")).select("_key", "off")
         fits = cells.join(off, "_key").filter(
             "_size > 0 and ((off >= _size and k < m * %d) or (off <= -_size and k > 0))" % most)
@@ -123,11 +131,14 @@ def plan_copies(rows: DataFrame, weights: tuple[float, ...], share: float, most:
         cells = cells.join(chosen, ["_key", "_size", "_bucket"], "left").withColumn("k", F.col("k") + F.coalesce("change", F.lit(0))).drop("change")
     cells = cells.withColumn("low", F.floor(F.col("k") / F.col("m"))).withColumn("extra", F.col("k") - F.col("low") * F.col("m"))
     cells = stored(cells, "cells")
+    made += [before, cells]
     ranked = dealt.join(cells.filter("extra > 0").select("_key", "_size", "_bucket", "extra"), ["_key", "_size", "_bucket"])
     ranked = ranked.withColumn("r", F.row_number().over(W.partitionBy("_key", "_size", "_bucket").orderBy("_hash")))
     last = ranked.filter("r = extra").select("_key", "_size", "_bucket", F.col("_hash").alias("upto"))
     plan = cells.join(last, ["_key", "_size", "_bucket"], "left").select("_key", "_size", "_bucket", "source_size", "target", "rate", "low", "upto")
-    return stored(plan, "plan"), stored(hot, "hot")
+    out = stored(plan, "plan"), stored(hot, "hot")
+    discard(*made)
+    return out
 
 
 def with_bucket(rows: DataFrame, hot: DataFrame) -> DataFrame:
@@ -141,6 +152,7 @@ def planned(docs: DataFrame, weights: tuple[float, ...], share: float, most: int
     rows = sized(docs.select(F.struct(*docs.columns).alias("_doc"), F.col("text"), F.col("source"), F.col(id_column).alias("_id")), "_id").drop("text", "source", "_id")
     narrow = stored(rows.select("_key", "_size", "_hash"), "rows")
     plan, hot = plan_copies(narrow, weights, share, most)
+    discard(narrow)
     out = with_bucket(rows, hot).join(plan, ["_key", "_size", "_bucket"])
     copies = F.col("low") + F.when(F.col("_hash") <= F.col("upto"), 1).otherwise(0)
     return out.select("_doc", "_size", copies.cast("long").alias("_copies"), "source_size", "target", "rate")

@@ -6,13 +6,14 @@ import re
 import struct
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow.dataset as ds
 import pytest
 from pyspark.sql import functions as F
 
-from countloom.llm import components, jaccard, mixing, near_vectors, neighbours, pii, quality, repeats, tokens, toxicity
+from countloom.llm import common, components, jaccard, mixing, near_vectors, neighbours, pii, quality, repeats, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -438,6 +439,14 @@ def test_repeats_between_rows_with_and_without_id(spark):
 
 # ---------------------------------------------------------------- op10
 
+def test_mix_leaves_only_what_its_rows_are_read_from(spark, monkeypatch):
+    made, real = [], common.scratch
+    monkeypatch.setattr(common, "scratch", lambda s, name: made.append(real(s, name)) or made[-1])
+    df = mixing.op10_mix(spark, SF)
+    left = [p.rsplit("/", 1)[1].split("-")[0] for p in made if Path(p.removeprefix("file:")).exists()]
+    assert sorted(left) == ["hot", "plan", "rows"] and len(made) > 6 and df.count() == 200
+
+
 def test_mix_reaches_its_targets(spark):
     rows = mixing.op10_mix(spark, "/root/testdata/sf0.01").collect()
     docs = ds.dataset("/root/testdata/sf0.01/documents.parquet").to_table().to_pydict()

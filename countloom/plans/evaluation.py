@@ -194,6 +194,39 @@ def j20(spark, sf):
     return layout(edges, nodes=v.select(F.col("id").alias("node"))).select(F.col("node").alias("cell"), "x", "y")
 
 
+MADE_PAIRS = "WITH o AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT count(*) AS n FROM o), m AS (SELECT a.vec_id, list_transform(list_zip(a.e, b.e), lambda x: (x[1] + x[2]) / 2) AS e FROM o a, n JOIN o b ON b.vec_id = (a.vec_id * 31 + 7) % n.n WHERE a.vec_id <> b.vec_id)"
+
+
+def made_pairs(spark, sf):
+    """Means of two vectors each, the partner by arithmetic on the id."""
+    e = t.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    n = e.count()
+    pairs = e.withColumn("p", (F.col("vec_id") * 31 + 7) % n).join(e.select(F.col("vec_id").alias("p"), F.col("e").alias("f")), "p").filter("vec_id <> p")
+    return pairs.select(F.col("vec_id").cast("string").alias("id"), F.zip_with("e", "f", lambda x, y: (x + y) / 2).alias("vector"))
+
+
+@query("j7_bank_neighbours", f"""{MADE_PAIRS}, d AS (SELECT o.vec_id AS cell, m.vec_id AS nb, list_distance(o.e, m.e) AS distance FROM o, m), r AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY round(distance, 9), CAST(nb AS VARCHAR)) AS rank FROM d),
+ b AS (SELECT vec_id, 0 AS made, CAST(vec_id AS VARCHAR) AS id, e FROM o UNION ALL SELECT vec_id, 1, 'artificial:' || vec_id, e FROM m), x AS (SELECT o.vec_id AS cell, b.made, row_number() OVER (PARTITION BY o.vec_id ORDER BY round(list_distance(o.e, b.e), 9), b.id) AS rank FROM o, b WHERE NOT (b.made = 0 AND b.vec_id = o.vec_id)),
+ p AS (SELECT cell, 1 / (1 + avg(distance)) AS proximity FROM r WHERE rank <= 30 GROUP BY 1), f AS (SELECT cell, avg(made) AS artificial_fraction FROM x WHERE rank <= 30 GROUP BY 1) SELECT CAST(cell AS VARCHAR) AS cell, {d('proximity')}, {d('artificial_fraction')} FROM p JOIN f USING (cell)""")
+def j7(spark, sf):
+    """Proximity to a bank of made pairs, and their share among the 30 nearest of both kinds."""
+    v, bank = vectors(spark, sf), made_pairs(spark, sf).withColumn("id", F.concat(F.lit("artificial:"), "id"))
+    near = neighbours.knn(v, bank, 30).groupBy(F.col("query").alias("cell")).agg((1 / (1 + F.avg("distance"))).alias("proximity"))
+    mixed = neighbours.knn(v, v.unionByName(bank), 30).groupBy(F.col("query").alias("cell")).agg(F.avg(F.col("neighbour").startswith("artificial:").cast("double")).alias("artificial_fraction"))
+    return near.join(mixed, "cell")
+
+
+@query("j21_native_likelihood", f"""{MADE_PAIRS}, b AS (SELECT 0 AS made, CAST(vec_id AS VARCHAR) AS id, e FROM o UNION ALL SELECT 1, 'made:' || vec_id, e FROM m), z AS (SELECT (SELECT count(*) FROM o)::DOUBLE AS n, (SELECT count(*) FROM m)::DOUBLE AS m),
+ k AS (SELECT CAST(round_even(round_even(0.5 * sqrt(n), 0) * (1 + m / n), 0) AS BIGINT) AS wide, m / n AS r FROM z), x AS (SELECT p.id, p.made, q.made AS near, row_number() OVER (PARTITION BY p.id ORDER BY round(list_distance(p.e, q.e), 9), q.id) AS rank FROM b p, b q WHERE p.id <> q.id),
+ s AS (SELECT id, any_value(x.made) AS made, (sum(near) + 1) / (any_value(wide) + 2.0) AS share, any_value(r) AS r FROM x, k WHERE rank <= wide GROUP BY id)
+ SELECT replace(id, 'made:', '') AS cell, made = 1 AS made, {d('share')}, {d('share * 0.1 / r / (0.9 - share * (0.9 - 0.1 / r))', 'score')} FROM s""")
+def j21(spark, sf):
+    """Every vector's chance of being a pair, by the made pairs among its nearest."""
+    from countloom.operators.native_scores import neighbour_likelihood
+
+    return neighbour_likelihood(vectors(spark, sf), made_pairs(spark, sf)).select("cell", "made", "share", "score")
+
+
 @query("e26_purity_entropy", f"""WITH {KNN}, g AS (SELECT query, own, grp, count(*) AS n, sum(distance) AS ds FROM nn GROUP BY 1, 2, 3)
  SELECT query, {d('sum(n) FILTER (own = grp) / 15', 'purity_')}, {d('-sum(n / 15 * ln(n / 15)) / ln(greatest(2, (SELECT count(DISTINCT label) FROM embeddings)))', 'entropy')}, {d('sum(ds) / 15', 'mean_distance')} FROM g GROUP BY 1""".replace("sum(n) FILTER (own = grp) / 15", "coalesce(sum(n) FILTER (own = grp), 0) / 15").replace("purity_", "purity"))
 def e26(spark, sf):

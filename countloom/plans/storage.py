@@ -48,7 +48,7 @@ def written(df: DataFrame, by: str | None = None) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{base.rstrip('/')}/countloom/table-{uuid.uuid4().hex}"
     atexit.register(removed, spark, path)
-    writer = df.write.option("compression", "lz4_raw")
+    writer = df.write.option("compression", "snappy")
     (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path

@@ -18,6 +18,35 @@ FEATURES = {
 _VARY = ("identity_inlier_score", "homotypic_final_score", "dosage_outlier_score", "homotypic_candidate_score", "homotypic_heterotypic_mixture_penalty", "population_propensity_prior")
 
 
+# Weights of the two rules, in the order of what they weigh.
+WEIGHTS = {
+    "gate": (0.55, 0.25, 0.20), "mixture": (0.45, 0.20, 0.20, 0.10, 0.05), "support": (0.65, 0.20, 0.15), "homotypic": (0.72, 0.15, 0.08, 0.05),
+    "older evidence": (0.45, 0.30, 0.25), "older mixture": (0.65, 0.15, 0.15, 0.05), "older mixture with penalty": (0.55, 0.45), "older shown": (0.62, 0.18, 0.12, 0.08), "older homotypic": (0.20, 0.80)}
+# Start, slope and ends of the ramps.
+RAMPS = {
+    "kept": (1, -0.40, 0.6, 1.0), "biology": (1, -0.45, 0.55, 1.0), "level": (0.25, 0.75, 0.25, 1.0), "prior": (0.85, 0.15, 0.85, 1.0), "identity": (0.35, 0.65, 0.0, 1.0), "inlier": (0.30, 0.70, 0.0, 1.0),
+    "older level": (0.35, 0.65, 0.35, 1.0), "older prior": (0.75, 0.25, 0.75, 1.0), "older gate": (0.10, 0.90, 0.0, 1.0)}
+# Slope and power of the falling factors of the older rule.
+FALLS = {"mixture": (1, 3), "penalty": (1, 2), "biology": (0.75, 2), "last": (0.85, 2)}
+# Middle of the sigmoid of each robust score of the older rule, and their common width.
+MIDDLES, WIDTH = {"cluster_count_robust_z": 1.0, "cluster_gene_robust_z": 0.75, "cluster_stable_dosage_robust_z": 0.75, "dosage_residual": 1.0}, 0.75
+
+
+def blend(name: str, *parts):
+    """Weighted sum of the parts, between 0 and 1."""
+    return unit(sum((w * x for w, x in zip(WEIGHTS[name], parts, strict=True)), F.lit(0.0)))
+
+
+def ramp(name: str, x):
+    first, slope, low, high = RAMPS[name]
+    return clip(first + slope * x, low, high)
+
+
+def fall(name: str, x):
+    slope, power = FALLS[name]
+    return F.pow(1 - slope * x, F.lit(float(power)))
+
+
 def unit(x):
     return clip(x, 0.0, 1.0)
 
@@ -50,43 +79,41 @@ def refined(rows: DataFrame, key: str, legacy: bool = False, penalize: bool = Tr
     inlier = f["identity_inlier_score"] if vary["identity_inlier_score"] else centred
     candidate, outlier, program = f["homotypic_candidate_score"], f["dosage_outlier_score"], f["biological_program_coherence_score"]
     uniform, mixed = f["uniform_dosage_inflation_score"], f["homotypic_heterotypic_mixture_penalty"]
-    gate = unit(0.55 * het + 0.25 * off + 0.20 * margin)
+    gate = blend("gate", het, off, margin)
     use_prior = prior and vary["population_propensity_prior"]
+    favour = ramp("older prior" if legacy else "prior", F.col("re")) if use_prior else F.lit(1.0)
+    het_score = unit(q["heterotypic_doublet"] * ramp("identity", gate))
     if not legacy:
-        het_score = unit(q["heterotypic_doublet"] * (0.35 + 0.65 * gate))
-        mixture = unit(0.45 * het_score + 0.20 * het + 0.20 * margin + 0.10 * off + 0.05 * mixed)
-        soft = clip(1 - 0.40 * mixture * mixture, 0.6, 1.0) if penalize else F.lit(1.0)
-        biological = clip(1 - 0.45 * program, 0.55, 1.0)
-        fallback = unit(candidate * clip(0.25 + 0.75 * uniform, 0.25, 1.0) * biological * (0.30 + 0.70 * inlier))
-        module = f["homotypic_final_score"] if vary["homotypic_final_score"] else fallback
-        propensity = clip(0.85 + 0.15 * F.col("re"), 0.85, 1.0) if use_prior else F.lit(1.0)
-        support = unit(0.65 * q["homotypic_doublet"] + 0.20 * q["heterotypic_doublet"] + 0.15 * outlier)
-        hom_score = unit(unit(0.72 * module + 0.15 * fallback + 0.08 * candidate + 0.05 * support) * soft * biological * propensity)
-        low = q["low_quality"]
+        mixture = blend("mixture", het_score, het, margin, off, mixed)
+        factor = (ramp("kept", mixture * mixture) if penalize else F.lit(1.0)), ramp("biology", program), favour
+        spare = unit(candidate * ramp("level", uniform) * factor[1] * ramp("inlier", inlier))
+        module = f["homotypic_final_score"] if vary["homotypic_final_score"] else spare
+        support = blend("support", q["homotypic_doublet"], q["heterotypic_doublet"], outlier)
+        hom_score = blend("homotypic", module, spare, candidate, support)
+        for x in factor:
+            hom_score = hom_score * x
+        low, hom_score = q["low_quality"], unit(hom_score)
         out = {"clean": unit((1 - union(het_score, hom_score)) * (1 - low)), "heterotypic_doublet": het_score, "homotypic_doublet": hom_score, "low_quality": low}
         return df.select(key, *(F.coalesce(x, F.lit(0.0)).alias(c) for c, x in out.items()))
-    zero = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(0.0)))
-    counts, genes, stable = (centred_sigmoid(zero(c), m, 0.75) for c, m in (("cluster_count_robust_z", 1.0), ("cluster_gene_robust_z", 0.75), ("cluster_stable_dosage_robust_z", 0.75)))
-    evidence = unit(0.45 * least(counts, genes) + 0.30 * F.sqrt(unit(genes * stable)) + 0.25 * centred_sigmoid(zero("dosage_residual"), 1.0, 0.75))
-    outlier = outlier if vary["dosage_outlier_score"] else evidence
-    candidate = candidate if vary["homotypic_candidate_score"] else unit(F.sqrt(unit(outlier * hom * inlier)))
-    propensity = clip(0.75 + 0.25 * F.col("re"), 0.75, 1.0) if use_prior else F.lit(1.0)
-    mixture = unit(0.65 * q["heterotypic_doublet"] + 0.15 * het + 0.15 * margin + 0.05 * off)
+    bent = {c: centred_sigmoid(F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(0.0))), m, WIDTH) for c, m in MIDDLES.items()}
+    counts, genes, stable, rest = bent.values()
+    if not vary["dosage_outlier_score"]:
+        outlier = blend("older evidence", least(counts, genes), F.sqrt(unit(genes * stable)), rest)
+    agreed = unit(outlier * hom * inlier)
+    if not vary["homotypic_candidate_score"]:
+        candidate = unit(F.sqrt(agreed))
+    mixture = blend("older mixture", q["heterotypic_doublet"], het, margin, off)
     if vary["homotypic_heterotypic_mixture_penalty"]:
-        mixture = unit(0.55 * mixture + 0.45 * mixed)
-    hom_gate = F.pow(unit(outlier * hom * inlier), F.lit(1.0 / 3.0))
-    first = q["homotypic_doublet"] * (0.10 + 0.90 * hom_gate) * F.pow(1 - mixture, F.lit(3.0))
-    het_score = unit(q["heterotypic_doublet"] * (0.35 + 0.65 * gate))
+        mixture = blend("older mixture with penalty", mixture, mixed)
     before = p["homotypic_doublet"] + p["heterotypic_doublet"]
-    penalty = F.pow(1 - mixture, F.lit(2.0)) if penalize else F.lit(1.0)
-    biological, level = F.pow(1 - 0.75 * program, F.lit(2.0)), clip(0.35 + 0.65 * uniform, 0.35, 1.0)
-    module = unit(candidate * level * biological * penalty * propensity)
-    shown = unit(0.62 * module + 0.18 * unit(outlier * level * biological) + 0.12 * q["homotypic_doublet"] + 0.08 * unit(before))
-    hom_score = 0.20 * first + 0.80 * shown
+    biology = ramp("older level", uniform) * fall("biology", program)
+    module = unit(candidate * biology * (fall("penalty", mixture) if penalize else F.lit(1.0)) * favour)
+    shown = blend("older shown", module, unit(outlier * biology), q["homotypic_doublet"], unit(before))
+    gated = q["homotypic_doublet"] * ramp("older gate", F.pow(agreed, F.lit(1.0 / 3.0))) * fall("mixture", mixture)
+    hom_score = blend("older homotypic", gated, shown)
     if penalize:
-        hom_score = least(hom_score, F.when(module.isNotNull(), F.greatest(unit(before), module)) * F.pow(1 - 0.85 * mixture, F.lit(2.0)))
-    hom_score = unit(hom_score)
-    df = df.select(key, "p_clean", "p_low_quality", before.alias("_before"), hom_score.alias("homotypic_doublet"), het_score.alias("heterotypic_doublet"))
+        hom_score = least(hom_score, F.when(module.isNotNull(), F.greatest(unit(before), module)) * fall("last", mixture))
+    df = df.select(key, "p_clean", "p_low_quality", before.alias("_before"), unit(hom_score).alias("homotypic_doublet"), het_score.alias("heterotypic_doublet"))
     after = F.col("homotypic_doublet") + F.col("heterotypic_doublet")
     freed = F.when(after.isNotNull(), F.greatest(F.col("_before") - after, F.lit(0.0)))
     df = df.withColumns({"clean": unit(F.col("p_clean") + freed), "low_quality": F.col("p_low_quality")})

@@ -35,6 +35,30 @@ def test_block_folds(spark, n, folds):
     assert len(got) == n and sum(sizes) == n and all(0.5 <= s * folds / n <= 1.5 for s in sizes)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_blocks_go_where_the_whole_imbalance_is_least(seed):
+    """Against the imbalance of all folds, taken anew for every choice."""
+    rng = np.random.default_rng(seed)
+    names, size, kinds = [f"b{i:02d}" for i in range(40)], rng.integers(1, 6, 40).tolist(), rng.choice(["x|y", "x|z", "y|z"], 40).tolist()
+    got = domain.dealt_blocks(names, size, kinds, 3)
+    rows = sorted(zip(names, size, kinds, got), key=lambda r: (-r[1], r[0]))
+    even, folds, held = sum(size) / 3, [0, 0, 0], {}
+    for place, (_, m, kind, fold) in enumerate(rows):
+        def whole(f):
+            x = [n + m * (k == f) for k, n in enumerate(folds)]
+            due = kinds.count(kind) / 3
+            own = 0.25 * ((held.get((f, kind), 0) + m - due) / max(due, 1)) ** 2
+            return sum(((2 * n - 2 * even) / (2 * even)) ** 2 + 4 * ((n - even) / even) ** 2 for n in x) + own
+
+        assert fold == (place if place < 3 else min(range(3), key=lambda f: (round(whole(f), 9), f))) + 1
+        folds[fold - 1] += m
+        held[fold - 1, kind] = held.get((fold - 1, kind), 0) + m
+    with pytest.raises(ValueError):
+        domain.dealt_blocks(["a"], [3], ["x"], 2)
+    with pytest.raises(ValueError):
+        domain.dealt_blocks(["a", "b", "c"], [30, 1, 1], ["x"] * 3, 3)
+
+
 def test_block_folds_refuse(spark):
     with pytest.raises(ValueError):
         domain.parent_block_folds(pairs(spark, 29))

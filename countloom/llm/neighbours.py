@@ -80,6 +80,15 @@ def _unpacked(row, prefix: str):
     return ids, tags, codes, *(np.frombuffer(row[prefix + k], np.float64) for k in ("scales", "norms", "errors"))
 
 
+def first_of_equal(row: np.ndarray, tag: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows that are among the k smallest ids of their query and vector: of equal vectors no others can be nearest."""
+    order = np.lexsort((ids, tag, row))
+    new = np.ones(len(order), bool)
+    new[1:] = (row[order][1:] != row[order][:-1]) | (tag[order][1:] != tag[order][:-1])
+    place = np.arange(len(order))
+    return np.sort(order[place - np.maximum.accumulate(np.where(new, place, 0)) < k])
+
+
 class Survivors:
     """Candidates of a block of queries whose upper bound reaches the k-th largest lower bound seen so far.
 
@@ -108,6 +117,8 @@ class Survivors:
             self.best[part] = np.partition(both, both.shape[1] - self.k, axis=1)[:, both.shape[1] - self.k :]
             upper = about + error
             rows, columns = np.nonzero((upper >= self.best[part].min(axis=1)[:, None]) & (about > -np.inf))
+            few = first_of_equal(rows, ct[columns], ci[columns], self.k)
+            rows, columns = rows[few], columns[few]
             self.found.append((at + rows, ci[columns], ct[columns], lower[rows, columns], upper[rows, columns]))
 
     def rows(self):
@@ -115,7 +126,8 @@ class Survivors:
         import pyarrow as pa
 
         row, ids, tags, lower, upper = (np.concatenate(x) for x in zip(*self.found))
-        near = upper >= self.best.min(axis=1)[row]
+        near = np.flatnonzero(upper >= self.best.min(axis=1)[row])
+        near = near[first_of_equal(row[near], tags[near], ids[near], self.k)]
         columns = [self.query[0][row], self.query[1][row], ids, tags, lower, upper]
         return pa.RecordBatch.from_arrays([pa.array(c[near]) for c in columns], ["query_id", "query_tag", "id", "tag", "lower", "upper"])
 
@@ -125,7 +137,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
 
     Both frames have id and vector (see usable).  A query never meets a row of its own id; vectors meet
     those of their own dimension only; rows that repeat id and vector count once, and an id's other vectors are candidates
-    of their own.  With fewer than k candidates all are returned; no queries or no candidates give no rows.
+    of their own; of equal vectors the k smallest ids are kept at most, however many there are.  With fewer than k candidates all are returned; no queries or no candidates give no rows.
 
     Every pair of a query block and a candidate block is one tile of int8 codes; tiles of a query block that meet in a task
     share its bounds.  Survivors are then pruned over all tasks, their vectors fetched by id, recomputed in double and merged by heaps.
@@ -161,7 +173,8 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     discard(cand, quer)
     # over all tasks: a query has about k rows a task
     each = W.partitionBy("query_id", "query_tag")
-    ranked = found.withColumn("r", F.row_number().over(each.orderBy(F.desc("lower"))))
+    equal = F.row_number().over(W.partitionBy("query_id", "query_tag", "tag").orderBy("id"))
+    ranked = found.withColumn("e", equal).filter(F.col("e") <= k).withColumn("r", F.row_number().over(each.orderBy(F.desc("lower"))))
     near = ranked.withColumn("floor", F.max(F.when(F.col("r") == k, F.col("lower"))).over(each)).filter("floor IS NULL OR upper >= floor")
     scored = near.select("query_id", "query_tag", "id", "tag").join(
         wanted.select(F.col("id").alias("query_id"), F.col("tag").alias("query_tag"), F.col("vector").alias("q")), ["query_id", "query_tag"]).join(

@@ -64,6 +64,21 @@ def test_nearest_is_exact(spark):
     assert not any(q > 300 and q != 904 for q, _ in got)
 
 
+def test_many_equal_vectors_leave_few_survivors(spark, monkeypatch):
+    seen = []
+    real = neighbours.stored
+    monkeypatch.setattr(neighbours, "stored", lambda df, name: seen.append((name, real(df, name))) or seen[-1][1])
+    rows = [(i, [1.0, 2.0] if i % 3 else [float(i % 7), 1.0]) for i in range(3000)]
+    df = neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6), "vec_id", "embedding")
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in neighbours.nearest(df.filter("id % 500 = 0"), df, 5).collect()}
+    for q in range(0, 3000, 500):
+        wanted = sorted((-np.dot(dict(rows)[q], v), i) for i, v in rows if i != q)[:5]
+        assert [got[q, r] for r in range(1, 6)] == [(i, -s) for s, i in wanted]
+    found = dict(seen)["found"]
+    tasks = found.groupBy("query_id", "tag").count().agg(F.max("count")).first()[0]
+    assert tasks <= 5 * 8  # k of a vector and task
+
+
 def test_nearest_with_repeats_ties_and_other_columns(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "CANDIDATES", 16)
     monkeypatch.setattr(neighbours, "QUERIES", 4)

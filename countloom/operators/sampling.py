@@ -31,10 +31,8 @@ def pair_plan(cells: DataFrame, n: int, seed: int, mixed: bool, by: str = "clust
     order = lambda salt: F.row_number().over(W.partitionBy(*key).orderBy(draw(seed, salt, F.col("cell"))))
     a = cells.withColumn("_i", order("first")).select(*key, "_i", F.col("cell").alias("parent_1"), F.col(by).alias("_x"))
     b = cells.withColumn("_i", order("second")).select(*key, "_i", F.col("cell").alias("parent_2"), F.col(by).alias("_y"))
-    pairs = a.drop("_x", by) if not mixed else a
     joined = (a.join(b, [*key, "_i"]) if mixed else a.drop("_x").join(b.drop("_y"), [*key, "_i"])).filter("parent_1 <> parent_2")
     joined = joined.filter("_x <> _y") if mixed else joined
-    del pairs
     x, y = canonical_pair(F.col("parent_1"), F.col("parent_2"))
     joined = joined.withColumns({"_cx": x, "_cy": y})
     once = joined.withColumn("_d", F.row_number().over(W.partitionBy("split", "_cx", "_cy").orderBy("parent_1"))).filter("_d = 1")

@@ -78,11 +78,11 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as a table in the shared folder and read back: it cuts the lineage, and lost executors cost no recomputation.
 
-    The codec is named, so that a session's setting does not matter; LZ4 without frames is not used, as its reader has failed on sound files.
+    It is not compressed: codecs hold buffers beside the heap for every column of every task, and the reader of LZ4 without frames has failed on sound files.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "snappy").parquet(path)
+    df.write.option("compression", "uncompressed").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from countloom.functions import robust, scalars
+from countloom.functions.running import numbered
 from countloom.operators import contracts, ledger, matrix, points, sampling
 from countloom.plans.core import CLIP, R1, stats_sql
 from countloom.plans.registry import d, i, query, with_
@@ -83,7 +84,7 @@ def o25(spark, sf):
 def o26(spark, sf):
     """Cells are ranked without their labels, which are joined to the ranks afterwards."""
     s = t.rough_scores(spark, sf)
-    ranked = s.drop("label").withColumn("rank", F.row_number().over(W.orderBy(F.desc_nulls_last("c"), "cell"))).select("cell", "rank")
+    ranked = numbered(s.select("cell", "c"), "c", "cell", "rank", []).select("cell", "rank")
     return ranked.join(s.select("cell", "label"), "cell", "left")
 
 

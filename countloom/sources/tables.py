@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -53,15 +53,21 @@ def demo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k * 7 % 5 == 0, F.when(k % 2 == 0, "homotypic_doublet").otherwise("heterotypic_doublet")).when(k * 7 % 5 == 1, "high_RNA_singlet").otherwise("clean").alias("label"))
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x to so many places, halves of the product in doubles away from zero, as DuckDB does (products below 2^52); Spark's own round goes by the shortest decimal text of x."""
+    unit = F.lit(float(10**places))
+    return F.signum(x) * F.floor(F.abs(x * unit) + 0.5) / unit
+
+
 def rough_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores as they come: balances and spending of customers, beyond 0 to 1 on both sides, some missing, some not a number."""
     k = F.col("c_custkey")
     spent = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("spent"))
     return table(spark, sf_dir, "customer").join(spent, "c_custkey", "left").select(
         k.cast("string").alias("cell"), F.col("c_mktsegment").alias("cluster"), k.alias("key"),
-        F.when(k % 13 != 0, F.round(F.col("c_acctbal") / 8000, 3)).alias("a"),
-        F.when(k % 19 == 0, float("nan")).when(k % 23 != 0, F.round((k * 53 % 97) / 80.0 - 0.1, 4)).alias("b"),
-        F.round(1 - F.col("c_acctbal") / 9000, 3).alias("c"), F.round("spent", 2).alias("spent"),
+        F.when(k % 13 != 0, rounded(F.col("c_acctbal") / 8000, 3)).alias("a"),
+        F.when(k % 19 == 0, float("nan")).when(k % 23 != 0, rounded((k * 53 % 97) / 80.0 - 0.1, 4)).alias("b"),
+        rounded(1 - F.col("c_acctbal") / 9000, 3).alias("c"), rounded(F.col("spent"), 2).alias("spent"),
         F.when(k * 7 % 5 == 0, F.when(k % 2 == 0, "homotypic_doublet").otherwise("heterotypic_doublet")).when(k * 7 % 5 == 1, "high_RNA_singlet").otherwise("clean").alias("label"))
 
 

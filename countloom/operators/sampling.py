@@ -65,12 +65,16 @@ def permuted(df: DataFrame, key: str, label: str, seed: int, by: list[str] | Non
 def thinned(counts: DataFrame, low: float = 0.6, high: float = 1.0, seed: int = 0) -> DataFrame:
     """Counts of each cell thinned binomially by a fraction that its id's hash draws from low to high.
 
-    Every unit of a count has a hash of its own and stays where that is below the fraction: one expression per row, no shuffle.
+    Every unit of a count has a hash of its own and stays where that is below the fraction.  Units are rows, whose hashes run as
+    compiled code, and are compared as text with the twelve digits of the fraction; what stays is counted where the rows are.
     """
     fraction = low + (high - low) * uniform(seed, "fraction", F.col("cell"))
-    unit = lambda u: uniform(seed, "unit", F.concat_ws(":", "cell", "gene", u.cast("string"))) < F.col("_f")
-    kept = F.when(F.col("count") >= 1, F.size(F.filter(F.sequence(F.lit(1), F.floor("count").cast("int")), unit))).otherwise(0)
-    return counts.select("cell", "gene", "count").withColumn("_f", fraction).withColumn("count", kept.cast("double")).filter("count > 0").drop("_f")
+    # x / 16^12 < f where x < ceil(f * 16^12); no digit reaches "g", which stands for all
+    edge = F.ceil(fraction * float(16**12)).cast("long")
+    rows = counts.filter("count >= 1").select("cell", "gene", F.floor("count").cast("int").alias("_n"), F.when(edge < 16**12, F.lpad(F.lower(F.hex(edge)), 12, "0")).otherwise("g").alias("_f"))
+    units = rows.select("cell", "gene", "_f", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_u"))
+    kept = units.filter(draw(seed, "unit", F.concat_ws(":", "cell", "gene", F.col("_u").cast("string"))) < F.col("_f"))
+    return kept.groupBy("cell", "gene").agg(F.count("*").cast("double").alias("count"))
 
 
 def upper_tail_targets(totals: DataFrame, pairs: DataFrame, seed: int = 0, low: float = 0.7, high: float = 0.995) -> DataFrame:

@@ -96,18 +96,27 @@ def upper_tail_targets(totals: DataFrame, pairs: DataFrame, seed: int = 0, low:
 def downsampled(counts: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """Counts of each cell drawn multinomially by its own shares, down to its target total (cell, target)."""
 
-    def one(pdf):
+    def one(batches):
         import hashlib
 
         import numpy as np
-
-        pdf = pdf.sort_values("gene")
-        c = pdf["count"].astype(int).to_numpy()
-        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{pdf['cell'].iloc[0]}".encode()).digest()[:8], "big"))
-        keep = min(int(pdf["target"].iloc[0]), int(c.sum()))
-        return pdf.assign(count=rng.multinomial(keep, c / c.sum()).astype(float))[["cell", "gene", "count"]]
-
-    return counts.filter("count >= 1").join(targets, "cell").groupBy("cell").applyInPandas(one, "cell string, gene string, count double").filter("count > 0")
+        import pyarrow as pa
+
+        for batch in batches:
+            cells, targets_, genes = batch.column("cell").to_pylist(), batch.column("target").to_pylist(), batch.column("genes")
+            starts, c = genes.offsets.to_numpy() - genes.offsets[0].as_py(), genes.flatten().field("c").to_numpy()
+            out = np.zeros(len(c))
+            for n, cell in enumerate(cells):
+                own = c[starts[n] : starts[n + 1]]
+                rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{cell}".encode()).digest()[:8], "big"))
+                total = int(own.sum())
+                out[starts[n] : starts[n + 1]] = rng.multinomial(min(int(targets_[n]), total), own / total)
+            rows = np.repeat(np.arange(len(cells)), np.diff(starts))
+            yield pa.RecordBatch.from_arrays([batch.column("cell").take(pa.array(rows)), genes.flatten().field("gene"), pa.array(out)], names=["cell", "gene", "count"])
+
+    # the features of a cell are one row, so that a batch holds many cells
+    lists = counts.filter("count >= 1").groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("gene", F.col("count").cast("long").alias("c")))).alias("genes"))
+    return lists.join(targets, "cell").select("cell", "target", "genes").mapInArrow(one, "cell string, gene string, count double").filter("count > 0")
 
 
 def uniform(seed: int, salt: str, key):

@@ -64,3 +64,12 @@ def test_downsampling_draws_for_many_cells_of_a_batch(spark):
     out = sampling.downsampled(counts, targets)
     assert {(r["cell"], r["gene"]): r["count"] for r in out.collect()} == want
     assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_loadings_stay_a_table(spark):
+    # two genes of one direction: a rank below the components asked for gives zeros
+    from countloom.operators.reference import loadings_table
+
+    values = spark.createDataFrame([(f"c{i}", g, v * (i + 1.0)) for i in range(6) for g, v in (("a", 3.0), ("b", 4.0))], "cell string, gene string, value double")
+    got = {r["gene"]: r["b"] for r in loadings_table(values, 2).collect()}
+    assert np.allclose(got["a"], [0.6, 0.0]) and np.allclose(got["b"], [0.8, 0.0])

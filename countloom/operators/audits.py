@@ -15,13 +15,21 @@ def pair_duplicates(pairs: DataFrame, a: str, b: str, split: str, key: str, prof
     """One row of counts: repeats of ordered and of canonical pairs, the latter where both orders occur, repeats of whole rows, ids and profiles, and pairs and parents in several splits."""
     x, y = canonical_pair(F.col(a), F.col(b))
     rows = pairs.select(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b"), F.col(split).alias("s"), F.col(key).alias("k"), F.col(profile).alias("f"), x.alias("x"), y.alias("y"))
-    beyond = lambda by, name: rows.groupBy(*by).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias(name))
-    canonical = rows.groupBy("x", "y").agg(F.count("*").alias("n"), F.count_distinct("a").alias("ways"), F.count_distinct("s").alias("splits")).agg(
-        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("canonical_repeats"), F.coalesce(F.sum(F.when(F.col("ways") > 1, F.col("n") - 1)), F.lit(0)).alias("reversed_equivalent"), F.count_if(F.expr("splits > 1")).alias("pairs_across"))
-    parents = rows.select("a", "s").union(rows.select("b", "s")).groupBy("a").agg(F.count_distinct("s").alias("n")).agg(F.count_if(F.expr("n > 1")).alias("parents_across"))
+    repeats = lambda n: F.coalesce(F.sum(n), F.lit(0))
+    several = lambda c: F.min(c) != F.max(c)
+    # the orders of a canonical pair, and what holds a missing name, as bits: as many as it has ordered pairs
+    order = F.when(F.col("a") <= F.col("b"), 1).when(F.col("a") > F.col("b"), 2).when(F.col("b").isNotNull(), 4).when(F.col("a").isNotNull(), 8).otherwise(16)
+    canonical = rows.withColumn("_o", order).groupBy("x", "y").agg(F.count("*").alias("n"), F.bit_count(F.bit_or("_o")).alias("orders"), several("a").alias("ways"), several("s").alias("splits")).agg(
+        repeats(F.col("n") - F.col("orders")).alias("ordered_repeats"), repeats(F.when(F.col("ways"), F.col("n") - 1)).alias("reversed_equivalent"), repeats(F.col("n") - 1).alias("canonical_repeats"),
+        F.count_if("splits").alias("pairs_across"))
+    parents = rows.select("a", "s").union(rows.select("b", "s")).groupBy("a").agg(several("s").alias("more")).agg(F.count_if("more").alias("parents_across"))
+    # rows of an id are in one task, which counts whole rows and ids
+    whole = rows.select("k", "a", "b", "s", "f").repartition("k").groupBy("k", "a", "b", "s", "f").agg(F.count("*").alias("n"))
+    ids = whole.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).agg(repeats(F.col("n") - F.col("rows")).alias("row_repeats"), repeats(F.col("n") - 1).alias("id_repeats"))
+    profiles = rows.groupBy("f").agg(F.count("*").alias("n")).agg(repeats(F.col("n") - 1).alias("profile_repeats"))
     # tables of one row
-    tables = [canonical, parents, beyond(["a", "b"], "ordered_repeats"), beyond(["k", "a", "b", "s", "f"], "row_repeats"), beyond(["k"], "id_repeats"), beyond(["f"], "profile_repeats")]
-    return reduce(lambda m, n: m.crossJoin(F.broadcast(n)), tables)
+    out = reduce(lambda m, n: m.crossJoin(F.broadcast(n)), [canonical, parents, ids, profiles])
+    return out.select("canonical_repeats", "reversed_equivalent", "pairs_across", "parents_across", "ordered_repeats", "row_repeats", "id_repeats", "profile_repeats")
 
 
 def profile_fingerprints(counts: DataFrame) -> DataFrame:

@@ -73,3 +73,15 @@ def test_loadings_stay_a_table(spark):
     values = spark.createDataFrame([(f"c{i}", g, v * (i + 1.0)) for i in range(6) for g, v in (("a", 3.0), ("b", 4.0))], "cell string, gene string, value double")
     got = {r["gene"]: r["b"] for r in loadings_table(values, 2).collect()}
     assert np.allclose(got["a"], [0.6, 0.0]) and np.allclose(got["b"], [0.8, 0.0])
+
+
+def test_ordered_pairs_are_counted_with_their_canonical_pair(spark):
+    from countloom.operators.audits import pair_duplicates
+
+    ends = [("1", "2"), ("2", "1"), ("2", "1"), ("3", "3"), ("3", None), (None, "3"), (None, None), (None, None), ("1", "2")]
+    rows = [(a, b, "ab"[i % 2], f"k{i // 3}", i % 2) for i, (a, b) in enumerate(ends)]
+    out = pair_duplicates(spark.createDataFrame(rows, "a string, b string, s string, k string, f int"), "a", "b", "s", "k", "f")
+    got = out.first()
+    assert got["ordered_repeats"] == len(ends) - len(set(ends)) and got["row_repeats"] == len(rows) - len({(r[3], *r[:3], r[4]) for r in rows})
+    assert got["id_repeats"] == 6 and got["profile_repeats"] == 7
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -26,10 +26,13 @@ def customer_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cell = document, gene = token [a-z]+, count = occurrences."""
+    """cell = document, gene = token [a-z]+, count = occurrences.
+
+    Texts are dealt by document before they are split, so that what is grouped by document later is in place; they are shorter than their counts.
+    """
     tokens = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("cell"), tokens.alias("gene"))
-    return docs.groupBy("cell", "gene").agg(F.count("*").cast("double").alias("count"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("cell"), "text").repartition("cell")
+    return texts.select("cell", tokens.alias("gene")).groupBy("cell", "gene").agg(F.count("*").cast("double").alias("count"))
 
 
 def document_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 
+from countloom import catalog
 from countloom.functions.running import numbered, ranged
 from countloom.operators import matching, sampling
 from countloom.sources.tables import rounded
@@ -85,3 +86,10 @@ def test_ordered_pairs_are_counted_with_their_canonical_pair(spark):
     assert got["ordered_repeats"] == len(ends) - len(set(ends)) and got["row_repeats"] == len(rows) - len({(r[3], *r[:3], r[4]) for r in rows})
     assert got["id_repeats"] == 6 and got["profile_repeats"] == 7
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profiles_of_documents_need_one_shuffle_by_document(spark):
+    rows = catalog.queries()["e37_duplicate_profiles"](spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 2  # by document, then by profile
+    assert rows.count() > 0

@@ -452,6 +452,15 @@ def test_repeats_between_rows_with_and_without_id(spark):
     assert got == [(0, 0, 0, 0), (0, 426, 420, 1), (0, 701, 701, 1), (1, 701, 701, 1), (2, 300, 0, 0)]
 
 
+def test_repeats_go_by_bytes_not_words(spark):
+    """A shared passage of 67 words and 399 bytes stays, as the contract wants; with a byte more it goes."""
+    passage = " ".join(f"w{k * k % 97:04d}" for k in range(67))[:400]
+    for n, removed in ((399, 0), (400, 400)):
+        rows = [(1, "a" + passage[:n] + "b"), (2, "c" + passage[:n] + "d")]
+        got = repeats.cut_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(passage[:n].split()) > 50 and sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, removed), (2, removed)]
+
+
 # ---------------------------------------------------------------- op10
 
 def test_mix_leaves_only_what_its_rows_are_read_from(spark, monkeypatch):

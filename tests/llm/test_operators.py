@@ -461,6 +461,24 @@ def test_repeats_go_by_bytes_not_words(spark):
         assert len(passage[:n].split()) > 50 and sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, removed), (2, removed)]
 
 
+def test_windows_that_many_places_share_stay_where_they_are(spark, monkeypatch):
+    """Every shared window is found, and no task gets more than its part of a digest that most places share."""
+    monkeypatch.setattr(repeats, "GROUP", 50)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # nothing is small at size
+    try:
+        windows = spark.range(0, 1200, 1, 8).selectExpr("if(id % 6 > 0, -1, if(id < 600, id div 12, id)) AS key", "if(id % 6 > 0, 7, id div 12 % 5) AS second", "id", "id AS mark", "id AS start").localCheckpoint()
+        twice = windows.groupBy("key", "second").count().withColumnRenamed("count", "n").filter("n > 1").localCheckpoint()
+        got = [r.asDict() for r in repeats.shared_windows(windows, twice).withColumn("part", F.spark_partition_id()).collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    digest = lambda r: (r["key"], r["second"])
+    rows = windows.collect()
+    places = Counter(digest(r) for r in rows)
+    assert sorted(r["id"] for r in got) == sorted(r["id"] for r in rows if places[digest(r)] > 1)
+    assert max(places.values()) == 1000 and max(Counter(r["part"] for r in got if digest(r) == (-1, 7)).values()) <= 125
+
+
 # ---------------------------------------------------------------- op10
 
 def test_mix_leaves_only_what_its_rows_are_read_from(spark, monkeypatch):
